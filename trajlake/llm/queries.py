@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, sentencepiece, token_shards, url_filter, warc
+from . import media, quality, sentencepiece, substring_dedup, token_shards, url_filter, warc
 from ._scratch import cut, new_path, table
 
 
@@ -30,6 +30,18 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_slots(spark, path).select("slot", "shard", "byte_offset", F.sha2("tokens", 256).alias("tokens_sha256"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(documents, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(quality.fold() == 0, F.lit(False)).alias("held_out")
+    return quality.score(documents, model).select("doc_id", held_out, "score", "predicted")
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = cut(media.store_png(media.text_payloads(table(spark, sf_dir, "documents"))), "media", "uncompressed")
     return media.read_png(stored)
@@ -43,7 +55,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_token_shards, op9_media, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_token_shards, op5_substring_dedup, op7_quality, op9_media, op10_url_filter)}
 
 ORACLE: dict[str, str] = {
     "op1_warc": """
@@ -55,6 +67,17 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
        CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id < largest THEN largest END AS refers_to
 FROM d""",
+    "op5_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' ') AS w FROM documents),
+     e AS (SELECT row_id, doc_id, CASE WHEN w = [''] THEN [] ELSE w END AS w FROM d),
+     s AS (SELECT row_id, unnest(range(1, len(w) - 33)) AS i FROM e WHERE len(w) >= 35),
+     g AS (SELECT row_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS seq FROM s JOIN e USING (row_id)),
+     r AS (SELECT row_id, i, count(*) OVER (PARTITION BY seq) AS n FROM g),
+     c AS (SELECT DISTINCT row_id, i + j AS pos FROM (SELECT row_id, i FROM r WHERE n > 1), range(35) t(j)),
+     x AS (SELECT row_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM e),
+     k AS (SELECT row_id, count(*) AS kept, string_agg(word, ' ' ORDER BY pos) AS kept_text FROM x ANTI JOIN c USING (row_id, pos) GROUP BY row_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256
+FROM e LEFT JOIN k USING (row_id)""",
     "op10_url_filter": r"""
 WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
      s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
