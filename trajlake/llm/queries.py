@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, quality, sentencepiece, substring_dedup, token_shards, url_filter, warc
+from . import media, minhash, quality, sentencepiece, substring_dedup, token_shards, url_filter, warc
 from ._scratch import cut, new_path, table
 
 
@@ -42,6 +42,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, model).select("doc_id", held_out, "score", "predicted")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = cut(media.store_png(media.text_payloads(table(spark, sf_dir, "documents"))), "media", "uncompressed")
     return media.read_png(stored)
@@ -55,7 +59,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_token_shards, op5_substring_dedup, op7_quality, op9_media, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_token_shards, op5_substring_dedup, op7_quality, op8_minhash, op9_media, op10_url_filter)}
 
 ORACLE: dict[str, str] = {
     "op1_warc": """
@@ -78,6 +82,17 @@ WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(trim(rege
      k AS (SELECT row_id, count(*) AS kept, string_agg(word, ' ' ORDER BY pos) AS kept_text FROM x ANTI JOIN c USING (row_id, pos) GROUP BY row_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256
 FROM e LEFT JOIN k USING (row_id)""",
+    "op8_minhash": r"""
+WITH RECURSIVE d AS (SELECT doc_id, string_split(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' ') AS w FROM documents),
+     s AS (SELECT doc_id, CASE WHEN w = [''] THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                               ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS x FROM d),
+     n AS (SELECT doc_id, CAST(len(x) AS BIGINT) AS n FROM s),
+     e AS (SELECT doc_id, unnest(x) AS g FROM s),
+     p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+     l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+     r AS (SELECT doc_id AS v, doc_id AS c FROM n UNION SELECT l.b, r.c FROM r JOIN l ON r.v = l.a)
+SELECT doc_id, n AS n_shingles, m AS component_id, doc_id = m AS kept
+FROM n JOIN (SELECT v, min(c) AS m FROM r GROUP BY v) ON doc_id = v""",
     "op10_url_filter": r"""
 WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
      s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
