@@ -1,15 +1,58 @@
-"""A training corpus in stages."""
+"""A training corpus in stages: each takes the documents that its predecessor kept and gives those that it keeps itself."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from trajlake.llm import minhash, mixing, quality, sentencepiece, substring_dedup
+from trajlake.llm._scratch import cut
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the classifier, learned from labelled ones among these, predicts to be label 0."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).filter("predicted = 1").select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id."""
+    return minhash.keep_first(docs).select(*COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words under windows that repeat are cut out of the texts; other texts stay as they are, and every row stays."""
+    kept = substring_dedup.remove_repeats(docs)
+    cut_out = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return kept.withColumn("text", cut_out).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of their slots: sources interleaved to their weights."""
+    return mixing.in_order(mixing.mix(docs)).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens and ids."""
+    return sentencepiece.encode(docs.select("doc_id", "source", "text")).select("doc_id", "source", "n_tokens", "ids")
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("near-duplicates", one_of_each),
+    ("substring dedup", without_repeats),
+    ("mixing", mixed),
+    ("encoding", encoded),
+]
+
+#: SQL can express neither the classifier nor the encoding.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

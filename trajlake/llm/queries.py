@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, media, minhash, quality, sentencepiece, substring_dedup, token_shards, url_filter, warc
+from . import fingerprint, media, minhash, mixing, quality, sentencepiece, substring_dedup, token_shards, url_filter, warc
 from ._scratch import cut, new_path, table
 
 
@@ -39,6 +39,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(documents, table(spark, sf_dir, "labels"))
@@ -63,7 +67,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_token_shards, op4_fingerprint, op5_substring_dedup, op7_quality, op8_minhash, op9_media, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_token_shards, op4_fingerprint, op5_substring_dedup, op6_mixing, op7_quality, op8_minhash, op9_media, op10_url_filter)}
 
 ORACLE: dict[str, str] = {
     "op1_warc": """
