@@ -1,0 +1,73 @@
+"""Association, rate limits and online events as Structured Streaming: state for each sequence.
+
+Frames are taken in order of time as they arrive; a row at or before its sequence's last frame is late and counted, not
+used. A sequence silent for `idle` has its state dropped.
+"""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.associate import COLUMNS, OUT, PARAMS, Tracker
+from ..operators.clearmot import fold_matches
+
+
+def _run(df: DataFrame, key: str, fold, out: str, idle: str | None) -> DataFrame:
+    kind = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return df.groupBy(key).applyInPandasWithState(fold, out, "state binary, late long", "append", kind)
+
+
+def associate_stream(detections: DataFrame, key: str = "seq_id", params: dict | None = None, idle_ms: int | None = None) -> DataFrame:
+    """key, late (rows so far) and the columns of associate(); each micro-batch must hold whole frames."""
+    chosen = PARAMS | (params or {})
+
+    def fold(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        tracker, late = (pickle.loads(bytes(state.get[0])), state.get[1]) if state.exists else (Tracker(chosen), 0)
+        rows = pd.concat(list(parts))
+        late += int((rows.frame_time <= tracker.last_time).sum())
+        out = tracker.frames(rows[COLUMNS])
+        out.insert(0, key, group[0])
+        out["late"] = late
+        state.update((pickle.dumps(tracker), late))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        yield out
+
+    return _run(detections, key, fold, f"{key} long, {OUT}, late long", "idle" if idle_ms else None)
+
+
+def rate_limited(frames: DataFrame, interval: float, key: str = "seq_id") -> DataFrame:
+    """Frames at least `interval` after the last one taken: key, frame_idx and frame_time."""
+
+    def fold(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, late = (pickle.loads(bytes(state.get[0])), state.get[1]) if state.exists else (None, 0)
+        kept = []
+        for row in pd.concat(list(parts)).sort_values("frame_time").itertuples():
+            if last is None or row.frame_time - last >= interval:
+                last = row.frame_time
+                kept.append((group[0], row.frame_idx, last))
+        state.update((pickle.dumps(last), late))
+        yield pd.DataFrame(kept, columns=[key, "frame_idx", "frame_time"])
+
+    return _run(frames, key, fold, f"{key} long, frame_idx long, frame_time double", None)
+
+
+def matches_stream(pairs: DataFrame, key: str = "seq_id") -> DataFrame:
+    """MATCH and SWITCH events of gated pairs (key, frame_idx, oid, hid, d); the state is each object's last partner."""
+
+    def fold(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, late = (pickle.loads(bytes(state.get[0])), state.get[1]) if state.exists else ({}, 0)
+        out = fold_matches(pd.concat(list(parts)), last)
+        out.insert(0, key, group[0])
+        state.update((pickle.dumps(last), late))
+        yield out
+
+    return _run(pairs, key, fold, f"{key} long, frame_idx long, type string, oid long, hid long, d double", None)
