@@ -25,7 +25,9 @@ from ._text import mix, pieces, powers, ranges_hash, row_of, windows, with_colum
 
 LARGEST = np.uint64(2**64 - 1)
 SEGMENT_BITS = 20
-ASK = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+#: place is start << 32 | stop, in words, of a window that its task has once; -1 for one that the task has more often, which
+#: counts as two; -2 - place for a run of windows that are known to repeat.
+ASK = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("key", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int64())])
 
 
 def slide(x: np.ndarray, k: int, pick: np.ufunc) -> np.ndarray:
@@ -140,15 +142,14 @@ def _questions(h1: np.ndarray, h2: np.ndarray, row: np.ndarray, start: np.ndarra
     run_key = mix(texts[row[known[a]]].astype(np.uint64) + mix(start[known[a]].astype(np.uint64), 5), 6)
     parts = [
         np.concatenate([h1[lead], run_key]).astype(np.int64), np.concatenate([h2[lead], mix(run_key, 7)]).astype(np.int64),
-        np.concatenate([np.minimum(n, 2), np.full(len(a), 2)]).astype(np.int32),
         np.concatenate([keys[row[lead]], keys[row[known[a]]]]), np.concatenate([texts[row[lead]], texts[row[known[a]]]]),
-        np.concatenate([np.where(once, start[lead], -1), start[known[a]]]).astype(np.int32), np.concatenate([start[lead], start[known[b]]]).astype(np.int32) + np.int32(window),
+        np.concatenate([np.where(once, start[lead] << 32 | (start[lead] + window), -1), -2 - (start[known[a]] << 32 | (start[known[b]] + window))]),
     ]
     return pa.RecordBatch.from_arrays([pa.array(x) for x in parts], schema=ASK)
 
 
 def repeated_ranges(documents: DataFrame, text: str, window: int, gram: int, most_cells: int) -> DataFrame:
-    """key and text_hash of a document, and the ranges of words that windows cover which start elsewhere too."""
+    """key and text_hash of a document, and the ranges (start << 32 | stop) of words that windows cover which start elsewhere too."""
     spark = documents.sparkSession
     bits = sketch_bits(documents, text, most_cells)
     planes = spark.sparkContext.broadcast(repeated_cells(documents, text, window, gram, bits))
@@ -176,9 +177,10 @@ def repeated_ranges(documents: DataFrame, text: str, window: int, gram: int, mos
         if size:
             yield _questions(*(np.concatenate(x) for x in zip(*held, strict=True)), window)
 
-    asked = documents.select(F.coalesce(F.col("key"), F.lit(-1)).alias("key"), "text_hash", text).mapInArrow(ask, "h1 long, h2 long, n int, key long, text_hash long, start int, stop int")
-    counted = asked.withColumn("total", F.sum("n").over(Window.partitionBy("h1", "h2"))).filter("total >= 2 AND start >= 0")
-    return counted.groupBy("key", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    asked = documents.select(F.coalesce(F.col("key"), F.lit(-1)).alias("key"), "text_hash", text).mapInArrow(ask, "h1 long, h2 long, key long, text_hash long, place long")
+    counted = asked.withColumn("total", F.sum(F.when(F.col("place") < 0, 2).otherwise(1)).over(Window.partitionBy("h1", "h2"))).filter("total >= 2 AND place <> -1")
+    place = F.when(F.col("place") < 0, -2 - F.col("place")).otherwise(F.col("place"))
+    return counted.groupBy("key", "text_hash").agg(F.collect_list(place).alias("ranges"))
 
 
 def remove_repeats(documents: DataFrame, text: str = "text", key: str = "doc_id", window: int = 35, gram: int = 8, most_cells: int = 1 << 28) -> DataFrame:
@@ -205,8 +207,8 @@ def remove_repeats(documents: DataFrame, text: str = "text", key: str = "doc_id"
                     n = len(found)
                     if spans:
                         step = np.zeros(n + 1, np.int32)
-                        np.add.at(step, [s["start"] for s in spans], 1)
-                        np.add.at(step, [s["stop"] for s in spans], -1)
+                        np.add.at(step, np.array(spans) >> 32, 1)
+                        np.add.at(step, np.array(spans) & 0xFFFFFFFF, -1)
                         found = [w for w, covered in zip(found, np.cumsum(step)[:-1].tolist(), strict=True) if not covered]
                     counts.append(n)
                     removed.append(n - len(found))
