@@ -1,7 +1,7 @@
 """A quality classifier from supervised subword embeddings.
 
 A document is the mean of the learned vectors of its words and of its character n-grams, both hashed to a table of 2**bits
-rows; a softmax layer over that mean gives the probability of label 1. All weights are learned by stochastic gradient
+rows (a word that repeats the one before adds a mark, itself a word); a softmax layer over that mean gives the probability of label 1. All weights are learned by stochastic gradient
 descent in numpy, document by document. Only a bounded sample of labelled rows is learned from (`most_labelled`, those with
 the smallest hash of their id); every document is scored. As the layer behind the mean is linear, a trained model comes
 down to one weight for each row of the table, and a score to a mean of weights.
@@ -17,16 +17,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._schema import extended
+from ._scratch import small_batches
 from ._text import lower, pieces, windows, with_columns, word_hashes, words
 
 GRAMS = (2, 3)
+#: The word that stands for "the word before, again".
+AGAIN = np.uint64(0x5BD1E995_9E3779B9)
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Table rows of all words and n-grams of code points (A-Z lowered), grouped by text, and the texts' offsets in them."""
+    """Table rows of all words, of a mark for each word that repeats the one before, and of all n-grams of code points (A-Z
+    lowered), grouped by text, and the texts' offsets in them."""
     data = lower(data)
     starts, ends, at = words(data, offsets)
-    found = [(word_hashes(data, starts, ends), at)]
+    hashes = word_hashes(data, starts, ends)
+    again = np.ones(len(hashes), bool)
+    again[at[:-1][np.diff(at) > 0]] = False
+    again[1:] &= hashes[1:] == hashes[:-1]
+    again = np.flatnonzero(again)
+    found = [(hashes, at), (np.full(len(again), AGAIN), np.searchsorted(again, at))]
     points = np.frombuffer(data.tobytes().decode(errors="replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
     begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]  # code points before each text
     for n in GRAMS:
@@ -93,7 +102,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", most_la
                     "rows": pa.array([x[0].astype(np.uint32).tobytes() for x in counted], pa.binary()), "counts": pa.array([x[1].astype(np.uint32).tobytes() for x in counted], pa.binary()),
                 })
 
-    rows = texts.mapInArrow(run, "doc_id long, label int, rows binary, counts binary").collect()
+    rows = small_batches(texts).mapInArrow(run, "doc_id long, label int, rows binary, counts binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.rows, r.counts))
     samples = [(np.frombuffer(r.rows, np.uint32), np.frombuffer(r.counts, np.uint32).astype(np.float32), r.label) for r in rows]
     return train(samples, bits, dim, epochs, rate, seed) if samples else (np.zeros(1 << bits, np.float32), 0.0)
@@ -118,4 +127,4 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], text: str = "te
                 p = 1 / (1 + np.exp(-np.clip(mean + bias, -700, 700)))
                 yield with_columns(batch.slice(lo, hi - lo), {"score": pa.array(p), "predicted": pa.array((p >= threshold).astype(np.int32))}, schema.names)
 
-    return documents.mapInArrow(run, schema)
+    return small_batches(documents).mapInArrow(run, schema)
