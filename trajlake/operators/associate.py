@@ -146,14 +146,18 @@ class Tracker:
     def frames(self, rows: pd.DataFrame) -> pd.DataFrame:
         """Step through rows (frame_idx, frame_time, class_id, conf, box); a row without a box is a frame without
         detections. Frames not after the last one are left out."""
+        time, frame = rows.frame_time.to_numpy(float), rows.frame_idx.to_numpy(np.int64)
+        order = np.lexsort((frame, time))
+        time, frame = time[order], frame[order]
+        conf, classes = rows.conf.to_numpy(float)[order], rows.class_id.fillna(0).to_numpy(int)[order]
+        boxes = rows[["x1", "y1", "x2", "y2"]].to_numpy(float)[order]
+        starts = np.flatnonzero(np.append(True, (time[1:] != time[:-1]) | (frame[1:] != frame[:-1]))) if len(order) else np.zeros(0, int)
         out = []
-        rows = rows.sort_values(["frame_time", "frame_idx"], kind="stable")
-        for (time, frame), part in rows.groupby(["frame_time", "frame_idx"], sort=True):
-            if time <= self.last_time:
-                continue
-            part = part[part.conf.notna()]
-            found = self.step(time, part[["x1", "y1", "x2", "y2"]].to_numpy(float), part.conf.to_numpy(float), part.class_id.fillna(0).to_numpy(int))
-            out += [(frame, time, *row) for row in found]
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+            if time[lo] > self.last_time:
+                some = np.arange(lo, hi)[~np.isnan(conf[lo:hi])]
+                found = self.step(float(time[lo]), boxes[some], conf[some], classes[some])
+                out += [(int(frame[lo]), float(time[lo]), *row) for row in found]
         return pd.DataFrame(out, columns=["frame_idx", "frame_time", "track_id", "class_id", "conf", "x1", "y1", "x2", "y2"])
 
 

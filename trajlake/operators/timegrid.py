@@ -76,6 +76,11 @@ def nearest(grid: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("found", found).select(*keys, "t", "found.frame_idx", "found.frame_time")
 
 
+def frame_at(grid: DataFrame, frames: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """columns of the frame that is nearest to each grid time: an image path, or whether it was tracked."""
+    return nearest(grid, frames, keys).join(frames.select(*keys, "frame_idx", *columns), [*keys, "frame_idx"])
+
+
 def bracket(grid: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
     """The tracked frames around each grid time: left (the last one not after t, else the first frame) and right (the first
     one behind left, else the last frame), with `share`, where t lies between them (0 to 1)."""

@@ -181,6 +181,23 @@ def asof_nearest(spark: SparkSession, d: str) -> DataFrame:
     return timegrid.nearest(grid(spark, d), fx.half_frames(spark, d), SEQ)
 
 
+NEAREST = """, fx_near AS (SELECT g.seq_id, g.t, CASE WHEN b.frame_time - g.t < g.t - a.frame_time THEN b.frame_idx ELSE a.frame_idx END AS frame_idx
+FROM fx_grid g ASOF JOIN fx_half_frames a ON g.seq_id = a.seq_id AND g.t >= a.frame_time ASOF LEFT JOIN fx_half_frames b ON g.seq_id = b.seq_id AND g.t <= b.frame_time)
+"""
+
+
+@query("--plain\n" + HALF.rstrip() + NEAREST + "SELECT seq_id, t, '/img/' || lpad(CAST(frame_idx AS VARCHAR), 6, '0') || '.jpg' AS image_path FROM fx_near")
+def image_at_time(spark: SparkSession, d: str) -> DataFrame:
+    frames = fx.half_frames(spark, d).withColumn("image_path", labels.image_path(F.lit("/img"), F.col("frame_idx")))
+    return timegrid.frame_at(grid(spark, d), frames, SEQ, ["image_path"]).select("seq_id", "t", "image_path")
+
+
+@query("--plain\n" + HALF.rstrip() + NEAREST + "SELECT seq_id, t, NOT tracked AS skipped FROM fx_near JOIN fx_half_frames USING (seq_id, frame_idx)")
+def skipped_at_time(spark: SparkSession, d: str) -> DataFrame:
+    found = timegrid.frame_at(grid(spark, d), fx.half_frames(spark, d), SEQ, ["tracked"])
+    return found.select("seq_id", "t", (~F.col("tracked")).alias("skipped"))
+
+
 BRACKET = """, fx_tracked AS (SELECT * FROM fx_half_frames WHERE tracked),
 fx_edge AS (SELECT seq_id, min(frame_time) AS first_time, max(frame_time) AS last_time, min(frame_idx) AS first_idx, max(frame_idx) AS last_idx FROM fx_half_frames GROUP BY seq_id),
 fx_left AS (SELECT g.seq_id, g.t, coalesce(a.frame_idx, first_idx) AS left_idx, coalesce(a.frame_time, first_time) AS left_time, last_idx, last_time FROM fx_grid g JOIN fx_edge USING (seq_id) ASOF LEFT JOIN fx_tracked a ON g.seq_id = a.seq_id AND g.t >= a.frame_time),
@@ -214,9 +231,12 @@ def sample_every_n(spark: SparkSession, d: str) -> DataFrame:
     return timegrid.every_nth(fx.frames(spark, d), SEQ, 5).select(*FRAME)
 
 
-@query(""", fx_walk AS (SELECT seq_id, min(frame_time) AS frame_time FROM fx_frames GROUP BY seq_id
+WALK = """, fx_walk AS (SELECT seq_id, min(frame_time) AS frame_time FROM fx_frames GROUP BY seq_id
   UNION ALL SELECT w.seq_id, (SELECT min(f.frame_time) FROM fx_frames f WHERE f.seq_id = w.seq_id AND f.frame_time - w.frame_time >= 0.199) FROM fx_walk w WHERE w.frame_time IS NOT NULL)
-SELECT seq_id, frame_time FROM fx_walk WHERE frame_time IS NOT NULL""")
+"""
+
+
+@query(WALK + "SELECT seq_id, frame_time FROM fx_walk WHERE frame_time IS NOT NULL")
 def sample_min_interval(spark: SparkSession, d: str) -> DataFrame:
     return timegrid.at_interval(fx.frames(spark, d), SEQ, 0.199)
 
@@ -561,6 +581,27 @@ def neighbor_vectors(spark: SparkSession, d: str) -> DataFrame:
     return sweep.neighbour_vectors(space.select("name", "value"), space.drop("value"), 4.0)
 
 
+@query("""--plain
+WITH g AS (SELECT 'p' || l_partkey % 5 AS name, sum(CAST(round(l_discount*100) AS BIGINT) - 5) AS gain FROM lineitem WHERE CAST(round(l_discount*100) AS BIGINT) > 5 GROUP BY ALL)
+SELECT name, CAST(gain AS BIGINT) AS gain, round(gain/(sum(gain) OVER ()), 6) AS share FROM g""")
+def improvement_shares(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    log_ = rows.select(F.concat(F.lit("p"), (F.col("l_partkey") % 5).cast("string")).alias("name"), (F.round(F.col("l_discount") * 100).cast("long") - 5).alias("delta"))
+    return rounded(sweep.improvement_shares(log_))
+
+
+@query("""--plain
+SELECT CAST(l_suppkey % 10 AS VARCHAR) AS ds_key, l_returnflag AS test_key, arg_max(l_quantity, l_orderkey*1e9 + l_partkey*100 + l_linenumber) AS value FROM (SELECT DISTINCT ON (l_orderkey, l_partkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_partkey, l_linenumber, l_quantity, l_suppkey, l_returnflag) GROUP BY ALL""")
+def latest_results(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    same = Window.partitionBy("l_orderkey", "l_partkey", "l_linenumber").orderBy("l_quantity", "l_suppkey", "l_returnflag")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("n", F.row_number().over(same)).filter("n = 1")
+    stamp = F.col("l_orderkey") * 1e9 + F.col("l_partkey") * 100 + F.col("l_linenumber")
+    results_ = rows.select((F.col("l_suppkey") % 10).cast("string").alias("ds_key"), F.col("l_returnflag").alias("test_key"), F.lit("h").alias("config_hash"), F.lit("mota").alias("metric"), F.col("l_quantity").alias("value"), stamp.alias("computed_at"))
+    return rollup.latest(results_).select("ds_key", "test_key", "value")
+
+
 def _replayed(spark: SparkSession, rows: DataFrame, name: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """rows written as files by time, read as a stream one file at a time, and what the stream wrote."""
     from ..operators.tables import new_path
@@ -583,15 +624,15 @@ def associate_stream(spark: SparkSession, d: str) -> DataFrame:
     return _replayed(spark, rows, "stream", tracks.associate_stream)
 
 
-@query()
+@query("SELECT seq_id, frame_idx, type, oid, hid, round(d, 6) AS d FROM fx_match")
 def online_mot_stream(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming import tracks
 
     gated = pairs.iou_pairs(fx.gt(spark, d), fx.hyp(spark, d), FRAME).withColumn("frame_time", F.col("frame_idx") / fx.RATE)
-    return _replayed(spark, gated, "stream", tracks.matches_stream)
+    return rounded(_replayed(spark, gated, "stream", tracks.matches_stream))
 
 
-@query()
+@query(WALK + "SELECT seq_id, CAST(frame_time * 32 AS BIGINT) AS frame_idx, frame_time FROM fx_walk WHERE frame_time IS NOT NULL")
 def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming import tracks
 
