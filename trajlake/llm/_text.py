@@ -44,7 +44,9 @@ def ranges_hash(x: np.ndarray, start: np.ndarray, end: np.ndarray, kind: str) ->
     """The hash of x[start:end] for each pair."""
     power, inverse = powers(kind, len(x) + 1)
     sums = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(x.astype(np.uint64) * power[: len(x)], out=sums[1:])
+    sums[1:] = x
+    sums[1:] *= power[: len(x)]
+    np.cumsum(sums, out=sums)
     return (sums[end] - sums[start]) * inverse[start]
 
 
@@ -61,7 +63,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows lo:hi with their bytes and offsets, about `most` bytes at a time, a longer text alone: bounds the memory."""
     data, offsets = utf8(column)
     lo, n = 0, len(offsets) - 1
@@ -85,7 +87,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix(ranges_hash(data.astype(np.uint64) + np.uint64(1), starts, ends, "byte"))
+    return mix(ranges_hash(data, starts, ends, "byte") + (ends - starts).astype(np.uint64))
 
 
 def row_of(offsets: np.ndarray) -> np.ndarray:
