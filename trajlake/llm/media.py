@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._schema import extended
+from ._scratch import map_batches
 from ._text import with_columns
 
 #: Fixed values of the PNG format.
@@ -151,7 +152,7 @@ def store_png(df: DataFrame, payload: str = "text", width: int = 64, level: int
 
     from pyspark.sql import types as T
 
-    return df.mapInArrow(encode, T.StructType(schema.fields))
+    return map_batches(df, encode, T.StructType(schema.fields))
 
 
 def read_png(df: DataFrame, media: str = "media") -> DataFrame:
@@ -178,7 +179,7 @@ def read_png(df: DataFrame, media: str = "media") -> DataFrame:
                 columns = zip(*found, strict=True) if found else [[] for _ in names]
                 yield with_columns(batch, {n: pa.array(list(c), k) for n, c, k in zip(names, columns, kinds, strict=True)}, schema.names)
 
-    return df.mapInArrow(decode, schema)
+    return map_batches(df, decode, schema)
 
 
 def text_payloads(documents: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._schema import extended
+from ._scratch import map_batches
 from ._text import mix, pieces, powers, ranges_hash, row_of, windows, with_columns, word_hashes, words
 
 LARGEST = np.uint64(2**64 - 1)
@@ -85,7 +86,7 @@ def repeated_cells(documents: DataFrame, text: str, window: int, gram: int, bits
                 starts, ends, rows = words(data, offsets)
                 new = representatives(word_hashes(data, starts, ends), rows, window, gram)[2]
                 found, size = [*found, new], size + len(new)
-                if size > 1 << 21:
+                if size > 1 << 18:
                     yield from sketch(found)
                     found, size = [], 0
         if size:
@@ -109,8 +110,8 @@ def repeated_cells(documents: DataFrame, text: str, window: int, gram: int, bits
             yield done()
 
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sketches = documents.select(text).mapInArrow(count, "segment int, cells binary, counts binary")
-    merged = sketches.repartition(parts, "segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, bits binary")
+    sketches = map_batches(documents.select(text), count, "segment int, cells binary, counts binary")
+    merged = map_batches(sketches.repartition(parts, "segment").sortWithinPartitions("segment"), merge, "segment int, bits binary")
     planes = np.zeros((2 << (bits - low), 1 << low >> 3), np.uint8)
     for row in merged.toLocalIterator():  # of bounded size: 2 * most_cells bits
         planes[row.segment] = np.frombuffer(row.bits, np.uint8)
@@ -171,13 +172,13 @@ def repeated_ranges(documents: DataFrame, text: str, window: int, gram: int, mos
                     hashes = [mix(ranges_hash(v, begin, begin + window, k)) for v, k in ((values, "one"), (mix(values, 3), "two"))]
                     held.append((*hashes, row + rows_held, begin - at[row], keys[lo:hi], texts[lo:hi]))
                     size, rows_held = size + len(begin), rows_held + hi - lo
-                    if size > 1 << 21:
+                    if size > 1 << 18:
                         yield _questions(*(np.concatenate(x) for x in zip(*held, strict=True)), window)
                         held, size, rows_held = [], 0, 0
         if size:
             yield _questions(*(np.concatenate(x) for x in zip(*held, strict=True)), window)
 
-    asked = documents.select(F.coalesce(F.col("key"), F.lit(-1)).alias("key"), "text_hash", text).mapInArrow(ask, "h1 long, h2 long, key long, text_hash long, place long")
+    asked = map_batches(documents.select(F.coalesce(F.col("key"), F.lit(-1)).alias("key"), "text_hash", text), ask, "h1 long, h2 long, key long, text_hash long, place long")
     counted = asked.withColumn("total", F.sum(F.when(F.col("place") < 0, 2).otherwise(1)).over(Window.partitionBy("h1", "h2"))).filter("total >= 2 AND place <> -1")
     place = F.when(F.col("place") < 0, -2 - F.col("place")).otherwise(F.col("place"))
     return counted.groupBy("key", "text_hash").agg(F.collect_list(place).alias("ranges"))
@@ -215,4 +216,4 @@ def remove_repeats(documents: DataFrame, text: str = "text", key: str = "doc_id"
                     kept.append(b" ".join(found))
                 yield with_columns(batch, {"n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())}, schema.names)
 
-    return joined.mapInArrow(strip, schema)
+    return map_batches(joined, strip, schema)

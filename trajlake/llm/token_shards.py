@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._scratch import cut, drop
+from ._scratch import cut, drop, map_batches
 from ._text import mix
 
 SHARDS = "shard long, first_slot long, n_sequences int, stride int, crc32 long, data binary"
@@ -88,7 +88,7 @@ def pack(df: DataFrame, ids: str = "ids", length: int = 1024, end: int = 2, pad:
         columns = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), pa.array(np.full(n, used, np.int32)), data]
         return pa.RecordBatch.from_arrays(columns, names=["part", "pos", "n_tokens", "tokens"])
 
-    return df.select(ids).mapInArrow(run, "part int, pos long, n_tokens int, tokens binary")
+    return map_batches(df.select(ids), run, "part int, pos long, n_tokens int, tokens binary")
 
 
 def write_shards(df: DataFrame, path: str, key: int = 20240101, ids: str = "ids", length: int = 1024, per_shard: int = 1024, end: int = 2, pad: int = 0) -> int:
@@ -133,8 +133,8 @@ def write_shards(df: DataFrame, path: str, key: int = 20240101, ids: str = "ids"
         if rows:
             yield row()
 
-    placed = sequences.mapInArrow(place, "target int, slot long, tokens binary").repartitionById(parts, "target").sortWithinPartitions("slot")
-    placed.select("slot", "tokens").mapInArrow(shards, SHARDS).write.option("compression", "zstd").parquet(path)
+    placed = map_batches(sequences, place, "target int, slot long, tokens binary").repartitionById(parts, "target").sortWithinPartitions("slot")
+    map_batches(placed.select("slot", "tokens"), shards, SHARDS).write.option("compression", "zstd").parquet(path)
     drop(sequences)
     return n
 
@@ -158,7 +158,7 @@ def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None
                 found = [{"slot": row["first_slot"] + k, "shard": row["shard"], "byte_offset": k * stride, "tokens": data[k * stride : (k + 1) * stride]} for k in range(lo, hi)]
                 yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("slot", pa.int64()), ("shard", pa.int64()), ("byte_offset", pa.int64()), ("tokens", pa.binary())]))
 
-    return table.mapInArrow(cut_up, "slot long, shard long, byte_offset long, tokens binary")
+    return map_batches(table, cut_up, "slot long, shard long, byte_offset long, tokens binary")
 
 
 def export_shards(spark: SparkSession, path: str, folder: str) -> None:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._schema import extended
+from ._scratch import map_batches
 from ._text import utf8, with_columns
 
 SEP, ALPHABET = 256, 257
@@ -130,4 +131,4 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], url: str = "url", defau
             best = pa.array(best)
             yield with_columns(batch, {"rule": labels.take(best), "verdict": outcome.take(best)}, schema.names)
 
-    return wide.mapInArrow(judge, schema)
+    return map_batches(wide, judge, schema)

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._scratch import map_batches
 from ._skew import join_groups
 
 #: Fixed values of the seekable format and of the archive format.
@@ -172,7 +173,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", payloa
         if writer.entries:
             yield closed()
 
-    kinds.select("page_id", "url", "payload", "refers_to", "revisit").mapInArrow(bundle, BUNDLES).write.option("compression", "uncompressed").parquet(path)
+    map_batches(kinds.select("page_id", "url", "payload", "refers_to", "revisit"), bundle, BUNDLES).write.option("compression", "uncompressed").parquet(path)
 
 
 ARROW = pa.schema([("bundle", pa.string()), ("n_records", pa.int64()), ("n_frames", pa.int32()), ("data", pa.binary()), ("entries", pa.list_(pa.struct([("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())])))])
@@ -204,7 +205,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     rows = [parsed(name, k, *x) for x in parse_records(read_frame(archive, k))]
                     yield pa.RecordBatch.from_pylist(rows, schema=RECORD_ARROW)
 
-    return spark.read.schema(BUNDLES).parquet(path).select("bundle", "data").mapInArrow(records, RECORDS)
+    return map_batches(spark.read.schema(BUNDLES).parquet(path).select("bundle", "data"), records, RECORDS)
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
@@ -228,7 +229,7 @@ def fetch(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
                     rows = [parsed(row["bundle"], k, *x) for x in parse_records(read_frame(row["data"], k)) if x[0] in offsets]
                     yield pa.RecordBatch.from_pylist(rows, schema=RECORD_ARROW)
 
-    return found.mapInArrow(records, RECORDS)
+    return map_batches(found, records, RECORDS)
 
 
 def export_bundles(spark: SparkSession, path: str, folder: str) -> None:
