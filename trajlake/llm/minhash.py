@@ -1,11 +1,11 @@
 """MinHash near-duplicates: documents whose sets of word shingles have a similarity of 0.75 or more, and their components.
 
-One hash of each shingle gives a whole signature (one-permutation hashing): its top bits choose a bin, the smallest value of
+One hash of each shingle gives a whole signature of 512 bins (one-permutation hashing): its top bits choose a bin, the smallest value of
 a bin is the bin's entry, and an empty bin takes the entry of the first filled bin in a random order of its own (optimal
-densification). Bands of four bins make buckets. Equal sets are one class from the start. In each bucket only edges to one
+densification). 40 bands of four bins make buckets. Equal sets are one class from the start. In each bucket only edges to one
 centre are made (a star), the class that shares most buckets with others, which in a group of copies is the one nearest to
 all. What the stars leave open, members of one bucket in different components, is compared in blocks by whole signatures,
-and what is left of it exactly. Every link is confirmed on the full sets, so that none is wrong; with 40 bands of 4, one
+first for each class's nearest one, then for all that agree enough, and confirmed as well. Every link is confirmed on the full sets, so that none is wrong; with 40 bands of 4, one
 link of similarity 0.75 in four million has no common bucket, and of 0.8 one in ten thousand million.
 """
 
@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import cut, drop
+from ._scratch import cut, drop, map_batches
 from ._skew import join_groups
 from ._text import lower, mix, pieces, ranges_hash, row_of, windows, word_hashes, words
 
-BANDS, ROWS = 40, 4
-BINS = BANDS * ROWS
+BANDS, ROWS, BINS = 40, 4, 512
+#: Of two similar sets, 0.75 of the 512 entries agree on average, with a deviation of 0.019; under LEAST_AGREEING, 4.5
+#: deviations less, a pair is passed over (one pair of similarity 0.75 in a few hundred thousand would be).
+LEAST_AGREEING = 340
 BLOCK = 256
 
 
@@ -74,7 +76,7 @@ def signatures(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
-    entries = signature.reshape(len(signature), BANDS, ROWS)
+    entries = signature[:, : BANDS * ROWS].reshape(len(signature), BANDS, ROWS)
     keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(signature), 1))
     for r in range(ROWS):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + entries[:, :, r], r)
@@ -108,7 +110,7 @@ def sketch(documents: DataFrame, key: str, text: str, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "d1", "d2", "bands", "signature"])
 
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>, signature binary")
+    return map_batches(rows, run, "doc_id long, n long, d1 long, d2 long, bands array<long>, signature binary")
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str, k: int) -> DataFrame:
@@ -124,7 +126,7 @@ def full_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str, k: i
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column("rep"))[lo:hi][same]), pa.array(np.diff(at)[same]), sets], names=["rep", "n", "hashes"])
 
     rows = documents.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted.select("rep", "d1", "d2"), "rep")
-    return rows.mapInArrow(run, "rep long, n long, hashes binary")
+    return map_batches(rows, run, "rep long, n long, hashes binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -143,33 +145,31 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
-    return both.mapInArrow(run, "a long, b long")
+    return map_batches(both, run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """v and component (its smallest reachable v) of every end of links (a, b).
 
     Alternating large-star and small-star steps; each turns a node's edges to its smallest neighbour, until all edges are
-    stars. Hub nodes are handled by join_groups.
+    stars. Both sides of the join are plain tables, so that Spark splits the partitions of hub nodes.
     """
     edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    count = edges.count()
-    while count:
+    stars = edges.isEmpty()
+    while not stars:
         for step in ("large", "small"):
             both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if step == "large" else edges
-            least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
-            joined = join_groups(both, least.withColumn("m", F.least("u", "m")), ["u"], "size", 2 * count)
+            least = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
+            joined = both.join(least, "u")
             if step == "large":
                 turned = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             else:
                 turned = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
             turned = cut(turned.distinct(), "edges")
-            if step == "small":
-                stars = turned.join(turned.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty()
             drop(edges)
-            edges, count = turned, turned.count()
-        if stars:
-            break
+            drop(least)
+            edges = turned
+        stars = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
     return edges.select(F.col("u").alias("v"), F.col("v").alias("component")).unionByName(edges.select("v", F.col("v").alias("component")).distinct())
 
 
@@ -188,20 +188,21 @@ def close_sizes(percent: int) -> F.Column:
 
 
 def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of which at least half of the signature agrees; at similarity 0.75 that is more than six deviations off."""
+    """Pairs whose signatures agree enough."""
     sides = [reps.select(F.col("rep").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab"]
     both = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) * 2 >= BINS))
+            yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= LEAST_AGREEING))
 
-    return both.mapInArrow(run, "a long, b long")
+    return map_batches(both, run, "a long, b long")
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, total: int, percent: int) -> DataFrame:
-    """Pairs of one bucket that lie in different components, close in size and with half of the signature equal.
+def open_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, total: int, percent: int, best: bool) -> DataFrame:
+    """Pairs of one bucket that lie in different components, are close in size and whose signatures agree enough; with
+    `best` only each member's most agreeing one.
 
     Buckets are dealt out by blocks of BLOCK members, each pair of blocks a group of its own; signatures are compared there
     and only what passes leaves the task.
@@ -209,41 +210,47 @@ def open_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, total: in
     named = members.drop("size").join(labels, members.rep == labels.v, "left").drop("v").withColumn("component", F.coalesce("component", "rep"))
     named = cut(named, "open")
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", "size")
-    rows = join_groups(named, mixed, ["key"], "size", total).join(reps.select("rep", "signature"), "rep")
+    rows = join_groups(named, mixed, ["key"], "size", total).join(reps.select("rep", "signature", "bands"), "rep")
     blocks = F.ceil(F.col("size") / BLOCK)
     own = F.pmod(F.xxhash64("rep"), blocks)
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component", "n", "signature")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component", "n", "signature", "bands", "own")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compare(group: list[tuple]) -> pa.RecordBatch:
+        def compare(key: int, i: int, j: int, group: list[tuple]) -> pa.RecordBatch:
             rep, component, n = (np.array([g[k] for g in group], np.int64) for k in range(3))
             signature = np.frombuffer(b"".join(g[3] for g in group), np.uint8).reshape(-1, BINS)
-            found = []
-            for x in range(len(group) - 1):
-                rest = slice(x + 1, None)
+            bands, own, found = np.array([g[4] for g in group], np.int64), np.array([g[5] for g in group]), []
+            for x in range(len(group)):
+                start = 0 if best else x + 1
+                rest = slice(start, None)
                 fits = (component[rest] != component[x]) & (100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x]))
-                where = np.flatnonzero(fits) + x + 1
-                where = where[(signature[where] == signature[x]).sum(axis=1) * 2 >= BINS]
+                if i != j:  # pairs of one block are compared in that block's own group
+                    fits &= own[rest] != own[x]
+                where = np.flatnonzero(fits) + start
+                agree = (signature[where] == signature[x]).sum(axis=1)
+                where = where[agree >= LEAST_AGREEING] if not best else where[agree.argmax() :][:1] if len(where) and agree.max() >= LEAST_AGREEING else where[:0]
+                # in the first bucket that both are in, so that no pair leaves twice
+                where = [y for y in where if bands[x][(bands[x] == bands[y]).argmax()] == key]
                 found += [(min(rep[x], rep[y]), max(rep[x], rep[y])) for y in where]
             a, b = np.array(found, np.int64).reshape(-1, 2).T
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         now, group = None, []
         for batch in batches:
-            names = [batch.column(c).to_pylist() for c in ("key", "i", "j", "rep", "component", "n", "signature")]
+            names = [batch.column(c).to_pylist() for c in ("key", "i", "j", "rep", "component", "n", "signature", "bands", "own")]
             for key, i, j, *row in zip(*names, strict=True):
                 if (key, i, j) != now:
                     if len(group) > 1:
-                        yield compare(group)
+                        yield compare(*now, group)
                     now, group = (key, i, j), []
                 group.append(row)
         if len(group) > 1:
-            yield compare(group)
+            yield compare(*now, group)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return map_batches(dealt, run, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -267,12 +274,17 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     sets = cut(full_sets(documents, wanted, key, text, k).dropDuplicates(["rep"]), "sets")
     pairs = cut(alike(star_pairs(members, n_members).filter(close_sizes(percent)), reps), "pairs")
     links = cut(confirm(pairs, sets, percent), "links")
-    labels = cut(components(links), "labels")
-    normal = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut(open_pairs(members, labels, reps, n_members, percent).join(normal, ["a", "b"], "left_anti"), "rest")
-    more = cut(confirm(rest, sets, percent), "links")
+    # the star's centre will do as a first label
+    labels = cut(links.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("component")), "labels")
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for best in (True, False):  # first each open class with its nearest one, then all that is still open
+        rest = cut(open_pairs(members, labels, reps, n_members, percent, best).join(tried, ["a", "b"], "left_anti"), "rest")
+        more = cut(confirm(rest, sets, percent), "links")
+        if best or not more.isEmpty():
+            links = links.unionByName(more)
+            labels = cut(components(links), "labels")
+        tried = tried.unionByName(rest)
     drop(sets)
-    labels = cut(components(links.unionByName(more)), "labels") if not more.isEmpty() else labels
     named = reps.select("d1", "d2", "rep", "size").join(labels, F.col("rep") == F.col("v"), "left")
     named = cut(named.select("d1", "d2", F.coalesce("component", "rep").alias("component_id"), "size"), "named")
     plain = rows.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2")
