@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._schema import extended
-from ._scratch import small_batches
+from ._scratch import map_batches
 from ._text import lower, pieces, windows, with_columns, word_hashes, words
 
 GRAMS = (2, 3)
@@ -102,7 +102,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", most_la
                     "rows": pa.array([x[0].astype(np.uint32).tobytes() for x in counted], pa.binary()), "counts": pa.array([x[1].astype(np.uint32).tobytes() for x in counted], pa.binary()),
                 })
 
-    rows = small_batches(texts).mapInArrow(run, "doc_id long, label int, rows binary, counts binary").collect()
+    rows = map_batches(texts, run, "doc_id long, label int, rows binary, counts binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.rows, r.counts))
     samples = [(np.frombuffer(r.rows, np.uint32), np.frombuffer(r.counts, np.uint32).astype(np.float32), r.label) for r in rows]
     return train(samples, bits, dim, epochs, rate, seed) if samples else (np.zeros(1 << bits, np.float32), 0.0)
@@ -127,4 +127,4 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], text: str = "te
                 p = 1 / (1 + np.exp(-np.clip(mean + bias, -700, 700)))
                 yield with_columns(batch.slice(lo, hi - lo), {"score": pa.array(p), "predicted": pa.array((p >= threshold).astype(np.int32))}, schema.names)
 
-    return small_batches(documents).mapInArrow(run, schema)
+    return map_batches(documents, run, schema)
