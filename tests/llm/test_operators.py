@@ -286,7 +286,8 @@ def brute_components(texts):
     return {d: (len(sets[d]), root(d)) for d in texts}
 
 
-def test_near_duplicates_equal_brute_force(spark):
+def test_near_duplicates_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)  # so that buckets are compared in several blocks
     r = random.Random(5)
     base = [f"word{k}" for k in range(160)]
     texts = {0: " ".join(base)}
