@@ -313,6 +313,33 @@ def test_components_of_a_chain(spark):
     assert minhash.components(links.limit(0)).count() == 0
 
 
+def union_find(links):
+    label = {x: x for link in links for x in link}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for link in links:
+        x, y = sorted(map(root, link))
+        label[y] = x
+    return {x: root(x) for x in label}
+
+
+def random_tree(seed, n):
+    r = random.Random(seed)
+    ids = r.sample(range(1000), n)
+    return [(ids[k], ids[r.randrange(k)]) for k in range(1, n)]
+
+
+#: Two centres that share a member which is the smallest of neither, and trees that end after a round with two parents.
+@pytest.mark.parametrize("links", [[(1, 5), (3, 5), (3, 6), (2, 6)], *(random_tree(s, 8) for s in (16, 24, 25)), random_tree(0, 60)])
+def test_components_equal_union_find(spark, links):
+    rows = minhash.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted((r.v, r.component) for r in rows) == sorted(union_find(links).items())
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows = minhash.near_duplicates(odd).collect()
     found = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows)

@@ -169,7 +169,8 @@ def components(links: DataFrame) -> DataFrame:
             drop(edges)
             drop(least)
             edges = turned
-        stars = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+        # not yet while a parent has a parent itself, nor while a node has two
+        stars = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and edges.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo < hi").isEmpty()
     return edges.select(F.col("u").alias("v"), F.col("v").alias("component")).unionByName(edges.select("v", F.col("v").alias("component")).distinct())
 
 
