@@ -306,6 +306,30 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert all(x.kept == (x.doc_id == x.component_id) for x in found)
 
 
+def test_short_near_duplicates_are_not_lost(spark):
+    texts = {}
+    for k in (301, 556, 688, 1121):  # of similarity 0.75, but with fewer than 340 of 512 signature entries in common
+        words = [f"w{k}x{i}" for i in range(8)]
+        texts |= {2 * k: " ".join(words[:7]), 2 * k + 1: " ".join(words)}
+    found = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == brute_components(texts)
+
+
+def test_joining_equals_brute_force(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 40)).astype(np.uint64)) for _ in range(50)]
+    sets += [np.delete(x, 0) for x in sets if len(x) > 1]
+    rows = [(k, k % 37, x.tobytes()) for k, x in enumerate(sets)]
+    for left, right in ((rows, None), (rows[:30], rows[30:]), (rows[:1], rows[1:2])):
+        every = [(a, b) for a in left for b in right or left if a[1] != b[1] and minhash.similar(sets[a[0]], sets[b[0]], 75)]
+        names = {x[0]: x[1] for x in [*left, *(right or [])]}
+        found = minhash.joining(left, right, 75)
+        assert set(found) <= {(a[0], b[0]) for a, b in every}
+        assert union_find([(names[a], names[b]) for a, b in found]) == union_find([(a[1], b[1]) for a, b in every])
+        assert len(found) < len(set(names.values()))
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(0, 60)] + [(100, 102), (101, 102), (7, 7)], "a long, b long")
     found = {r.v: r.component for r in minhash.components(links).collect()}

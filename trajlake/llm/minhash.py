@@ -4,9 +4,9 @@ One hash of each shingle gives a whole signature of 512 bins (one-permutation ha
 a bin is the bin's entry, and an empty bin takes the entry of the first filled bin in a random order of its own (optimal
 densification). 40 bands of four bins make buckets. Equal sets are one class from the start. In each bucket only edges to one
 centre are made (a star), the class that shares most buckets with others, which in a group of copies is the one nearest to
-all. What the stars leave open, members of one bucket in different components, is compared in blocks by whole signatures,
-first for each class's nearest one, then for all that agree enough, and confirmed as well. Every link is confirmed on the full sets, so that none is wrong; with 40 bands of 4, one
-link of similarity 0.75 in four million has no common bucket, and of 0.8 one in ten thousand million.
+all. What the stars leave open, members of one bucket in different components, is compared in blocks by full sets, every
+pair. Every link is confirmed on the full sets, so that none is wrong; with 40 bands of 4, one link of similarity 0.75 in
+four million has no common bucket, and of 0.8 one in ten thousand million.
 """
 
 from __future__ import annotations
@@ -23,10 +23,9 @@ from ._skew import join_groups
 from ._text import lower, mix, pieces, ranges_hash, row_of, windows, word_hashes, words
 
 BANDS, ROWS, BINS = 40, 4, 512
-#: Of two similar sets, 0.75 of the 512 entries agree on average, with a deviation of 0.019; under LEAST_AGREEING, 4.5
-#: deviations less, a pair is passed over (one pair of similarity 0.75 in a few hundred thousand would be).
+#: Pairs of a star with fewer of the 512 entries in common are not confirmed on their own, but left to open_links().
 LEAST_AGREEING = 340
-BLOCK = 256
+BLOCK, COLUMNS = 256, 8192
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +188,7 @@ def close_sizes(percent: int) -> F.Column:
 
 
 def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree enough."""
+    """Pairs whose signatures agree enough to be confirmed ahead of the others."""
     sides = [reps.select(F.col("rep").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab"]
     both = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb")
 
@@ -201,47 +200,77 @@ def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return map_batches(both, run, "a long, b long")
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, total: int, percent: int, best: bool) -> DataFrame:
-    """Pairs of one bucket that lie in different components, are close in size and whose signatures agree enough; with
-    `best` only each member's most agreeing one.
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets have in common: products of 0-1 matrices, over COLUMNS values at a time."""
+    sets = left + right
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1  # values of one set alone count nowhere
+    row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        part = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[row[part], column[part] - lo] = 1
+        out += held[: len(left)] @ held[len(left) :].T
+    return out.astype(np.int64)
+
+
+def joining(left: list[tuple], right: list[tuple] | None, percent: int) -> list[tuple[int, int]]:
+    """Links between different components among all pairs (rep, component, set) of left and right, or of left alone: as
+    many as join what is similar, none that closes a circle."""
+    other = left if right is None else right
+    sets = [[np.frombuffer(x[2], np.uint64) for x in side] for side in (left, other)]
+    n, m = (np.array([len(x) for x in side]) for side in sets)
+    common = common_counts(*sets)
+    mine, theirs = (np.array([x[1] for x in side], np.int64) for side in (left, other))
+    fits = (100 * common >= percent * (n[:, None] + m - common)) & (mine[:, None] != theirs)
+    above, out = {}, []
+
+    def root(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
+    for i, j in np.argwhere(fits).tolist():
+        a, b = root(left[i][1]), root(other[j][1])
+        if a != b:
+            above[a] = b
+            out.append((left[i][0], other[j][0]))
+    return out
+
+
+def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, total: int, percent: int) -> DataFrame:
+    """Links between members of one bucket that lie in different components; every such pair is compared by its full sets.
 
-    Buckets are dealt out by blocks of BLOCK members, each pair of blocks a group of its own; signatures are compared there
-    and only what passes leaves the task.
+    Buckets are dealt out by blocks of BLOCK members, each pair of blocks a group of its own, and only what joins two
+    components leaves the task. Of buckets with the same members one is enough.
     """
     named = members.drop("size").join(labels, members.rep == labels.v, "left").drop("v").withColumn("component", F.coalesce("component", "rep"))
     named = cut(named, "open")
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", "size")
-    rows = join_groups(named, mixed, ["key"], "size", total).join(reps.select("rep", "signature", "bands"), "rep")
+    marks = [F.bit_xor(F.xxhash64("rep", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.min("n").alias("n"), F.max("n").alias("m"), *marks)
+    mixed = mixed.filter((F.col("lo") != F.col("hi")) & ((F.col("size") > 2) | close_sizes(percent))).groupBy("size", "x1", "x2").agg(F.min("key").alias("key")).select("key", "size")
+    rows = join_groups(named, cut(mixed, "mixed"), ["key"], "size", total).join(sets.select("rep", "hashes"), "rep")
     blocks = F.ceil(F.col("size") / BLOCK)
     own = F.pmod(F.xxhash64("rep"), blocks)
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component", "n", "signature", "bands", "own")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component", "hashes", "own")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compare(key: int, i: int, j: int, group: list[tuple]) -> pa.RecordBatch:
-            rep, component, n = (np.array([g[k] for g in group], np.int64) for k in range(3))
-            signature = np.frombuffer(b"".join(g[3] for g in group), np.uint8).reshape(-1, BINS)
-            bands, own, found = np.array([g[4] for g in group], np.int64), np.array([g[5] for g in group]), []
-            for x in range(len(group)):
-                start = 0 if best else x + 1
-                rest = slice(start, None)
-                fits = (component[rest] != component[x]) & (100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x]))
-                if i != j:  # pairs of one block are compared in that block's own group
-                    fits &= own[rest] != own[x]
-                where = np.flatnonzero(fits) + start
-                agree = (signature[where] == signature[x]).sum(axis=1)
-                where = where[agree >= LEAST_AGREEING] if not best else where[agree.argmax() :][:1] if len(where) and agree.max() >= LEAST_AGREEING else where[:0]
-                # in the first bucket that both are in, so that no pair leaves twice
-                where = [y for y in where if bands[x][(bands[x] == bands[y]).argmax()] == key]
-                found += [(min(rep[x], rep[y]), max(rep[x], rep[y])) for y in where]
-            a, b = np.array(found, np.int64).reshape(-1, 2).T
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            left = [g[:3] for g in group if g[3] == i]
+            right = None if i == j else [g[:3] for g in group if g[3] == j]
+            a, b = np.array(joining(left, right, percent) if left and right != [] else [], np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         now, group = None, []
         for batch in batches:
-            names = [batch.column(c).to_pylist() for c in ("key", "i", "j", "rep", "component", "n", "signature", "bands", "own")]
+            names = [batch.column(c).to_pylist() for c in ("key", "i", "j", "rep", "component", "hashes", "own")]
             for key, i, j, *row in zip(*names, strict=True):
                 if (key, i, j) != now:
                     if len(group) > 1:
@@ -275,16 +304,10 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     sets = cut(full_sets(documents, wanted, key, text, k).dropDuplicates(["rep"]), "sets")
     pairs = cut(alike(star_pairs(members, n_members).filter(close_sizes(percent)), reps), "pairs")
     links = cut(confirm(pairs, sets, percent), "links")
-    # the star's centre will do as a first label
-    labels = cut(links.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("component")), "labels")
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for best in (True, False):  # first each open class with its nearest one, then all that is still open
-        rest = cut(open_pairs(members, labels, reps, n_members, percent, best).join(tried, ["a", "b"], "left_anti"), "rest")
-        more = cut(confirm(rest, sets, percent), "links")
-        if best or not more.isEmpty():
-            links = links.unionByName(more)
-            labels = cut(components(links), "labels")
-        tried = tried.unionByName(rest)
+    labels = cut(components(links), "labels")
+    more = cut(open_links(members, labels, sets, n_members, percent), "links")
+    if not more.isEmpty():
+        labels = cut(components(links.unionByName(more)), "labels")
     drop(sets)
     named = reps.select("d1", "d2", "rep", "size").join(labels, F.col("rep") == F.col("v"), "left")
     named = cut(named.select("d1", "d2", F.coalesce("component", "rep").alias("component_id"), "size"), "named")
