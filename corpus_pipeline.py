@@ -35,8 +35,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids."""
-    return sentencepiece.encode(docs.select("doc_id", "source", "text")).select("doc_id", "source", "n_tokens", "ids")
+    """doc_id, source, n_tokens, ids, and slot and place of the mixing: files keep no order of rows, so it is in columns.
+    They are worked out again here, being a function of doc_id, source and the counts."""
+    placed = mixing.mix(docs.select("doc_id", "source", "text")).drop("block")
+    return sentencepiece.encode(placed).select("doc_id", "source", "n_tokens", "ids", "slot", "place")
 
 
 STAGES = [

@@ -4,7 +4,7 @@ import zlib
 import pytest
 
 from tests.compare import duck, rows_of, rows_of_sql
-from trajlake.llm import queries
+from trajlake.llm import mixing, queries
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLE))
@@ -75,3 +75,19 @@ def test_pipeline(spark, sf_dir):
         assert 0 < n <= docs.count() and (n == docs.count() or name in ("quality classifier", "near-duplicates"))
         docs = out
     assert rows_of(corpus_pipeline.run(spark, sf_dir).select("doc_id", "n_tokens")) == rows_of(docs.select("doc_id", "n_tokens"))
+
+
+def test_pipeline_gives_the_mixing(spark, tmp_path):
+    import corpus_pipeline
+
+    sizes = {"a": 40 * 64, "b": 10 * 64}  # parts by the square roots: 667 and 333 of 1000 slots
+    rows = [(k, f"text {k}", "en", s, 6) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    kept = corpus_pipeline.mixed(spark, docs, "")
+    kept.write.parquet(f"{tmp_path}/m")
+    out = corpus_pipeline.encoded(spark, spark.read.parquet(f"{tmp_path}/m"), "").collect()
+    again = {r.doc_id: (r.slot, r.place) for r in mixing.mix(docs).collect()}
+    assert {r.doc_id: (r.slot, r.place) for r in out} == again and len(set(again.values())) == len(rows)
+    for n in range(1, 31):  # both sources have blocks left
+        prefix = [r.source for r in out if r.slot < n]
+        assert abs(prefix.count("a") / 64 - n * 0.667) <= 1 and abs(prefix.count("b") / 64 - n * 0.333) <= 1
