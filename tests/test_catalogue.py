@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import duck, rows_of, rows_of_sql
 from trajlake.plans import catalogue
@@ -38,3 +39,9 @@ def test_sweep_scores_every_candidate(spark, sf_dir):
     found = {r.candidate: r.fitness for r in catalogue.sweep_best(spark, sf_dir).collect()}
     assert set(found) == {"default", "strict", "loose"}
     assert all(-5 < f <= 1 for f in found.values())
+
+
+def test_lookups_go_on_after_1000_seconds(spark, tmp_path):
+    spark.createDataFrame([(8 * k, 1) for k in (0, 30_000, 40_000)], "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = catalogue.asof_backward(spark, str(tmp_path)).groupBy("frame_idx").agg(F.count("*"), F.max("t")).collect()
+    assert {tuple(r) for r in rows} == {(0, 60_000, 60_000 / 64 - 1 / 64), (30_000, 20_000, 1250 - 1 / 64)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.geometry import lerp
@@ -55,12 +55,17 @@ def _merged(grid: DataFrame, frames: DataFrame, keys: list[str], usable: Column)
     return points.unionByName(marks)
 
 
+def _ahead(keys: list[str]) -> WindowSpec:
+    """This row and all behind it, nearest last: a frame that starts at each row anew would take the square of the rows."""
+    return Window.partitionBy(*keys).orderBy(F.col("at").desc(), F.col("side").desc()).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def asof(grid: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
     """For each grid time the last frame before t + 1e-7 (else the first): frame_idx and frame_time, by one sort and one
     shuffle of both sides."""
     back = Window.partitionBy(*keys).orderBy("at", "side")
     every = _merged(grid, frames, keys, F.lit(True))
-    found = F.coalesce(F.last("frame", True).over(back.rowsBetween(Window.unboundedPreceding, 0)), F.first("frame", True).over(back.rowsBetween(0, Window.unboundedFollowing)))
+    found = F.coalesce(F.last("frame", True).over(back.rowsBetween(Window.unboundedPreceding, 0)), F.last("frame", True).over(_ahead(keys)))
     return every.withColumn("found", found).filter("side = 1").select(*keys, "t", "found.frame_idx", "found.frame_time")
 
 
@@ -68,7 +73,7 @@ def nearest(grid: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
     """For each grid time the nearest frame; of two the earlier."""
     back = Window.partitionBy(*keys).orderBy("at", "side")
     every = _merged(grid, frames, keys, F.lit(True))
-    after = F.first("frame", True).over(back.rowsBetween(0, Window.unboundedFollowing))
+    after = F.last("frame", True).over(_ahead(keys))
     before = F.coalesce(F.last("frame", True).over(back.rowsBetween(Window.unboundedPreceding, 0)), after)
     closer = F.abs(F.col("after.frame_time") - F.col("t")) < F.abs(F.col("before.frame_time") - F.col("t"))
     both = every.withColumns({"before": before, "after": after}).filter("side = 1")
@@ -91,7 +96,7 @@ def bracket(grid: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
     edges = {"first_frame": F.min("frame").over(whole), "last_frame": F.max("frame").over(whole)}
     both = every.withColumns(edges).withColumns({
         "left": F.coalesce(F.last(seen, True).over(back.rowsBetween(Window.unboundedPreceding, 0)), F.col("first_frame")),
-        "right": F.first(seen, True).over(back.rowsBetween(0, Window.unboundedFollowing)),
+        "right": F.last(seen, True).over(_ahead(keys)),
     }).filter("side = 1")
     behind = F.when(F.col("right.frame_idx") > F.col("left.frame_idx"), F.col("right"))
     both = both.withColumn("right", F.coalesce(behind, F.col("last_frame")))
