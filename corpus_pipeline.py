@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlake.llm import minhash, mixing, quality, sentencepiece, substring_dedup
-from trajlake.llm._scratch import cut
+from trajlake.operators.tables import kept
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -56,5 +56,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), "stage")
+        docs = kept(stage(spark, docs, sf_dir), "stage")
     return STAGES[-1][1](spark, docs, sf_dir)
