@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trajlake.llm import fingerprint, media, minhash, mixing, quality, sentencepiece, substring_dedup, token_shards, url_filter, warc
 from trajlake.llm._skew import join_groups
+from trajlake.operators.components import components
 
 DOCS = "doc_id long, text string, n_words string, score string"
 #: Nulls in every column, empty and blank texts, repeated rows, a very long text, columns called like results.
@@ -207,6 +208,28 @@ def test_repeats_in_odd_rows(odd, none):
     assert kept[4, ODD[4][1]] == (6, 6) and kept[5, ODD[6][1]] == (6, 0) and kept[6, ODD[7][1]] == (60_000, 60_000) and kept[1, None] == (0, 0)
 
 
+def morse(flip):
+    """Two words that collide in every polynomial with an odd base modulo 2**64."""
+    return "".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(1024))
+
+
+def test_words_of_a_pattern_are_told_apart(spark):
+    words = [f"w{k}" for k in range(34)]
+    texts = [" ".join([*words[:20], morse(f), *words[20:]]) for f in (0, 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_repeats(df).collect()] == [0, 0]
+    short = spark.createDataFrame(list(enumerate([f"a b {morse(f)} c d" for f in (0, 1)])), "doc_id long, text string")
+    assert sorted(r.component_id for r in minhash.near_duplicates(short).collect()) == [0, 1]
+    assert all(r.decoded == r.text for r in sentencepiece.decode(sentencepiece.encode(df)).collect())
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(sentencepiece, "word_hashes", lambda data, starts, ends, seed: [np.zeros(len(starts), np.uint64)])
+    own = sentencepiece.Pieces(sentencepiece.read_model(sentencepiece.DEFAULT_MODEL)[0])
+    texts = ["some words and some more words", "and others"]
+    assert own.decode(*own.encode(texts)) == texts
+
+
 # --- mixing
 
 
@@ -308,11 +331,21 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
 
 def test_short_near_duplicates_are_not_lost(spark):
     texts = {}
-    for k in (301, 556, 688, 1121):  # of similarity 0.75, but with fewer than 340 of 512 signature entries in common
+    for k in range(1500):  # of similarity exactly 0.75: four shingles and three of them
         words = [f"w{k}x{i}" for i in range(8)]
         texts |= {2 * k: " ".join(words[:7]), 2 * k + 1: " ".join(words)}
     found = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
-    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == brute_components(texts)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == {d: (4 if d % 2 else 3, d // 2 * 2) for d in texts}
+
+
+def test_every_size_has_a_common_bucket():
+    """Pairs of similarity 0.75 with 4 to 400 shingles in the union: the bands alone, before any comparison."""
+    r = np.random.default_rng(8)
+    for union, tries in ((4, 4000), (8, 2000), (20, 1000), (100, 400), (400, 200)):
+        both = r.integers(0, 2**64, (tries, union), dtype=np.uint64)
+        sides = [[np.sort(x[: union * m // 8]) for x in both] for m in (8, 6)]
+        keys = [minhash.band_keys(minhash.signatures(np.concatenate(x), np.concatenate([[0], np.cumsum([len(y) for y in x])]))) for x in sides]
+        assert (keys[0] == keys[1]).any(axis=1).all(), union
 
 
 def test_joining_equals_brute_force(monkeypatch):
@@ -321,6 +354,7 @@ def test_joining_equals_brute_force(monkeypatch):
     sets = [np.unique(r.integers(0, 60, r.integers(1, 40)).astype(np.uint64)) for _ in range(50)]
     sets += [np.delete(x, 0) for x in sets if len(x) > 1]
     rows = [(k, k % 37, x.tobytes()) for k, x in enumerate(sets)]
+    assert len(rows) > 90
     for left, right in ((rows, None), (rows[:30], rows[30:]), (rows[:1], rows[1:2])):
         every = [(a, b) for a in left for b in right or left if a[1] != b[1] and minhash.similar(sets[a[0]], sets[b[0]], 75)]
         names = {x[0]: x[1] for x in [*left, *(right or [])]}
@@ -332,9 +366,9 @@ def test_joining_equals_brute_force(monkeypatch):
 
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(0, 60)] + [(100, 102), (101, 102), (7, 7)], "a long, b long")
-    found = {r.v: r.component for r in minhash.components(links).collect()}
+    found = {r.v: r.component for r in components(links).collect()}
     assert found == {k: 0 for k in range(61)} | {100: 100, 101: 100, 102: 100}
-    assert minhash.components(links.limit(0)).count() == 0
+    assert components(links.limit(0)).count() == 0
 
 
 def union_find(links):
@@ -360,7 +394,7 @@ def random_tree(seed, n):
 #: Two centres that share a member which is the smallest of neither, and trees that end after a round with two parents.
 @pytest.mark.parametrize("links", [[(1, 5), (3, 5), (3, 6), (2, 6)], *(random_tree(s, 8) for s in (16, 24, 25)), random_tree(0, 60)])
 def test_components_equal_union_find(spark, links):
-    rows = minhash.components(spark.createDataFrame(links, "a long, b long")).collect()
+    rows = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert sorted((r.v, r.component) for r in rows) == sorted(union_find(links).items())
 
 

@@ -1,11 +1,9 @@
-"""Intermediate tables in the folder that the cluster shares."""
+"""Reading tables, and Arrow batches for Python workers."""
 
 from __future__ import annotations
 
 import ctypes
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,35 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a new local one only where that is unset, as in tests."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-trajlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/trajlake-{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write df as Parquet and read it back: its lineage ends there, and a lost executor costs a re-read."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._trajlake_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table made by cut() once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._trajlake_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,7 +1,8 @@
-"""Whole-batch text work in numpy: words and rolling hashes straight from Arrow's UTF-8 buffers.
+"""Whole-batch text work in numpy: words and hashes straight from Arrow's UTF-8 buffers.
 
-Hashes are polynomials modulo 2**64 with an odd base. The prefix sums S[i] = sum(x[t] * B**t, t < i) give the hash of any
-range as (S[end] - S[start]) * B**-start, so that all words, or all windows of words, cost a few array operations.
+A word's hash is the sum of its scrambled chunks of eight bytes, each crossed with a scramble of its place; the hash of a
+run of words is built by doubling (two halves of 2**j words are scrambled into one). No step is linear, so that no pattern
+of bytes or words cancels out. Two seeds give two hashes that have nothing in common but the input: 128 bits.
 """
 
 from __future__ import annotations
@@ -15,23 +16,6 @@ import pyarrow as pa
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_BASE = {"byte": 0x9E3779B97F4A7C15, "one": 0xC2B2AE3D27D4EB4F, "two": 0x165667B19E3779F9}
-_powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**0 .. B**(n-1) and their inverses modulo 2**64."""
-    if kind not in _powers or len(_powers[kind][0]) < n:
-        size = max(n, 1 << 16)
-        out = []
-        for base in (_BASE[kind], pow(_BASE[kind], -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _powers[kind] = tuple(out)
-    return _powers[kind]
-
-
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective scramble of 64-bit values (two multiply and xor-shift rounds)."""
     x = x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))
@@ -40,14 +24,33 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def ranges_hash(x: np.ndarray, start: np.ndarray, end: np.ndarray, kind: str) -> np.ndarray:
-    """The hash of x[start:end] for each pair."""
-    power, inverse = powers(kind, len(x) + 1)
-    sums = np.zeros(len(x) + 1, np.uint64)
-    sums[1:] = x
-    sums[1:] *= power[: len(x)]
-    np.cumsum(sums, out=sums)
-    return (sums[end] - sums[start]) * inverse[start]
+def joined(left: np.ndarray, right: np.ndarray, seed: int) -> np.ndarray:
+    """One hash of two, in this order."""
+    return mix(left * np.uint64(0x9FB21C651E98DF25) + right, seed)
+
+
+def runs_hash(values: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """The hash of values[i:i + k] for each i from 0 to len(values) - k."""
+    out, have, span, power = None, 0, 1, values
+    while True:
+        if k & span:
+            n = len(values) - have - span + 1
+            out = power[:n] if out is None else joined(out[:n], power[have : have + n], seed + 1)
+            have += span
+        span *= 2
+        if span > k:
+            return out
+        power = joined(power[: -(span // 2)], power[span // 2 :], seed)
+
+
+def short_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """The hash of values[start:end] for each pair: for a few values each."""
+    n = ends - starts
+    out = mix(n.astype(np.uint64), seed)
+    for i in range(int(n.max(initial=0))):
+        more = np.flatnonzero(n > i)
+        out[more] = joined(out[more], values[starts[more] + i], seed)
+    return out
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +89,27 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix(ranges_hash(data, starts, ends, "byte") + (ends - starts).astype(np.uint64))
+def chunks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every word's chunks of eight bytes, the last filled up with zeros; the place of each in its word; each word's first."""
+    n = (ends - starts + 7) >> 3
+    first = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(first, n)
+    at = np.repeat(starts, n) + 8 * place
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    values = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))[at]
+    left = np.repeat(ends, n) - at
+    last = np.flatnonzero(left < 8)
+    values[last] &= (np.uint64(1) << (8 * left[last]).astype(np.uint64)) - np.uint64(1)
+    return values, place, first
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *seeds: int) -> list[np.ndarray]:
+    """For each seed, the hashes of the words data[start:end], none of them empty."""
+    if not len(starts):
+        return [np.zeros(0, np.uint64) for _ in seeds]
+    values, place, first = chunks(data, starts, ends)
+    place, lengths = place.astype(np.uint64), (ends - starts).astype(np.uint64)
+    return [mix(np.add.reduceat(mix(values ^ mix(place, seed), seed + 1), first) + lengths, seed) for seed in seeds]
 
 
 def row_of(offsets: np.ndarray) -> np.ndarray:
@@ -95,13 +117,16 @@ def row_of(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
 
-def windows(values: np.ndarray, offsets: np.ndarray, k: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+def window_starts(offsets: np.ndarray, k: int) -> np.ndarray:
+    """Starts of all runs of k values within a row."""
+    starts = np.arange(max(0, int(offsets[-1]) - k + 1))
+    return starts[starts + k <= np.repeat(offsets[1:], np.diff(offsets))[: len(starts)]]
+
+
+def windows(values: np.ndarray, offsets: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of all runs of k values within a row, and their hashes."""
-    if len(values) < k:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    starts = np.arange(len(values) - k + 1)
-    starts = starts[starts + k <= np.repeat(offsets[1:], np.diff(offsets))[: len(starts)]]
-    return starts, mix(ranges_hash(values, starts, starts + k, kind))
+    starts = window_starts(offsets, k)
+    return starts, runs_hash(values, k, seed)[starts] if len(starts) else np.zeros(0, np.uint64)
 
 
 def lower(data: np.ndarray) -> np.ndarray:

@@ -1,12 +1,13 @@
 """MinHash near-duplicates: documents whose sets of word shingles have a similarity of 0.75 or more, and their components.
 
-One hash of each shingle gives a whole signature of 512 bins (one-permutation hashing): its top bits choose a bin, the smallest value of
+One hash of each shingle gives a whole signature of 300 bins (one-permutation hashing): its top bits choose a bin, the smallest value of
 a bin is the bin's entry, and an empty bin takes the entry of the first filled bin in a random order of its own (optimal
-densification). 40 bands of four bins make buckets. Equal sets are one class from the start. In each bucket only edges to one
-centre are made (a star), the class that shares most buckets with others, which in a group of copies is the one nearest to
-all. What the stars leave open, members of one bucket in different components, is compared in blocks by full sets, every
-pair. Every link is confirmed on the full sets, so that none is wrong; with 40 bands of 4, one link of similarity 0.75 in
-four million has no common bucket, and of 0.8 one in ten thousand million.
+densification). 60 bands of five bins make buckets. Equal sets are one class from the start, and of buckets with the same
+classes one is enough. In a bucket of two or three classes every pair is a candidate; in a larger one only edges to one centre
+(a star), the class that shares most buckets with others, which in a group of copies is the one nearest to all. What the
+stars leave open, classes of one bucket in different components, is compared in blocks, every pair. All candidates are
+compared by their full sets: no signature decides. One link of similarity 0.75 in eleven million has no common bucket, and of
+0.8 one in twenty thousand million.
 """
 
 from __future__ import annotations
@@ -18,31 +19,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import cut, drop, map_batches
+from ..operators.components import components
+from ..operators.tables import drop, kept
+from ._scratch import map_batches
 from ._skew import join_groups
-from ._text import lower, mix, pieces, ranges_hash, row_of, windows, word_hashes, words
+from ._text import lower, mix, pieces, row_of, short_hash, windows, word_hashes, words
 
-BANDS, ROWS, BINS = 40, 4, 512
-#: Pairs of a star with fewer of the 512 entries in common are not confirmed on their own, but left to open_links().
-LEAST_AGREEING = 340
-BLOCK, COLUMNS = 256, 8192
+BANDS, ROWS = 60, 5
+BINS = BANDS * ROWS
+#: Most classes and shingles that a block of a bucket holds on average, and values compared at a time.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1 << 19, 8192
+#: Parts that the pairs of one centre are dealt into.
+SALTS = 1024
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each text in ascending order, and the texts' offsets in them."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text in ascending order, a second hash of each, and the texts' offsets in them."""
     data = lower(data)
     starts, ends, at = words(data, offsets)
-    values = word_hashes(data, starts, ends)
-    begin, hashes = windows(values, at, k, "one")
     short = np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < k))
-    whole = mix(ranges_hash(values, at[short], at[short + 1], "one"), 21) if len(short) else hashes[:0]
+    found = []
+    for seed, values in zip((1, 2), word_hashes(data, starts, ends, 11, 12), strict=True):
+        begin, hashes = windows(values, at, k, seed)
+        found.append(np.concatenate([hashes, short_hash(values, at[short], at[short + 1], seed)]))
     row = np.concatenate([row_of(at)[begin], short])
-    hashes = np.concatenate([hashes, whole])
-    order = np.lexsort((hashes, row))
-    row, hashes = row[order], hashes[order]
+    order = np.lexsort((found[0], row))
+    row, hashes, second = row[order], found[0][order], found[1][order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
-    return hashes[new], np.searchsorted(row[new], np.arange(len(offsets)))
+    return hashes[new], second[new], np.searchsorted(row[new], np.arange(len(offsets)))
 
 
 def _orders() -> np.ndarray:
@@ -82,34 +87,29 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return keys
 
 
-def set_digest(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of a set, whatever its order: two sums of scrambled hashes."""
+def set_digest(hashes: np.ndarray, second: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of a set, whatever its order: sums of the two scrambled hashes of its shingles."""
     out = []
-    for seed in (41, 42):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes, seed))])
+    for values, seed in ((hashes, 41), (second, 42)):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(values, seed))])
         out.append((sums[at[1:]] - sums[at[:-1]]).view(np.int64))
     return out[0], out[1]
 
 
-def binaries(rows: np.ndarray, width: int) -> pa.Array:
-    n = len(rows)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * width), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
-
-
 def sketch(documents: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """doc_id, n (size of the set), d1, d2 (its digest), bands and signature (a byte of each entry) of every row."""
+    """doc_id, n (size of the set), d1, d2 (its digest) and bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in pieces(batch.column("text")):
-                hashes, at = shingle_sets(data, offsets, k)
-                signature, (d1, d2) = signatures(hashes, at), set_digest(hashes, at)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS), pa.array(band_keys(signature).view(np.int64).ravel()))
-                columns = [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(d1), pa.array(d2), bands, binaries((signature & np.uint64(255)).astype(np.uint8), BINS)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "d1", "d2", "bands", "signature"])
+                hashes, second, at = shingle_sets(data, offsets, k)
+                d1, d2 = set_digest(hashes, second, at)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS), pa.array(band_keys(signatures(hashes, at)).view(np.int64).ravel()))
+                columns = [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(d1), pa.array(d2), bands]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "d1", "d2", "bands"])
 
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_batches(rows, run, "doc_id long, n long, d1 long, d2 long, bands array<long>, signature binary")
+    return map_batches(rows, run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str, k: int) -> DataFrame:
@@ -118,8 +118,8 @@ def full_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str, k: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in pieces(batch.column("text")):
-                hashes, at = shingle_sets(data, offsets, k)
-                d1, d2 = set_digest(hashes, at)
+                hashes, second, at = shingle_sets(data, offsets, k)
+                d1, d2 = set_digest(hashes, second, at)
                 same = np.flatnonzero((d1 == np.asarray(batch.column("d1"))[lo:hi]) & (d2 == np.asarray(batch.column("d2"))[lo:hi]))
                 sets = pa.array([hashes[at[i] : at[i + 1]].tobytes() for i in same], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column("rep"))[lo:hi][same]), pa.array(np.diff(at)[same]), sets], names=["rep", "n", "hashes"])
@@ -134,9 +134,12 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. Both joins are of plain tables, so that a frequent class is split."""
-    left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("set_a")), "a")
-    both = left.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+    """The pairs (a, b) whose full sets are similar. No a has more than a few pairs for each band; those of one b are dealt
+    into SALTS parts."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+    left = salted.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("set_a")), "a")
+    right = salted.select("b", "salt").distinct().join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("set_b")), "b")
+    both = left.join(right, ["b", "salt"]).select("a", "b", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,57 +150,38 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(both, run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """v and component (its smallest reachable v) of every end of links (a, b).
-
-    Alternating large-star and small-star steps; each turns a node's edges to its smallest neighbour, until all edges are
-    stars. Both sides of the join are plain tables, so that Spark splits the partitions of hub nodes.
-    """
-    edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    stars = edges.isEmpty()
-    while not stars:
-        for step in ("large", "small"):
-            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if step == "large" else edges
-            least = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
-            joined = both.join(least, "u")
-            if step == "large":
-                turned = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            else:
-                turned = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-            turned = cut(turned.distinct(), "edges")
-            drop(edges)
-            drop(least)
-            edges = turned
-        # not yet while a parent has a parent itself, nor while a node has two
-        stars = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and edges.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo < hi").isEmpty()
-    return edges.select(F.col("u").alias("v"), F.col("v").alias("component")).unionByName(edges.select("v", F.col("v").alias("component")).distinct())
-
-
-def star_pairs(members: DataFrame, total: int) -> DataFrame:
-    """Pairs (a, b) of classes: in each bucket, every member with the one that shares most buckets with others."""
-    degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
-    ranked = members.join(degree, "rep")
-    best = ranked.groupBy("key").agg(F.max(F.struct("degree", F.xxhash64("rep").alias("h"), "rep", "n")).alias("best"), F.count("*").alias("members"))
-    centres = best.select("key", "members", F.col("best.rep").alias("b"), F.col("best.n").alias("m"))
-    joined = join_groups(members.select("key", F.col("rep").alias("a"), "n"), centres, ["key"], "members", total)
-    return joined.filter("a <> b").select("a", "b", "n", "m").distinct()
+def distinct_buckets(keys: DataFrame) -> DataFrame:
+    """key, size, lo, hi and x0 of the buckets of (key, rep) with two members or more; of those with the same members one."""
+    rep = F.col("rep")
+    found = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(rep).alias("lo"), F.max(rep).alias("hi"), F.bit_xor(rep).alias("x0"), F.bit_xor(F.xxhash64(rep)).alias("x1")).filter("lo < hi")
+    return found.groupBy("size", "lo", "hi", "x0", "x1").agg(F.min("key").alias("key")).drop("x1")
 
 
 def close_sizes(percent: int) -> F.Column:
+    """Sizes alone don't rule out a link."""
     return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
 
 
-def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree enough to be confirmed ahead of the others."""
-    sides = [reps.select(F.col("rep").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab"]
-    both = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb")
+def small_pairs(buckets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) in buckets of two or three members: the third is what is left of the sum of bits. None has more than
+    two for each band."""
+    lo, hi = F.col("lo"), F.col("hi")
+    mid = F.col("x0").bitwiseXOR(lo).bitwiseXOR(hi)
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    pairs = F.when(F.col("size") == 2, F.array(pair(lo, hi))).otherwise(F.array(pair(lo, mid), pair(lo, hi), pair(mid, hi)))
+    sized = buckets.filter("size <= 3").select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    for end, n in (("a", "n"), ("b", "m")):
+        sized = sized.join(reps.select(F.col("rep").alias(end), F.col("n").alias(n)), end)
+    return sized.filter(close_sizes(percent)).select("a", "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= LEAST_AGREEING))
 
-    return map_batches(both, run, "a long, b long")
+def star_pairs(members: DataFrame, total: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes (key, rep, size, n): in each bucket, every member with b, the one that shares most buckets with
+    others."""
+    degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
+    best = members.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", F.xxhash64("rep").alias("h"), "rep", "n")).alias("best"), F.count("*").alias("members"))
+    joined = join_groups(members.select("key", F.col("rep").alias("a"), "n"), best.select("key", "members", F.col("best.rep").alias("b"), F.col("best.n").alias("m")), ["key"], "members", total)
+    return joined.filter((F.col("a") != F.col("b")) & close_sizes(percent)).select("a", "b")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -242,22 +226,31 @@ def joining(left: list[tuple], right: list[tuple] | None, percent: int) -> list[
     return out
 
 
-def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, total: int, percent: int) -> DataFrame:
-    """Links between members of one bucket that lie in different components; every such pair is compared by its full sets.
+def open_blocks(named: DataFrame, total: int) -> DataFrame:
+    """key, i, j, own and rep: the members of buckets over several components (key, rep, component, n), dealt into blocks so
+    that each two members of one bucket in different components meet in one group (key, i, j).
 
-    Buckets are dealt out by blocks of BLOCK members, each pair of blocks a group of its own, and only what joins two
-    components leaves the task. Of buckets with the same members one is enough.
+    The members of a bucket's largest component are compared with the others only, not among themselves.
     """
-    named = members.drop("size").join(labels, members.rep == labels.v, "left").drop("v").withColumn("component", F.coalesce("component", "rep"))
-    named = cut(named, "open")
-    marks = [F.bit_xor(F.xxhash64("rep", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.min("n").alias("n"), F.max("n").alias("m"), *marks)
-    mixed = mixed.filter((F.col("lo") != F.col("hi")) & ((F.col("size") > 2) | close_sizes(percent))).groupBy("size", "x1", "x2").agg(F.min("key").alias("key")).select("key", "size")
-    rows = join_groups(named, cut(mixed, "mixed"), ["key"], "size", total).join(sets.select("rep", "hashes"), "rep")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    own = F.pmod(F.xxhash64("rep"), blocks)
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component", "hashes", "own")
+    parts = named.groupBy("key", "component").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    whole = parts.groupBy("key").agg(F.max(F.struct("size", "component", "weight")).alias("major"), F.sum("size").alias("size"), F.sum("weight").alias("weight")).filter("size > major.size")
+    blocks = lambda size, weight: F.ceil(F.greatest(size / BLOCK, weight / BLOCK_SHINGLES))
+    major = F.col("major.size"), F.col("major.weight")
+    dealt = whole.select("key", "size", F.col("major.component").alias("main"), blocks(F.col("size") - major[0], F.col("weight") - major[1]).alias("minors"), blocks(*major).alias("majors"))
+    rows = join_groups(named.select("key", "rep", "component"), kept(dealt, "dealt"), ["key"], "size", total)
+    few, all_, h = F.col("minors"), F.col("minors") + F.col("majors"), F.xxhash64("rep")
+    is_main = F.col("component") == F.col("main")
+    own = F.when(is_main, few + F.pmod(h, F.col("majors"))).otherwise(F.pmod(h, few))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_main, few).otherwise(all_) - 1)))
+    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
+
+
+def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, total: int, percent: int) -> DataFrame:
+    """Links between members of one bucket that lie in different components; every such pair is compared by its full sets,
+    and only what joins two components leaves a task."""
+    named = members.select("key", "rep", "n").join(labels, F.col("rep") == labels.v, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    named = kept(named, "open")
+    rows = open_blocks(named, total).join(sets.select("rep", "hashes"), "rep")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
@@ -291,28 +284,34 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     its component is null and it is kept. Rows repeated in full are one class; rows that share a doc_id but not the set
     are judged each for itself. Extra columns play no part.
     """
-    rows = cut(sketch(documents, key, text, k), "sketch")
+    rows = kept(sketch(documents, key, text, k), "sketch")
     usable = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.min_by(F.struct("n", "bands", "signature"), "doc_id").alias("x"))
-    reps = cut(classes.select("rep", "d1", "d2", "size", "x.n", "x.bands", "x.signature"), "classes")
+    classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    banded = kept(classes, "banded")
+    plain = kept(rows.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2"), "plain")
+    drop(rows)
+    reps = kept(banded.drop("bands"), "classes")
     total = reps.count() * BANDS
-    keys = reps.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    members = cut(join_groups(keys, buckets, ["key"], "size", total), "members")
+    keys = banded.select("rep", F.explode("bands").alias("key"))
+    buckets = kept(distinct_buckets(keys), "buckets")
+    large = buckets.filter("size > 3").select("key", "size")
+    found = kept(join_groups(keys, large, ["key"], "size", total), "members")
+    drop(banded)
+    members = kept(found.join(reps.select("rep", "n"), "rep"), "sized")
     n_members = members.count()
-    wanted = reps.join(members.select("rep").distinct(), "rep", "left_semi")
-    sets = cut(full_sets(documents, wanted, key, text, k).dropDuplicates(["rep"]), "sets")
-    pairs = cut(alike(star_pairs(members, n_members).filter(close_sizes(percent)), reps), "pairs")
-    links = cut(confirm(pairs, sets, percent), "links")
-    labels = cut(components(links), "labels")
-    more = cut(open_links(members, labels, sets, n_members, percent), "links")
+    pairs = kept(small_pairs(buckets, reps, percent).unionByName(star_pairs(members, n_members, percent)).distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(members.select("rep")).distinct()
+    wanted = reps.join(ends, "rep", "left_semi")
+    sets = kept(full_sets(documents, wanted, key, text, k).dropDuplicates(["rep"]), "sets")
+    links = kept(confirm(pairs, sets, percent), "links")
+    labels = kept(components(links), "labels")
+    more = kept(open_links(members, labels, sets, n_members, percent), "links")
     if not more.isEmpty():
-        labels = cut(components(links.unionByName(more)), "labels")
-    drop(sets)
+        labels = kept(components(links.unionByName(more)), "labels")
+    drop(sets, found, pairs, buckets)
     named = reps.select("d1", "d2", "rep", "size").join(labels, F.col("rep") == F.col("v"), "left")
-    named = cut(named.select("d1", "d2", F.coalesce("component", "rep").alias("component_id"), "size"), "named")
-    plain = rows.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2")
-    joined = join_groups(plain.filter("n_shingles > 0 AND doc_id IS NOT NULL"), named, ["d1", "d2"], "size", rows.count())
+    named = kept(named.select("d1", "d2", F.coalesce("component", "rep").alias("component_id"), "size"), "named")
+    joined = join_groups(plain.filter("n_shingles > 0 AND doc_id IS NOT NULL"), named, ["d1", "d2"], "size", plain.count())
     alone = plain.filter("n_shingles = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
     out = joined.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._scratch import cut
+from ..operators.tables import kept
 
 ROWS_PER_BUCKET = 2048
 MISSING = "<null>"
@@ -58,13 +58,13 @@ def mix(rows: DataFrame, weights: dict[str | None, int] | None = None, key: str
     """
     named = rows.drop("block", "slot", "place").withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit(MISSING)))
     hashed = named.withColumn("_order", F.shiftrightunsigned(F.xxhash64(key), 1))
-    counts = cut(hashed.groupBy("_source").agg(F.count("*").alias("n")).withColumnRenamed("_source", "source"), "counts")
+    counts = kept(hashed.groupBy("_source").agg(F.count("*").alias("n")).withColumnRenamed("_source", "source"), "counts")
     if weights is None:
         parts = tempered(counts, exponent, period)
     else:
         given = F.create_map(*(F.lit(x) for k, v in weights.items() for x in (MISSING if k is None else k, v))) if weights else F.create_map().cast("map<string,int>")
         parts = counts.withColumn("parts", F.greatest(F.lit(1), F.coalesce(F.try_element_at(given, F.col("source")), F.lit(1))))
-    plan = cut(schedule(parts.select("source", "parts")), "schedule")  # as many rows as the weights have parts
+    plan = kept(schedule(parts.select("source", "parts")), "schedule")  # as many rows as the weights have parts
     total = counts.agg(F.sum("n")).first()[0] or 0
     n_buckets = min(1 << 20, max(1, total // ROWS_PER_BUCKET))
     hashed = hashed.withColumn("_bucket", F.shiftrightunsigned(F.shiftrightunsigned("_order", 32) * n_buckets, 31))

@@ -1,7 +1,7 @@
 """A quality classifier from supervised subword embeddings.
 
-A document is the mean of the learned vectors of its words and of its character n-grams, both hashed to a table of 2**bits
-rows (a word that repeats the one before adds a mark, itself a word); a softmax layer over that mean gives the probability of label 1. All weights are learned by stochastic gradient
+A document is the mean of the learned vectors of its words, of its pairs of neighbouring words and of its character n-grams,
+all hashed to a table of 2**bits rows; a softmax layer over that mean gives the probability of label 1. All weights are learned by stochastic gradient
 descent in numpy, document by document. Only a bounded sample of labelled rows is learned from (`most_labelled`, those with
 the smallest hash of their id); every document is scored. As the layer behind the mean is linear, a trained model comes
 down to one weight for each row of the table, and a score to a mean of weights.
@@ -20,27 +20,23 @@ from ._schema import extended
 from ._scratch import map_batches
 from ._text import lower, pieces, windows, with_columns, word_hashes, words
 
-GRAMS = (2, 3)
-#: The word that stands for "the word before, again".
-AGAIN = np.uint64(0x5BD1E995_9E3779B9)
+#: Lengths of n-grams, in words and in code points.
+WORD_GRAMS, GRAMS = (1, 2), (2, 3)
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Table rows of all words, of a mark for each word that repeats the one before, and of all n-grams of code points (A-Z
-    lowered), grouped by text, and the texts' offsets in them."""
+    """Table rows of all n-grams of words and of code points (A-Z lowered), grouped by text, and the texts' offsets in them."""
     data = lower(data)
     starts, ends, at = words(data, offsets)
-    hashes = word_hashes(data, starts, ends)
-    again = np.ones(len(hashes), bool)
-    again[at[:-1][np.diff(at) > 0]] = False
-    again[1:] &= hashes[1:] == hashes[:-1]
-    again = np.flatnonzero(again)
-    found = [(hashes, at), (np.full(len(again), AGAIN), np.searchsorted(again, at))]
+    values, found = word_hashes(data, starts, ends, 11)[0], []
+    for n in WORD_GRAMS:
+        where, hashes = windows(values, at, n, n)
+        found.append((hashes, np.searchsorted(where, at)))
     points = np.frombuffer(data.tobytes().decode(errors="replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
     begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]  # code points before each text
     for n in GRAMS:
-        where, hashes = windows(points, begins, n, "one")
-        found.append((hashes + np.uint64(n), np.searchsorted(where, begins)))
+        where, hashes = windows(points, begins, n, 20 + n)
+        found.append((hashes, np.searchsorted(where, begins)))
     total = sum(x[1] for x in found)
     out = np.empty(total[-1], np.uint32)
     filled = total[:-1].copy()

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import kept, new_path
 from . import fingerprint, media, minhash, mixing, quality, sentencepiece, substring_dedup, token_shards, url_filter, warc
-from ._scratch import cut, new_path, table
+from ._scratch import table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = cut(media.store_png(media.text_payloads(table(spark, sf_dir, "documents"))), "media", "uncompressed")
+    stored = kept(media.store_png(media.text_payloads(table(spark, sf_dir, "documents"))), "media", "uncompressed")
     return media.read_png(stored)
 
 

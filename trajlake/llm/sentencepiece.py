@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from ._schema import extended
 from ._scratch import map_batches
-from ._text import pieces, with_columns, word_hashes
+from ._text import chunks, pieces, with_columns, word_hashes
 
 MARK = "▁"
 #: Fixed values of the model format: kinds of pieces.
@@ -132,6 +132,21 @@ class Automaton:
         return fit.tolist(), [flat, ends - counts, ends]
 
 
+def different_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different word, and for each place which word it is. Hashes gather equal words; that words of one hash
+    are equal is looked up in their bytes."""
+    words, at, which = np.unique(word_hashes(data, starts, ends, 11)[0], return_index=True, return_inverse=True)
+    values, place, first = chunks(data, starts, ends)
+    chief = at[which]
+    if np.array_equal(ends - starts, (ends - starts)[chief]):
+        n = np.diff(np.append(first, len(values)))
+        if np.array_equal(values, values[np.repeat(first[chief], n) + place]):
+            return at, which
+    body, seen = data.tobytes(), {}
+    which = np.array([seen.setdefault(body[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.unique(which, return_index=True)[1], which
+
+
 class Pieces:
     """A vocabulary; a worker keeps the ids of words in a bounded cache."""
 
@@ -158,8 +173,8 @@ class Pieces:
         self.text, lengths = np.frombuffer(b"".join(self.surface), np.uint8), np.array([len(x) for x in self.surface])
         self.text_length, self.text_start = lengths, np.cumsum(lengths) - lengths
         self.cuts, self.line_cuts = not inner, not line
-        self.cache: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     @cached_property
     def many(self) -> Automaton:
@@ -198,7 +213,7 @@ class Pieces:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the texts' offsets in them; a null or empty text has none.
 
-        A mark in the text itself is taken as a space. Words are told apart by 64-bit hashes of their bytes.
+        A mark in the text itself is taken as a space. Words are told apart by their bytes.
         """
         front = b" " if self.prefix else b""
         raw = [front + x.replace(MARK, " ").encode() if x else b"" for x in texts]
@@ -214,15 +229,12 @@ class Pieces:
             begins[1:-1] |= (space[1:] & ~space[:-1]) | line[:-1]
         starts = np.flatnonzero(begins[:-1])
         ends = np.append(starts[1:], len(data))
-        words, which = np.unique(word_hashes(data, starts, ends), return_inverse=True)
-        at = np.empty(len(words), np.int64)
-        at[which] = np.arange(len(starts))  # any place of each word
-        keys = words.tolist()
+        at, which = different_words(data, starts, ends)
+        body = data.tobytes()
+        keys = [body[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         ids = [self.cache.get(k) or self.old.get(k) for k in keys]
         if missing := [k for k, x in enumerate(ids) if x is None]:
-            spans = zip(starts[at[missing]].tolist(), ends[at[missing]].tolist(), strict=True)
-            body = data.tobytes()
-            new = [body[a:b].decode().replace(" ", MARK) for a, b in spans]
+            new = [keys[k].decode().replace(" ", MARK) for k in missing]
             done, found = self.many.viterbi(new)
             if done:
                 flat, lo, hi = found
@@ -233,7 +245,7 @@ class Pieces:
                 ids[missing[k]] = array(self.code, self.viterbi(new[k])).tobytes()
         if len(self.cache) > self.most:  # of two generations the older one goes: what is used often stays
             self.cache, self.old = {}, self.cache
-        self.cache.update(zip(keys, ids, strict=True))
+        self.cache.update((k, x) for k, x in zip(keys, ids, strict=True) if len(k) <= 256)
         lengths = np.array([len(x) for x in ids]) // self.kind.itemsize
         firsts = np.cumsum(lengths) - lengths
         n = lengths[which]

@@ -3,7 +3,7 @@
 Pass one counts. Each window is represented by its smallest hash of `gram` words, so that all places of a window have the
 same representative and about one word in fifteen is one. Each task puts its representatives in a count-min sketch of two
 rows; the partitions' sketches are merged, segment by segment, and overestimate how often a representative, and so any of
-its windows, starts. Pass two groups exactly, by 128 bits of all its words, each window whose estimate is two or more. A
+its windows, starts. Pass two groups exactly, by 128 bits of all its words (two hashes with nothing in common), each window whose estimate is two or more. A
 task first groups its own windows and sends one row for each different one, so that the most frequent window has one row
 for each task. No window that repeats can be lost: an estimate is never too low.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ._schema import extended
 from ._scratch import map_batches
-from ._text import mix, pieces, powers, ranges_hash, row_of, windows, with_columns, word_hashes, words
+from ._text import mix, pieces, row_of, runs_hash, window_starts, windows, with_columns, word_hashes, words
 
 LARGEST = np.uint64(2**64 - 1)
 SEGMENT_BITS = 20
@@ -42,12 +42,11 @@ def slide(x: np.ndarray, k: int, pick: np.ufunc) -> np.ndarray:
 
 def representatives(values: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of the windows, the representative of each, and the representatives by place (each place once)."""
-    starts = np.arange(max(0, len(values) - window + 1))
-    starts = starts[starts + window <= np.repeat(offsets[1:], np.diff(offsets))[: len(starts)]]
+    starts = window_starts(offsets, window)
     if not len(starts):
         return starts, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     span = window - gram + 1
-    at, hashes = windows(values, offsets, gram, "two")
+    at, hashes = windows(values, offsets, gram, 3)
     grams = np.full(len(values), LARGEST)
     grams[at] = hashes
     least = slide(grams, span, np.minimum)[starts]
@@ -84,7 +83,7 @@ def repeated_cells(documents: DataFrame, text: str, window: int, gram: int, bits
         for batch in batches:
             for _, _, data, offsets in pieces(batch.column(0)):
                 starts, ends, rows = words(data, offsets)
-                new = representatives(word_hashes(data, starts, ends), rows, window, gram)[2]
+                new = representatives(word_hashes(data, starts, ends, 11)[0], rows, window, gram)[2]
                 found, size = [*found, new], size + len(new)
                 if size > 1 << 18:
                     yield from sketch(found)
@@ -163,13 +162,12 @@ def repeated_ranges(documents: DataFrame, text: str, window: int, gram: int, mos
             keys, texts = (np.asarray(batch.column(k)) for k in ("key", "text_hash"))
             for lo, hi, data, offsets in pieces(batch.column(text)):
                 starts, ends, at = words(data, offsets)
-                values = word_hashes(data, starts, ends)
-                begin, least, _ = representatives(values, at, window, gram)
+                values = word_hashes(data, starts, ends, 11, 12)
+                begin, least, _ = representatives(values[0], at, window, gram)
                 begin = begin[may_repeat(least, bitmaps, bits)]
                 if len(begin):
                     row = row_of(at)[begin]
-                    powers("two", len(values) + 1)
-                    hashes = [mix(ranges_hash(v, begin, begin + window, k)) for v, k in ((values, "one"), (mix(values, 3), "two"))]
+                    hashes = [runs_hash(v, window, seed)[begin] for seed, v in zip((1, 2), values, strict=True)]
                     held.append((*hashes, row + rows_held, begin - at[row], keys[lo:hi], texts[lo:hi]))
                     size, rows_held = size + len(begin), rows_held + hi - lo
                     if size > 1 << 18:

@@ -20,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._scratch import cut, drop, map_batches
+from ..operators.tables import drop, kept
+from ._scratch import map_batches
 from ._text import mix
 
 SHARDS = "shard long, first_slot long, n_sequences int, stride int, crc32 long, data binary"
@@ -98,7 +99,7 @@ def write_shards(df: DataFrame, path: str, key: int = 20240101, ids: str = "ids"
     shards. An empty table writes an empty folder.
     """
     spark = df.sparkSession
-    sequences = cut(pack(df, ids, length, end, pad), "sequences", "zstd")
+    sequences = kept(pack(df, ids, length, end, pad), "sequences", "zstd")
     counts = sorted((r.part, r.n) for r in sequences.groupBy("part").agg(F.count("*").alias("n")).collect())  # one number for each input partition
     n = sum(x for _, x in counts)
     ahead = np.cumsum([0, *(x for _, x in counts)])[:-1].tolist()
