@@ -82,6 +82,16 @@ def test_segmentation_equals_the_library():
         assert own.decode(ids, at) == [text]
 
 
+def test_both_ways_through_the_automaton_agree():
+    own = sentencepiece.pieces_of(sentencepiece.DEFAULT_MODEL)
+    r = random.Random(7)
+    words = [f"{sentencepiece.MARK}{w}" for t in chatter(4, 30) for w in t.split()] + ["".join(r.choice("abcdefgh tion") for _ in range(r.randrange(1, 49))).replace(" ", sentencepiece.MARK) for _ in range(300)]
+    done, (flat, lo, hi) = own.many.viterbi(words)
+    assert len(done) >= 300
+    for k, a, b in zip(done, lo, hi, strict=True):
+        assert flat[a:b].tolist() == own.viterbi(words[k]), words[k]
+
+
 def test_viterbi_equals_brute_force():
     pieces = [("<unk>", 0.0, sentencepiece.UNKNOWN), *((p, s, sentencepiece.NORMAL) for p, s in (("a", -2.0), ("b", -2.5), ("ab", -4.6), ("ba", -3.0), ("aba", -6.0), ("▁", -1.0), ("▁a", -2.9)))]
     own = sentencepiece.Pieces(pieces, prefix=False)
@@ -100,7 +110,8 @@ def test_viterbi_equals_brute_force():
 
 
 def test_encode_and_decode_odd_rows(spark, odd, none):
-    out = sentencepiece.decode(sentencepiece.encode(odd)).collect()
+    clash = odd.withColumns({"ids": F.lit("a"), "n_tokens": F.lit("b"), "decoded": F.lit("c")})
+    out = sentencepiece.decode(sentencepiece.encode(clash)).collect()
     assert all(r.decoded == (r.text or "") and len(r.ids) == r.n_tokens for r in out)
     assert sentencepiece.encode(none).count() == 0
     assert spark.createDataFrame([(None,)], "ids array<int>").transform(sentencepiece.decode).first().decoded is None
@@ -166,6 +177,39 @@ def test_fingerprints_of_odd_rows(spark, odd, none):
     assert one.near_next == 1
 
 
+def test_fingerprints_equal_plain_counting(spark):
+    import xxhash
+
+    def h(*values, seed=42):
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v, seed=seed)
+        return seed
+
+    def vector(text):
+        out = [0] * fingerprint.LANES
+        for paragraph in text.split("\n"):
+            w = paragraph.split(" ")
+            found = [h(a.encode(), b.encode()) for a, b in zip(w[:-1], w[1:], strict=True)] + [h(w[-1].encode()), h(paragraph.encode(), b"paragraph")]
+            for e in found:
+                for k, x in enumerate((e, h(struct.pack("<Q", e), struct.pack("<i", 2)))):
+                    for j in range(32):
+                        out[64 * k + 2 * j] += 1 if x >> j & 1 else -1
+                        out[64 * k + 2 * j + 1] += 1 if x >> (j + 32) & 1 else -1
+        return [(x + 2**15) % 2**16 - 2**15 for x in out]
+
+    texts = ["one two three\nfour five", "", "é \n\n  x", "one two three\nfour five", *chatter(6, 12)]
+    rows = sorted(fingerprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    for r in rows:
+        text, follower = texts[r.doc_id], texts[(r.doc_id - 1) % len(texts)]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + follower[:half]
+        own, other, near = (vector(t) for t in (text, edited, follower))
+        assert (r.fingerprint, r.edited_fingerprint) == tuple("".join(f"{x % 2**16:04x}" for x in v) for v in (own, other))
+        for found, v in ((r.near_edited, other), (r.near_next, near)):
+            cosine = np.dot(own, v) / np.sqrt(float(np.dot(own, own)) * np.dot(v, v))
+            assert found == pytest.approx(1.0 if own == v else max(0.0, min(1.0, cosine)), abs=1e-9)
+
+
 # --- substrings
 
 
@@ -253,6 +297,21 @@ def test_mixing_stays_within_a_block(spark):
     assert [(r.slot, r.place) for r in ordered] == sorted((r.slot, r.place) for r in out)
 
 
+def test_schedule_equals_earliest_deadline_first(spark):
+    for parts in ({"a": 5, "b": 3, "c": 2, "d": 1}, {"x": 1}, {"p": 7, "q": 7, "r": 13}):
+        whole = sum(parts.values())
+        names, done, order = sorted(parts), Counter(), []
+        for t in range(whole):
+            ready = [(-(-(done[s] + 1) * whole // parts[s]), s) for s in names if done[s] < parts[s] and done[s] * whole // parts[s] <= t]
+            order.append(min(ready)[1])
+            done[order[-1]] += 1
+        rows = mixing.schedule(spark.createDataFrame(list(parts.items()), "source string, parts int")).collect()
+        assert [r.source for r in sorted(rows, key=lambda r: r.slot_in_period)] == order
+        assert sorted((r.source, r.nth) for r in rows) == sorted((s, k) for s in parts for k in range(parts[s]))
+    with pytest.raises(ValueError, match="weight"):
+        mixing.mix(spark.createDataFrame([(1, "a")], "doc_id long, source string"), {"a": 0})
+
+
 def test_mixing_odd_rows(spark, odd, none):
     rows = mixing.mix(odd.withColumn("source", F.lit(None).cast("string"))).collect()
     assert Counter(r.doc_id for r in rows) == Counter(k for k, *_ in ODD)
@@ -275,6 +334,37 @@ def test_classifier_odd_rows(spark, odd, none):
     assert quality.score(odd, quality.fit(odd, labels.limit(0), bits=10)).filter("score <> 0.5").count() == 0
 
 
+def test_training_equals_plain_loops():
+    samples = [(np.array([0, 3, 5], np.uint32), np.array([2, 1, 1], np.float32), 1), (np.array([3, 6], np.uint32), np.array([1, 4], np.float32), 0), (np.array([], np.uint32), np.array([], np.float32), 1)]
+    bits, dim, epochs, rate = 3, 4, 5, 0.5
+    weights, bias = quality.train(samples, bits, dim, epochs, rate, 9)
+    random_ = np.random.default_rng(9)
+    table = random_.uniform(-1 / dim, 1 / dim, (8, dim)).astype(np.float32).tolist()
+    layer, shift, done = [[0.0, 0.0] for _ in range(dim)], [0.0, 0.0], 0
+    for _ in range(epochs):
+        for k in random_.permutation(3):
+            rows, counts, label = samples[k]
+            speed = rate * (1 - done / (epochs * 3))
+            done += 1
+            share = [float(c) / max(1.0, float(counts.sum())) for c in counts]
+            mean = [sum(w * table[r][i] for r, w in zip(rows, share, strict=True)) for i in range(dim)]
+            logits = [sum(mean[i] * layer[i][j] for i in range(dim)) + shift[j] for j in (0, 1)]
+            p = [np.exp(x) / sum(np.exp(y) for y in logits) for x in logits]
+            wrong = [p[j] - (j == label) for j in (0, 1)]  # the slope of the cross-entropy by each logit
+            back = [sum(layer[i][j] * wrong[j] for j in (0, 1)) for i in range(dim)]
+            for i in range(dim):
+                for j in (0, 1):
+                    layer[i][j] -= speed * mean[i] * wrong[j]
+            for j in (0, 1):
+                shift[j] -= speed * wrong[j]
+            norm = sum(w * w for w in share)
+            for r, w in zip(rows, share, strict=True):
+                for i in range(dim):
+                    table[r][i] -= speed * w / norm * back[i]
+    assert bias == pytest.approx(shift[1] - shift[0], abs=1e-4)
+    assert weights.tolist() == pytest.approx([sum(table[r][i] * (layer[i][1] - layer[i][0]) for i in range(dim)) for r in range(8)], abs=1e-4)
+
+
 def test_classifier_learns(spark):
     docs = spark.createDataFrame([(k, ("good calm words " if k % 2 else "b@d sp@m !!! ") * (1 + k % 5)) for k in range(300)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, quality int")
@@ -399,7 +489,7 @@ def test_components_equal_union_find(spark, links):
 
 
 def test_near_duplicates_of_odd_rows(odd, none):
-    rows = minhash.near_duplicates(odd).collect()
+    rows = minhash.near_duplicates(odd.withColumns({"n_shingles": F.lit("a"), "kept": F.lit("b"), "component_id": F.lit("c")})).collect()
     found = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows)
     assert found == Counter({(1, 0, 1, True): 1, (None, 1, None, True): 1, (2, 0, 2, True): 1, (3, 0, 3, True): 1, (4, 2, 4, True): 2, (5, 2, 4, False): 1, (6, 1, 6, True): 1, (7, 1, 7, True): 1})
     assert minhash.near_duplicates(none).count() == 0
@@ -415,28 +505,59 @@ def test_heavy_groups_are_joined_whole(spark):
 # --- media
 
 
-def test_png_filters():
-    image = np.random.default_rng(1).integers(0, 256, (7, 64), dtype=np.uint8)
-    for kind in (media.NONE, media.SUB, media.UP):
-        assert (media.decode_png(media.encode_png(image, kind)) == image).all()
-    mixed = np.zeros((7, 65), np.uint8)
-    for y in range(7):  # every filter, written pixel by pixel
-        mixed[y, 0] = kind = (y + 1) % 5
-        for x in range(64):
+def filtered_pixel_by_pixel(image, kinds):
+    rows = np.zeros((len(image), image.shape[1] + 1), np.uint8)
+    for y, kind in enumerate(kinds):
+        rows[y, 0] = kind
+        for x in range(image.shape[1]):
             a = int(image[y, x - 1]) if x else 0
             b = int(image[y - 1, x]) if y else 0
             c = int(image[y - 1, x - 1]) if x and y else 0
             near = min((a, b, c), key=lambda v, p=a + b - c: abs(p - v))
-            mixed[y, x + 1] = (int(image[y, x]) - [0, a, b, (a + b) // 2, near][kind]) % 256
-    assert (media.unfilter(mixed) == image).all()
-    broken = bytearray(media.encode_png(image))
+            rows[y, x + 1] = (int(image[y, x]) - [0, a, b, (a + b) // 2, near][kind]) % 256
+    return rows
+
+
+def test_png_filters():
+    r = np.random.default_rng(1)
+    images = [r.integers(0, 256, (h, 64), dtype=np.uint8) for h in (7, 1, 30)] + [np.cumsum(r.integers(-3, 4, (9, 64)), axis=1).astype(np.uint8)]
+    for kind in range(5):
+        files = media.encode_pngs(images, kind)
+        assert all((x == y).all() for x, y in zip(media.decode_pngs(files), images, strict=True))
+        assert (media.unpacked_png(files[0]) == filtered_pixel_by_pixel(images[0], [kind] * 7)).all()
+    mixed = [filtered_pixel_by_pixel(x, [(y + 1) % 5 for y in range(len(x))]) for x in images]
+    first = np.concatenate([np.arange(len(x)) == 0 for x in images])
+    assert (media.unfilter(np.concatenate(mixed), first) == np.concatenate(images)).all()
+    files = media.encode_pngs(images)  # each row by the filter with the least sum
+    assert all((x == y).all() for x, y in zip(media.decode_pngs(files), images, strict=True))
+    for file, image in zip(files, images, strict=True):
+        rows = media.unpacked_png(file)
+        every = np.stack([filtered_pixel_by_pixel(image, [kind] * len(image)) for kind in range(5)])
+        sums = np.abs(every[:, :, 1:].view(np.int8).astype(int)).sum(axis=2)
+        assert (sums[rows[:, 0], np.arange(len(image))] == sums.min(axis=0)).all()
+    assert len(set(media.unpacked_png(files[3])[:, 0].tolist()) - {0}) > 0
+    wide = np.zeros((3, 5), np.uint8)
+    assert [x.shape for x in media.decode_pngs([files[0], *media.encode_pngs([wide])])] == [(7, 64), (3, 5)]
+    broken = bytearray(files[0])
     broken[-20] ^= 1
     with pytest.raises(ValueError, match="checksum"):
-        media.decode_png(bytes(broken))
-    width, height = struct.unpack(">II", media.encode_png(image)[16:24])
+        media.decode_pngs([bytes(broken)])
+    width, height = struct.unpack(">II", files[0][16:24])
     assert (width, height) == (64, 7)
 
 
+def test_feature_equals_a_plain_cosine_transform():
+    r = np.random.default_rng(2)
+    for height in (1, 20, 32, 100):
+        image = r.integers(0, 256, (height, 64), dtype=np.uint8)
+        edges = [k * height // 32 for k in range(33)]
+        small = [[float(np.mean([image[y, 2 * x : 2 * x + 2] for y in range(min(edges[k], height - 1), max(edges[k + 1], min(edges[k], height - 1) + 1))])) for x in range(32)] for k in range(32)]
+        low = np.array([sum(small[y][x] * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)) * (2 if u and v else 2**0.5 if u or v else 1) / 32 for u in range(8) for v in range(8)])
+        low = np.round(low, 6)
+        bits = "".join(str(int(k > 0 and c > np.median(low[1:]))) for k, c in enumerate(low))
+        assert f"{int(bits, 2):016x}" == media.cosine_hash(image)
+
+
 def test_cosine_hash_is_near_for_near_images():
     waves = np.random.default_rng(5).normal(size=(8, 8))
     shape = [np.cos(np.pi * (2 * np.arange(n)[:, None] + 1) * np.arange(8) / (2 * n)) for n in (80, 64)]
@@ -449,7 +570,7 @@ def test_cosine_hash_is_near_for_near_images():
 
 
 def test_media_odd_rows(odd, none):
-    rows = media.read_png(media.store_png(odd.select("doc_id", "text", "n_words"))).collect()
+    rows = media.read_png(media.store_png(odd.select("doc_id", "text", "n_words", F.lit("x").alias("n_bytes"), F.lit("y").alias("media"), F.lit("z").alias("feature")))).collect()
     texts = {k: (t or "").encode() for k, t, _, _ in ODD}
     for r in rows:
         raw = texts[r.doc_id]

@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import duck, rows_of, rows_of_sql
 from trajlake.llm import mixing, queries
@@ -91,3 +92,28 @@ def test_pipeline_gives_the_mixing(spark, tmp_path):
     for n in range(1, 31):  # both sources have blocks left
         prefix = [r.source for r in out if r.slot < n]
         assert abs(prefix.count("a") / 64 - n * 0.667) <= 1 and abs(prefix.count("b") / 64 - n * 0.333) <= 1
+
+
+def odd_documents(spark):
+    rows = [(k, f"plain words number {k} with a few more to tell it from its neighbours {k * 7}", "en", "a" if k % 3 else None, 9) for k in range(30)]
+    rows += [(100, None, None, None, None), (101, "", "", "", 0), (None, "a text without an id", "en", "b", 3), (102, "same row twice", "en", "b", 3), (102, "same row twice", "en", "b", 3), (103, "long " * 50_000, "xx", "c", 1)]
+    clash = {c: F.lit(1) for c in ("score", "predicted", "n_words", "n_removed", "slot", "place", "block", "ids", "n_tokens", "kept", "component_id")}
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns(clash).repartition(3)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = odd_documents(spark)
+    d = f"file://{tmp_path}"
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(k, int(k < 25)) for k in range(30)] + [(None, 1), (100, None)], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:  # each on the odd rows themselves
+        assert stage(spark, docs, d).count() > 0
+        assert stage(spark, docs.limit(0), d).count() == 0
+    one = sorted(str(r.doc_id) for r in corpus_pipeline.one_of_each(spark, docs, d).collect())
+    assert one == sorted(str(r.doc_id) for r in docs.collect())  # rows that repeat a kept id stay
+    cut = {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, docs, d).collect()}
+    assert cut[100] is None and cut[101] == "" and cut[103] == "" and cut[5].startswith("plain words number 5")
+    out = corpus_pipeline.run(spark, d)
+    assert out.columns == ["doc_id", "source", "n_tokens", "ids", "slot", "place"] and 0 < out.count() <= docs.count()

@@ -4,7 +4,8 @@ A paragraph is hashed to a wide vector: its own hash and the hashes of its word
 and a bit 0 counts -1 in its lane. A text's vector is the sum of its paragraphs' vectors, each lane modulo 2**16. So the
 order of paragraphs plays no part, a paragraph is put in by adding its vector and taken out by subtracting it, and texts
 with the same paragraphs have the same vector. The cosine of two vectors estimates the share of common word pairs, with a
-standard error of 1/sqrt(128).
+standard error of 1/sqrt(128), as long as no lane wraps: a text that repeats one word pair 32,768 times or more has a
+fingerprint that tells equality, but no likeness.
 """
 
 from __future__ import annotations

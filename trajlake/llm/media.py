@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,55 +27,75 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def encode_png(samples: np.ndarray, filter_type: int = NONE, level: int = 1) -> bytes:
-    """A (height, width) uint8 image; filters None, Sub and Up can be written."""
-    height, width = samples.shape
-    rows = np.empty((height, width + 1), np.uint8)
-    rows[:, 0], rows[:, 1:] = filter_type, samples
-    if filter_type == SUB:
-        rows[:, 2:] -= samples[:, :-1]
-    elif filter_type == UP:
-        rows[1:, 1:] -= samples[:-1]
-    elif filter_type != NONE:
-        raise ValueError(f"filter {filter_type} isn't written")
-    header = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + _chunk(b"IEND", b"")
+def _predicted(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> list[np.ndarray]:
+    """What the five filters expect of a sample, from its neighbours (int16)."""
+    a, b = np.abs(up - corner), np.abs(left - corner)
+    c = np.abs(left + up - 2 * corner)
+    paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+    return [np.zeros_like(left), left, up, (left + up) >> 1, paeth]
+
 
+def filter_rows(samples: np.ndarray, first: np.ndarray, kinds: np.ndarray | None = None) -> np.ndarray:
+    """Rows of images under one another (`first` marks each image's first row), each with its filter type in front: for each
+    row that of the five filters with the least sum of absolute differences, or the given ones."""
+    wide = samples.astype(np.int16)
+    left, up, corner = np.zeros_like(wide), np.zeros_like(wide), np.zeros_like(wide)
+    left[:, 1:] = wide[:, :-1]
+    up[1:] = wide[:-1]
+    up[first] = 0
+    corner[:, 1:] = up[:, :-1]
+    tried = np.stack([(wide - x).astype(np.uint8) for x in _predicted(left, up, corner)])
+    if kinds is None:
+        kinds = np.abs(tried.view(np.int8).astype(np.int16)).sum(axis=2).argmin(axis=0)
+    return np.concatenate([kinds.astype(np.uint8)[:, None], tried[kinds, np.arange(len(samples))]], axis=1)
 
-def _paeth(a: int, b: int, c: int) -> int:
-    pa_, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-    return a if pa_ <= pb and pa_ <= pc else b if pb <= pc else c
 
+def unfilter(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The samples of filtered rows of images under one another, of one byte a pixel.
 
-def unfilter(rows: np.ndarray) -> np.ndarray:
-    """Samples of filtered rows of one byte a pixel. Runs of rows with None, Sub or Up are undone by whole arrays."""
-    kinds, out = rows[:, 0], rows[:, 1:].copy()
+    A sample needs its left and upper neighbours, so all images are undone together along their diagonals: one step for each,
+    over all rows that have a sample on it.
+    """
+    kinds, width = rows[:, 0].astype(np.int64), rows.shape[1] - 1
     if (kinds > PAETH).any():
         raise ValueError("unknown filter type")
-    edges = np.flatnonzero(np.diff(kinds)) + 1
-    for lo, hi in zip([0, *edges], [*edges, len(rows)], strict=True):
-        if hi == lo:
-            continue
-        kind, part = kinds[lo], out[lo:hi]
-        if kind == SUB:
-            np.cumsum(part, axis=1, dtype=np.uint8, out=part)
-        elif kind == UP:
-            if lo:
-                part[0] += out[lo - 1]
-            np.cumsum(part, axis=0, dtype=np.uint8, out=part)
-        elif kind in (AVERAGE, PAETH):
-            for y in range(lo, hi):
-                above = out[y - 1].tolist() if y else [0] * out.shape[1]
-                row, left, corner = out[y].tolist(), 0, 0
-                for x, up in enumerate(above):
-                    left = row[x] = (row[x] + ((left + up) // 2 if kind == AVERAGE else _paeth(left, up, corner))) & 255
-                    corner = up
-                out[y] = row
-    return out
+    n, starts = len(rows), np.flatnonzero(first)
+    image = np.cumsum(first) - 1
+    depth = np.arange(n) - starts[image]
+    out = np.zeros((n + len(starts), width + 1), np.int16)  # a row of zeros above each image, and a column before it
+    base, flat = (np.arange(n) + image + 1) * (width + 1) + 1, out.ravel()
+    order = np.argsort(depth, kind="stable")
+    edges = np.searchsorted(depth[order], np.arange(int(depth.max(initial=0)) + 2))
+    base, kinds, filtered = base[order], kinds[order], rows[order, 1:].astype(np.int16)
+    last = len(edges) - 2
+    for step in range(last + width):
+        lo, hi = edges[max(0, step - width + 1)], edges[min(last, step) + 1]
+        x = step - np.repeat(np.arange(max(0, step - width + 1), min(last, step) + 1), np.diff(edges[max(0, step - width + 1) : min(last, step) + 2]))
+        at = base[lo:hi] + x
+        guess = np.choose(kinds[lo:hi], _predicted(flat[at - 1], flat[at - width - 1], flat[at - width - 2]))
+        flat[at] = (filtered[np.arange(lo, hi), x] + guess) & 255
+    keep = np.ones(len(out), bool)
+    keep[starts + np.arange(len(starts))] = False
+    return out[keep, 1:].astype(np.uint8)
+
+
+def packed_png(rows: np.ndarray, level: int) -> bytes:
+    """The file of one image's filtered rows."""
+    header = struct.pack(">IIBBBBB", rows.shape[1] - 1, len(rows), 8, 0, 0, 0, 0)
+    return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
-def decode_png(data: bytes) -> np.ndarray:
-    """The samples of an 8-bit grayscale PNG without interlace; every chunk's checksum is tested."""
+def encode_pngs(images: list[np.ndarray], kind: int | None = None, level: int = 1) -> list[bytes]:
+    """(height, width) uint8 images of one width and a row at least, as files; `kind` sets one filter for all rows."""
+    ends = np.cumsum([len(x) for x in images])
+    first = np.zeros(ends[-1], bool)
+    first[ends - [len(x) for x in images]] = True
+    rows = filter_rows(np.concatenate(images), first, None if kind is None else np.full(len(first), kind))
+    return [packed_png(rows[hi - len(x) : hi], level) for x, hi in zip(images, ends.tolist(), strict=True)]
+
+
+def unpacked_png(data: bytes) -> np.ndarray:
+    """The filtered rows of an 8-bit grayscale PNG without interlace; every chunk's checksum is tested."""
     if data[:8] != SIGNATURE:
         raise ValueError("no PNG signature")
     at, packed, size = 8, [], None
@@ -94,7 +114,21 @@ def decode_png(data: bytes) -> np.ndarray:
         elif kind == b"IEND":
             break
         at += 12 + n
-    return unfilter(np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(size))
+    return np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(size)
+
+
+def decode_pngs(files: list[bytes]) -> list[np.ndarray]:
+    """The samples of images; those of one width are unfiltered together."""
+    rows, out = [unpacked_png(x) for x in files], [None] * len(files)
+    for width in {x.shape[1] for x in rows}:
+        which = [k for k, x in enumerate(rows) if x.shape[1] == width]
+        ends = np.cumsum([len(rows[k]) for k in which])
+        first = np.zeros(ends[-1], bool)
+        first[ends - [len(rows[k]) for k in which]] = True
+        samples = unfilter(np.concatenate([rows[k] for k in which]), first)
+        for k, hi in zip(which, ends.tolist(), strict=True):
+            out[k] = samples[hi - len(rows[k]) : hi]
+    return out
 
 
 def _dct(n: int, low: int) -> np.ndarray:
@@ -131,6 +165,19 @@ def payload_of(text: str | bytes | None, width: int = 64) -> bytes:
     return raw + bytes(-len(raw) % width if raw else width)
 
 
+def slices(items: list, size: Callable[[object], int], most: int = 1 << 18) -> Iterator[list]:
+    """Runs of items of about `most` bytes, a larger one alone: bounds what is worked on at a time."""
+    part, total = [], 0
+    for x in items:
+        if part and total + size(x) > most:
+            yield part
+            part, total = [], 0
+        part.append(x)
+        total += size(x)
+    if part:
+        yield part
+
+
 def store_png(df: DataFrame, payload: str = "text", width: int = 64, level: int = 1) -> DataFrame:
     """df with n_bytes (of the payload column's UTF-8) and media (the PNG), without the payload column.
 
@@ -146,7 +193,7 @@ def store_png(df: DataFrame, payload: str = "text", width: int = 64, level: int
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 raw = batch.column(payload).cast(pa.binary()).to_pylist()
-                media = [encode_png(np.frombuffer(payload_of(x, width), np.uint8).reshape(-1, width), level=level) for x in raw]
+                media = [x for part in slices([np.frombuffer(payload_of(x, width), np.uint8).reshape(-1, width) for x in raw], lambda i: i.size) for x in encode_pngs(part, level=level)]
                 new = {"n_bytes": pa.array([len(x or b"") for x in raw], pa.int64()), "media": pa.array(media, pa.binary())}
                 yield with_columns(batch, new, order)
 
@@ -164,10 +211,7 @@ def read_png(df: DataFrame, media: str = "media") -> DataFrame:
     names = [x.split()[0] for x in new.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-    def facts(stored: bytes | None) -> tuple:
-        if stored is None:
-            return (None,) * len(names)
-        samples = decode_png(stored)
+    def facts(stored: bytes, samples: np.ndarray) -> tuple:
         raw = samples.tobytes()
         return len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), cosine_hash(samples)
 
@@ -175,7 +219,9 @@ def read_png(df: DataFrame, media: str = "media") -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                found = [facts(x) for x in batch.column(media).to_pylist()]
+                files = batch.column(media).to_pylist()
+                images = iter([x for part in slices([x for x in files if x is not None], len) for x in decode_pngs(part)])
+                found = [(None,) * len(names) if x is None else facts(x, next(images)) for x in files]
                 columns = zip(*found, strict=True) if found else [[] for _ in names]
                 yield with_columns(batch, {n: pa.array(list(c), k) for n, c, k in zip(names, columns, kinds, strict=True)}, schema.names)
 

@@ -51,11 +51,14 @@ def schedule(parts: DataFrame) -> DataFrame:
 def mix(rows: DataFrame, weights: dict[str | None, int] | None = None, key: str = "doc_id", source: str = "source", block_rows: int = 64, exponent: float = 0.5, period: int = 1000) -> DataFrame:
     """rows with block (of its source), slot (of the block, in all) and place (in the block), all long.
 
-    weights: whole parts by source; a source that isn't named gets one part. Without weights, parts follow rows **
-    exponent. A null source is a source like others. Rows of a source are ordered by a hash of the key, then the key; equal
+    weights: whole parts by source, 1 at least (a ValueError otherwise, as no row may be lost); a source that isn't named gets
+    one part. Without weights, parts follow rows ** exponent. The period, and so the number of sources, bounds the one row
+    that the schedule is made in: it is meant for some thousands. A null source is a source like others. Rows of a source are ordered by a hash of the key, then the key; equal
     rows follow one another. The last block of a source may be short. An empty table gives an empty one; columns called
     block, slot or place are replaced.
     """
+    if weights and min(weights.values()) < 1:
+        raise ValueError("every source's weight must be 1 or more")
     named = rows.drop("block", "slot", "place").withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit(MISSING)))
     hashed = named.withColumn("_order", F.shiftrightunsigned(F.xxhash64(key), 1))
     counts = kept(hashed.groupBy("_source").agg(F.count("*").alias("n")).withColumnRenamed("_source", "source"), "counts")

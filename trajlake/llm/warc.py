@@ -143,7 +143,9 @@ def record_kinds(pages: DataFrame, page_id: str, payload: str, least: int) -> Da
     groups = rows.filter(F.col("sha").isNotNull()).groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("size")).filter("size > 1")
     duplicates = join_groups(rows.select("page_id", "sha"), groups, ["sha"], "size", pages.count())
     revisits = duplicates.filter("page_id < refers_to").select("page_id", "sha", "refers_to").distinct()
-    return rows.join(revisits, ["page_id", "sha"], "left").withColumn("revisit", F.col("refers_to").isNotNull())
+    named = rows.filter(F.col("sha").isNotNull()).join(revisits, ["page_id", "sha"], "left")
+    plain = rows.filter(F.col("sha").isNull()).withColumn("refers_to", F.lit(None).cast(dict(rows.dtypes)["page_id"]))  # no join, so that null ids don't meet in a task
+    return named.unionByName(plain).withColumn("revisit", F.col("refers_to").isNotNull())
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", payload: str = "html", least: int = 0, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 22, date: str = "2024-01-01T00:00:00Z") -> None:
