@@ -85,7 +85,7 @@ def packed_png(rows: np.ndarray, level: int) -> bytes:
     return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
-def encode_pngs(images: list[np.ndarray], kind: int | None = None, level: int = 1) -> list[bytes]:
+def encode_pngs(images: list[np.ndarray], kind: int | None = None, level: int = 6) -> list[bytes]:
     """(height, width) uint8 images of one width and a row at least, as files; `kind` sets one filter for all rows."""
     ends = np.cumsum([len(x) for x in images])
     first = np.zeros(ends[-1], bool)
@@ -178,7 +178,7 @@ def slices(items: list, size: Callable[[object], int], most: int = 1 << 18) -> I
         yield part
 
 
-def store_png(df: DataFrame, payload: str = "text", width: int = 64, level: int = 1) -> DataFrame:
+def store_png(df: DataFrame, payload: str = "text", width: int = 64, level: int = 6) -> DataFrame:
     """df with n_bytes (of the payload column's UTF-8) and media (the PNG), without the payload column.
 
     The payload gets bytes 0 up to a positive multiple of `width`; a null or empty one becomes one row of zeros. A text of
