@@ -16,7 +16,7 @@ def test_query_equals_its_sql(spark, sf_dir, connection, name):
     assert rows_of(found) == rows_of_sql(connection, catalogue.ORACLE[name])
 
 
-def test_batch_and_stream_give_the_same_tracks(spark, sf_dir):
+def test_batch_and_stream_give_the_same_result(spark, sf_dir):
     columns = ["seq_id", "frame_idx", "class_id", "conf", "x1", "y1", "x2", "y2"]
     batch = rows_of(catalogue.associate_batch(spark, sf_dir).select(*columns))
     stream = catalogue.associate_stream(spark, sf_dir)
@@ -36,9 +36,11 @@ def test_stream_rate_limit_equals_fold(spark, sf_dir):
 
 
 def test_sweep_scores_every_candidate(spark, sf_dir):
-    found = {r.candidate: r.fitness for r in catalogue.sweep_best(spark, sf_dir).collect()}
+    found = {r.candidate: r.fitness for r in catalogue.sweep_scores(spark, sf_dir).collect()}
     assert set(found) == {"default", "strict", "loose"}
     assert all(-5 < f <= 1 for f in found.values())
+    top = catalogue.sweep_best(spark, sf_dir).collect()
+    assert [(r.candidate, r.fitness) for r in top] == [max(found.items(), key=lambda x: x[1])]
 
 
 def test_lookups_go_on_after_1000_seconds(spark, tmp_path):

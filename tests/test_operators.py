@@ -33,9 +33,9 @@ def test_assignment_equals_brute_force(rows, columns, random):
 
 
 def boxes(spark, rows):
-    """(seq, frame, track, left) as boxes of width 10 and height 10."""
+    """(seq, frame, trajectory, left) as boxes of width 10 and height 10."""
     data = [(s, f, t, float(x), 0.0, float(x) + 10, 10.0) for s, f, t, x in rows]
-    return spark.createDataFrame(data, f"seq_id long, frame_idx long, track_id long, {BOX}")
+    return spark.createDataFrame(data, f"seq_id long, frame_idx long, traj_id long, {BOX}")
 
 
 def test_last_match_wins_over_a_closer_new_one(spark):
@@ -74,19 +74,19 @@ def test_empty_tables(spark):
 
 def test_greedy_takes_the_first_free_object(spark):
     schema = f"f long, class_id int, conf double, {BOX}"
-    gt = spark.createDataFrame([(0, 0, 1.0, 0.0, 0.0, 10.0, 10.0, 1), (0, 0, 0.9, 1.0, 0.0, 11.0, 10.0, 2)], schema + ", track_id long")
+    gt = spark.createDataFrame([(0, 0, 1.0, 0.0, 0.0, 10.0, 10.0, 1), (0, 0, 0.9, 1.0, 0.0, 11.0, 10.0, 2)], schema + ", traj_id long")
     det = spark.createDataFrame([(0, 0, 0.8, 1.0, 0.0, 11.0, 10.0, 1), (0, 0, 0.7, 0.0, 0.0, 10.0, 10.0, 2), (0, 1, 0.9, 0.0, 0.0, 10.0, 10.0, 3)], schema + ", det_id long")
     found = {r.det_id: r.gt_id for r in detection.greedy_matches(gt, det, ["f"]).collect()}
     assert found == {1: 1, 2: 2, 3: None}
 
 
-@pytest.mark.parametrize(("t", "tracks"), [(0.0, {1: 0.0, 2: 5.0}), (0.05, {1: 5.0, 2: 5.0}), (0.45, {1: 45.0, 3: 9.0}), (0.2, {1: 20.0}), (0.5, {1: 50.0, 3: 9.0}), (9.0, {1: 50.0, 3: 9.0})])
-def test_interpolation_rules(spark, t, tracks):
+@pytest.mark.parametrize(("t", "trajectories"), [(0.0, {1: 0.0, 2: 5.0}), (0.05, {1: 5.0, 2: 5.0}), (0.45, {1: 45.0, 3: 9.0}), (0.2, {1: 20.0}), (0.5, {1: 50.0, 3: 9.0}), (9.0, {1: 50.0, 3: 9.0})])
+def test_interpolation_rules(spark, t, trajectories):
     frames = spark.createDataFrame([(0, 0, 0.0, True), (0, 1, 0.25, False), (0, 2, 0.5, True)], "seq_id long, frame_idx long, frame_time double, tracked boolean")
-    objects = spark.createDataFrame([(0, 0, 1, 0, 1.0, 0.0, 0.0, 1.0, 1.0), (0, 0, 2, 0, 1.0, 5.0, 0.0, 1.0, 1.0), (0, 2, 1, 0, 1.0, 50.0, 0.0, 1.0, 1.0), (0, 2, 3, 0, 1.0, 9.0, 0.0, 1.0, 1.0)], f"seq_id long, frame_idx long, track_id long, class_id int, conf double, {BOX}")
+    objects = spark.createDataFrame([(0, 0, 1, 0, 1.0, 0.0, 0.0, 1.0, 1.0), (0, 0, 2, 0, 1.0, 5.0, 0.0, 1.0, 1.0), (0, 2, 1, 0, 1.0, 50.0, 0.0, 1.0, 1.0), (0, 2, 3, 0, 1.0, 9.0, 0.0, 1.0, 1.0)], f"seq_id long, frame_idx long, traj_id long, class_id int, conf double, {BOX}")
     grid = spark.createDataFrame([(0, t)], "seq_id long, t double")
-    found = {r.track_id: round(r.x1, 3) for r in timegrid.objects_at(grid, frames, objects, ["seq_id"]).collect()}
-    assert found == tracks
+    found = {r.traj_id: round(r.x1, 3) for r in timegrid.objects_at(grid, frames, objects, ["seq_id"]).collect()}
+    assert found == trajectories
 
 
 def test_kalman_equals_dense_matrices(spark):
@@ -94,7 +94,7 @@ def test_kalman_equals_dense_matrices(spark):
     z = np.column_stack([np.cumsum(random.normal(0.01, 0.005, 12)) + 0.3, np.cumsum(random.normal(0, 0.005, 12)) + 0.4, np.full(12, 0.1), np.full(12, 0.2) + random.normal(0, 0.01, 12)])
     times = np.cumsum(random.uniform(0.02, 0.2, 12))
     rows = [(1, float(t), float(x - w / 2), float(y - h / 2), float(x + w / 2), float(y + h / 2)) for t, (x, y, w, h) in zip(times, z, strict=True)]
-    found = motion.kalman_smooth(spark.createDataFrame(rows, f"track_id long, frame_time double, {BOX}"), ["track_id"]).orderBy("frame_time").collect()
+    found = motion.kalman_smooth(spark.createDataFrame(rows, f"traj_id long, frame_time double, {BOX}"), ["traj_id"]).orderBy("frame_time").collect()
     m = np.array([[x, y, w / h, h] for x, y, w, h in z])
     pos, vel = lambda h: np.array([h / 20, h / 20, 1e-2, h / 20]), lambda h: np.array([h / 160, h / 160, 1e-5, h / 160])
     state = np.concatenate([m[0], np.zeros(4)])
@@ -109,10 +109,10 @@ def test_kalman_equals_dense_matrices(spark):
         gain = cov @ see.T @ np.linalg.inv(see @ cov @ see.T + r)
         state, cov = state + gain @ (m[k] - see @ state), cov - gain @ see @ cov
         assert np.allclose([found[k].cx, found[k].cy, found[k].a, found[k].h], state[:4], atol=1e-9)
-    tracker = associate.BoxFilter(np.array(rows[0][2:]), times[0])
+    associator = associate.BoxFilter(np.array(rows[0][2:]), times[0])
     for k in range(1, 12):
-        tracker.update(np.array(rows[k][2:]), times[k])
-    assert np.allclose(tracker.p, state[:4], atol=1e-9)
+        associator.update(np.array(rows[k][2:]), times[k])
+    assert np.allclose(associator.p, state[:4], atol=1e-9)
 
 
 def test_split_and_whole_association_agree(spark):
@@ -122,7 +122,7 @@ def test_split_and_whole_association_agree(spark):
     columns = ["frame_idx", "conf", "x1", "x2"]
     split, whole = (associate.associate(frames, detections, ["seq_id"], split=s) for s in (True, False))
     assert rows_of(split.select(*columns)) == rows_of(whole.select(*columns))
-    assert split.select("track_id").distinct().count() == whole.select("track_id").distinct().count() == 2
+    assert split.select("traj_id").distinct().count() == whole.select("traj_id").distinct().count() == 2
 
 
 def test_grow_and_cells(spark):
@@ -169,19 +169,19 @@ def test_mot_files(spark, tmp_path):
     sequences, frames, objects = annotations.read_mot(spark, str(tmp_path))
     assert sequences.first().classes == ["person", "vehicle", "other"]
     assert [(r.frame_idx, r.frame_time, r.image_path[-14:]) for r in frames.orderBy("frame_idx").collect()] == [(0, 0.0, "mg1/000001.jpg"), (1, 0.1, "mg1/000002.jpg"), (2, 0.2, "mg1/000003.jpg")]
-    found = [(r.frame_idx, r.track_id, r.class_id, r.conf, r.x1, r.y2) for r in objects.orderBy("frame_idx").collect()]
+    found = [(r.frame_idx, r.traj_id, r.class_id, r.conf, r.x1, r.y2) for r in objects.orderBy("frame_idx").collect()]
     assert found == [(0, 7, 0, 1.0, 0.1, 0.3), (1, 7, 1, 1.0, 0.11, 0.3)]
 
 
 def test_native_round_trip(spark, tmp_path):
     sequences = spark.createDataFrame([("a b", 25.0, 64, 48, ["person"])], "seq string, frame_rate double, width int, height int, classes array<string>")
     frames = spark.createDataFrame([("a b", 0, 0.0, True, None), ("a b", 1, 0.04, False, None), ("a b", 2, 0.08, True, "p")], "seq string, frame_idx long, frame_time double, tracked boolean, image_path string")
-    objects = spark.createDataFrame([("a b", 0, 5, 0, 0.5, 0.0, 0.1, 0.2, 0.3)], f"seq string, frame_idx long, track_id long, class_id int, conf double, {BOX}")
+    objects = spark.createDataFrame([("a b", 0, 5, 0, 0.5, 0.0, 0.1, 0.2, 0.3)], f"seq string, frame_idx long, traj_id long, class_id int, conf double, {BOX}")
     text = annotations.native_documents(sequences, frames, objects).first()
     assert text.file == "a-b"
     (tmp_path / "a-b.json").write_text(text.document)
     s, f, o, d, r = annotations.read_native(spark, f"{tmp_path}/*.json")
     assert s.first().width == 64
     assert rows_of(f.select("frame_idx", "frame_time", "tracked")) == rows_of(frames.select("frame_idx", "frame_time", "tracked"))
-    assert rows_of(o.select("track_id", "conf", "x1", "y1", "x2", "y2")) == rows_of(objects.select("track_id", "conf", "x1", "y1", "x2", "y2"))
+    assert rows_of(o.select("traj_id", "conf", "x1", "y1", "x2", "y2")) == rows_of(objects.select("traj_id", "conf", "x1", "y1", "x2", "y2"))
     assert d.count() == r.count() == 0

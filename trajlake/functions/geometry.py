@@ -84,5 +84,11 @@ def unmap(value: Column, low: Column, high: Column) -> Column:
     return low + value * (high - low)
 
 
+def detection(b: Box, class_id: Column, conf: Column, traj_id: Column) -> Column:
+    """An object as a detection: box, class, confidence and id. An id that isn't a whole number fails."""
+    whole = F.when(traj_id == F.floor(traj_id), traj_id.cast("long")).otherwise(F.raise_error(F.concat(F.lit("no whole id: "), traj_id.cast("string"))).cast("long"))
+    return F.struct(F.array(*b).alias("box"), class_id.alias("class_id"), conf.alias("conf"), F.when(traj_id.isNotNull(), whole).alias("traj_id"))
+
+
 def lerp(a: Column, b: Column, share: Column) -> Column:
     return a + (b - a) * share

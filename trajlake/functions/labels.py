@@ -19,8 +19,8 @@ def image_path(folder: Column, number: Column, extension: str = ".jpg") -> Colum
     return F.concat(folder, F.lit("/"), F.format_string("%06d", number), F.lit(extension))
 
 
-def hex_id(track_id: Column) -> Column:
-    return F.format_string("%x", track_id)
+def hex_id(traj_id: Column) -> Column:
+    return F.format_string("%x", traj_id)
 
 
 def class_name(classes: Column, class_id: Column) -> Column:

@@ -31,6 +31,11 @@ def adjusted_confidence(conf: Column, point_conf: Column, weight: float) -> Colu
     return conf + weight * F.aggregate(F.coalesce(point_conf, F.array().cast("array<double>")), F.lit(0.0), lambda s, c: s + c)
 
 
+def clamped(threshold: Column) -> Column:
+    """A detector's threshold within what it takes."""
+    return F.greatest(F.lit(0.01), F.least(F.lit(0.95), threshold))
+
+
 def tier(conf: Column, low: float, high: float, initial: float) -> Column:
     """In which pass of the association a detection may first be matched."""
     return F.when(conf > initial, "initial").when(conf > high, "high").when(conf > low, "low").otherwise("none")

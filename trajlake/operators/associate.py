@@ -1,7 +1,7 @@
-"""Association of detections to tracks: what is sequential within one sequence, as a step function over one frame.
+"""Association of detections to trajectories: what is sequential within one sequence, as a step function over one frame.
 
-Batch and stream share `Tracker.step`. In batch, a sequence is first cut wherever so many processed frames lack a usable
-detection that no track survives; the parts are folded as groups of their own, and track ids are (part, number).
+Batch and stream share `Associator.step`. In batch, a sequence is first cut wherever so many processed frames lack a usable
+detection that no trajectory survives; the parts are folded as groups of their own, and trajectory ids are (part, number).
 """
 
 from __future__ import annotations
@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .assignment import assign
-from .motion import POSITION, RATIO, RATIO_NOISE, RATIO_VELOCITY, TIME_SCALE, VELOCITY
+from .motion import BoxFilter
 
 #: Default parameters of the association.
 PARAMS = {
-    "kf_weight": 0.5, "kf_warmup": 1.0, "fuse_scores": 0.5, "sim_weight": 0.0, "track_initial_thr": 0.6, "track_high_thr": 0.4, "track_low_thr": 0.1,
-    "match_thr_initial": 0.3, "match_thr_high": 0.25, "match_thr_low": 0.2, "new_track_thr": 0.3, "immediate_confirm_thr": 0.5, "track_buffer_seconds": 2.0, "delete_dup_iou": 0.7,
+    "kf_weight": 0.5, "kf_warmup": 1.0, "fuse_scores": 0.5, "sim_weight": 0.0, "traj_initial_thr": 0.6, "traj_high_thr": 0.4, "traj_low_thr": 0.1,
+    "match_thr_initial": 0.3, "match_thr_high": 0.25, "match_thr_low": 0.2, "new_traj_thr": 0.3, "immediate_confirm_thr": 0.5, "traj_buffer_seconds": 2.0, "delete_dup_iou": 0.7,
 }
-#: Frames without a match after which a track is lost, and after which a lost track ends.
+#: Frames without a match after which a trajectory is lost, and after which a lost trajectory ends.
 LOST_AFTER, END_AFTER = 2, 10
 NEW, TRACKED, LOST = "New", "Tracked", "Lost"
 
@@ -35,40 +35,14 @@ def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(common, whole, out=np.zeros_like(common), where=whole > 0)
 
 
-class BoxFilter:
-    """The constant-velocity filter of operators.motion, four coordinates at once."""
-
-    def __init__(self, box: np.ndarray, time: float):
-        z = self.measure(box)
-        self.time, self.p, self.v = time, z, np.zeros(4)
-        self.c = np.array([self.noise(2 * POSITION * z[3], RATIO), np.zeros(4), self.noise(10 * VELOCITY * z[3], RATIO_VELOCITY)])
-
-    @staticmethod
-    def measure(box: np.ndarray) -> np.ndarray:
-        h = box[3] - box[1]
-        return np.array([(box[0] + box[2]) / 2, (box[1] + box[3]) / 2, (box[2] - box[0]) / h if h else 0.0, h])
-
-    @staticmethod
-    def noise(scale: float, ratio: float) -> np.ndarray:
-        return np.array([scale, scale, ratio, scale]) ** 2
-
-    def predicted(self, time: float) -> np.ndarray:
-        x, y, a, h = self.p + (time - self.time) * TIME_SCALE * self.v
-        return np.array([x - a * h / 2, y - h / 2, x + a * h / 2, y + h / 2])
-
-    def update(self, box: np.ndarray, time: float) -> None:
-        dt, before, z = (time - self.time) * TIME_SCALE, abs(self.p[3]), self.measure(box)
-        p, (c00, c01, c11) = self.p + dt * self.v, self.c
-        c00 = c00 + 2 * dt * c01 + dt * dt * c11 + self.noise(POSITION * before, RATIO)
-        c01, c11 = c01 + dt * c11, c11 + self.noise(VELOCITY * before, RATIO_VELOCITY)
-        total = c00 + self.noise(POSITION * abs(p[3]), RATIO_NOISE)
-        k0, k1, wrong = c00 / total, c01 / total, z - p
-        self.time, self.p, self.v = time, p + k0 * wrong, self.v + k1 * wrong
-        self.c = np.array([c00 - k0 * k0 * total, c01 - k0 * k1 * total, c11 - k1 * k1 * total])
+def measured(box: np.ndarray) -> np.ndarray:
+    """Centre, ratio and height of a box."""
+    h = box[3] - box[1]
+    return np.array([(box[0] + box[2]) / 2, (box[1] + box[3]) / 2, (box[2] - box[0]) / h if h else 0.0, h])
 
 
 @dataclass
-class Track:
+class Trajectory:
     number: int
     box: np.ndarray
     conf: float
@@ -81,19 +55,19 @@ class Track:
 
 
 @dataclass
-class Tracker:
-    """All tracks of one sequence. step() takes a frame's detections and gives the rows of its tracks."""
+class Associator:
+    """All trajectories of one sequence. step() takes a frame's detections and gives the rows of its trajectories."""
 
     params: dict = field(default_factory=lambda: dict(PARAMS))
-    tracks: list[Track] = field(default_factory=list)
+    trajectories: list[Trajectory] = field(default_factory=list)
     started: int = 0
     last_time: float = -np.inf
 
-    def scores(self, boxes: np.ndarray, confs: np.ndarray, tracks: list[Track], time: float, least: float) -> np.ndarray:
-        """Weighted mean of the overlaps with each track's last and predicted box, 0 below `least`, by confidence."""
+    def scores(self, boxes: np.ndarray, confs: np.ndarray, trajectories: list[Trajectory], time: float, least: float) -> np.ndarray:
+        """Weighted mean of the overlaps with each trajectory's last and predicted box, 0 below `least`, by confidence."""
         p = self.params
-        last, ahead = np.array([t.box for t in tracks]), np.array([t.filter.predicted(time) for t in tracks])
-        weight = np.array([0.0 if t.observations < 2 else p["kf_weight"] * (1 - max(0.1, 1 / t.observations) ** p["kf_warmup"]) for t in tracks])
+        last, ahead = np.array([t.box for t in trajectories]), np.array([t.filter.predicted(time) for t in trajectories])
+        weight = np.array([0.0 if t.observations < 2 else p["kf_weight"] * (1 - max(0.1, 1 / t.observations) ** p["kf_warmup"]) for t in trajectories])
         score = (iou_matrix(boxes, last) + iou_matrix(boxes, ahead) * weight) / (1 + weight)
         return np.where(score < least, 0, score) * (confs ** p["fuse_scores"])[:, None]
 
@@ -101,9 +75,9 @@ class Tracker:
         """(number, class, conf, x1, y1, x2, y2) of every tracked object."""
         p, order = self.params, np.lexsort((boxes[:, 1], boxes[:, 0], -confs)) if len(boxes) else np.zeros(0, int)
         boxes, confs, classes = boxes[order], confs[order], classes[order]
-        free, waiting, alive = np.ones(len(boxes), bool), list(self.tracks), []
+        free, waiting, alive = np.ones(len(boxes), bool), list(self.trajectories), []
         for name, all_states in (("initial", False), ("high", True), ("low", True)):
-            dets = np.flatnonzero(free & (confs > p[f"track_{name}_thr"]))
+            dets = np.flatnonzero(free & (confs > p[f"traj_{name}_thr"]))
             olds = [t for t in waiting if all_states or t.state != LOST]
             if not len(dets) or not olds:
                 continue
@@ -112,36 +86,36 @@ class Tracker:
             clear = hits.sum(axis=0).max() <= 1 and hits.sum(axis=1).max() <= 1  # nothing to choose
             for d, o in zip(*np.nonzero(hits), strict=True) if clear else assign(np.where(hits, -score, 0.0)):
                 if score[d, o] > 0:
-                    track, k = olds[o], dets[d]
-                    track.filter.update(boxes[k], time)
-                    track.box, track.conf, track.class_id, track.seen = boxes[k], float(confs[k]), int(classes[k]), time
-                    track.observations, track.missed = track.observations + 1, 0
-                    if name != "low" or track.state == LOST:
-                        track.state = TRACKED
+                    trajectory, k = olds[o], dets[d]
+                    trajectory.filter.update(measured(boxes[k]), time)
+                    trajectory.box, trajectory.conf, trajectory.class_id, trajectory.seen = boxes[k], float(confs[k]), int(classes[k]), time
+                    trajectory.observations, trajectory.missed = trajectory.observations + 1, 0
+                    if name != "low" or trajectory.state == LOST:
+                        trajectory.state = TRACKED
                     free[k] = False
-                    waiting.remove(track)
-                    alive.append(track)
-        for k in np.flatnonzero(free & (confs > p["new_track_thr"])):
+                    waiting.remove(trajectory)
+                    alive.append(trajectory)
+        for k in np.flatnonzero(free & (confs > p["new_traj_thr"])):
             state = TRACKED if confs[k] > p["immediate_confirm_thr"] else NEW
-            alive.append(Track(self.started, boxes[k], float(confs[k]), int(classes[k]), state, BoxFilter(boxes[k], time), time))
+            alive.append(Trajectory(self.started, boxes[k], float(confs[k]), int(classes[k]), state, BoxFilter(measured(boxes[k]), time), time))
             self.started += 1
-        for track in waiting:
-            track.missed += 1
-            if (time - track.seen < p["track_buffer_seconds"] and track.missed < END_AFTER) or track.state == TRACKED:
-                alive.append(track)
-        for track in alive:
-            if track.state == TRACKED and track.missed >= LOST_AFTER:
-                track.state = LOST
-        self.tracks, self.last_time = self._without_duplicates(alive), time
-        return [(t.number, t.class_id, t.conf, *map(float, t.box)) for t in self.tracks if t.state == TRACKED]
-
-    def _without_duplicates(self, tracks: list[Track]) -> list[Track]:
-        live, lost = [t for t in tracks if t.state == TRACKED], [t for t in tracks if t.state == LOST]
+        for trajectory in waiting:
+            trajectory.missed += 1
+            if (time - trajectory.seen < p["traj_buffer_seconds"] and trajectory.missed < END_AFTER) or trajectory.state == TRACKED:
+                alive.append(trajectory)
+        for trajectory in alive:
+            if trajectory.state == TRACKED and trajectory.missed >= LOST_AFTER:
+                trajectory.state = LOST
+        self.trajectories, self.last_time = self._without_duplicates(alive), time
+        return [(t.number, t.class_id, t.conf, *map(float, t.box)) for t in self.trajectories if t.state == TRACKED]
+
+    def _without_duplicates(self, trajectories: list[Trajectory]) -> list[Trajectory]:
+        live, lost = [t for t in trajectories if t.state == TRACKED], [t for t in trajectories if t.state == LOST]
         if live and lost:
             overlap = iou_matrix(np.array([t.box for t in live]), np.array([t.box for t in lost]))
             gone = {lost[c].number for r, c in assign(np.where(overlap >= self.params["delete_dup_iou"], -overlap, 0.0)) if overlap[r, c] >= self.params["delete_dup_iou"]}
-            tracks = [t for t in tracks if t.number not in gone]
-        return tracks
+            trajectories = [t for t in trajectories if t.number not in gone]
+        return trajectories
 
     def frames(self, rows: pd.DataFrame) -> pd.DataFrame:
         """Step through rows (frame_idx, frame_time, class_id, conf, box); a row without a box is a frame without
@@ -158,10 +132,10 @@ class Tracker:
                 some = np.arange(lo, hi)[~np.isnan(conf[lo:hi])]
                 found = self.step(float(time[lo]), boxes[some], conf[some], classes[some])
                 out += [(int(frame[lo]), float(time[lo]), *row) for row in found]
-        return pd.DataFrame(out, columns=["frame_idx", "frame_time", "track_id", "class_id", "conf", "x1", "y1", "x2", "y2"])
+        return pd.DataFrame(out, columns=["frame_idx", "frame_time", "traj_id", "class_id", "conf", "x1", "y1", "x2", "y2"])
 
 
-OUT = "frame_idx long, frame_time double, track_id long, class_id int, conf double, x1 double, y1 double, x2 double, y2 double"
+OUT = "frame_idx long, frame_time double, traj_id long, class_id int, conf double, x1 double, y1 double, x2 double, y2 double"
 COLUMNS = ["frame_idx", "frame_time", "class_id", "conf", "x1", "y1", "x2", "y2"]
 
 
@@ -178,19 +152,19 @@ def with_segments(frames: DataFrame, detections: DataFrame, keys: list[str], lea
 
 
 def associate(frames: DataFrame, detections: DataFrame, keys: list[str], params: dict | None = None, split: bool = True) -> DataFrame:
-    """Tracks of all sequences: keys, frame_idx, frame_time, track_id, class_id, conf and box.
+    """Tracks of all sequences: keys, frame_idx, frame_time, traj_id, class_id, conf and box.
 
-    track_id is segment << 32 | number. split=False folds whole sequences, with equal tracks but for their ids.
+    traj_id is segment << 32 | number. split=False folds whole sequences, with equal trajectories but for their ids.
     """
     chosen = PARAMS | (params or {})
-    least = min(chosen[k] for k in ("track_initial_thr", "track_high_thr", "track_low_thr", "new_track_thr"))
+    least = min(chosen[k] for k in ("traj_initial_thr", "traj_high_thr", "traj_low_thr", "new_traj_thr"))
     rows = with_segments(frames, detections, keys, least)
     if not split:
         rows = rows.withColumn("segment", F.lit(0).cast("long"))
 
     def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        out = Tracker(chosen).frames(group[COLUMNS])
-        out["track_id"] += int(key[-1]) << 32
+        out = Associator(chosen).frames(group[COLUMNS])
+        out["traj_id"] += int(key[-1]) << 32
         for k, name in enumerate(keys):
             out.insert(k, name, key[k])
         return out
@@ -199,7 +173,7 @@ def associate(frames: DataFrame, detections: DataFrame, keys: list[str], params:
     return rows.groupBy(*keys, "segment").applyInPandas(fold, ", ".join([*(f"{k} {kinds[k]}" for k in keys), OUT]))
 
 
-#: Associators by name; each is (frames, detections, keys, params) -> tracks. Add to it to plug in another.
+#: Associators by name; each is (frames, detections, keys, params) -> trajectories. Add to it to plug in another.
 ASSOCIATORS: dict[str, Callable[..., DataFrame]] = {"kalman_iou": associate}
 
 

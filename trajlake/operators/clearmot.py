@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .assignment import assign
 from .components import pair_components
 from .pairs import iou_pairs
+from .tables import kept
+from .timegrid import nearest
 
 
 def fold_matches(group: pd.DataFrame, last: dict[int, int] | None = None) -> pd.DataFrame:
@@ -23,17 +25,17 @@ def fold_matches(group: pd.DataFrame, last: dict[int, int] | None = None) -> pd.
     last, out = {} if last is None else last, []
     for frame, rows in group.sort_values(["frame_idx", "oid", "hid"]).groupby("frame_idx", sort=True):
         near = {(o, h): d for o, h, d in zip(rows.oid, rows.hid, rows.d, strict=True)}
-        kept, used = {}, set()
+        found, used = {}, set()
         for o in sorted({o for o, _ in near}):
             h = last.get(o)
             if (o, h) in near and h not in used:
-                kept[o] = h
+                found[o] = h
                 used.add(h)
-        oids = sorted({o for o, _ in near} - kept.keys())
+        oids = sorted({o for o, _ in near} - found.keys())
         hids = sorted({h for _, h in near} - used)
         cost = np.array([[near.get((o, h), np.inf) for h in hids] for o in oids]).reshape(len(oids), len(hids))
-        kept |= {oids[r]: hids[c] for r, c in assign(cost)}
-        for o, h in sorted(kept.items()):
+        found |= {oids[r]: hids[c] for r, c in assign(cost)}
+        for o, h in sorted(found.items()):
             out.append((frame, "SWITCH" if last.get(o, h) != h else "MATCH", o, h, near[o, h]))
             last[o] = h
     return pd.DataFrame(out, columns=["frame_idx", "type", "oid", "hid", "d"])
@@ -41,13 +43,17 @@ def fold_matches(group: pd.DataFrame, last: dict[int, int] | None = None) -> pd.
 
 def matches(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """MATCH and SWITCH events of gated pairs (keys, frame_idx, oid, hid, d)."""
-    frame = [*keys, "frame_idx"]
-    labelled = pairs.join(pair_components(pairs, keys), [*keys, "oid", "hid"])
-    double = [labelled.groupBy(*frame, side).agg(F.count("*").alias("n"), F.first("component").alias("component")).filter("n > 1").select(*keys, "component") for side in ("oid", "hid")]
-    unclear = double[0].unionByName(double[1]).distinct()
-    order = Window.partitionBy(*keys, "oid").orderBy("frame_idx")
-    before = F.lag("hid").over(order)
-    clear = labelled.join(unclear, [*keys, "component"], "left_anti").withColumn("type", F.when(before != F.col("hid"), "SWITCH").otherwise("MATCH"))
+    frame, columns = [*keys, "frame_idx"], [*keys, "frame_idx", "type", "oid", "hid", "d"]
+    before = F.lag("hid").over(Window.partitionBy(*keys, "oid").orderBy("frame_idx"))
+    kind = F.when(before != F.col("hid"), "SWITCH").otherwise("MATCH")
+    counted = [pairs.groupBy(*frame, side).agg(F.count("*").alias("n"), F.min("oid").alias("one")).filter("n > 1").select(*keys, F.col("one").alias("oid")) for side in ("oid", "hid")]
+    double = kept(counted[0].unionByName(counted[1]).distinct(), "double")
+    if double.isEmpty():  # nothing to choose in any frame
+        return pairs.withColumn("type", kind).select(*columns)
+    labels = pair_components(pairs, keys)
+    unclear = labels.join(double, [*keys, "oid"]).select(*keys, "component").distinct()
+    labelled = pairs.join(labels, [*keys, "oid", "hid"])
+    clear = labelled.join(unclear, [*keys, "component"], "left_anti").withColumn("type", kind)
 
     def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         out = fold_matches(group)
@@ -56,24 +62,17 @@ def matches(pairs: DataFrame, keys: list[str]) -> DataFrame:
         return out
 
     folded = labelled.join(unclear, [*keys, "component"], "left_semi").groupBy(*keys, "component").applyInPandas(fold, ", ".join([*(f"{k} {dict(pairs.dtypes)[k]}" for k in keys), "frame_idx long, type string, oid long, hid long, d double"]))
-    columns = [*keys, "frame_idx", "type", "oid", "hid", "d"]
     return clear.select(*columns).unionByName(folded.select(*columns))
 
 
-def unambiguous_matches(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """matches() where it is known that no object and no prediction has two pairs in a frame: one window."""
-    before = F.lag("hid").over(Window.partitionBy(*keys, "oid").orderBy("frame_idx"))
-    return pairs.withColumn("type", F.when(before != F.col("hid"), "SWITCH").otherwise("MATCH")).select(*keys, "frame_idx", "type", "oid", "hid", "d")
-
-
-def events(objects: DataFrame, predictions: DataFrame, keys: list[str], max_distance: float = 0.45, unambiguous: bool = False) -> DataFrame:
+def events(objects: DataFrame, predictions: DataFrame, keys: list[str], max_distance: float = 0.45) -> DataFrame:
     """keys, frame_idx, type (MATCH, SWITCH, MISS or FP), oid, hid and d of every object and prediction."""
     frame = [*keys, "frame_idx"]
     pairs = iou_pairs(objects, predictions, frame, max_distance)
-    found = unambiguous_matches(pairs, keys) if unambiguous else matches(pairs, keys)
+    found = matches(pairs, keys)
     nothing = F.lit(None).cast("long")
-    missed = objects.select(*frame, F.col("track_id").alias("oid")).join(found, [*frame, "oid"], "left_anti").select(*frame, F.lit("MISS").alias("type"), "oid", nothing.alias("hid"), F.lit(None).cast("double").alias("d"))
-    false = predictions.select(*frame, F.col("track_id").alias("hid")).join(found, [*frame, "hid"], "left_anti").select(*frame, F.lit("FP").alias("type"), nothing.alias("oid"), "hid", F.lit(None).cast("double").alias("d"))
+    missed = objects.select(*frame, F.col("traj_id").alias("oid")).join(found, [*frame, "oid"], "left_anti").select(*frame, F.lit("MISS").alias("type"), "oid", nothing.alias("hid"), F.lit(None).cast("double").alias("d"))
+    false = predictions.select(*frame, F.col("traj_id").alias("hid")).join(found, [*frame, "hid"], "left_anti").select(*frame, F.lit("FP").alias("type"), nothing.alias("oid"), "hid", F.lit(None).cast("double").alias("d"))
     return found.unionByName(missed).unionByName(false)
 
 
@@ -103,7 +102,7 @@ def fragmentations(log: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def never_matched(log: DataFrame, keys: list[str], side: str) -> DataFrame:
-    """Ids of `side` ("hid": false-positive tracks, "oid": missed objects) that have no MATCH; a SWITCH isn't one."""
+    """Ids of `side` ("hid": false-positive trajectories, "oid": missed objects) that have no MATCH; a SWITCH isn't one."""
     return log.filter(F.col(side).isNotNull()).groupBy(*keys, side).agg(F.count_if(F.col("type") == "MATCH").alias("n")).filter("n = 0").select(*keys, side)
 
 
@@ -131,8 +130,8 @@ def measures(log: DataFrame, keys: list[str], identities: DataFrame | None = Non
         F.count("*").alias("num_unique_objects"), *(F.count_if(F.col("coverage") == c).alias(c) for c in ("mostly_tracked", "partially_tracked", "mostly_lost")),
         F.count_if(F.col("matched") == 0).alias("missed"), F.sum("fragmentations").alias("num_fragmentations"),
     )
-    by_track = never_matched(log, keys, "hid").groupBy(*keys).agg(F.count("*").alias("fp_tracks"))
-    out = base.join(by_object, keys, "left").join(by_track, keys, "left").fillna(0, ["num_unique_objects", "mostly_tracked", "partially_tracked", "mostly_lost", "missed", "num_fragmentations", "fp_tracks"])
+    by_traj = never_matched(log, keys, "hid").groupBy(*keys).agg(F.count("*").alias("fp_tracks"))
+    out = base.join(by_object, keys, "left").join(by_traj, keys, "left").fillna(0, ["num_unique_objects", "mostly_tracked", "partially_tracked", "mostly_lost", "missed", "num_fragmentations", "fp_tracks"])
     hits = F.col("num_matches") + F.col("num_switches")
     out = out.withColumns({
         "recall": F.try_divide(hits, F.col("num_objects")), "precision": F.try_divide(hits, F.col("num_predictions")),
@@ -146,8 +145,19 @@ def measures(log: DataFrame, keys: list[str], identities: DataFrame | None = Non
     return ratios(out)
 
 
-def label_objects(log: DataFrame) -> DataFrame:
-    """The label that an event gives its object and prediction in a picture."""
+def event_label(kind: Column) -> Column:
+    """What an event is called in a picture."""
     names = {"MATCH": "OK", "MISS": "MISS", "FP": "FP", "SWITCH": "SW", "TRANSFER": "TRANS", "MIGRATE": "MIG", "ASCEND": "ASC"}
-    label = F.coalesce(*(F.when(F.col("type") == k, v) for k, v in names.items()))
-    return log.withColumn("label", label)
+    return F.coalesce(*(F.when(kind == k, v) for k, v in names.items()))
+
+
+def label_objects(objects: DataFrame, log: DataFrame, frames: DataFrame, keys: list[str], side: str) -> DataFrame:
+    """objects (frame_time, traj_id) with the label of their event in the log's nearest frame; null where it has none.
+
+    `frames` gives the log's frames their frame_time. side: "oid" for true objects, "hid" for predictions. An object with
+    several events in a frame has a row for each.
+    """
+    times = objects.select(*keys, F.col("frame_time").alias("t")).distinct()
+    near = nearest(times, frames.select(*keys, "frame_idx", "frame_time"), keys).select(*keys, F.col("t").alias("frame_time"), F.col("frame_idx").alias("log_frame"))
+    told = log.filter(F.col(side).isNotNull()).select(*keys, F.col("frame_idx").alias("log_frame"), F.col(side).alias("traj_id"), event_label(F.col("type")).alias("label"))
+    return objects.join(near, [*keys, "frame_time"], "left").join(told, [*keys, "log_frame", "traj_id"], "left").drop("log_frame")

@@ -11,7 +11,7 @@ from ..functions import geometry as g
 def greedy_matches(objects: DataFrame, detections: DataFrame, keys: list[str], least_iou: float = 0.5) -> DataFrame:
     """detections with tp (0 or 1) and gt_id: by falling confidence, each takes the first free object of its class (by
     confidence, then id) with an IoU over least_iou. The order is a fold over a frame's candidates; no UDF."""
-    gt = objects.select(*keys, "class_id", F.col("track_id").alias("gt_id"), F.col("conf").alias("gt_conf"), *(F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")))
+    gt = objects.select(*keys, "class_id", F.col("traj_id").alias("gt_id"), F.col("conf").alias("gt_conf"), *(F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")))
     both = detections.join(gt, [*keys, "class_id"]).filter(g.iou(g.box("o_"), g.box()) > least_iou)
     rank = F.struct((-F.col("conf")).alias("less"), "det_id", (-F.col("gt_conf")).alias("gt_less"), "gt_id")
     start = F.struct(F.array().cast("array<struct<det_id:bigint,gt_id:bigint>>").alias("pairs"))
@@ -36,7 +36,9 @@ def average_precision(curve: DataFrame, by: list[str], ties: list[str], least_ob
     """ap (the area under the falling envelope), and precision and recall of all detections and of those from each threshold
     on; null for under least_objects objects."""
     order = Window.partitionBy(*by).orderBy(F.col("conf").desc(), *ties)
-    envelope = F.max("precision").over(order.rowsBetween(0, Window.unboundedFollowing))
+    # the greatest precision from here on: a running maximum from the end, as a frame of all that follows takes the square of the rows
+    from_end = Window.partitionBy(*by).orderBy(F.col("conf").asc(), *(F.col(t).desc() for t in ties)).rowsBetween(Window.unboundedPreceding, 0)
+    envelope = F.max("precision").over(from_end)
     gained = F.col("recall") - F.coalesce(F.lag("recall").over(order), F.lit(0.0))
     parts = curve.withColumn("part", envelope * gained)
     at = {}

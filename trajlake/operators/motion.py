@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,50 +32,52 @@ def shift_boxes(boxes: DataFrame, field: DataFrame, keys: list[str], ids: list[s
     return moved.drop("dx", "dy")
 
 
-def _axis(p: Column, v: Column, p00: Column, p01: Column, p11: Column) -> Column:
-    return F.struct(p.alias("p"), v.alias("v"), p00.alias("p00"), p01.alias("p01"), p11.alias("p11"))
+class BoxFilter:
+    """A constant-velocity filter of centre, ratio and height, the four coordinates at once.
 
+    The filter's eight-dimensional matrices couple only a coordinate and its own speed, so it is four filters of two
+    numbers, tied by the height in the noise: of the motion by the height before, of the measurement by the height after.
+    """
 
-def _start(x: Column, h: Column, ratio: bool) -> Column:
-    """State of one coordinate from its first measurement."""
-    if ratio:
-        return _axis(x, F.lit(0.0), F.lit(RATIO**2), F.lit(0.0), F.lit(RATIO_VELOCITY**2))
-    return _axis(x, F.lit(0.0), F.pow(2 * POSITION * h, 2.0), F.lit(0.0), F.pow(10 * VELOCITY * h, 2.0))
+    def __init__(self, z: np.ndarray, time: float):
+        self.time, self.p, self.v = time, z, np.zeros(4)
+        self.c = np.array([self.noise(2 * POSITION * z[3], RATIO), np.zeros(4), self.noise(10 * VELOCITY * z[3], RATIO_VELOCITY)])
 
+    @staticmethod
+    def noise(scale: float, ratio: float) -> np.ndarray:
+        return np.array([scale, scale, ratio, scale]) ** 2
 
-def _step(s: Column, x: Column, dt: Column, h_before: Column, h_after: Column, ratio: bool) -> Column:
-    """Predict over dt and correct by x: noise of the motion by the height before, of the measurement by the height after."""
-    q0 = F.lit(RATIO**2) if ratio else F.pow(POSITION * h_before, 2.0)
-    q1 = F.lit(RATIO_VELOCITY**2) if ratio else F.pow(VELOCITY * h_before, 2.0)
-    r = F.lit(RATIO_NOISE**2) if ratio else F.pow(POSITION * h_after, 2.0)
-    p, p00, p01, p11 = s["p"] + dt * s["v"], s["p00"] + 2 * dt * s["p01"] + dt * dt * s["p11"] + q0, s["p01"] + dt * s["p11"], s["p11"] + q1
-    total = p00 + r
-    k0, k1, wrong = p00 / total, p01 / total, x - p
-    return _axis(p + k0 * wrong, s["v"] + k1 * wrong, p00 - k0 * k0 * total, p01 - k0 * k1 * total, p11 - k1 * k1 * total)
+    def predicted(self, time: float) -> np.ndarray:
+        """The box at a time, without a change of the filter."""
+        x, y, a, h = self.p + (time - self.time) * TIME_SCALE * self.v
+        return np.array([x - a * h / 2, y - h / 2, x + a * h / 2, y + h / 2])
 
+    def update(self, z: np.ndarray, time: float) -> None:
+        """Predict up to a time and correct by what was measured."""
+        dt, before = (time - self.time) * TIME_SCALE, abs(self.p[3])
+        p, (c00, c01, c11) = self.p + dt * self.v, self.c
+        c00 = c00 + 2 * dt * c01 + dt * dt * c11 + self.noise(POSITION * before, RATIO)
+        c01, c11 = c01 + dt * c11, c11 + self.noise(VELOCITY * before, RATIO_VELOCITY)
+        total = c00 + self.noise(POSITION * abs(p[3]), RATIO_NOISE)
+        k0, k1, wrong = c00 / total, c01 / total, z - p
+        self.time, self.p, self.v = time, p + k0 * wrong, self.v + k1 * wrong
+        self.c = np.array([c00 - k0 * k0 * total, c01 - k0 * k1 * total, c11 - k1 * k1 * total])
 
-def kalman_smooth(objects: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, frame_time and the filtered centre, ratio and height (cx, cy, a, h) of each track, whose key is in `keys`.
 
-    The filter's eight-dimensional matrices couple only a coordinate and its own speed, so it is four filters of two
-    numbers, tied by the height in the noise. It runs as a fold over a track's sorted boxes.
-    """
-    names = ("cx", "cy", "a", "h")
+def kalman_smooth(objects: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, frame_time and the filtered centre, ratio and height (cx, cy, a, h) of each trajectory, whose key is in `keys`:
+    a fold over its boxes in order of time, each trajectory a group of its own (five numbers a frame)."""
+    names = ["cx", "cy", "a", "h"]
     measured = objects.select(*keys, "frame_time", *(c.alias(n) for c, n in zip(g.centre_form(g.box()), names, strict=True)))
-    track = measured.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame_time", *names))).alias("z"))
-
-    def row(t: Column, states: dict[str, Column]) -> Column:
-        return F.struct(t.alias("frame_time"), *(s["p"].alias(n) for n, s in states.items()))
-
-    first = F.get("z", F.lit(0))
-    begin = {n: _start(first[n], first["h"], n == "a") for n in names}
-    start = F.struct(first["frame_time"].alias("t"), *(s.alias(n) for n, s in begin.items()), F.array(row(first["frame_time"], begin)).alias("out"))
-
-    def advance(s: Column, z: Column) -> Column:
-        dt = (z["frame_time"] - s["t"]) * TIME_SCALE
-        before, after = F.abs(s["h"]["p"]), F.abs(s["h"]["p"] + dt * s["h"]["v"])
-        new = {n: _step(s[n], z[n], dt, before, after, n == "a") for n in names}
-        return F.struct(z["frame_time"].alias("t"), *(v.alias(n) for n, v in new.items()), F.array_append(s["out"], row(z["frame_time"], new)).alias("out"))
 
-    fold = F.aggregate(F.slice("z", F.lit(2), F.size("z")), start, advance, lambda s: s["out"])
-    return track.select(*keys, F.explode(fold).alias("o")).select(*keys, "o.*")
+    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["frame_time", *names], ignore_index=True)
+        z, times = rows[names].to_numpy(float), rows.frame_time.to_numpy(float)
+        state, out = BoxFilter(z[0], times[0]), z.copy()
+        for k in range(1, len(z)):
+            state.update(z[k], times[k])
+            out[k] = state.p
+        rows[names] = out
+        return rows
+
+    return measured.groupBy(*keys).applyInPandas(fold, measured.schema)

@@ -10,8 +10,8 @@ from ..functions import geometry as g
 
 def iou_pairs(objects: DataFrame, predictions: DataFrame, keys: list[str], max_distance: float = 0.45) -> DataFrame:
     """keys, oid, hid and d = 1 - IoU for pairs within the gate; one shuffle by the frame's keys."""
-    left = objects.select(*keys, F.col("track_id").alias("oid"), *(F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")))
-    right = predictions.select(*keys, F.col("track_id").alias("hid"), *(F.col(c).alias(f"h_{c}") for c in ("x1", "y1", "x2", "y2")))
+    left = objects.select(*keys, F.col("traj_id").alias("oid"), *(F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")))
+    right = predictions.select(*keys, F.col("traj_id").alias("hid"), *(F.col(c).alias(f"h_{c}") for c in ("x1", "y1", "x2", "y2")))
     both = left.join(right, keys).withColumn("d", 1 - g.iou(g.box("o_"), g.box("h_")))
     return both.filter(F.col("d") <= max_distance).select(*keys, "oid", "hid", "d")
 
@@ -26,7 +26,7 @@ def grid_iou_pairs(objects: DataFrame, predictions: DataFrame, keys: list[str],
 
     def celled(df: DataFrame, name: str, prefix: str) -> DataFrame:
         unit = tuple(F.col(c) / s for c, s in zip(("x1", "y1", "x2", "y2"), scale, strict=True))
-        return df.select(*keys, F.col("track_id").alias(name), *(F.col(c).alias(f"{prefix}_{c}") for c in ("x1", "y1", "x2", "y2")), F.explode(g.grid_cells(unit, n)).alias("cell"))
+        return df.select(*keys, F.col("traj_id").alias(name), *(F.col(c).alias(f"{prefix}_{c}") for c in ("x1", "y1", "x2", "y2")), F.explode(g.grid_cells(unit, n)).alias("cell"))
 
     both = celled(objects, "oid", "o").join(celled(predictions, "hid", "h"), [*keys, "cell"])
     o, h = g.box("o_"), g.box("h_")
@@ -34,15 +34,15 @@ def grid_iou_pairs(objects: DataFrame, predictions: DataFrame, keys: list[str],
     return both.withColumn("d", 1 - g.iou(o, h)).filter((F.col("d") <= max_distance) & (F.col("cell") == first)).select(*keys, "oid", "hid", "d")
 
 
-def suppress_duplicates(tracks: DataFrame, keys: list[str], least_iou: float) -> DataFrame:
-    """tracks without the Lost ones that overlap a Tracked one by least_iou: pairs are taken one to one, best first where
+def suppress_duplicates(trajectories: DataFrame, keys: list[str], least_iou: float) -> DataFrame:
+    """trajectories without the Lost ones that overlap a Tracked one by least_iou: pairs are taken one to one, best first where
     they compete (each side's best partner, by IoU and then id; several rounds are folded in one array)."""
-    names = ["track_id", "x1", "y1", "x2", "y2"]
-    sides = {p: tracks.filter(F.col("state") == s).select(*keys, *(F.col(c).alias(f"{p}_{c}") for c in names)) for p, s in (("a", "Tracked"), ("b", "Lost"))}
+    names = ["traj_id", "x1", "y1", "x2", "y2"]
+    sides = {p: trajectories.filter(F.col("state") == s).select(*keys, *(F.col(c).alias(f"{p}_{c}") for c in names)) for p, s in (("a", "Tracked"), ("b", "Lost"))}
     pairs = sides["a"].join(sides["b"], keys).withColumn("iou", g.iou(g.box("a_"), g.box("b_"))).filter(F.col("iou") >= least_iou)
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("less"), F.col("a_track_id").alias("a"), F.col("b_track_id").alias("b"))))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("less"), F.col("a_traj_id").alias("a"), F.col("b_traj_id").alias("b"))))
     start = F.struct(F.array().cast("array<bigint>").alias("a"), F.array().cast("array<bigint>").alias("b"))
     free = lambda s, p: ~F.array_contains(s["a"], p["a"]) & ~F.array_contains(s["b"], p["b"])
     fold = F.aggregate(ordered, start, lambda s, p: F.when(free(s, p), F.struct(F.array_append(s["a"], p["a"].cast("bigint")).alias("a"), F.array_append(s["b"], p["b"].cast("bigint")).alias("b"))).otherwise(s), lambda s: s["b"])
-    gone = pairs.groupBy(*keys).agg(fold.alias("gone")).select(*keys, F.explode("gone").alias("track_id"))
-    return tracks.join(gone, [*keys, "track_id"], "left_anti")
+    gone = pairs.groupBy(*keys).agg(fold.alias("gone")).select(*keys, F.explode("gone").alias("traj_id"))
+    return trajectories.join(gone, [*keys, "traj_id"], "left_anti")

@@ -32,6 +32,20 @@ def pooled(results: DataFrame) -> DataFrame:
     return ratios(rolled).withColumns({c: F.col(f"mean_{c}") for c in AVERAGED}).drop("no_test", "no_group", "weighted", "several", *(f"mean_{c}" for c in AVERAGED))
 
 
+def with_pooled(results: DataFrame) -> DataFrame:
+    """The report's rows: all results, their pooled rows and their means, with nulls where one lacks a column."""
+    averages = means(long_form(results.withColumn("grp", F.col("grp").cast("string")), ["ds_key", "grp", "test_key"]))
+    metrics = [c for c, kind in results.dtypes if c not in ("ds_key", "grp", "test_key") and kind in ("int", "bigint", "double", "float")]
+    wide = averages.groupBy("ds_key", "test_key").pivot("metric", metrics).agg(F.first("value"))
+    return results.unionByName(pooled(results), allowMissingColumns=True).unionByName(wide, allowMissingColumns=True)
+
+
+def merged(base: Column, over: Column) -> Column:
+    """Two settings as one map; where both have a name, that of `over`. A null map is empty."""
+    base, over = (F.coalesce(m, F.create_map().cast("map<string,double>")) for m in (base, over))
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k)), over)
+
+
 def long_form(results: DataFrame, keys: list[str]) -> DataFrame:
     """keys, metric and value of every numeric column."""
     values = [c for c, kind in results.dtypes if c not in keys and kind in ("int", "bigint", "double", "float")]
@@ -82,9 +96,9 @@ def compare_runs(scores: DataFrame, keys: list[str], value: str = "mota", base:
     return scores.join(first, keys, "left").withColumns({"delta": delta, "differs": F.abs(delta) > least})
 
 
-def metric_table(long: DataFrame, runs: list[str]) -> DataFrame:
-    """A row for each metric, a column for each run."""
-    return long.groupBy("metric").pivot("run_id", runs).agg(F.first("value"))
+def metric_table(long: DataFrame, runs: list[str], by: list[str] | None = None) -> DataFrame:
+    """A row for each metric (and each of `by`), a column for each run."""
+    return long.groupBy(*(by or []), "metric").pivot("run_id", runs).agg(F.first("value"))
 
 
 def report_order(results: DataFrame, label: Column, sort_key: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .associate import COLUMNS, OUT, PARAMS, Tracker
+from .associate import COLUMNS, OUT, PARAMS, Associator, with_segments
 from .clearmot import events, measures
 
 OUT_OF_BOUNDS = -10000.0
@@ -42,23 +42,24 @@ def not_evaluated(candidates: DataFrame, done: DataFrame, vector: list[str]) ->
 
 def sweep(candidates: dict[str, dict], frames: DataFrame, detections: DataFrame, objects: DataFrame, keys: list[str], max_distance: float = 0.45) -> DataFrame:
     """fitness and the counts behind it for every candidate, pooled over all sequences: association, events and sums of all
-    candidates and sequences run in one job. Each (candidate, sequence) is a group of its own."""
+    candidates and sequences run in one job. Each candidate and part of a sequence (see with_segments) is a group of its own."""
     spark = frames.sparkSession
     names = spark.createDataFrame([(c,) for c in candidates], "candidate string")
-    joined = frames.select(*keys, "frame_idx", "frame_time").join(detections.select(*keys, "frame_idx", "class_id", "conf", "x1", "y1", "x2", "y2"), [*keys, "frame_idx"], "left")
-    work = joined.crossJoin(F.broadcast(names))  # configuration: one row for each candidate
+    least = min((PARAMS | c)[k] for c in candidates.values() for k in ("traj_initial_thr", "traj_high_thr", "traj_low_thr", "new_traj_thr"))
+    work = with_segments(frames, detections, keys, least).crossJoin(F.broadcast(names))  # configuration: one row for each candidate
     by = ["candidate", *keys]
 
     def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        out = Tracker(PARAMS | candidates[key[0]]).frames(group[COLUMNS])
+        out = Associator(PARAMS | candidates[key[0]]).frames(group[COLUMNS])
+        out["traj_id"] += int(key[-1]) << 32
         for k, name in enumerate(by):
             out.insert(k, name, key[k])
         return out
 
     kinds = dict(work.dtypes)
-    tracks = work.groupBy(*by).applyInPandas(fold, ", ".join([*(f"{k} {kinds[k]}" for k in by), OUT]))
+    trajectories = work.groupBy(*by, "segment").applyInPandas(fold, ", ".join([*(f"{k} {kinds[k]}" for k in by), OUT]))
     gt = objects.crossJoin(F.broadcast(names))
-    scores = measures(events(gt, tracks, by, max_distance), by)
+    scores = measures(events(gt, trajectories, by, max_distance), by)
     sums = scores.groupBy("candidate").agg(*(F.sum(c).alias(c) for c in ("num_objects", "num_misses", "num_false_positives", "num_switches", "fp_tracks", "num_frames")))
     mota = 1 - (F.col("num_misses") + F.col("num_false_positives") + F.col("num_switches")) / (F.col("num_objects") + 1e-7)
     sums = sums.withColumns({"mota": mota, "fp_per_frame": F.col("num_false_positives") / (F.col("num_frames") + 1e-7)})

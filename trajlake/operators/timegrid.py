@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -105,19 +107,46 @@ def bracket(grid: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, "t", F.col("left.frame_idx").alias("left_idx"), F.col("left.frame_time").alias("left_time"), F.col("right.frame_idx").alias("right_idx"), F.col("right.frame_time").alias("right_time"), share.alias("share"))
 
 
+def interpolated_parts(left: Column, right: Column, share: Column) -> dict[str, Column]:
+    """The parts of an object between two frames, from its structs in both (subbox, subbox_conf, pose_pos, pose_conf, face_pos,
+    face_conf, face_jpeg, clip_jpeg, face_embedding, clip_embedding; missing ones null).
+
+    A sub-box goes in a line where both have one, else it is the nearer frame's. Points of equal number go in a line and
+    their confidences are multiplied; of unequal number, a pose is the longer one, a face the nearer one that has points.
+    Pictures and embeddings come from the nearer frame.
+    """
+    near_left = share < 0.5
+    nearer = lambda n: F.when(near_left, left[n]).otherwise(right[n])
+    between = lambda a, b: F.zip_with(a, b, lambda x, y: lerp(x, y, share))
+    out, both = {}, left["subbox"].isNotNull() & right["subbox"].isNotNull()
+    out["subbox"] = F.when(both, between(left["subbox"], right["subbox"])).otherwise(nearer("subbox"))
+    out["subbox_conf"] = F.when(both, lerp(left["subbox_conf"], right["subbox_conf"], share)).otherwise(nearer("subbox_conf"))
+    for part in ("pose", "face"):
+        n, m = (F.coalesce(F.size(side[f"{part}_pos"]), F.lit(0)) for side in (left, right))
+        first = n >= m if part == "pose" else (near_left & (n > 0)) | (m <= 0)
+        for name, joined in ((f"{part}_pos", lambda a, b: F.zip_with(a, b, between)), (f"{part}_conf", lambda a, b: F.zip_with(a, b, lambda x, y: x * y))):
+            out[name] = F.when((n == m) & (n > 0), joined(left[name], right[name])).when(first, left[name]).otherwise(right[name])
+    return out | {n: nearer(n) for n in ("face_jpeg", "clip_jpeg", "face_embedding", "clip_embedding")}
+
+
+PARTS = ["subbox", "subbox_conf", "pose_pos", "pose_conf", "face_pos", "face_conf", "face_jpeg", "clip_jpeg", "face_embedding", "clip_embedding"]
+
+
 def objects_at(grid: DataFrame, frames: DataFrame, objects: DataFrame, keys: list[str], least_conf: float = 0.0001, hold: float = 0.1) -> DataFrame:
-    """The objects of each grid time: those of the bracketing frames, interpolated where both have the track.
+    """The objects of each grid time: those of the bracketing frames, interpolated where both have the trajectory.
 
-    Near an end (share under 0.01 or over 0.99) the end's objects are taken whole. Between, a track that only one side has
-    is taken from the nearer side if that is under `hold` seconds off. Class and id come from the left.
+    Near an end (share under 0.01 or over 0.99) the end's objects are taken whole. Between, a trajectory that only one side has
+    is taken from the nearer side if that is under `hold` seconds off. Class and id come from the left. Where objects have
+    the columns of PARTS, all of them, these are interpolated too (interpolated_parts).
     """
     around = bracket(grid, frames, keys)
     values = ["class_id", "conf", "x1", "y1", "x2", "y2"]
+    parts = PARTS if set(PARTS) <= set(objects.columns) else []
     sides = {}
     for side in ("left", "right"):
-        found = around.join(objects.filter((F.col("conf") >= least_conf) & F.col("class_id").isNotNull()).select(*keys, F.col("frame_idx").alias(f"{side}_idx"), "track_id", F.struct(*values).alias(side)), [*keys, f"{side}_idx"])
-        sides[side] = found.select(*keys, "t", "left_time", "right_time", "share", "track_id", side)
-    both = sides["left"].join(sides["right"], [*keys, "t", "left_time", "right_time", "share", "track_id"], "full_outer")
+        found = around.join(objects.filter((F.col("conf") >= least_conf) & F.col("class_id").isNotNull()).select(*keys, F.col("frame_idx").alias(f"{side}_idx"), "traj_id", F.struct(*values, *parts).alias(side)), [*keys, f"{side}_idx"])
+        sides[side] = found.select(*keys, "t", "left_time", "right_time", "share", "traj_id", side)
+    both = sides["left"].join(sides["right"], [*keys, "t", "left_time", "right_time", "share", "traj_id"], "full_outer")
     share, left, right = F.col("share"), F.col("left").isNotNull(), F.col("right").isNotNull()
     near_left = (share <= 0.5) & (F.col("t") - F.col("left_time") < hold)
     near_right = ~near_left & (share >= 0.5) & (F.col("right_time") - F.col("t") < hold)
@@ -129,9 +158,13 @@ def objects_at(grid: DataFrame, frames: DataFrame, objects: DataFrame, keys: lis
     def value(name: str) -> Column:
         a, b = F.col(f"left.{name}"), F.col(f"right.{name}")
         middle = a if name == "class_id" else lerp(a, b, share)
-        return F.when(F.col("source") == "both", middle).when(F.col("source") == "left", a).otherwise(b).alias(name)
+        return chosen(middle, name)
+
+    def chosen(middle: Column, name: str) -> Column:
+        return F.when(F.col("source") == "both", middle).when(F.col("source") == "left", F.col(f"left.{name}")).otherwise(F.col(f"right.{name}")).alias(name)
 
-    return both.withColumn("source", source).filter("source IS NOT NULL").select(*keys, "t", "track_id", *(value(v) for v in values))
+    whole = interpolated_parts(F.col("left"), F.col("right"), share) if parts else {}
+    return both.withColumn("source", source).filter("source IS NOT NULL").select(*keys, "t", "traj_id", *(value(v) for v in values), *(chosen(c, n) for n, c in whole.items()))
 
 
 def every_nth(frames: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -141,9 +174,21 @@ def every_nth(frames: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 
 def at_interval(frames: DataFrame, keys: list[str], interval: float) -> DataFrame:
-    """The first frame of each sequence, and then each that is `interval` or more after the last one taken: a fold over a
-    sequence's sorted times, without a UDF."""
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("times"))
-    take = lambda s, t: s["last"].isNull() | (t - s["last"] >= interval)
-    fold = F.aggregate(F.array_sort(F.collect_list("frame_time")), start, lambda s, t: F.when(take(s, t), F.struct(t.alias("last"), F.array_append(s["times"], t).alias("times"))).otherwise(s), lambda s: s["times"])
-    return frames.groupBy(*keys).agg(fold.alias("times")).select(*keys, F.explode("times").alias("frame_time"))
+    """The first frame of each sequence, and then each that is `interval` or more after the last one taken.
+
+    A frame behind a gap of `interval` is always taken, so sequences are cut there and the parts are walked on their own.
+    """
+    order = Window.partitionBy(*keys).orderBy("frame_time")
+    gap = F.col("frame_time") - F.lag("frame_time").over(order) >= interval
+    parts = frames.select(*keys, "frame_time").withColumn("new", F.coalesce(gap, F.lit(True)).cast("int"))
+    parts = parts.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+
+    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        times, taken, last = np.sort(rows.frame_time.to_numpy(float)), [], -np.inf
+        for t in times.tolist():
+            if t - last >= interval:
+                taken.append(t)
+                last = t
+        return pd.DataFrame([[*key[:-1], t] for t in taken], columns=[*keys, "frame_time"])
+
+    return parts.groupBy(*keys, "part").applyInPandas(walk, frames.select(*keys, F.col("frame_time").cast("double")).schema)

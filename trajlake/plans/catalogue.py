@@ -15,7 +15,7 @@ from . import fixtures as fx
 
 SEQ, FRAME = ["seq_id"], ["seq_id", "frame_idx"]
 BOX = ["x1", "y1", "x2", "y2"]
-CORE = [*FRAME, "track_id"]
+CORE = [*FRAME, "traj_id"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,51 +42,51 @@ def unit(df: DataFrame) -> DataFrame:
 # --- projections and filters
 
 
-@query("SELECT seq_id, frame_idx, track_id, frame_time FROM fx_gt WHERE frame_time BETWEEN 10.0 AND 30.0")
+@query("SELECT seq_id, frame_idx, traj_id, frame_time FROM fx_gt WHERE frame_time BETWEEN 10.0 AND 30.0")
 def trim_range(spark: SparkSession, d: str) -> DataFrame:
     return timegrid.trim(fx.gt(spark, d), 10.0, 30.0).select(*CORE, "frame_time")
 
 
-@query("SELECT seq_id, frame_idx, track_id, CASE track_id % 3 WHEN 0 THEN 1 WHEN 2 THEN 0 END AS class_id FROM fx_gt WHERE track_id % 3 <> 1")
+@query("SELECT seq_id, frame_idx, traj_id, CASE traj_id % 3 WHEN 0 THEN 1 WHEN 2 THEN 0 END AS class_id FROM fx_gt WHERE traj_id % 3 <> 1")
 def class_remap(spark: SparkSession, d: str) -> DataFrame:
-    classed = fx.gt(spark, d).withColumn("class_id", (F.col("track_id") % 3).cast("int"))
+    classed = fx.gt(spark, d).withColumn("class_id", (F.col("traj_id") % 3).cast("int"))
     return fr.remap_classes(classed, ["person", "vehicle", "other"], ["other", "person"]).select(*CORE, "class_id")
 
 
-@query("SELECT seq_id, frame_idx, track_id, CASE track_id % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'vehicle' ELSE 'other' END AS class_name FROM fx_gt")
+@query("SELECT seq_id, frame_idx, traj_id, CASE traj_id % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'vehicle' ELSE 'other' END AS class_name FROM fx_gt")
 def class_names(spark: SparkSession, d: str) -> DataFrame:
     classes = F.array(F.lit("person"), F.lit("vehicle"), F.lit("other"))
-    return fx.gt(spark, d).select(*CORE, labels.class_name(classes, (F.col("track_id") % 3).cast("int")).alias("class_name"))
+    return fx.gt(spark, d).select(*CORE, labels.class_name(classes, (F.col("traj_id") % 3).cast("int")).alias("class_name"))
 
 
-@query("SELECT seq_id, frame_idx, track_id FROM fx_hyp WHERE track_id % 3 <> 1")
+@query("SELECT seq_id, frame_idx, traj_id FROM fx_hyp WHERE traj_id % 3 <> 1")
 def known_classes(spark: SparkSession, d: str) -> DataFrame:
-    classed = fx.hyp(spark, d).withColumn("class_id", (F.col("track_id") % 3).cast("int"))
+    classed = fx.hyp(spark, d).withColumn("class_id", (F.col("traj_id") % 3).cast("int"))
     return fr.known_classes(classed, ["person", "vehicle", "face"], ["person", "face"]).select(*CORE)
 
 
-@query("SELECT seq_id, frame_idx, track_id, conf FROM fx_hyp WHERE conf >= 0.5 AND class_id IS NOT NULL")
+@query("SELECT seq_id, frame_idx, traj_id, conf FROM fx_hyp WHERE conf >= 0.5 AND class_id IS NOT NULL")
 def min_confidence(spark: SparkSession, d: str) -> DataFrame:
     return fr.confident(fx.hyp(spark, d), 0.5).select(*CORE, "conf")
 
 
-@query("SELECT seq_id, frame_idx, track_id, CAST(trunc(x1/1024*1920) AS INTEGER) AS left_px, CAST(trunc(y1/1024*1080) AS INTEGER) AS top_px, CAST(trunc((x2/1024-x1/1024)*1920) AS INTEGER) AS width_px, CAST(trunc((y2/1024-y1/1024)*1080) AS INTEGER) AS height_px FROM fx_hyp")
+@query("SELECT seq_id, frame_idx, traj_id, CAST(trunc(x1/1024*1920) AS INTEGER) AS left_px, CAST(trunc(y1/1024*1080) AS INTEGER) AS top_px, CAST(trunc((x2/1024-x1/1024)*1920) AS INTEGER) AS width_px, CAST(trunc((y2/1024-y1/1024)*1080) AS INTEGER) AS height_px FROM fx_hyp")
 def pixel_boxes(spark: SparkSession, d: str) -> DataFrame:
     parts = g.pixels(g.box(), F.lit(1920), F.lit(1080))
     return unit(fx.hyp(spark, d)).select(*CORE, *(p.alias(n) for p, n in zip(parts, ("left_px", "top_px", "width_px", "height_px"), strict=True)))
 
 
-@query("SELECT seq_id, frame_idx, track_id, x1 - (x2-x1)*0.125 AS x1, y1 - (y2-y1)*0.125 AS y1, x2 + (x2-x1)*0.125 AS x2, y2 + (y2-y1)*0.125 AS y2 FROM fx_gt")
+@query("SELECT seq_id, frame_idx, traj_id, x1 - (x2-x1)*0.125 AS x1, y1 - (y2-y1)*0.125 AS y1, x2 + (x2-x1)*0.125 AS x2, y2 + (y2-y1)*0.125 AS y2 FROM fx_gt")
 def expand_box(spark: SparkSession, d: str) -> DataFrame:
     return fx.gt(spark, d).select(*CORE, *(v.alias(n) for v, n in zip(g.expand(g.box(), 1.25), BOX, strict=True)))
 
 
-@query("SELECT g.seq_id, g.frame_idx, g.track_id, least(x1, min(k.x) FILTER (kp_conf > 0.05)) AS x1, least(y1, min(k.y) FILTER (kp_conf > 0.05)) AS y1, greatest(x2, max(k.x) FILTER (kp_conf > 0.05)) AS x2, greatest(y2, max(k.y) FILTER (kp_conf > 0.05)) AS y2 FROM fx_gt g JOIN fx_kp k USING (seq_id, frame_idx, track_id) GROUP BY g.seq_id, g.frame_idx, g.track_id, x1, y1, x2, y2")
+@query("SELECT g.seq_id, g.frame_idx, g.traj_id, least(x1, min(k.x) FILTER (kp_conf > 0.05)) AS x1, least(y1, min(k.y) FILTER (kp_conf > 0.05)) AS y1, greatest(x2, max(k.x) FILTER (kp_conf > 0.05)) AS x2, greatest(y2, max(k.y) FILTER (kp_conf > 0.05)) AS y2 FROM fx_gt g JOIN fx_kp k USING (seq_id, frame_idx, traj_id) GROUP BY g.seq_id, g.frame_idx, g.traj_id, x1, y1, x2, y2")
 def grow_box_by_points(spark: SparkSession, d: str) -> DataFrame:
     return fx.points(spark, d).select(*CORE, *(v.alias(n) for v, n in zip(g.grow(g.box(), F.col("points")), BOX, strict=True)))
 
 
-@query("SELECT seq_id, frame_idx, track_id, x1/2+x2/2 AS cx, y1/2+y2/2 AS cy, (x2-x1)/(y2-y1) AS a, y2-y1 AS h FROM fx_gt")
+@query("SELECT seq_id, frame_idx, traj_id, x1/2+x2/2 AS cx, y1/2+y2/2 AS cy, (x2-x1)/(y2-y1) AS a, y2-y1 AS h FROM fx_gt")
 def centre_form(spark: SparkSession, d: str) -> DataFrame:
     return fx.gt(spark, d).select(*CORE, *(v.alias(n) for v, n in zip(g.centre_form(g.box()), ("cx", "cy", "a", "h"), strict=True)))
 
@@ -113,21 +113,21 @@ def skip_still_frames(spark: SparkSession, d: str) -> DataFrame:
     return fr.skip_still(both, g.area(g.box()), 700000.0).select(*FRAME, "tracked")
 
 
-@query("SELECT seq_id, frame_idx, track_id, x1/1024 AS x1, y1/1024 AS y1, x2/1024 AS x2, y2/1024 AS y2, CASE WHEN cls IN (1,2,7) THEN 0 WHEN cls BETWEEN 3 AND 6 THEN 1 ELSE 2 END AS class_id, frame_time, '/img1/' || lpad(CAST(frame_idx + 1 AS VARCHAR), 6, '0') || '.jpg' AS image_path FROM (SELECT *, track_id % 12 + 1 AS cls FROM fx_gt)")
+@query("SELECT seq_id, frame_idx, traj_id, x1/1024 AS x1, y1/1024 AS y1, x2/1024 AS x2, y2/1024 AS y2, CASE WHEN cls IN (1,2,7) THEN 0 WHEN cls BETWEEN 3 AND 6 THEN 1 ELSE 2 END AS class_id, frame_time, '/img1/' || lpad(CAST(frame_idx + 1 AS VARCHAR), 6, '0') || '.jpg' AS image_path FROM (SELECT *, traj_id % 12 + 1 AS cls FROM fx_gt)")
 def mot_import_norm(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.annotations import normalise_mot
 
-    rows = fx.gt(spark, d).select("seq_id", (F.col("frame_idx") + 1).alias("frame_id"), "track_id", F.col("x1").alias("left"), F.col("y1").alias("top"), (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"), (F.col("track_id") % 12 + 1).cast("int").alias("class"))
+    rows = fx.gt(spark, d).select("seq_id", (F.col("frame_idx") + 1).alias("frame_id"), "traj_id", F.col("x1").alias("left"), F.col("y1").alias("top"), (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"), (F.col("traj_id") % 12 + 1).cast("int").alias("class"))
     rows = rows.withColumns({"im_width": F.lit(1024), "im_height": F.lit(1024), "frame_rate": F.lit(32.0), "im_dir": F.lit("/img1")})
     exact = normalise_mot(rows, places=None)
     return exact.select(*CORE, *BOX, "class_id", "frame_time", "image_path")
 
 
-@query("SELECT seq_id, frame_idx, track_id, round_even((x1-1)/1024, 4) AS x1, round_even((y1-1)/1024, 4) AS y1, round_even((x1-1+100)/1024, 4) AS x2, round_even((y1-1+400)/1024, 4) AS y2, track_id % 3 AS class_id FROM fx_gt")
+@query("SELECT seq_id, frame_idx, traj_id, round_even((x1-1)/1024, 4) AS x1, round_even((y1-1)/1024, 4) AS y1, round_even((x1-1+100)/1024, 4) AS x2, round_even((y1-1+400)/1024, 4) AS y2, traj_id % 3 AS class_id FROM fx_gt")
 def caltech_norm(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.annotations import normalise_boxes
 
-    rows = fx.gt(spark, d).withColumns({"label": F.element_at(F.array(F.lit("person"), F.lit("people"), F.lit("rider")), (F.col("track_id") % 3 + 1).cast("int")), "left": F.col("x1"), "top": F.col("y1"), "width": F.lit(100.0), "height": F.lit(400.0), "im_width": F.lit(1024), "im_height": F.lit(1024)})
+    rows = fx.gt(spark, d).withColumns({"label": F.element_at(F.array(F.lit("person"), F.lit("people"), F.lit("rider")), (F.col("traj_id") % 3 + 1).cast("int")), "left": F.col("x1"), "top": F.col("y1"), "width": F.lit(100.0), "height": F.lit(400.0), "im_width": F.lit(1024), "im_height": F.lit(1024)})
     out = normalise_boxes(rows, ["person", "people", "rider"])
     return out.select(*CORE, *BOX, F.col("class_id").cast("int").alias("class_id"))
 
@@ -140,12 +140,12 @@ def top_detections(spark: SparkSession, d: str) -> DataFrame:
 # --- time
 
 
-GRID = "fx_grid AS (SELECT seq_id, a + k/64.0 AS t FROM (SELECT seq_id, min(frame_time) AS a, max(frame_time) AS b FROM fx_half_frames GROUP BY seq_id), range(64064) r(k) WHERE k/64.0 < least(b - a, 1000.0))"
+GRID = "fx_grid AS (SELECT seq_id, a + k/64.0 AS t FROM (SELECT seq_id, min(frame_time) AS a, max(frame_time) AS b FROM fx_half_frames GROUP BY seq_id), LATERAL (SELECT unnest(range(CAST(ceil((b - a) * 64) AS BIGINT) + 1)) AS k) r WHERE k/64.0 < b - a)"
 HALF = fx.SQL.rstrip() + ",\nfx_half_frames AS (SELECT * FROM fx_frames WHERE frame_idx % 2 = 0),\n" + GRID + "\n"
 
 
 def grid(spark: SparkSession, d: str) -> DataFrame:
-    """Whole sequences. The SQL ends after 1000 s, which the driver's tables do not reach."""
+    """Whole sequences."""
     return timegrid.time_grid(timegrid.extent(fx.half_frames(spark, d), SEQ), SEQ, F.lit(1 / 64), max_duration=float("inf")).drop("k")
 
 
@@ -214,13 +214,13 @@ def bracket_frames(spark: SparkSession, d: str) -> DataFrame:
 
 @query("--plain\n" + HALF.rstrip() + BRACKET.rstrip() + """,
 fx_both AS (
-  SELECT coalesce(a.seq_id, b.seq_id) AS seq_id, coalesce(a.t, b.t) AS t, coalesce(a.track_id, b.track_id) AS track_id, coalesce(a.share, b.share) AS f, coalesce(a.left_time, b.left_time) AS lt, coalesce(a.right_time, b.right_time) AS rt,
-         a.track_id IS NOT NULL AS l, b.track_id IS NOT NULL AS r, a.class_id AS ac, b.class_id AS bc, a.conf AS ak, b.conf AS bk, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2
-  FROM (SELECT k.*, h.track_id, class_id, conf, x1, y1, x2, y2 FROM fx_bracket k JOIN fx_half h ON k.seq_id=h.seq_id AND k.left_idx=h.frame_idx) a
-  FULL JOIN (SELECT k.*, h.track_id, class_id, conf, x1, y1, x2, y2 FROM fx_bracket k JOIN fx_half h ON k.seq_id=h.seq_id AND k.right_idx=h.frame_idx) b ON a.seq_id=b.seq_id AND a.t=b.t AND a.track_id=b.track_id),
+  SELECT coalesce(a.seq_id, b.seq_id) AS seq_id, coalesce(a.t, b.t) AS t, coalesce(a.traj_id, b.traj_id) AS traj_id, coalesce(a.share, b.share) AS f, coalesce(a.left_time, b.left_time) AS lt, coalesce(a.right_time, b.right_time) AS rt,
+         a.traj_id IS NOT NULL AS l, b.traj_id IS NOT NULL AS r, a.class_id AS ac, b.class_id AS bc, a.conf AS ak, b.conf AS bk, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2
+  FROM (SELECT k.*, h.traj_id, class_id, conf, x1, y1, x2, y2 FROM fx_bracket k JOIN fx_half h ON k.seq_id=h.seq_id AND k.left_idx=h.frame_idx) a
+  FULL JOIN (SELECT k.*, h.traj_id, class_id, conf, x1, y1, x2, y2 FROM fx_bracket k JOIN fx_half h ON k.seq_id=h.seq_id AND k.right_idx=h.frame_idx) b ON a.seq_id=b.seq_id AND a.t=b.t AND a.traj_id=b.traj_id),
 fx_source AS (SELECT *, CASE WHEN f > 0.99 THEN CASE WHEN r THEN 'right' END WHEN f < 0.01 THEN CASE WHEN l THEN 'left' END WHEN l AND r THEN 'both' WHEN l AND f <= 0.5 AND t - lt < 0.1 THEN 'left'
   WHEN r AND NOT (f <= 0.5 AND t - lt < 0.1) AND f >= 0.5 AND rt - t < 0.1 THEN 'right' END AS s FROM fx_both)
-SELECT seq_id, t, track_id, CASE WHEN s='right' THEN bc ELSE ac END AS class_id, round(CASE s WHEN 'both' THEN ak+(bk-ak)*f WHEN 'left' THEN ak ELSE bk END, 6) AS conf, round(CASE s WHEN 'both' THEN ax1+(bx1-ax1)*f WHEN 'left' THEN ax1 ELSE bx1 END, 4) AS x1,
+SELECT seq_id, t, traj_id, CASE WHEN s='right' THEN bc ELSE ac END AS class_id, round(CASE s WHEN 'both' THEN ak+(bk-ak)*f WHEN 'left' THEN ak ELSE bk END, 6) AS conf, round(CASE s WHEN 'both' THEN ax1+(bx1-ax1)*f WHEN 'left' THEN ax1 ELSE bx1 END, 4) AS x1,
   round(CASE s WHEN 'both' THEN ay1+(by1-ay1)*f WHEN 'left' THEN ay1 ELSE by1 END, 4) AS y1, round(CASE s WHEN 'both' THEN ax2+(bx2-ax2)*f WHEN 'left' THEN ax2 ELSE bx2 END, 4) AS x2, round(CASE s WHEN 'both' THEN ay2+(by2-ay2)*f WHEN 'left' THEN ay2 ELSE by2 END, 4) AS y2 FROM fx_source WHERE s IS NOT NULL""")
 def interpolate_objects(spark: SparkSession, d: str) -> DataFrame:
     out = timegrid.objects_at(grid(spark, d), fx.half_frames(spark, d), fx.half(spark, d), SEQ)
@@ -262,25 +262,32 @@ def log(spark: SparkSession, d: str) -> DataFrame:
     return clearmot.events(fx.gt(spark, d), fx.hyp(spark, d), SEQ)
 
 
-def fast_log(spark: SparkSession, d: str) -> DataFrame:
-    """The same events by the window alone: these tables have no object or prediction with two pairs in a frame."""
-    return clearmot.events(fx.gt(spark, d), fx.hyp(spark, d), SEQ, unambiguous=True)
-
-
 @query("SELECT seq_id, frame_idx, type, oid, hid, round(d, 6) AS d FROM fx_log")
 def clear_mot_events(spark: SparkSession, d: str) -> DataFrame:
     return rounded(log(spark, d))
 
 
-@query("SELECT seq_id, frame_idx, oid, hid, CASE type WHEN 'MATCH' THEN 'OK' WHEN 'SWITCH' THEN 'SW' ELSE type END AS label FROM fx_log")
+def _labels_sql(side: str, table: str) -> str:
+    return f"""SELECT n.seq_id, n.frame_idx, n.traj_id, '{side}' AS side, CASE type WHEN 'MATCH' THEN 'OK' WHEN 'SWITCH' THEN 'SW' ELSE type END AS label FROM (
+  SELECT o.*, CASE WHEN b.frame_time - o.t < o.t - a.frame_time THEN b.frame_idx ELSE a.frame_idx END AS log_frame FROM (SELECT seq_id, frame_idx, traj_id, frame_time + 0.0234375 AS t FROM {table}) o
+  ASOF JOIN fx_frames a ON o.seq_id = a.seq_id AND o.t >= a.frame_time ASOF LEFT JOIN fx_frames b ON o.seq_id = b.seq_id AND o.t <= b.frame_time) n
+  LEFT JOIN fx_log l ON l.seq_id = n.seq_id AND l.frame_idx = n.log_frame AND l.{side} = n.traj_id"""
+
+
+@query(f"{_labels_sql('oid', 'fx_gt')} UNION ALL {_labels_sql('hid', 'fx_hyp')}")
 def object_labels(spark: SparkSession, d: str) -> DataFrame:
-    return clearmot.label_objects(fast_log(spark, d)).select(*FRAME, "oid", "hid", "label")
+    """Objects and predictions seen three quarters of a frame later."""
+    events, times, out = log(spark, d), fx.frames(spark, d), []
+    for side, rows in (("oid", fx.gt(spark, d)), ("hid", fx.hyp(spark, d))):
+        later = rows.select(*CORE, (F.col("frame_time") + 0.0234375).alias("frame_time"))
+        out.append(clearmot.label_objects(later, events, times, SEQ, side).select(*CORE, F.lit(side).alias("side"), "label"))
+    return out[0].unionByName(out[1])
 
 
 @query("""SELECT seq_id, frame_idx, num_match, num_miss, num_fp, num_switch, num_gt, round(1-(num_miss+num_fp+num_switch)/CASE WHEN num_gt>0 THEN num_gt ELSE 1e-7 END, 6) AS mota, CASE WHEN num_gt>0 THEN round(1-(num_miss+num_fp+num_switch)/num_gt, 6) END AS mota_or_null
 FROM (SELECT seq_id, frame_idx, count(*) FILTER (type='MATCH') AS num_match, count(*) FILTER (type='MISS') AS num_miss, count(*) FILTER (type='FP') AS num_fp, count(*) FILTER (type='SWITCH') AS num_switch, count(oid) AS num_gt FROM fx_log GROUP BY ALL)""")
 def frame_mota(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(clearmot.frame_scores(fast_log(spark, d), SEQ))
+    return rounded(clearmot.frame_scores(log(spark, d), SEQ))
 
 
 COUNTS = ["num_frames", "num_objects", "num_predictions", "num_matches", "num_switches", "num_false_positives", "num_misses", "num_unique_objects", "mostly_tracked", "partially_tracked", "mostly_lost", "mostly_lost2", "missed", "num_fragmentations", "fp_tracks", "idtp", "idfp", "idfn"]
@@ -290,7 +297,7 @@ MEASURES = ", ".join([*COUNTS, *(f"round({r}, 6) AS {r}" for r in RATES)])
 
 def all_measures(spark: SparkSession, d: str) -> DataFrame:
     gated = pairs.iou_pairs(fx.gt(spark, d), fx.hyp(spark, d), FRAME)
-    return clearmot.measures(fast_log(spark, d), SEQ, identity.identity_matches(gated, SEQ))
+    return clearmot.measures(log(spark, d), SEQ, identity.identity_matches(gated, SEQ))
 
 
 @query(f"SELECT seq_id, {MEASURES} FROM fx_measures")
@@ -300,23 +307,23 @@ def mot_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT seq_id, hid FROM fx_log WHERE hid IS NOT NULL GROUP BY ALL HAVING count(*) FILTER (type='MATCH') = 0")
 def fp_tracks(spark: SparkSession, d: str) -> DataFrame:
-    return clearmot.never_matched(fast_log(spark, d), SEQ, "hid")
+    return clearmot.never_matched(log(spark, d), SEQ, "hid")
 
 
 @query(", fx_few AS (SELECT *, oid IS NOT NULL AND seq_id = oid % 8 AS hidden FROM fx_log) SELECT seq_id, oid FROM fx_few WHERE oid IS NOT NULL GROUP BY ALL HAVING count(*) FILTER (type='MATCH' AND NOT hidden) = 0")
-def missed_tracks(spark: SparkSession, d: str) -> DataFrame:
-    hidden = fast_log(spark, d).withColumn("type", F.when(F.col("oid").isNotNull() & (F.col("seq_id") == F.col("oid") % 8), "MISS").otherwise(F.col("type")))
+def missed_trajectories(spark: SparkSession, d: str) -> DataFrame:
+    hidden = log(spark, d).withColumn("type", F.when(F.col("oid").isNotNull() & (F.col("seq_id") == F.col("oid") % 8), "MISS").otherwise(F.col("type")))
     return clearmot.never_matched(hidden, SEQ, "oid")
 
 
 @query("SELECT seq_id, oid, frames, tracked, matched, round(tracked/frames, 6) AS share, CASE WHEN tracked/frames >= 0.8 THEN 'mostly_tracked' WHEN tracked/frames >= 0.2 THEN 'partially_tracked' ELSE 'mostly_lost' END AS coverage FROM fx_object")
-def track_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(clearmot.coverage(fast_log(spark, d), SEQ))
+def trajectory_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(clearmot.coverage(log(spark, d), SEQ))
 
 
 @query("SELECT seq_id, oid, fragmentations FROM fx_frag")
 def fragmentations(spark: SparkSession, d: str) -> DataFrame:
-    return clearmot.fragmentations(fast_log(spark, d), SEQ)
+    return clearmot.fragmentations(log(spark, d), SEQ)
 
 
 @query("SELECT seq_id, idtp FROM fx_ids")
@@ -326,7 +333,7 @@ def idf1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT seq_id, frame_idx, oid, type, CAST(sum(CASE WHEN type='MISS' THEN 1 ELSE 0 END) OVER (PARTITION BY seq_id, oid, island ORDER BY frame_idx) AS BIGINT) AS missed_in_row FROM (SELECT *, sum(CASE WHEN type='MISS' THEN 0 ELSE 1 END) OVER (PARTITION BY seq_id, oid ORDER BY frame_idx) AS island FROM fx_log WHERE oid IS NOT NULL)")
 def consecutive_misses(spark: SparkSession, d: str) -> DataFrame:
-    return fr.miss_runs(fast_log(spark, d), SEQ).select(*FRAME, "oid", "type", "missed_in_row")
+    return fr.miss_runs(log(spark, d), SEQ).select(*FRAME, "oid", "type", "missed_in_row")
 
 
 @query("""SELECT seq_id, count(*) AS tracked_frames, count(*) FILTER (NOT tracked) AS tracked_frames_skipped, round(count(*) FILTER (NOT tracked)/count(*), 6) AS tracked_frames_skipped_frac, max(frame_time)-min(frame_time) AS tracked_time,
@@ -369,16 +376,16 @@ def group_mean(spark: SparkSession, d: str) -> DataFrame:
 UNION ALL SELECT '1', seq_id, frame_idx, count(oid), count(*) FILTER (type='MISS') + count(*) FILTER (type='SWITCH') FROM fx_log GROUP BY ALL), fx_scores AS (SELECT run_id, seq_id, frame_idx, 1 - bad/n AS mota FROM fx_runs WHERE n > 0)
 SELECT s.run_id, seq_id, frame_idx, round(s.mota, 6) AS mota, round(b.mota, 6) AS base, round(s.mota - b.mota, 6) AS delta, abs(s.mota - b.mota) > 0.001 AS differs FROM fx_scores s JOIN fx_scores b USING (seq_id, frame_idx) WHERE b.run_id = '0'""")
 def compare_runs(spark: SparkSession, d: str) -> DataFrame:
-    events = fast_log(spark, d)
+    events = log(spark, d)
     runs = events.withColumn("run_id", F.lit("0")).unionByName(events.filter("type <> 'FP'").withColumn("run_id", F.lit("1")))
     scores = clearmot.frame_scores(runs, ["run_id", "seq_id"]).filter("mota_or_null IS NOT NULL").select("run_id", *FRAME, "mota")
     return rounded(rollup.compare_runs(scores, FRAME))
 
 
-@query(RESULTS + "SELECT metric, round(max(value) FILTER (test_key='gate45'), 6) AS gate45, round(max(value) FILTER (test_key='shifted'), 6) AS shifted FROM (UNPIVOT (SELECT test_key, CAST(mota AS DOUBLE) AS mota, CAST(num_misses AS DOUBLE) AS num_misses, CAST(motp AS DOUBLE) AS motp FROM fx_results WHERE ds_key='3') ON mota, num_misses, motp INTO NAME metric VALUE value) GROUP BY metric")
+@query(RESULTS + "SELECT ds_key, metric, round(max(value) FILTER (test_key='gate45'), 6) AS gate45, round(max(value) FILTER (test_key='shifted'), 6) AS shifted FROM (UNPIVOT (SELECT ds_key, test_key, CAST(mota AS DOUBLE) AS mota, CAST(num_misses AS DOUBLE) AS num_misses, CAST(motp AS DOUBLE) AS motp FROM fx_results) ON mota, num_misses, motp INTO NAME metric VALUE value) GROUP BY ds_key, metric")
 def metric_by_run(spark: SparkSession, d: str) -> DataFrame:
-    one = results(spark, d).filter("ds_key = '3'").select(F.col("test_key").alias("run_id"), "mota", "num_misses", "motp")
-    return rounded(rollup.metric_table(rollup.long_form(one, ["run_id"]), ["gate45", "shifted"]))
+    one = results(spark, d).select("ds_key", F.col("test_key").alias("run_id"), "mota", "num_misses", "motp")
+    return rounded(rollup.metric_table(rollup.long_form(one, ["ds_key", "run_id"]), ["gate45", "shifted"], ["ds_key"]))
 
 
 @query(RESULTS + "SELECT dataset, test_key, CAST((dense_rank() OVER (ORDER BY dataset) - 1)*1000 + num_misses AS BIGINT) AS position FROM (SELECT substr('ds_' || ds_key || '_x', 1, 2) || replace(substr('ds_' || ds_key || '_x', 3), '_', '') AS dataset, test_key, num_misses FROM fx_results)")
@@ -387,11 +394,36 @@ def report_table(spark: SparkSession, d: str) -> DataFrame:
     return rollup.report_order(rows, labels.dataset_label(F.col("name")), "num_misses").select("dataset", "test_key", "position")
 
 
-@query(RESULTS + "SELECT ds_key, test_key, printf(' MOTA:%6.5f Fit:%6.5f FPTr:%d', mota, fitness, fp_tracks) AS line FROM fx_results WHERE abs(mota*1e5 - floor(mota*1e5) - 0.5) > 1e-3 AND abs(fitness*1e5 - floor(fitness*1e5) - 0.5) > 1e-3")
+@query(RESULTS + "SELECT ds_key, test_key, printf(' MOTA:%6.5f Fit:%6.5f FPTr:%d', floor(round(mota, 9)*1e5 + 0.5)/1e5, floor(round(fitness, 9)*1e5 + 0.5)/1e5, fp_tracks) AS line FROM fx_results")
 def summary_lines(spark: SparkSession, d: str) -> DataFrame:
-    off = lambda c: F.abs(F.col(c) * 1e5 - F.floor(F.col(c) * 1e5) - 0.5) > 1e-3
+    near = lambda c: F.floor(F.round(c, 9) * 1e5 + 0.5) / 1e5
     line = labels.summary([("mota", "MOTA:", "%6.5f"), ("fitness", "Fit:", "%6.5f"), ("fp_tracks", "FPTr:", "%d")])
-    return results(spark, d).filter(off("mota") & off("fitness")).select("ds_key", "test_key", F.concat(F.lit(" "), line).alias("line"))
+    return results(spark, d).withColumns({c: near(c) for c in ("mota", "fitness")}).select("ds_key", "test_key", F.concat(F.lit(" "), line).alias("line"))
+
+
+@query(RESULTS + ROLLED.replace("\nSELECT ds_key", ", fx_pooled AS (SELECT ds_key") + """), fx_means AS (SELECT CASE WHEN grouping(grp) = 1 THEN '_arithmean' ELSE '__mean(' || CAST(grp AS VARCHAR) || ')' END AS ds_key, test_key, avg(mota) AS mota, avg(num_misses) AS num_misses, avg(fitness) AS fitness FROM fx_results GROUP BY GROUPING SETS ((test_key, grp), (test_key)))
+SELECT ds_key, test_key, round(mota, 6) AS mota, CAST(num_misses AS DOUBLE) AS num_misses, round(fitness, 6) AS fitness FROM (SELECT ds_key, test_key, mota, num_misses, fitness FROM fx_results UNION ALL SELECT ds_key, test_key, mota, num_misses, fitness FROM fx_pooled UNION ALL SELECT * FROM fx_means)""")
+def report_rows(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(rollup.with_pooled(results(spark, d)).select("ds_key", "test_key", "mota", F.col("num_misses").cast("double").alias("num_misses"), "fitness"))
+
+
+@query("--plain\nSELECT k, n AS x, CASE WHEN k % 3 = 0 THEN 1.0 ELSE low END::DOUBLE AS y, CASE WHEN k % 3 = 0 THEN 2.0 END::DOUBLE AS z FROM (SELECT l_partkey % 20 AS k, count(*)::DOUBLE AS n, min(l_quantity)::DOUBLE AS low FROM lineitem GROUP BY ALL)")
+def merged_settings(spark: SparkSession, d: str) -> DataFrame:
+    base = spark.read.parquet(f"{d}/lineitem.parquet").groupBy((F.col("l_partkey") % 20).alias("k")).agg(F.count("*").cast("double").alias("n"), F.min("l_quantity").cast("double").alias("low"))
+    over = F.when(F.col("k") % 3 == 0, F.create_map(F.lit("y"), F.lit(1.0), F.lit("z"), F.lit(2.0)))
+    both = rollup.merged(F.create_map(F.lit("x"), F.col("n"), F.lit("y"), F.col("low")), over)
+    return base.select("k", *(F.try_element_at(both, F.lit(c)).alias(c) for c in "xyz"))
+
+
+@query("SELECT seq_id, frame_idx, traj_id, greatest(0.01, least(0.95, conf*1.75 - 0.5)) AS threshold FROM fx_hyp")
+def clamped_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    return fx.hyp(spark, d).select(*CORE, points.clamped(F.col("conf") * 1.75 - 0.5).alias("threshold"))
+
+
+@query("SELECT seq_id, frame_idx, traj_id, [x1, y1, x2, y2] AS box, class_id, conf FROM fx_hyp")
+def detection_structs(spark: SparkSession, d: str) -> DataFrame:
+    one = g.detection(g.box(), F.col("class_id"), F.col("conf"), F.col("traj_id").cast("double"))
+    return fx.hyp(spark, d).select(*FRAME, one.alias("o")).select(*FRAME, "o.traj_id", "o.box", "o.class_id", "o.conf")
 
 
 TESTS = """, fx_tests AS (SELECT 'p' || l_partkey AS test_key, CASE WHEN l_partkey % 3 = 0 THEN 0.25 END AS min_interval FROM (SELECT DISTINCT l_partkey % 20 AS l_partkey FROM lineitem)),
@@ -424,13 +456,13 @@ def tests_to_run(spark: SparkSession, d: str) -> DataFrame:
 # --- detections, vectors and points
 
 
-@query("""SELECT d.seq_id, d.frame_idx, d.det_id, CASE WHEN g.track_id IS NULL THEN 0 ELSE 1 END AS tp, g.track_id AS gt_id FROM fx_det d LEFT JOIN fx_gt g ON d.seq_id=g.seq_id AND d.frame_idx=g.frame_idx AND d.y1=g.y1 AND
+@query("""SELECT d.seq_id, d.frame_idx, d.det_id, CASE WHEN g.traj_id IS NULL THEN 0 ELSE 1 END AS tp, g.traj_id AS gt_id FROM fx_det d LEFT JOIN fx_gt g ON d.seq_id=g.seq_id AND d.frame_idx=g.frame_idx AND d.y1=g.y1 AND
  greatest(0, least(d.x2,g.x2)-greatest(d.x1,g.x1))/(200-greatest(0, least(d.x2,g.x2)-greatest(d.x1,g.x1))) > 0.5""")
 def det_greedy_match(spark: SparkSession, d: str) -> DataFrame:
     return detection.greedy_matches(fx.gt(spark, d), fx.det(spark, d), FRAME).select(*FRAME, "det_id", "tp", "gt_id")
 
 
-@query(""", fx_hits AS (SELECT d.seq_id, d.frame_idx, d.det_id, d.conf, CASE WHEN g.track_id IS NULL THEN 0 ELSE 1 END AS tp FROM fx_det d LEFT JOIN fx_gt g ON d.seq_id=g.seq_id AND d.frame_idx=g.frame_idx AND d.y1=g.y1 AND
+@query(""", fx_hits AS (SELECT d.seq_id, d.frame_idx, d.det_id, d.conf, CASE WHEN g.traj_id IS NULL THEN 0 ELSE 1 END AS tp FROM fx_det d LEFT JOIN fx_gt g ON d.seq_id=g.seq_id AND d.frame_idx=g.frame_idx AND d.y1=g.y1 AND
  greatest(0, least(d.x2,g.x2)-greatest(d.x1,g.x1))/(200-greatest(0, least(d.x2,g.x2)-greatest(d.x1,g.x1))) > 0.5),
 fx_n AS (SELECT seq_id, count(*) AS n_objects FROM fx_gt GROUP BY seq_id),
 fx_curve AS (SELECT h.*, n_objects, sum(tp) OVER w AS tps, count(*) OVER w AS n FROM fx_hits h JOIN fx_n USING (seq_id) WINDOW w AS (PARTITION BY seq_id ORDER BY conf DESC, frame_idx, det_id ROWS UNBOUNDED PRECEDING)),
@@ -476,11 +508,11 @@ def embedding_ema(spark: SparkSession, d: str) -> DataFrame:
     return out.select("label", F.transform(vectors.running_blend(F.col("v")), lambda x: F.round(x, 6)).alias("blend"))
 
 
-@query("--plain\nWITH p AS (SELECT vec_id, embedding AS b, lag(embedding) OVER (ORDER BY vec_id) AS a FROM embeddings WHERE label = 1) SELECT vec_id, list_transform(range(1, len(a)+1), lambda i: round(greatest(a[i], b[i])::DOUBLE*0.9 + least(a[i], b[i])::DOUBLE*0.1, 6)) AS blend FROM p WHERE a IS NOT NULL")
+@query("--plain\nWITH p AS (SELECT vec_id, embedding AS b, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS a FROM embeddings) SELECT vec_id, list_transform(range(1, len(a)+1), lambda i: round(greatest(a[i], b[i])::DOUBLE*0.9 + least(a[i], b[i])::DOUBLE*0.1, 6)) AS blend FROM p WHERE a IS NOT NULL")
 def attribute_blend(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    rows = embeddings(spark, d).filter("label = 1")
+    rows = embeddings(spark, d)
     before = F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
     out = rows.withColumn("a", before).filter("a IS NOT NULL")
     wide = lambda c: F.transform(c, lambda x: x.cast("double"))
@@ -488,47 +520,47 @@ def attribute_blend(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(""", fx_sig AS (SELECT i, s FROM (SELECT unnest(range(17)) AS i, unnest([0.026,0.025,0.025,0.035,0.035,0.079,0.079,0.072,0.072,0.062,0.062,0.107,0.107,0.087,0.087,0.089,0.089]::DOUBLE[]) AS s)),
-fx_next AS (SELECT a.seq_id, a.frame_idx, a.track_id, a.x AS ax, a.y AS ay, a.kp_conf AS ac, b.x AS bx, b.y AS by_, b.kp_conf AS bc, s FROM fx_kp a JOIN fx_kp b ON a.seq_id=b.seq_id AND a.track_id=b.track_id AND b.frame_idx=a.frame_idx+1 AND a.kp_idx=b.kp_idx JOIN fx_sig ON i=a.kp_idx)
-SELECT seq_id, frame_idx, track_id, CASE WHEN count(*) FILTER (ac>0 AND bc>0) > 4 THEN round(sum(exp(-((ax-bx)^2+(ay-by_)^2)/(2*(40000+40000)*0.5*0.53*4*s*s+1e-7))) FILTER (ac>0 AND bc>0)/(count(*) FILTER (ac>0 AND bc>0)+1e-7), 6) END AS oks FROM fx_next GROUP BY ALL""")
+fx_next AS (SELECT a.seq_id, a.frame_idx, a.traj_id, a.x AS ax, a.y AS ay, a.kp_conf AS ac, b.x AS bx, b.y AS by_, b.kp_conf AS bc, s FROM fx_kp a JOIN fx_kp b ON a.seq_id=b.seq_id AND a.traj_id=b.traj_id AND b.frame_idx=a.frame_idx+1 AND a.kp_idx=b.kp_idx JOIN fx_sig ON i=a.kp_idx)
+SELECT seq_id, frame_idx, traj_id, CASE WHEN count(*) FILTER (ac>0 AND bc>0) > 4 THEN round(sum(exp(-((ax-bx)^2+(ay-by_)^2)/(2*(40000+40000)*0.5*0.53*4*s*s+1e-7))) FILTER (ac>0 AND bc>0)/(count(*) FILTER (ac>0 AND bc>0)+1e-7), 6) END AS oks FROM fx_next GROUP BY ALL""")
 def oks_similarity(spark: SparkSession, d: str) -> DataFrame:
     a = fx.points(spark, d).select(*CORE, F.col("points").alias("p"))
-    b = a.select("seq_id", (F.col("frame_idx") - 1).alias("frame_idx"), "track_id", F.col("p").alias("q"))
+    b = a.select("seq_id", (F.col("frame_idx") - 1).alias("frame_idx"), "traj_id", F.col("p").alias("q"))
     size = F.lit(40000.0)
     return a.join(b, CORE).select(*CORE, F.round(points.similarity(F.col("p"), F.col("q"), size, size), 6).alias("oks"))
 
 
-@query("SELECT g.seq_id, g.frame_idx, g.track_id, conf + 0.0625*sum(kp_conf) AS adjusted FROM fx_gt g JOIN fx_kp k USING (seq_id, frame_idx, track_id) GROUP BY g.seq_id, g.frame_idx, g.track_id, conf")
+@query("SELECT g.seq_id, g.frame_idx, g.traj_id, conf + 0.0625*sum(kp_conf) AS adjusted FROM fx_gt g JOIN fx_kp k USING (seq_id, frame_idx, traj_id) GROUP BY g.seq_id, g.frame_idx, g.traj_id, conf")
 def adjusted_confidence(spark: SparkSession, d: str) -> DataFrame:
     confs = F.transform("points", lambda p: p["conf"])
     return fx.points(spark, d).select(*CORE, points.adjusted_confidence(F.col("conf"), confs, 0.0625).alias("adjusted"))
 
 
-@query("SELECT seq_id, frame_idx, track_id, kp_idx, x, y, kp_conf FROM fx_kp")
+@query("SELECT seq_id, frame_idx, traj_id, kp_idx, x, y, kp_conf FROM fx_kp")
 def unpack_points(spark: SparkSession, d: str) -> DataFrame:
     flat = F.flatten(F.transform("points", lambda p: F.array(p["x"], p["y"], p["conf"])))
     one = fx.points(spark, d).select(*CORE, F.posexplode(points.unpack(flat)).alias("kp_idx", "p"))
     return one.select(*CORE, F.col("kp_idx").cast("long").alias("kp_idx"), "p.x", "p.y", F.col("p.conf").alias("kp_conf"))
 
 
-@query("SELECT DISTINCT track_id, printf('%x', 3203334144 + track_id) AS label FROM fx_hyp")
+@query("SELECT DISTINCT traj_id, printf('%x', 3203334144 + traj_id) AS label FROM fx_hyp")
 def hex_labels(spark: SparkSession, d: str) -> DataFrame:
-    return fx.hyp(spark, d).select("track_id").distinct().select("track_id", labels.hex_id(F.lit(0xBEEF0000) + F.col("track_id")).alias("label"))
+    return fx.hyp(spark, d).select("traj_id").distinct().select("traj_id", labels.hex_id(F.lit(0xBEEF0000) + F.col("traj_id")).alias("label"))
 
 
-@query("SELECT seq_id, frame_idx, track_id, cy*8 + cx AS cell FROM (SELECT *, unnest(range(least(7, greatest(0, CAST(floor(x1/128) AS BIGINT))), least(7, greatest(0, CAST(floor(x2/128) AS BIGINT)))+1)) AS cx FROM fx_hyp), range(8) r(cy) WHERE cy BETWEEN least(7, greatest(0, floor(y1/128))) AND least(7, greatest(0, floor(y2/128)))")
+@query("SELECT seq_id, frame_idx, traj_id, cy*8 + cx AS cell FROM (SELECT *, unnest(range(least(7, greatest(0, CAST(floor(x1/128) AS BIGINT))), least(7, greatest(0, CAST(floor(x2/128) AS BIGINT)))+1)) AS cx FROM fx_hyp), range(8) r(cy) WHERE cy BETWEEN least(7, greatest(0, floor(y1/128))) AND least(7, greatest(0, floor(y2/128)))")
 def box_cells(spark: SparkSession, d: str) -> DataFrame:
     return unit(fx.hyp(spark, d)).select(*CORE, F.explode(g.grid_cells(g.box())).alias("cell"))
 
 
-# --- motion, tracks and sweeps
+# --- motion, trajectories and sweeps
 
 
 @query(""", fx_sample AS (SELECT * FROM (VALUES (0.5,0.5,0.5),(0.35,0.5,0.125),(0.65,0.5,0.125),(0.5,0.35,0.125),(0.5,0.65,0.125)) v(xf, yf, w)),
-fx_move AS (SELECT g.seq_id, g.frame_idx, g.track_id, sum(w::DOUBLE*dx) AS mx, sum(w::DOUBLE*dy) AS my FROM fx_gt g, fx_sample, fx_motion m WHERE m.seq_id=g.seq_id AND m.frame_idx=g.frame_idx AND
+fx_move AS (SELECT g.seq_id, g.frame_idx, g.traj_id, sum(w::DOUBLE*dx) AS mx, sum(w::DOUBLE*dy) AS my FROM fx_gt g, fx_sample, fx_motion m WHERE m.seq_id=g.seq_id AND m.frame_idx=g.frame_idx AND
  m.gx = greatest(0, least(7, floor((g.x1/1024*xf::DOUBLE+g.x2/1024*(1-xf::DOUBLE))*8+0.5))) AND m.gy = greatest(0, least(7, floor((g.y1/1024*yf::DOUBLE+g.y2/1024*(1-yf::DOUBLE))*8+0.5))) GROUP BY ALL)
-SELECT seq_id, frame_idx, track_id, round(greatest(0, least(1, x1/1024-mx)), 6) AS x1, round(greatest(0, least(1, y1/1024-my)), 6) AS y1, round(greatest(0, least(1, x2/1024-mx)), 6) AS x2, round(greatest(0, least(1, y2/1024-my)), 6) AS y2 FROM fx_gt JOIN fx_move USING (seq_id, frame_idx, track_id)""")
+SELECT seq_id, frame_idx, traj_id, round(greatest(0, least(1, x1/1024-mx)), 6) AS x1, round(greatest(0, least(1, y1/1024-my)), 6) AS y1, round(greatest(0, least(1, x2/1024-mx)), 6) AS x2, round(greatest(0, least(1, y2/1024-my)), 6) AS y2 FROM fx_gt JOIN fx_move USING (seq_id, frame_idx, traj_id)""")
 def motion_lookup(spark: SparkSession, d: str) -> DataFrame:
-    out = motion.shift_boxes(unit(fx.gt(spark, d)), fx.motion(spark, d), FRAME, ["track_id"])
+    out = motion.shift_boxes(unit(fx.gt(spark, d)), fx.motion(spark, d), FRAME, ["traj_id"])
     return rounded(out.select(*CORE, *BOX))
 
 
@@ -538,21 +570,21 @@ def _kalman_sql() -> str:
     start = ", ".join(f"{n} AS {n}_p, 0.0::DOUBLE AS {n}_v, {'1e-4' if n == 'a' else 'power(h/10, 2)'}::DOUBLE AS {n}_00, 0.0::DOUBLE AS {n}_01, {'1e-10' if n == 'a' else 'power(h/16, 2)'}::DOUBLE AS {n}_11" for n in names)
     ahead = ", ".join(f"{n}_p + dt*{n}_v AS {n}_p, {n}_v, {n}_00 + 2*dt*{n}_01 + dt*dt*{n}_11 + {q[n][0]} AS {n}_00, {n}_01 + dt*{n}_11 AS {n}_01, {n}_11 + {q[n][1]} AS {n}_11" for n in names)
     after = ", ".join(f"{n}_p + {n}_00/({n}_00+{q[n][2]})*(z{n}-{n}_p), {n}_v + {n}_01/({n}_00+{q[n][2]})*(z{n}-{n}_p), {n}_00 - {n}_00*{n}_00/({n}_00+{q[n][2]}), {n}_01 - {n}_00*{n}_01/({n}_00+{q[n][2]}), {n}_11 - {n}_01*{n}_01/({n}_00+{q[n][2]})" for n in names)
-    return f""", fx_z AS (SELECT seq_id, track_id, frame_time, (x1+x2)/2048 AS cx, (y1+y2)/2048 AS cy, (x2-x1)/(y2-y1) AS a, (y2-y1)/1024 AS h, row_number() OVER (PARTITION BY seq_id, track_id ORDER BY frame_time) AS n FROM fx_gt WHERE seq_id < 2 OR TRUE),
-fx_walk AS (SELECT seq_id, track_id, frame_time, n, {start} FROM fx_z WHERE n = 1 UNION ALL
-  SELECT seq_id, track_id, zt, zn, {after} FROM (SELECT *, abs(h_p) AS ha FROM (SELECT seq_id, track_id, zt, zn, zcx, zcy, za, zh, hb, {ahead} FROM (
-    SELECT w.*, z.frame_time AS zt, z.n AS zn, z.cx AS zcx, z.cy AS zcy, z.a AS za, z.h AS zh, (z.frame_time - w.frame_time)*7.5 AS dt, abs(w.h_p) AS hb FROM fx_walk w JOIN fx_z z ON z.seq_id=w.seq_id AND z.track_id=w.track_id AND z.n=w.n+1))))
-SELECT seq_id, track_id, frame_time, round(cx_p, 5) AS cx, round(cy_p, 5) AS cy, round(a_p, 5) AS a, round(h_p, 5) AS h FROM fx_walk"""
+    return f""", fx_z AS (SELECT seq_id, traj_id, frame_time, (x1+x2)/2048 AS cx, (y1+y2)/2048 AS cy, (x2-x1)/(y2-y1) AS a, (y2-y1)/1024 AS h, row_number() OVER (PARTITION BY seq_id, traj_id ORDER BY frame_time) AS n FROM fx_gt WHERE seq_id < 2 OR TRUE),
+fx_walk AS (SELECT seq_id, traj_id, frame_time, n, {start} FROM fx_z WHERE n = 1 UNION ALL
+  SELECT seq_id, traj_id, zt, zn, {after} FROM (SELECT *, abs(h_p) AS ha FROM (SELECT seq_id, traj_id, zt, zn, zcx, zcy, za, zh, hb, {ahead} FROM (
+    SELECT w.*, z.frame_time AS zt, z.n AS zn, z.cx AS zcx, z.cy AS zcy, z.a AS za, z.h AS zh, (z.frame_time - w.frame_time)*7.5 AS dt, abs(w.h_p) AS hb FROM fx_walk w JOIN fx_z z ON z.seq_id=w.seq_id AND z.traj_id=w.traj_id AND z.n=w.n+1))))
+SELECT seq_id, traj_id, frame_time, round(cx_p, 5) AS cx, round(cy_p, 5) AS cy, round(a_p, 5) AS a, round(h_p, 5) AS h FROM fx_walk"""
 
 
 @query(_kalman_sql())
 def kalman_smooth(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(motion.kalman_smooth(unit(fx.gt(spark, d)), ["seq_id", "track_id"]), 5)
+    return rounded(motion.kalman_smooth(unit(fx.gt(spark, d)), ["seq_id", "traj_id"]), 5)
 
 
-@query(", fx_state AS (SELECT *, CASE WHEN track_id % 2 = 0 THEN 'Tracked' ELSE 'Lost' END AS state, x1 - CASE WHEN track_id % 2 = 1 THEN 120 ELSE 0 END AS sx1, x2 - CASE WHEN track_id % 2 = 1 THEN 120 ELSE 0 END AS sx2 FROM fx_gt) SELECT seq_id, frame_idx, track_id FROM fx_state s WHERE state = 'Tracked' OR NOT EXISTS (SELECT 1 FROM fx_state o WHERE o.state='Tracked' AND o.seq_id=s.seq_id AND o.frame_idx=s.frame_idx AND least(o.sx2,s.sx2)-greatest(o.sx1,s.sx1) > 0 AND (least(o.sx2,s.sx2)-greatest(o.sx1,s.sx1))/(200-(least(o.sx2,s.sx2)-greatest(o.sx1,s.sx1))) >= 0.6)")
+@query(", fx_state AS (SELECT *, CASE WHEN traj_id % 2 = 0 THEN 'Tracked' ELSE 'Lost' END AS state, x1 - CASE WHEN traj_id % 2 = 1 THEN 120 ELSE 0 END AS sx1, x2 - CASE WHEN traj_id % 2 = 1 THEN 120 ELSE 0 END AS sx2 FROM fx_gt) SELECT seq_id, frame_idx, traj_id FROM fx_state s WHERE state = 'Tracked' OR NOT EXISTS (SELECT 1 FROM fx_state o WHERE o.state='Tracked' AND o.seq_id=s.seq_id AND o.frame_idx=s.frame_idx AND least(o.sx2,s.sx2)-greatest(o.sx1,s.sx1) > 0 AND (least(o.sx2,s.sx2)-greatest(o.sx1,s.sx1))/(200-(least(o.sx2,s.sx2)-greatest(o.sx1,s.sx1))) >= 0.6)")
 def suppress_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    odd = F.col("track_id") % 2 == 1
+    odd = F.col("traj_id") % 2 == 1
     shift = F.when(odd, 120).otherwise(0)
     rows = fx.gt(spark, d).withColumns({"state": F.when(odd, "Lost").otherwise("Tracked"), "x1": F.col("x1") - shift, "x2": F.col("x2") - shift})
     return pairs.suppress_duplicates(rows, FRAME, 0.6).select(*CORE)
@@ -564,11 +596,16 @@ def associate_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def sweep_best(spark: SparkSession, d: str) -> DataFrame:
-    candidates = {"default": {}, "strict": {"new_track_thr": 0.6}, "loose": {"match_thr_low": 0.05, "track_low_thr": 0.05}}
+def sweep_scores(spark: SparkSession, d: str) -> DataFrame:
+    candidates = {"default": {}, "strict": {"new_traj_thr": 0.6}, "loose": {"match_thr_low": 0.05, "traj_low_thr": 0.05}}
     return sweep.sweep(candidates, fx.frames(spark, d), unit(fx.det(spark, d)), unit(fx.gt(spark, d)), SEQ)
 
 
+@query()
+def sweep_best(spark: SparkSession, d: str) -> DataFrame:
+    return sweep.best(sweep_scores(spark, d))
+
+
 VECTORS = """--plain
 WITH s AS (SELECT 'p' || k AS name, min(l_quantity) AS low, max(l_quantity) AS high, 0.5::DOUBLE AS step, median(l_quantity) AS value FROM (SELECT l_partkey % 5 AS k, l_quantity FROM lineitem) GROUP BY k),
 m AS (SELECT name AS moved, sign FROM s, (VALUES (1), (-1)) x(sign))
@@ -619,22 +656,22 @@ def _replayed(spark: SparkSession, rows: DataFrame, name: str, run: Callable[[Da
 
 @query()
 def associate_stream(spark: SparkSession, d: str) -> DataFrame:
-    from ..streaming import tracks
+    from ..streaming import online
 
     rows = fx.frames(spark, d).select(*FRAME, "frame_time").join(unit(fx.det(spark, d)).drop("frame_time"), FRAME, "left")
-    return _replayed(spark, rows, "stream", tracks.associate_stream)
+    return _replayed(spark, rows, "stream", online.associate_stream)
 
 
 @query("SELECT seq_id, frame_idx, type, oid, hid, round(d, 6) AS d FROM fx_match")
 def online_mot_stream(spark: SparkSession, d: str) -> DataFrame:
-    from ..streaming import tracks
+    from ..streaming import online
 
     gated = pairs.iou_pairs(fx.gt(spark, d), fx.hyp(spark, d), FRAME).withColumn("frame_time", F.col("frame_idx") / fx.RATE)
-    return rounded(_replayed(spark, gated, "stream", tracks.matches_stream))
+    return rounded(_replayed(spark, gated, "stream", online.matches_stream))
 
 
 @query(WALK + "SELECT seq_id, CAST(frame_time * 32 AS BIGINT) AS frame_idx, frame_time FROM fx_walk WHERE frame_time IS NOT NULL")
 def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
-    from ..streaming import tracks
+    from ..streaming import online
 
-    return _replayed(spark, fx.frames(spark, d), "stream", lambda s: tracks.rate_limited(s, 0.199))
+    return _replayed(spark, fx.frames(spark, d), "stream", lambda s: online.rate_limited(s, 0.199))

@@ -10,10 +10,10 @@ SIDE, RATE = 1024.0, 32.0
 
 SQL = """WITH RECURSIVE fx_base AS (SELECT DISTINCT CAST(l_orderkey AS BIGINT) ok, CAST(l_linenumber AS BIGINT) ln FROM lineitem),
 fx_gt AS (
-  SELECT ok % 8 AS seq_id, ok // 8 AS frame_idx, CAST(ok // 8 AS DOUBLE) / 32.0 AS frame_time, ln AS track_id, 0 AS class_id, CAST(1.0 AS DOUBLE) AS conf,
+  SELECT ok % 8 AS seq_id, ok // 8 AS frame_idx, CAST(ok // 8 AS DOUBLE) / 32.0 AS frame_time, ln AS traj_id, 0 AS class_id, CAST(1.0 AS DOUBLE) AS conf,
          CAST((ln-1)*140 + (ok*37+ln*11)%17 AS DOUBLE) AS x1, CAST(200 AS DOUBLE) AS y1, CAST((ln-1)*140 + (ok*37+ln*11)%17 + 100 AS DOUBLE) AS x2, CAST(600 AS DOUBLE) AS y2, ok, ln FROM fx_base),
 fx_hyp AS (
-  SELECT seq_id, frame_idx, frame_time, 100 + ln + CASE WHEN frame_idx >= 60 + ln*5 THEN 10 ELSE 0 END AS track_id, 0 AS class_id,
+  SELECT seq_id, frame_idx, frame_time, 100 + ln + CASE WHEN frame_idx >= 60 + ln*5 THEN 10 ELSE 0 END AS traj_id, 0 AS class_id,
          (30 + (ok*17+ln*3)%70) / CAST(128.0 AS DOUBLE) AS conf, x1 + dx AS x1, y1, x2 + dx AS x2, y2
   FROM (SELECT *, CASE WHEN (ok+ln)%23=0 THEN 60 ELSE ((ok*13+ln*5)%9-4)*4 END AS dx FROM fx_gt) WHERE (ok*31+ln*7)%11 <> 0
   UNION ALL
@@ -27,17 +27,17 @@ fx_roi AS (
 fx_motion AS (
   SELECT f.seq_id, f.frame_idx, 8 AS gw, 8 AS gh, gx, gy, ((gx*3 + gy*5 + f.frame_idx)%7 - 3)/CAST(256.0 AS DOUBLE) AS dx, ((gx*5 + gy*3 + f.frame_idx)%5 - 2)/CAST(256.0 AS DOUBLE) AS dy
   FROM fx_frames f, range(8) a(gx), range(8) b(gy)),
-fx_kp AS (SELECT seq_id, frame_idx, track_id, i AS kp_idx, x1 + i*6 AS x, y1 + i*24 AS y, ((ok + ln + i)%10)/CAST(16.0 AS DOUBLE) AS kp_conf FROM fx_gt, range(17) t(i)),
-fx_pairs AS (
+fx_kp AS (SELECT seq_id, frame_idx, traj_id, i AS kp_idx, x1 + i*6 AS x, y1 + i*24 AS y, ((ok + ln + i)%10)/CAST(16.0 AS DOUBLE) AS kp_conf FROM fx_gt, range(17) t(i)),
+fx_pairs AS MATERIALIZED (
   SELECT * FROM (
-    SELECT g.seq_id, g.frame_idx, g.track_id AS oid, h.track_id AS hid,
+    SELECT g.seq_id, g.frame_idx, g.traj_id AS oid, h.traj_id AS hid,
            1 - (least(g.x2,h.x2)-greatest(g.x1,h.x1))*(least(g.y2,h.y2)-greatest(g.y1,h.y1)) / ((g.x2-g.x1)*(g.y2-g.y1) + (h.x2-h.x1)*(h.y2-h.y1) - (least(g.x2,h.x2)-greatest(g.x1,h.x1))*(least(g.y2,h.y2)-greatest(g.y1,h.y1))) AS d
     FROM fx_gt g JOIN fx_hyp h ON g.seq_id=h.seq_id AND g.frame_idx=h.frame_idx AND least(g.x2,h.x2)>greatest(g.x1,h.x1) AND least(g.y2,h.y2)>greatest(g.y1,h.y1)) WHERE d <= 0.45),
-fx_match AS (SELECT seq_id, frame_idx, CASE WHEN lag(hid) OVER (PARTITION BY seq_id, oid ORDER BY frame_idx) <> hid THEN 'SWITCH' ELSE 'MATCH' END AS type, oid, hid, d FROM fx_pairs),
-fx_log AS (
+fx_match AS MATERIALIZED (SELECT seq_id, frame_idx, CASE WHEN lag(hid) OVER (PARTITION BY seq_id, oid ORDER BY frame_idx) <> hid THEN 'SWITCH' ELSE 'MATCH' END AS type, oid, hid, d FROM fx_pairs),
+fx_log AS MATERIALIZED (
   SELECT seq_id, frame_idx, type, oid, hid, d FROM fx_match
-  UNION ALL SELECT seq_id, frame_idx, 'MISS', track_id, NULL, NULL FROM fx_gt g WHERE NOT EXISTS (SELECT 1 FROM fx_match m WHERE m.seq_id=g.seq_id AND m.frame_idx=g.frame_idx AND m.oid=g.track_id)
-  UNION ALL SELECT seq_id, frame_idx, 'FP', NULL, track_id, NULL FROM fx_hyp h WHERE NOT EXISTS (SELECT 1 FROM fx_match m WHERE m.seq_id=h.seq_id AND m.frame_idx=h.frame_idx AND m.hid=h.track_id)),
+  UNION ALL SELECT seq_id, frame_idx, 'MISS', traj_id, NULL, NULL FROM fx_gt g ANTI JOIN fx_match m ON m.seq_id=g.seq_id AND m.frame_idx=g.frame_idx AND m.oid=g.traj_id
+  UNION ALL SELECT seq_id, frame_idx, 'FP', NULL, traj_id, NULL FROM fx_hyp h ANTI JOIN fx_match m ON m.seq_id=h.seq_id AND m.frame_idx=h.frame_idx AND m.hid=h.traj_id),
 fx_object AS (
   SELECT seq_id, oid, count(*) AS frames, count(*) FILTER (type <> 'MISS') AS tracked, count(*) FILTER (type = 'MATCH') AS matched FROM fx_log WHERE oid IS NOT NULL GROUP BY ALL),
 fx_frag AS (
@@ -81,15 +81,15 @@ def _frame() -> list[Column]:
 def gt(spark: SparkSession, d: str) -> DataFrame:
     ok, ln = _ids()
     left = ((ln - 1) * 140 + (ok * 37 + ln * 11) % 17).cast("double")
-    return base(spark, d).select(*_frame(), ln.alias("track_id"), F.lit(0).alias("class_id"), F.lit(1.0).alias("conf"), left.alias("x1"), F.lit(200.0).alias("y1"), (left + 100).alias("x2"), F.lit(600.0).alias("y2"), "ok", "ln")
+    return base(spark, d).select(*_frame(), ln.alias("traj_id"), F.lit(0).alias("class_id"), F.lit(1.0).alias("conf"), left.alias("x1"), F.lit(200.0).alias("y1"), (left + 100).alias("x2"), F.lit(600.0).alias("y2"), "ok", "ln")
 
 
 def hyp(spark: SparkSession, d: str) -> DataFrame:
     ok, ln = _ids()
     dx = F.when((ok + ln) % 23 == 0, 60).otherwise(((ok * 13 + ln * 5) % 9 - 4) * 4)
-    track = 100 + ln + F.when(F.col("frame_idx") >= 60 + ln * 5, 10).otherwise(0)
-    near = gt(spark, d).filter((ok * 31 + ln * 7) % 11 != 0).select("seq_id", "frame_idx", "frame_time", track.alias("track_id"), "class_id", ((30 + (ok * 17 + ln * 3) % 70) / 128.0).alias("conf"), (F.col("x1") + dx).alias("x1"), "y1", (F.col("x2") + dx).alias("x2"), "y2")
-    false = base(spark, d).filter(ok % 13 == 0).select("ok").distinct().select(*_frame(), (900 + ok % 3).alias("track_id"), F.lit(0).alias("class_id"), F.lit(0.375).alias("conf"), F.lit(400.0).alias("x1"), F.lit(700.0).alias("y1"), F.lit(500.0).alias("x2"), F.lit(900.0).alias("y2"))
+    trajectory = 100 + ln + F.when(F.col("frame_idx") >= 60 + ln * 5, 10).otherwise(0)
+    near = gt(spark, d).filter((ok * 31 + ln * 7) % 11 != 0).select("seq_id", "frame_idx", "frame_time", trajectory.alias("traj_id"), "class_id", ((30 + (ok * 17 + ln * 3) % 70) / 128.0).alias("conf"), (F.col("x1") + dx).alias("x1"), "y1", (F.col("x2") + dx).alias("x2"), "y2")
+    false = base(spark, d).filter(ok % 13 == 0).select("ok").distinct().select(*_frame(), (900 + ok % 3).alias("traj_id"), F.lit(0).alias("class_id"), F.lit(0.375).alias("conf"), F.lit(400.0).alias("x1"), F.lit(700.0).alias("y1"), F.lit(500.0).alias("x2"), F.lit(900.0).alias("y2"))
     return near.unionByName(false)
 
 
@@ -108,7 +108,7 @@ def half_frames(spark: SparkSession, d: str) -> DataFrame:
 
 def det(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("seq_id", "frame_idx").orderBy(F.col("conf").desc(), "x1", "y1")
-    return hyp(spark, d).withColumn("det_id", F.row_number().over(order).cast("long")).drop("track_id")
+    return hyp(spark, d).withColumn("det_id", F.row_number().over(order).cast("long")).drop("traj_id")
 
 
 def roi(spark: SparkSession, d: str) -> DataFrame:

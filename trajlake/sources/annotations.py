@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import file_label, image_path
 
 #: The 9 columns of a ground-truth file, and the classes that its 12 numbers stand for.
-MOT_COLUMNS = "frame_id int, track_id long, left double, top double, width double, height double, confidence double, class int, visibility double"
+MOT_COLUMNS = "frame_id int, traj_id long, left double, top double, width double, height double, confidence double, class int, visibility double"
 MOT_CLASSES = ["person", "vehicle", "other"]
 PERSONS, VEHICLES = (1, 2, 7), (3, 4, 5, 6)
 
@@ -72,13 +72,13 @@ def read_mot(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Da
     numbers = named.select("*", F.explode(F.when(F.col("length") > 1, F.sequence(F.lit(1), F.col("length") - 1))).alias("frame_id"))
     frames = numbers.select("seq", (F.col("frame_id") - 1).cast("long").alias("frame_idx"), ((F.col("frame_id") - 1) / F.col("frame_rate")).alias("frame_time"), F.lit(True).alias("tracked"), F.concat(F.col("im_dir"), F.lit("/"), F.format_string("%06d", "frame_id"), F.col("im_ext")).alias("image_path"))
     objects = normalise_mot(rows.join(named, "folder").filter("frame_id BETWEEN 1 AND length - 1"))
-    return sequences, frames, objects.select("seq", "frame_idx", "frame_time", "track_id", "class_id", "conf", "x1", "y1", "x2", "y2")
+    return sequences, frames, objects.select("seq", "frame_idx", "frame_time", "traj_id", "class_id", "conf", "x1", "y1", "x2", "y2")
 
 
 def read_native(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """sequences, frames, objects, detections and regions of annotation files (JSON, one object a file). A frame without an
-    object map is untracked; frames that a run skipped for its frame rate are left out; with neither objects nor debug data
-    a frame isn't stored."""
+    object map is untracked; frames that a run skipped for its frame rate are left out, and of frames with a result type those
+    with neither objects nor debug data, which a run doesn't store."""
     docs = spark.read.schema(NATIVE).option("multiLine", True).json(glob).withColumn("seq", F.regexp_extract(F.input_file_name(), r"([^/]*)\.[^./]*$", 1))
     sequences = docs.select("seq", "metadata.*")
     each = docs.select("seq", F.posexplode("frames").alias("frame_idx", "f")).filter("f.result_type IS NULL OR f.result_type <> 'SKIP_FRAMERATE'").filter("f.objects IS NOT NULL OR f.tracker_debug IS NOT NULL OR f.result_type IS NULL")
@@ -86,7 +86,7 @@ def read_native(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame, D
     frames = each.select("seq", "frame_idx", "frame_time", F.col("objects").isNotNull().alias("tracked"), "image_path")
     box = [F.get("o.box", F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))]
     picture = lambda n: F.when(F.col(f"o.{n}_jpeg").isNotNull(), F.struct(F.col(f"o.{n}_jpeg.time").alias("time"), F.unbase64(f"o.{n}_jpeg.data").alias("data"))).alias(f"{n}_jpeg")
-    objects = each.select("seq", "frame_idx", "frame_time", F.explode("objects").alias("id", "o")).select("seq", "frame_idx", "frame_time", F.col("id").cast("long").alias("track_id"), F.col("o.class").alias("class_id"), "o.conf", *box, *(f"o.{x.split()[0]}" for x in POINT_LISTS.split(", ")), picture("face"), picture("clip"), "o.face_embedding", "o.clip_embedding")
+    objects = each.select("seq", "frame_idx", "frame_time", F.explode("objects").alias("id", "o")).select("seq", "frame_idx", "frame_time", F.col("id").cast("long").alias("traj_id"), F.col("o.class").alias("class_id"), "o.conf", *box, *(f"o.{x.split()[0]}" for x in POINT_LISTS.split(", ")), picture("face"), picture("clip"), "o.face_embedding", "o.clip_embedding")
     raw = each.select("seq", "frame_idx", "frame_time", F.posexplode("tracker_debug.detections.data.detections").alias("det_id", "o"))
     detections = raw.select("seq", "frame_idx", "frame_time", F.col("det_id").cast("long").alias("det_id"), F.col("o.class").alias("class_id"), F.col("o.confidence").alias("conf"), *box)
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"tracker_debug.{k}_roi.data.roi").alias("box")) for k in ("detection", "motion"))))
@@ -96,9 +96,16 @@ def read_native(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame, D
 
 def native_documents(sequences: DataFrame, frames: DataFrame, objects: DataFrame, original_video: tuple[str, str] | None = None) -> DataFrame:
     """file (a clean name) and document (JSON text) of each sequence; frames in order of time, untracked ones without an
-    object map. original_video: (pattern, replacement) for the video's path."""
-    one = F.struct(F.array("x1", "y1", "x2", "y2").alias("box"), F.col("class_id").alias("class"), "conf")
-    maps = objects.groupBy("seq", "frame_idx").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("track_id").cast("string").alias("key"), one.alias("value"))))).alias("objects"))
+    object map. Of points, attributes, sub-boxes, pictures (as base64) and embeddings those columns are written that objects
+    have; nulls are left out. original_video: (pattern, replacement) for the video's path."""
+    have, more = set(objects.columns), []
+    more += [F.col(n) for n in (x.split()[0] for x in POINT_LISTS.split(", ")) if n in have]
+    for n in ("face_jpeg", "clip_jpeg"):
+        if n in have:
+            more.append(F.when(F.col(n).isNotNull(), F.struct(F.col(f"{n}.time").alias("time"), F.base64(f"{n}.data").alias("data"))).alias(n))
+    more += [F.col(n) for n in ("face_embedding", "clip_embedding") if n in have]
+    one = F.struct(F.array("x1", "y1", "x2", "y2").alias("box"), F.col("class_id").alias("class"), "conf", *more)
+    maps = objects.groupBy("seq", "frame_idx").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("traj_id").cast("string").alias("key"), one.alias("value"))))).alias("objects"))
     none = F.create_map().cast(maps.schema["objects"].dataType)
     filled = frames.join(maps, ["seq", "frame_idx"], "left").withColumn("objects", F.when(F.col("tracked"), F.coalesce("objects", none)))
     frame = F.struct("frame_time", F.col("frame_idx").alias("frame_id"), "image_path", "objects")
@@ -115,6 +122,12 @@ def write_native(sequences: DataFrame, frames: DataFrame, objects: DataFrame, fo
     native_documents(sequences, frames, objects).write.partitionBy("file").text(folder)
 
 
+def convert_mot(spark: SparkSession, folder: str, out: str) -> None:
+    """All sequences under `folder` as annotation files under `out`: one job for the whole corpus."""
+    sequences, frames, objects = read_mot(spark, folder)
+    write_native(sequences, frames, objects, out)
+
+
 def append_results(results: DataFrame, path: str, datasets: DataFrame) -> None:
     """Append results to the table at `path`, but for data sets marked no_cache."""
     skip = datasets.filter("no_cache").select("ds_key")

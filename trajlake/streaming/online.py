@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.associate import COLUMNS, OUT, PARAMS, Tracker
+from ..operators.associate import COLUMNS, OUT, PARAMS, Associator
 from ..operators.clearmot import fold_matches
 
 
@@ -30,13 +30,13 @@ def associate_stream(detections: DataFrame, key: str = "seq_id", params: dict |
         if state.hasTimedOut:
             state.remove()
             return
-        tracker, late = (pickle.loads(bytes(state.get[0])), state.get[1]) if state.exists else (Tracker(chosen), 0)
+        associator, late = (pickle.loads(bytes(state.get[0])), state.get[1]) if state.exists else (Associator(chosen), 0)
         rows = pd.concat(list(parts))
-        late += int((rows.frame_time <= tracker.last_time).sum())
-        out = tracker.frames(rows[COLUMNS])
+        late += int((rows.frame_time <= associator.last_time).sum())
+        out = associator.frames(rows[COLUMNS])
         out.insert(0, key, group[0])
         out["late"] = late
-        state.update((pickle.dumps(tracker), late))
+        state.update((pickle.dumps(associator), late))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
         yield out
