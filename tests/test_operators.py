@@ -12,6 +12,7 @@ from trajlake.functions import geometry as g
 from trajlake.operators import associate, clearmot, detection, identity, motion, rollup, sweep, timegrid
 from trajlake.operators.assignment import assign
 from trajlake.sources import annotations
+from trajlake.streaming import online
 
 BOX = "x1 double, y1 double, x2 double, y2 double"
 
@@ -109,10 +110,10 @@ def test_kalman_equals_dense_matrices(spark):
         gain = cov @ see.T @ np.linalg.inv(see @ cov @ see.T + r)
         state, cov = state + gain @ (m[k] - see @ state), cov - gain @ see @ cov
         assert np.allclose([found[k].cx, found[k].cy, found[k].a, found[k].h], state[:4], atol=1e-9)
-    associator = associate.BoxFilter(np.array(rows[0][2:]), times[0])
+    one = motion.BoxFilter(associate.measured(np.array(rows[0][2:])), times[0])
     for k in range(1, 12):
-        associator.update(np.array(rows[k][2:]), times[k])
-    assert np.allclose(associator.p, state[:4], atol=1e-9)
+        one.update(associate.measured(np.array(rows[k][2:])), times[k])
+    assert np.allclose(one.p, state[:4], atol=1e-9)
 
 
 def test_split_and_whole_association_agree(spark):
@@ -185,3 +186,213 @@ def test_native_round_trip(spark, tmp_path):
     assert rows_of(f.select("frame_idx", "frame_time", "tracked")) == rows_of(frames.select("frame_idx", "frame_time", "tracked"))
     assert rows_of(o.select("traj_id", "conf", "x1", "y1", "x2", "y2")) == rows_of(objects.select("traj_id", "conf", "x1", "y1", "x2", "y2"))
     assert d.count() == r.count() == 0
+
+
+# --- events where a frame leaves a choice
+
+
+def brute_events(pairs):
+    """Frame by frame: last partners first, then of all one-to-one choices the largest, and of these the nearest."""
+    last, out = {}, []
+    for frame in sorted({f for f, *_ in pairs}):
+        near = {(o, h): d for f, o, h, d in pairs if f == frame}
+        taken = {}
+        for o in sorted({o for o, _ in near}):
+            if (o, last.get(o)) in near and last[o] not in taken.values():
+                taken[o] = last[o]
+        rest = [(o, h) for o, h in near if o not in taken and h not in taken.values()]
+        choices = [c for n in range(len(rest) + 1) for c in itertools.combinations(rest, n) if len({o for o, _ in c}) == len(c) == len({h for _, h in c})]
+        best = min(choices, key=lambda c: (-len(c), sum(near[x] for x in c)))
+        for o, h in {**taken, **dict(best)}.items():
+            out.append((frame, "SWITCH" if last.get(o, h) != h else "MATCH", o, h))
+            last[o] = h
+    return sorted(out)
+
+
+def test_ambiguous_frames_equal_brute_force(spark):
+    r = np.random.default_rng(11)
+    rows, want = [], []
+    for seq in range(4):
+        pairs = []
+        for f in range(12):
+            for o in range(4):
+                for h in range(4):
+                    if r.random() < (0.3 if seq else 0.0) or (o == h and seq == 0):
+                        pairs.append((f, o, 10 + h, float(r.random() * 0.4)))
+        rows += [(seq, *x) for x in pairs]
+        want += [(seq, *x) for x in brute_events(pairs)]
+    df = spark.createDataFrame(rows, "seq_id long, frame_idx long, oid long, hid long, d double")
+    found = clearmot.matches(df, ["seq_id"]).select("seq_id", "frame_idx", "type", "oid", "hid").collect()
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_labels_of_the_nearest_frame(spark):
+    objects = spark.createDataFrame([(0, 0.24, 1), (0, 0.26, 1), (0, 0.9, 2)], "seq_id long, frame_time double, traj_id long")
+    log = spark.createDataFrame([(0, 0, "MATCH", 1, 10), (0, 1, "SWITCH", 1, 11), (0, 1, "FP", None, 12)], "seq_id long, frame_idx long, type string, oid long, hid long")
+    frames = spark.createDataFrame([(0, 0, 0.0), (0, 1, 0.5)], "seq_id long, frame_idx long, frame_time double")
+    found = clearmot.label_objects(objects, log, frames, ["seq_id"], "oid").collect()
+    assert sorted((r.frame_time, r.traj_id, r.label) for r in found) == [(0.24, 1, "OK"), (0.26, 1, "SW"), (0.9, 2, None)]
+
+
+# --- all parts of an object
+
+
+def test_interpolation_of_parts(spark):
+    kinds = "subbox: array<double>, subbox_conf: double, pose_pos: array<array<double>>, pose_conf: array<double>, face_pos: array<array<double>>, face_conf: array<double>, face_jpeg: string, clip_jpeg: string, face_embedding: string, clip_embedding: string"
+
+    def side(sub=None, pose=0, face=0, name="l"):
+        at = 1.0 if name == "l" else 3.0
+        points = lambda n: [[at, at]] * n
+        return (sub and [sub] * 4, sub, points(pose), [0.5] * pose, points(face), [0.5] * face, name, name, name, name)
+
+    cases = [
+        (0.25, side(1.0, 2, 5), side(3.0, 2, 5, "r"), (1.5, 1.5, [[1.5, 1.5]] * 2, [0.25] * 2, [[1.5, 1.5]] * 5, "l")),
+        (0.75, side(1.0, 2, 5), side(None, 1, 0, "r"), (None, None, [[1.0, 1.0]] * 2, [0.5] * 2, [[1.0, 1.0]] * 5, "r")),
+        (0.25, side(None, 0, 5), side(3.0, 1, 4, "r"), (None, None, [[3.0, 3.0]], [0.5], [[1.0, 1.0]] * 5, "l")),
+        (0.5, side(None, 0, 0), side(3.0, 0, 4, "r"), (3.0, 3.0, [], [], [[3.0, 3.0]] * 4, "r")),
+    ]
+    df = spark.createDataFrame([(k, f, a, b) for k, (f, a, b, _) in enumerate(cases)], f"k int, share double, a struct<{kinds}>, b struct<{kinds}>")
+    parts = timegrid.interpolated_parts(F.col("a"), F.col("b"), F.col("share"))
+    for r in df.select("k", *(c.alias(n) for n, c in parts.items())).collect():
+        sub, sub_conf, pose, conf, face, name = cases[r.k][3]
+        assert (r.subbox and r.subbox[0], r.subbox_conf, r.pose_pos, r.pose_conf, r.face_pos) == (sub, sub_conf, pose, conf, face), r
+        assert {r.face_jpeg, r.clip_jpeg, r.face_embedding, r.clip_embedding} == {name}
+
+
+def test_objects_with_parts_are_interpolated(spark):
+    frames = spark.createDataFrame([(0, 0, 0.0, True), (0, 1, 1.0, True)], "seq long, frame_idx long, frame_time double, tracked boolean")
+    schema = f"seq long, frame_idx long, traj_id long, class_id int, conf double, {BOX}, subbox array<double>, subbox_conf double, pose_pos array<array<double>>, pose_conf array<double>, face_pos array<array<double>>, face_conf array<double>, face_jpeg string, clip_jpeg string, face_embedding string, clip_embedding string"
+    objects = spark.createDataFrame([(0, f, 7, 0, 1.0, float(f), 0.0, 2.0, 2.0, [float(f)] * 4, 0.5, None, None, None, None, "p", None, None, None) for f in (0, 1)], schema)
+    r = timegrid.objects_at(spark.createDataFrame([(0, 0.5)], "seq long, t double"), frames, objects, ["seq"]).first()
+    assert r.x1 == pytest.approx(0.5, abs=1e-6) and r.subbox == pytest.approx([0.5] * 4, abs=1e-6) and (r.face_jpeg, r.pose_pos, r.subbox_conf) == ("p", None, 0.5)
+
+
+def test_all_parts_are_written_and_read(spark, tmp_path):
+    sequences = spark.createDataFrame([("s", 10.0, ["person"])], "seq string, frame_rate double, classes array<string>")
+    frames = spark.createDataFrame([("s", 0, 0.0, True, None)], "seq string, frame_idx long, frame_time double, tracked boolean, image_path string")
+    objects = spark.createDataFrame(
+        [("s", 0, 4, 0, 0.5, 0.1, 0.2, 0.3, 0.4, [[1.0, 2.0]], [0.5], [0.25], [0.0, 0.1, 0.2, 0.3], 0.75, (1.0, bytearray(b"\x00\xff")), (1.0, 0.5, [1.0, 2.0]))],
+        f"seq string, frame_idx long, traj_id long, class_id int, conf double, {BOX}, pose_pos array<array<double>>, pose_conf array<double>, attr array<double>, subbox array<double>, subbox_conf double, face_jpeg struct<time: double, data: binary>, face_embedding struct<time: double, quality: double, data: array<float>>",
+    )
+    annotations.native_documents(sequences, frames, objects).select("document").coalesce(1).write.text(f"{tmp_path}/out")
+    (file,) = (tmp_path / "out").glob("*.txt")
+    file.rename(tmp_path / "s.json")
+    r = annotations.read_native(spark, f"{tmp_path}/s.json")[2].first()
+    assert r.pose_pos == [[1.0, 2.0]] and (r.pose_conf, r.attr, r.subbox, r.subbox_conf) == ([0.5], [0.25], [0.0, 0.1, 0.2, 0.3], 0.75)
+    assert bytes(r.face_jpeg.data) == b"\x00\xff" and r.face_embedding.data == [1.0, 2.0] and r.clip_jpeg is None and r.face_pos is None
+
+
+def test_detection_needs_a_whole_id(spark):
+    df = spark.createDataFrame([(1.0,), (None,)], "i double").select(g.detection((F.lit(0.0),) * 4, F.lit(0), F.lit(1.0), F.col("i")).alias("d"))
+    assert [r.d.traj_id for r in df.collect()] == [1, None]
+    bad = spark.createDataFrame([(1.5,)], "i double").select(g.detection((F.lit(0.0),) * 4, F.lit(0), F.lit(1.0), F.col("i")).alias("d"))
+    with pytest.raises(Exception, match="whole id"):
+        bad.collect()
+
+
+# --- the association's score
+
+
+def overlap(a, b):
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    common = max(0, w) * max(0, h)
+    whole = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - common
+    return common / whole if whole > 0 else 0.0
+
+
+def test_scores_equal_plain_loops():
+    r = np.random.default_rng(4)
+    p = associate.PARAMS | {"sim_weight": 0.3, "kp_distance_scale": 2.0}
+    field = (8, 8, r.uniform(-0.05, 0.05, 64), r.uniform(-0.05, 0.05, 64))
+
+    def shift(x, y):
+        at = min(7, max(0, int(y * 8 + 0.5))) * 8 + min(7, max(0, int(x * 8 + 0.5)))
+        return field[2][at], field[3][at]
+
+    def moved_box(b):
+        found = [(w, shift(b[0] * x + b[2] * (1 - x), b[1] * y + b[3] * (1 - y))) for x, y, w in motion.SAMPLES]
+        dx, dy = (sum(w * d[k] for w, d in found) for k in (0, 1))
+        return [min(1, max(0, v)) for v in (b[0] - dx, b[1] - dy, b[2] - dx, b[3] - dy)]
+
+    def thing(k):
+        x, y = r.uniform(0.3, 0.45, 2)
+        pose = np.concatenate([[x + r.uniform(0, 0.2), y + r.uniform(0, 0.2), r.choice([0.0, 0.04, 0.6])] for _ in range(17)]).tolist()
+        return np.array([x, y, x + 0.2, y + 0.3]), {"subbox": None if k % 3 == 0 else [x, y, x + 0.1, y + 0.1], "pose": None if k % 4 == 1 else pose, "reid": None if k % 5 == 2 else r.normal(size=4).tolist(), "attr": None}
+
+    news, olds = [thing(k) for k in range(6)], []
+    for k in range(5):
+        box, parts = thing(k + 1)
+        one = associate.Trajectory(k, box, 0.5, 0, associate.TRACKED, motion.BoxFilter(associate.measured(box), 0.0), 0.0, observations=k + 1, parts=parts)
+        one.filter.update(associate.measured(box + 0.01), 0.1)
+        olds.append(one)
+    associator = associate.Associator(p)
+    vectors = [x["reid"] for x in [*(n[1] for n in news), *(t.parts for t in olds)] if x["reid"] is not None]
+    associator.mean = np.mean(vectors, axis=0)
+    confs = r.uniform(0.2, 1, 6)
+    parts = {k: [n[1][k] for n in news] for k in associate.EXTRAS}
+    found = associator.scores(np.array([n[0] for n in news]), confs, parts, olds, 0.2, 0.3, field)
+    for i, (box, new) in enumerate(news):
+        for j, t in enumerate(olds):
+            flow, points = moved_box(t.box), None
+            if t.parts["pose"]:
+                flat = t.parts["pose"]
+                points = [(*(min(1, max(0, v - d)) for v, d in zip(flat[3 * q : 3 * q + 2], shift(flat[3 * q], flat[3 * q + 1]), strict=True)), flat[3 * q + 2]) for q in range(17)]
+                for x, y, c in points:
+                    if c > 0.05:
+                        flow = [min(flow[0], x), min(flow[1], y), max(flow[2], x), max(flow[3], y)]
+            seen, kf = overlap(box, flow), overlap(box, t.filter.predicted(0.2))
+            if new["subbox"] and t.parts["subbox"]:
+                seen += p["face_weight"] * overlap(new["subbox"], moved_box(t.parts["subbox"]))
+            weight = 0 if t.observations < 2 else p["kf_weight"] * (1 - max(0.1, 1 / t.observations) ** p["kf_warmup"])
+            score, divisor = seen + kf * weight, 1 + weight
+            if new["pose"] and points and seen + kf != 0:
+                area = 0.5 * ((box[2] - box[0]) * (box[3] - box[1]) + (flow[2] - flow[0]) * (flow[3] - flow[1])) * 0.53 * p["kp_distance_scale"] ** 2
+                near = [math.exp(-((new["pose"][3 * q] - x) ** 2 + (new["pose"][3 * q + 1] - y) ** 2) / (2 * area * (2 * associate.SIGMAS[q]) ** 2 + 1e-7)) for q, (x, y, c) in enumerate(points) if c > 0 and new["pose"][3 * q + 2] > 0]
+                if len(near) > 4:
+                    score, divisor = score + p["kp_weight"] * sum(near) / (len(near) + 1e-7), divisor + p["kp_weight"]
+            score /= divisor
+            if new["reid"] and t.parts["reid"]:
+                a, b = (np.array(v) - associator.mean for v in (new["reid"], t.parts["reid"]))
+                score += p["sim_weight"] * float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+            assert found[i, j] == pytest.approx(0 if score < 0.3 else score * confs[i] ** p["fuse_scores"], abs=1e-9), (i, j)
+    assert (found > 0).any() and (found == 0).any()
+
+
+def test_parts_go_along_with_trajectories(spark):
+    frames = spark.createDataFrame([(0, f, f / 10) for f in range(3)], "seq_id long, frame_idx long, frame_time double")
+    rows = [(0, f, 0, 0.9, 0.1, 0.1, 0.3, 0.5, [float(f)], [1.0, float(f)]) for f in range(3)]
+    det = spark.createDataFrame(rows, f"seq_id long, frame_idx long, class_id int, conf double, {BOX}, attr array<double>, reid array<double>")
+    found = associate.associate(frames, det, ["seq_id"]).orderBy("frame_idx").collect()
+    assert [r.attr for r in found] == [[0.0], pytest.approx([0.9]), pytest.approx([1.89])]
+    assert [r.reid[1] for r in found] == [0.0, 0.5, 1.25] and len({r.traj_id for r in found}) == 1
+    none = associate.associate(frames, det, ["seq_id"], blocking=lambda a, b: np.zeros((len(a), len(b)), bool)).select("traj_id").distinct().count()
+    plugged = associate.associate(frames, det, ["seq_id"], pair_score=lambda self, boxes, confs, parts, olds, *rest: np.ones((len(boxes), len(olds))))
+    assert none == 3 and plugged.select("traj_id").distinct().count() == 1
+
+
+# --- streams
+
+
+def replay(spark, tmp_path, batches, run):
+    for batch in batches:
+        spark.createDataFrame(batch, "seq_id long, frame_idx long, frame_time double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("seq_id long, frame_idx long, frame_time double").parquet(f"{tmp_path}/in")
+        run(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    return sorted((r.frame_idx, r.late) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+
+def test_late_rows_are_counted_not_used(spark, tmp_path):
+    batches = [[(0, 0, 0.0), (0, 2, 2.0)], [(0, 1, 1.0), (0, 3, 3.0)]]
+    assert replay(spark, tmp_path, batches, lambda s: online.rate_limited(s, 0.5)) == [(0, 0), (2, 0), (3, 1)]
+
+
+def test_rows_wait_for_the_watermark(spark, tmp_path):
+    batches = [[(0, 0, 0.0), (0, 2, 2.0)], [(0, 1, 1.0), (0, 9, 9.0)], [(0, 4, 4.0), (0, 20, 20.0)], [(0, 21, 21.0)]]
+    found = replay(spark, tmp_path, batches, lambda s: online.rate_limited(s, 0.5, delay=3.0))
+    assert found == [(0, 0), (1, 0), (2, 0), (9, 0)]  # 4 came behind the watermark; 20 and 21 still wait
+
+
+def test_silent_sequences_are_forgotten(spark, tmp_path):
+    batches = [[(0, 0, 0.0)], [(1, 30, 30.0)], [(0, 1, 40.0)], [(1, 60, 60.0)]]
+    found = replay(spark, tmp_path, batches, lambda s: online.rate_limited(s, 50.0, delay=1.0, idle=5.0))
+    assert found == [(0, 0), (1, 0), (30, 0)]  # 1 lies under 50 s behind 0, but comes after a silence

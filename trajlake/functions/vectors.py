@@ -10,6 +10,10 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
 
 
+def total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 

@@ -14,12 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.points import SIGMAS
+from ..functions.vectors import total
 from .assignment import assign
-from .motion import BoxFilter
+from .motion import SAMPLES, BoxFilter
 
 #: Default parameters of the association.
 PARAMS = {
-    "kf_weight": 0.5, "kf_warmup": 1.0, "fuse_scores": 0.5, "sim_weight": 0.0, "traj_initial_thr": 0.6, "traj_high_thr": 0.4, "traj_low_thr": 0.1,
+    "kf_weight": 0.5, "kf_warmup": 1.0, "kp_weight": 0.5, "kp_distance_scale": 1.0, "face_weight": 0.5, "fuse_scores": 0.5, "sim_weight": 0.0, "pose_conf": 0.0, "traj_initial_thr": 0.6, "traj_high_thr": 0.4, "traj_low_thr": 0.1,
     "match_thr_initial": 0.3, "match_thr_high": 0.25, "match_thr_low": 0.2, "new_traj_thr": 0.3, "immediate_confirm_thr": 0.5, "traj_buffer_seconds": 2.0, "delete_dup_iou": 0.7,
 }
 #: Frames without a match after which a trajectory is lost, and after which a lost trajectory ends.
@@ -35,6 +37,51 @@ def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(common, whole, out=np.zeros_like(common), where=whole > 0)
 
 
+#: What a detection may have besides its box: a face's box, 17 points as x, y, conf and so on, an embedding and attributes.
+EXTRAS = ("subbox", "pose", "reid", "attr")
+#: A frame's displacement field: columns, rows, and the displacements row by row.
+FIELD = ("gw", "gh", "field_dx", "field_dy")
+SURE = 0.05
+KEEP = 0.5
+
+
+def moved_points(points: np.ndarray, field: tuple | None) -> np.ndarray:
+    """Points (n, 2) moved against the field, each by its cell."""
+    if field is None:
+        return points
+    gw, gh, dx, dy = field
+    cells = [np.clip((points[:, k] * n + 0.5).astype(int), 0, n - 1) for k, n in ((0, gw), (1, gh))]
+    at = cells[1] * gw + cells[0]
+    return np.clip(points - np.stack([dx[at], dy[at]], axis=1), 0, 1)
+
+
+def moved_boxes(boxes: np.ndarray, field: tuple | None) -> np.ndarray:
+    """Boxes (n, 4) moved against the weighted mean of the field at five sample points."""
+    if field is None or not len(boxes):
+        return boxes
+    gw, gh, dx, dy = field
+    move = np.zeros((len(boxes), 2))
+    for x, y, weight in SAMPLES:
+        where = np.stack([boxes[:, 0] * x + boxes[:, 2] * (1 - x), boxes[:, 1] * y + boxes[:, 3] * (1 - y)], axis=1)
+        at = np.clip((where[:, 1] * gh + 0.5).astype(int), 0, gh - 1) * gw + np.clip((where[:, 0] * gw + 0.5).astype(int), 0, gw - 1)
+        move += weight * np.stack([dx[at], dy[at]], axis=1)
+    return np.clip(boxes - np.tile(move, 2), 0, 1)
+
+
+def stacked(values: list, width: int) -> np.ndarray:
+    """Rows of `width` numbers; NaN for what is missing or of another length."""
+    return np.array([v if v is not None and len(v) == width else np.full(width, np.nan) for v in values], float).reshape(len(values), width)
+
+
+def point_similarity(new: np.ndarray, old: np.ndarray, areas: np.ndarray, scale: float) -> np.ndarray:
+    """Object key point similarity of poses (n, 17, 3) and (m, 17, 3); NaN unless both see more than four common points."""
+    seen = (new[:, None, :, 2] > 0) & (old[None, :, :, 2] > 0)
+    apart = ((new[:, None, :, :2] - old[None, :, :, :2]) ** 2).sum(axis=3)
+    width = 2 * (0.5 * 0.53 * scale**2) * areas[:, :, None] * (2 * np.array(SIGMAS)) ** 2 + 1e-7
+    near, n = np.where(seen, np.exp(-np.where(seen, apart, 0) / width), 0).sum(axis=2), seen.sum(axis=2)
+    return np.where(n > 4, near / (n + 1e-7), np.nan)
+
+
 def measured(box: np.ndarray) -> np.ndarray:
     """Centre, ratio and height of a box."""
     h = box[3] - box[1]
@@ -52,6 +99,7 @@ class Trajectory:
     seen: float
     observations: int = 1
     missed: int = 0
+    parts: dict = field(default_factory=dict)
 
 
 @dataclass
@@ -62,26 +110,74 @@ class Associator:
     trajectories: list[Trajectory] = field(default_factory=list)
     started: int = 0
     last_time: float = -np.inf
-
-    def scores(self, boxes: np.ndarray, confs: np.ndarray, trajectories: list[Trajectory], time: float, least: float) -> np.ndarray:
-        """Weighted mean of the overlaps with each trajectory's last and predicted box, 0 below `least`, by confidence."""
-        p = self.params
-        last, ahead = np.array([t.box for t in trajectories]), np.array([t.filter.predicted(time) for t in trajectories])
+    #: In place of scores(): (associator, boxes, confs, parts, trajectories, time, least, field) -> matrix, 0 where no match may be.
+    pair_score: Callable | None = None
+    #: (boxes, boxes of trajectories) -> matrix of the pairs that are to be scored at all.
+    blocking: Callable | None = None
+
+    def scores(self, boxes: np.ndarray, confs: np.ndarray, parts: dict, trajectories: list[Trajectory], time: float, least: float, field: tuple | None = None) -> np.ndarray:
+        """Weighted mean of the overlap with each trajectory's box, moved by the field and grown over its sure points (and of
+        the faces' overlap), the overlap with its predicted box and the points' similarity, with the embeddings' likeness
+        added; 0 below `least`, by confidence."""
+        p, n, m = self.params, len(boxes), len(trajectories)
+        flow, ahead = moved_boxes(np.array([t.box for t in trajectories]), field), np.array([t.filter.predicted(time) for t in trajectories])
+        old = {k: [t.parts.get(k) for t in trajectories] for k in parts}
+        if "pose" in parts:
+            poses = stacked(old["pose"], 51).reshape(m, 17, 3)
+            known = ~np.isnan(poses[:, 0, 0])
+            poses[known, :, :2] = moved_points(poses[known, :, :2].reshape(-1, 2), field).reshape(-1, 17, 2)
+            sure = (poses[:, :, 2] > SURE)[:, :, None]
+            low, high = (np.where(sure, poses[:, :, :2], x) for x in (np.inf, -np.inf))
+            flow = np.concatenate([np.minimum(flow[:, :2], low.min(axis=1)), np.maximum(flow[:, 2:], high.max(axis=1))], axis=1)
         weight = np.array([0.0 if t.observations < 2 else p["kf_weight"] * (1 - max(0.1, 1 / t.observations) ** p["kf_warmup"]) for t in trajectories])
-        score = (iou_matrix(boxes, last) + iou_matrix(boxes, ahead) * weight) / (1 + weight)
+        seen, kf = iou_matrix(boxes, flow), iou_matrix(boxes, ahead)
+        if "subbox" in parts:
+            faces = stacked(old["subbox"], 4)
+            known = ~np.isnan(faces[:, 0])
+            faces[known] = moved_boxes(faces[known], field)
+            seen = seen + p["face_weight"] * iou_matrix(stacked(parts["subbox"], 4), faces)
+        score, divisor = seen + kf * weight, np.broadcast_to(1 + weight, (n, m))
+        if "pose" in parts:
+            size = [(x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1]) for x in (boxes, flow)]
+            points = point_similarity(stacked(parts["pose"], 51).reshape(n, 17, 3), poses, size[0][:, None] + size[1][None, :], p["kp_distance_scale"])
+            use = ~np.isnan(points) & (seen + kf != 0)
+            score, divisor = score + np.where(use, points * p["kp_weight"], 0), divisor + np.where(use, p["kp_weight"], 0)
+        score = score / divisor
+        if "reid" in parts:
+            score = score + p["sim_weight"] * self._likeness(parts["reid"], old["reid"])
         return np.where(score < least, 0, score) * (confs ** p["fuse_scores"])[:, None]
 
-    def step(self, time: float, boxes: np.ndarray, confs: np.ndarray, classes: np.ndarray) -> list[tuple]:
-        """(number, class, conf, x1, y1, x2, y2) of every tracked object."""
-        p, order = self.params, np.lexsort((boxes[:, 1], boxes[:, 0], -confs)) if len(boxes) else np.zeros(0, int)
-        boxes, confs, classes = boxes[order], confs[order], classes[order]
+    def _likeness(self, new: list, old: list) -> np.ndarray:
+        """Cosines of embeddings less the frame's mean (self.mean); 0 where one is missing."""
+
+        def unit(values: list) -> np.ndarray:
+            less = stacked(values, len(self.mean)) - self.mean
+            norms = np.linalg.norm(less, axis=1, keepdims=True)
+            return np.nan_to_num(np.divide(less, norms, out=less.copy(), where=norms > 0))
+
+        return unit(new) @ unit(old).T
+
+    def step(self, time: float, boxes: np.ndarray, confs: np.ndarray, classes: np.ndarray, parts: dict[str, list] | None = None, field: tuple | None = None) -> list[tuple]:
+        """(number, class, conf, x1, y1, x2, y2, then the parts) of every tracked object."""
+        p, parts = self.params, parts or {}
+        raised = confs + p["pose_conf"] * np.nansum(stacked(parts["pose"], 51)[:, 2::3], axis=1) if "pose" in parts else confs
+        order = np.lexsort((boxes[:, 1], boxes[:, 0], -raised)) if len(boxes) else np.zeros(0, int)
+        boxes, confs, classes, raised = boxes[order], confs[order], classes[order], raised[order]
+        parts = {k: [v[i] for i in order] for k, v in parts.items()}
+        if vectors := [v for v in [*parts.get("reid", []), *(t.parts.get("reid") for t in self.trajectories)] if v is not None]:
+            self.mean = np.mean(vectors, axis=0)
+        elif "reid" in parts:
+            self.mean = np.zeros(0)
         free, waiting, alive = np.ones(len(boxes), bool), list(self.trajectories), []
         for name, all_states in (("initial", False), ("high", True), ("low", True)):
-            dets = np.flatnonzero(free & (confs > p[f"traj_{name}_thr"]))
+            dets = np.flatnonzero(free & (raised > p[f"traj_{name}_thr"]))
             olds = [t for t in waiting if all_states or t.state != LOST]
             if not len(dets) or not olds:
                 continue
-            score = self.scores(boxes[dets], confs[dets], olds, time, p[f"match_thr_{name}"])
+            some = {k: [v[d] for d in dets] for k, v in parts.items()}
+            score = (self.pair_score or Associator.scores)(self, boxes[dets], confs[dets], some, olds, time, p[f"match_thr_{name}"], field)
+            if self.blocking:
+                score = np.where(self.blocking(boxes[dets], np.array([t.box for t in olds])), score, 0)
             hits = score > 0
             clear = hits.sum(axis=0).max() <= 1 and hits.sum(axis=1).max() <= 1  # nothing to choose
             for d, o in zip(*np.nonzero(hits), strict=True) if clear else assign(np.where(hits, -score, 0.0)):
@@ -89,15 +185,16 @@ class Associator:
                     trajectory, k = olds[o], dets[d]
                     trajectory.filter.update(measured(boxes[k]), time)
                     trajectory.box, trajectory.conf, trajectory.class_id, trajectory.seen = boxes[k], float(confs[k]), int(classes[k]), time
+                    trajectory.parts = self._blended({n: v[k] for n, v in parts.items()}, trajectory.parts)
                     trajectory.observations, trajectory.missed = trajectory.observations + 1, 0
                     if name != "low" or trajectory.state == LOST:
                         trajectory.state = TRACKED
                     free[k] = False
                     waiting.remove(trajectory)
                     alive.append(trajectory)
-        for k in np.flatnonzero(free & (confs > p["new_traj_thr"])):
-            state = TRACKED if confs[k] > p["immediate_confirm_thr"] else NEW
-            alive.append(Trajectory(self.started, boxes[k], float(confs[k]), int(classes[k]), state, BoxFilter(measured(boxes[k]), time), time))
+        for k in np.flatnonzero(free & (raised > p["new_traj_thr"])):
+            state = TRACKED if raised[k] > p["immediate_confirm_thr"] else NEW
+            alive.append(Trajectory(self.started, boxes[k], float(confs[k]), int(classes[k]), state, BoxFilter(measured(boxes[k]), time), time, parts={n: v[k] for n, v in parts.items()}))
             self.started += 1
         for trajectory in waiting:
             trajectory.missed += 1
@@ -107,7 +204,18 @@ class Associator:
             if trajectory.state == TRACKED and trajectory.missed >= LOST_AFTER:
                 trajectory.state = LOST
         self.trajectories, self.last_time = self._without_duplicates(alive), time
-        return [(t.number, t.class_id, t.conf, *map(float, t.box)) for t in self.trajectories if t.state == TRACKED]
+        return [(t.number, t.class_id, t.conf, *map(float, t.box), *(t.parts.get(n) for n in parts)) for t in self.trajectories if t.state == TRACKED]
+
+    @staticmethod
+    def _blended(new: dict, old: dict) -> dict:
+        """A detection's parts in its trajectory: attributes lean to the larger value, embeddings are averaged over time."""
+        both = {n for n in new if new[n] is not None and old.get(n) is not None}
+        if "attr" in both:
+            a, b = np.array(new["attr"], float), np.array(old["attr"], float)
+            new["attr"] = (np.maximum(a, b) * 0.9 + np.minimum(a, b) * 0.1).tolist()
+        if "reid" in both:
+            new["reid"] = (KEEP * np.array(new["reid"], float) + (1 - KEEP) * np.array(old["reid"], float)).tolist()
+        return new
 
     def _without_duplicates(self, trajectories: list[Trajectory]) -> list[Trajectory]:
         live, lost = [t for t in trajectories if t.state == TRACKED], [t for t in trajectories if t.state == LOST]
@@ -118,32 +226,43 @@ class Associator:
         return trajectories
 
     def frames(self, rows: pd.DataFrame) -> pd.DataFrame:
-        """Step through rows (frame_idx, frame_time, class_id, conf, box); a row without a box is a frame without
+        """Step through rows (COLUMNS, and EXTRAS and FIELD where there are some); a row without a box is a frame without
         detections. Frames not after the last one are left out."""
+        extras = [c for c in EXTRAS if c in rows.columns]
         time, frame = rows.frame_time.to_numpy(float), rows.frame_idx.to_numpy(np.int64)
         order = np.lexsort((frame, time))
         time, frame = time[order], frame[order]
         conf, classes = rows.conf.to_numpy(float)[order], rows.class_id.fillna(0).to_numpy(int)[order]
         boxes = rows[["x1", "y1", "x2", "y2"]].to_numpy(float)[order]
+        parts = {c: [rows[c].iloc[k] for k in order] for c in extras}
+        fields = [rows[c].iloc[order].tolist() for c in FIELD] if set(FIELD) <= set(rows.columns) else None
         starts = np.flatnonzero(np.append(True, (time[1:] != time[:-1]) | (frame[1:] != frame[:-1]))) if len(order) else np.zeros(0, int)
         out = []
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
             if time[lo] > self.last_time:
                 some = np.arange(lo, hi)[~np.isnan(conf[lo:hi])]
-                found = self.step(float(time[lo]), boxes[some], conf[some], classes[some])
+                motion = None
+                if fields and fields[2][lo] is not None:
+                    motion = int(fields[0][lo]), int(fields[1][lo]), np.asarray(fields[2][lo], float), np.asarray(fields[3][lo], float)
+                found = self.step(float(time[lo]), boxes[some], conf[some], classes[some], {c: [v[k] for k in some] for c, v in parts.items()}, motion)
                 out += [(int(frame[lo]), float(time[lo]), *row) for row in found]
-        return pd.DataFrame(out, columns=["frame_idx", "frame_time", "traj_id", "class_id", "conf", "x1", "y1", "x2", "y2"])
+        return pd.DataFrame(out, columns=["frame_idx", "frame_time", "traj_id", "class_id", "conf", "x1", "y1", "x2", "y2", *extras])
 
 
 OUT = "frame_idx long, frame_time double, traj_id long, class_id int, conf double, x1 double, y1 double, x2 double, y2 double"
 COLUMNS = ["frame_idx", "frame_time", "class_id", "conf", "x1", "y1", "x2", "y2"]
 
 
-def with_segments(frames: DataFrame, detections: DataFrame, keys: list[str], least_conf: float) -> DataFrame:
+def with_segments(frames: DataFrame, detections: DataFrame, keys: list[str], least_conf: float, pose_conf: float = 0.0) -> DataFrame:
     """Each frame left-joined to its detections, with the part of the sequence it is in: a new part begins with the first
-    usable detection after END_AFTER + LOST_AFTER or more frames without one."""
-    joined = frames.select(*keys, "frame_idx", "frame_time").join(detections.select(*keys, "frame_idx", "class_id", "conf", "x1", "y1", "x2", "y2"), [*keys, "frame_idx"], "left")
-    usable = joined.groupBy(*keys, "frame_idx", "frame_time").agg(F.coalesce(F.max(F.col("conf") > least_conf), F.lit(False)).alias("usable"))
+    usable detection after END_AFTER + LOST_AFTER or more frames without one. Columns of EXTRAS (detections) and FIELD
+    (frames) go along."""
+    motion, extras = [c for c in FIELD if c in frames.columns], [c for c in EXTRAS if c in detections.columns]
+    joined = frames.select(*keys, "frame_idx", "frame_time", *motion).join(detections.select(*keys, "frame_idx", "class_id", "conf", "x1", "y1", "x2", "y2", *extras), [*keys, "frame_idx"], "left")
+    conf = F.col("conf")
+    if "pose" in extras:
+        conf = conf + pose_conf * F.coalesce(total(F.filter("pose", lambda _, i: i % 3 == 2)), F.lit(0.0))
+    usable = joined.groupBy(*keys, "frame_idx", "frame_time").agg(F.coalesce(F.max(conf > least_conf), F.lit(False)).alias("usable"))
     order = Window.partitionBy(*keys).orderBy("frame_time", "frame_idx")
     numbered = usable.withColumn("n", F.row_number().over(order)).withColumn("before", F.last(F.when(F.col("usable"), F.col("n")), True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     starts = F.coalesce((F.col("usable") & (F.col("n") - F.col("before") > END_AFTER + LOST_AFTER)).cast("int"), F.lit(0))
@@ -151,26 +270,29 @@ def with_segments(frames: DataFrame, detections: DataFrame, keys: list[str], lea
     return joined.join(parts.select(*keys, "frame_idx", "segment"), [*keys, "frame_idx"])
 
 
-def associate(frames: DataFrame, detections: DataFrame, keys: list[str], params: dict | None = None, split: bool = True) -> DataFrame:
-    """Tracks of all sequences: keys, frame_idx, frame_time, traj_id, class_id, conf and box.
+def associate(frames: DataFrame, detections: DataFrame, keys: list[str], params: dict | None = None, split: bool = True, pair_score: Callable | None = None, blocking: Callable | None = None) -> DataFrame:
+    """Trajectories of all sequences: keys, frame_idx, frame_time, traj_id, class_id, conf, box, and those of EXTRAS that
+    detections have. pair_score and blocking: see Associator.
 
     traj_id is segment << 32 | number. split=False folds whole sequences, with equal trajectories but for their ids.
     """
     chosen = PARAMS | (params or {})
     least = min(chosen[k] for k in ("traj_initial_thr", "traj_high_thr", "traj_low_thr", "new_traj_thr"))
-    rows = with_segments(frames, detections, keys, least)
+    rows = with_segments(frames, detections, keys, least, chosen["pose_conf"])
     if not split:
         rows = rows.withColumn("segment", F.lit(0).cast("long"))
 
     def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        out = Associator(chosen).frames(group[COLUMNS])
+        out = Associator(chosen, pair_score=pair_score, blocking=blocking).frames(group[used])
         out["traj_id"] += int(key[-1]) << 32
         for k, name in enumerate(keys):
             out.insert(k, name, key[k])
         return out
 
     kinds = dict(rows.dtypes)
-    return rows.groupBy(*keys, "segment").applyInPandas(fold, ", ".join([*(f"{k} {kinds[k]}" for k in keys), OUT]))
+    extras = [c for c in EXTRAS if c in kinds]
+    used = [*COLUMNS, *extras, *(c for c in FIELD if c in kinds)]
+    return rows.groupBy(*keys, "segment").applyInPandas(fold, ", ".join([*(f"{k} {kinds[k]}" for k in keys), OUT, *(f"{c} array<double>" for c in extras)]))
 
 
 #: Associators by name; each is (frames, detections, keys, params) -> trajectories. Add to it to plug in another.

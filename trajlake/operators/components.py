@@ -38,6 +38,8 @@ def components(links: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def pair_components(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, oid, hid and a number for their component. Objects are even nodes and predictions odd ones; the table of links has
     a row for each pair that meets, not for each frame."""
-    met = pairs.select(*keys, "oid", "hid").distinct()
+    met = kept(pairs.select(*keys, "oid", "hid").distinct(), "met")
+    if met.groupBy(*keys, "hid").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():  # each object is a component
+        return met.withColumn("component", F.col("oid") * 2)
     labels = components(met.select(*keys, (F.col("oid") * 2).alias("a"), (F.col("hid") * 2 + 1).alias("b")), keys)
     return met.join(labels.filter("v % 2 = 0").select(*keys, F.expr("v div 2").alias("oid"), "component"), [*keys, "oid"])

@@ -641,16 +641,16 @@ def latest_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _replayed(spark: SparkSession, rows: DataFrame, name: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """rows written as files by time, read as a stream one file at a time, and what the stream wrote."""
+    """Quarters of rows by time, each written as files of a folder and taken by the stream as one batch; what the stream wrote."""
     from ..operators.tables import new_path
 
-    source, out = new_path(spark, name), new_path(spark, name)
+    source, out, checkpoint = new_path(spark, name), new_path(spark, name), new_path(spark, "checkpoint")
     cuts = [-1.0, *rows.agg(F.percentile_approx("frame_time", [0.25, 0.5, 0.75], 1000)).first()[0], float("inf")]
     for low, high in zip(cuts[:-1], cuts[1:], strict=True):  # one after the other, as a stream's files come
-        rows.filter((F.col("frame_time") > low) & (F.col("frame_time") <= high)).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    query_ = run(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start()
-    query_.awaitTermination()
+        rows.filter((F.col("frame_time") > low) & (F.col("frame_time") <= high)).write.mode("overwrite").parquet(f"{source}/part")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{source}/part")
+        query_ = run(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query_.awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -667,11 +667,11 @@ def online_mot_stream(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming import online
 
     gated = pairs.iou_pairs(fx.gt(spark, d), fx.hyp(spark, d), FRAME).withColumn("frame_time", F.col("frame_idx") / fx.RATE)
-    return rounded(_replayed(spark, gated, "stream", online.matches_stream))
+    return rounded(_replayed(spark, gated, "stream", online.matches_stream).drop("late"))
 
 
 @query(WALK + "SELECT seq_id, CAST(frame_time * 32 AS BIGINT) AS frame_idx, frame_time FROM fx_walk WHERE frame_time IS NOT NULL")
 def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming import online
 
-    return _replayed(spark, fx.frames(spark, d), "stream", lambda s: online.rate_limited(s, 0.199))
+    return _replayed(spark, fx.frames(spark, d), "stream", lambda s: online.rate_limited(s, 0.199)).drop("late")

@@ -1,73 +1,88 @@
 """Association, rate limits and online events as Structured Streaming: state for each sequence.
 
-Frames are taken in order of time as they arrive; a row at or before its sequence's last frame is late and counted, not
-used. A sequence silent for `idle` has its state dropped.
+Without a delay, rows are taken as they arrive; a micro-batch must hold whole frames. With a delay (seconds), rows wait in the
+state until the watermark, that far behind the latest frame, has passed them, so that frames may come in any order within
+it. A row at or before its sequence's last frame that was taken is late: counted in the column `late`, not used (rows behind
+the watermark are dropped before by Spark, which counts them as numRowsDroppedByWatermark). A sequence
+silent for `idle` seconds (of frame time with a delay, else of the clock) has its state dropped.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.associate import COLUMNS, OUT, PARAMS, Associator
 from ..operators.clearmot import fold_matches
 
 
-def _run(df: DataFrame, key: str, fold, out: str, idle: str | None) -> DataFrame:
-    kind = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    return df.groupBy(key).applyInPandasWithState(fold, out, "state binary, late long", "append", kind)
+#: Seconds that event times lie after frame times: a stream's first watermark is 0, and rows at it are dropped.
+SHIFT = 1_000_000
 
 
-def associate_stream(detections: DataFrame, key: str = "seq_id", params: dict | None = None, idle_ms: int | None = None) -> DataFrame:
-    """key, late (rows so far) and the columns of associate(); each micro-batch must hold whole frames."""
-    chosen = PARAMS | (params or {})
+def _run(df: DataFrame, key: str, start: Callable[[], object], step: Callable[[object, pd.DataFrame], pd.DataFrame], out: str, delay: float | None, idle: float | None) -> DataFrame:
+    """step(state, rows) gives the rows of the result without key and late; it may change the state that start() made."""
+    kind = GroupStateTimeout.EventTimeTimeout if delay is not None else GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    if delay is not None:
+        df = df.withColumn("event_ts", F.timestamp_seconds(F.col("frame_time") + SHIFT)).withWatermark("event_ts", f"{delay} seconds")
 
     def fold(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        inner, late, last, wait = pickle.loads(bytes(state.get[0])) if state.exists else (start(), 0, -math.inf, None)
+        if state.hasTimedOut and delay is None:
+            state.remove()
+            return
+        rows = None if state.hasTimedOut else pd.concat(list(parts))
+        if rows is not None:
+            fresh = rows[rows.frame_time > last]
+            late += len(rows) - len(fresh)
+            wait = fresh if wait is None else pd.concat([wait, fresh])
+        mark = state.getCurrentWatermarkMs() / 1000 - SHIFT if delay is not None else math.inf
+        ready, wait = wait[wait.frame_time <= mark], wait[wait.frame_time > mark]
+        if len(ready):
+            last = max(last, float(ready.frame_time.max()))
+            found = step(inner, ready)
+            found.insert(0, key, group[0])
+            found["late"] = late
+            yield found
+        if delay is not None and idle and not len(wait) and mark >= last + idle:
             state.remove()
             return
-        associator, late = (pickle.loads(bytes(state.get[0])), state.get[1]) if state.exists else (Associator(chosen), 0)
-        rows = pd.concat(list(parts))
-        late += int((rows.frame_time <= associator.last_time).sum())
-        out = associator.frames(rows[COLUMNS])
-        out.insert(0, key, group[0])
-        out["late"] = late
-        state.update((pickle.dumps(associator), late))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield out
+        state.update((pickle.dumps((inner, late, last, wait)),))
+        if delay is not None and (len(wait) or idle):
+            state.setTimeoutTimestamp(int((max(wait.frame_time.min() if len(wait) else last + idle, mark) + SHIFT) * 1000) + 1)
+        elif delay is None and idle:
+            state.setTimeoutDuration(int(idle * 1000))
 
-    return _run(detections, key, fold, f"{key} long, {OUT}, late long", "idle" if idle_ms else None)
+    return df.groupBy(key).applyInPandasWithState(fold, f"{key} {dict(df.dtypes)[key]}, {out}, late long", "state binary", "append", kind)
 
 
-def rate_limited(frames: DataFrame, interval: float, key: str = "seq_id") -> DataFrame:
-    """Frames at least `interval` after the last one taken: key, frame_idx and frame_time."""
+def associate_stream(detections: DataFrame, key: str = "seq_id", params: dict | None = None, delay: float | None = None, idle: float | None = None) -> DataFrame:
+    """key, the columns of associate() and late (rows so far)."""
+    chosen = PARAMS | (params or {})
+    return _run(detections, key, lambda: Associator(chosen), lambda associator, rows: associator.frames(rows[COLUMNS]), OUT, delay, idle)
 
-    def fold(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, late = (pickle.loads(bytes(state.get[0])), state.get[1]) if state.exists else (None, 0)
-        kept = []
-        for row in pd.concat(list(parts)).sort_values("frame_time").itertuples():
-            if last is None or row.frame_time - last >= interval:
-                last = row.frame_time
-                kept.append((group[0], row.frame_idx, last))
-        state.update((pickle.dumps(last), late))
-        yield pd.DataFrame(kept, columns=[key, "frame_idx", "frame_time"])
 
-    return _run(frames, key, fold, f"{key} long, frame_idx long, frame_time double", None)
+def rate_limited(frames: DataFrame, interval: float, key: str = "seq_id", delay: float | None = None, idle: float | None = None) -> DataFrame:
+    """Frames at least `interval` after the last one taken: key, frame_idx, frame_time and late."""
 
+    def step(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
+        taken = []
+        for row in rows.sort_values("frame_time").itertuples():
+            if row.frame_time - state["last"] >= interval:
+                state["last"] = row.frame_time
+                taken.append((row.frame_idx, row.frame_time))
+        return pd.DataFrame(taken, columns=["frame_idx", "frame_time"])
 
-def matches_stream(pairs: DataFrame, key: str = "seq_id") -> DataFrame:
-    """MATCH and SWITCH events of gated pairs (key, frame_idx, oid, hid, d); the state is each object's last partner."""
+    return _run(frames, key, lambda: {"last": -math.inf}, step, "frame_idx long, frame_time double", delay, idle)
 
-    def fold(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, late = (pickle.loads(bytes(state.get[0])), state.get[1]) if state.exists else ({}, 0)
-        out = fold_matches(pd.concat(list(parts)), last)
-        out.insert(0, key, group[0])
-        state.update((pickle.dumps(last), late))
-        yield out
 
-    return _run(pairs, key, fold, f"{key} long, frame_idx long, type string, oid long, hid long, d double", None)
+def matches_stream(pairs: DataFrame, key: str = "seq_id", delay: float | None = None, idle: float | None = None) -> DataFrame:
+    """MATCH and SWITCH events of gated pairs (key, frame_idx, frame_time, oid, hid, d), and late; the state is each object's
+    last partner."""
+    return _run(pairs, key, dict, lambda last, rows: fold_matches(rows, last), "frame_idx long, type string, oid long, hid long, d double", delay, idle)
