@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .associate import COLUMNS, OUT, PARAMS, Associator, with_segments
 from .clearmot import events, measures
+from .tables import kept
 
 OUT_OF_BOUNDS = -10000.0
 
@@ -59,7 +60,8 @@ def sweep(candidates: dict[str, dict], frames: DataFrame, detections: DataFrame,
     kinds = dict(work.dtypes)
     trajectories = work.groupBy(*by, "segment").applyInPandas(fold, ", ".join([*(f"{k} {kinds[k]}" for k in by), OUT]))
     gt = objects.crossJoin(F.broadcast(names))
-    scores = measures(events(gt, trajectories, by, max_distance), by)
+    trajectories = kept(trajectories, "sweep")  # read several times from here on
+    scores = measures(kept(events(gt, trajectories, by, max_distance), "events"), by)
     sums = scores.groupBy("candidate").agg(*(F.sum(c).alias(c) for c in ("num_objects", "num_misses", "num_false_positives", "num_switches", "fp_tracks", "num_frames")))
     mota = 1 - (F.col("num_misses") + F.col("num_false_positives") + F.col("num_switches")) / (F.col("num_objects") + 1e-7)
     sums = sums.withColumns({"mota": mota, "fp_per_frame": F.col("num_false_positives") / (F.col("num_frames") + 1e-7)})
