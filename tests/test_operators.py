@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tests.compare import rows_of
 from trajlake.functions import geometry as g
+from trajlake.functions.vectors import running_blend
 from trajlake.operators import associate, clearmot, detection, identity, motion, rollup, sweep, timegrid
+from trajlake.operators import frames as frames_ops
 from trajlake.operators.assignment import assign
 from trajlake.sources import annotations
 from trajlake.streaming import online
@@ -396,3 +398,67 @@ def test_silent_sequences_are_forgotten(spark, tmp_path):
     batches = [[(0, 0, 0.0)], [(1, 30, 30.0)], [(0, 1, 40.0)], [(1, 60, 60.0)]]
     found = replay(spark, tmp_path, batches, lambda s: online.rate_limited(s, 50.0, delay=1.0, idle=5.0))
     assert found == [(0, 0), (1, 0), (30, 0)]  # 1 lies under 50 s behind 0, but comes after a silence
+
+
+def test_pieces_equal_whole_sequences(spark):
+    random = np.random.default_rng(5)
+    times = np.unique(np.round(np.concatenate([random.uniform(0, 20, 40), random.uniform(150, 420, 60), [64.0, 128.0, 192.0]]), 3))
+    frames = spark.createDataFrame([(0, k, float(t), bool(k % 3)) for k, t in enumerate(times)], "seq_id long, frame_idx long, frame_time double, tracked boolean")
+    ask = [-5.0, *np.round(random.uniform(-1, 500, 80), 3).tolist(), *times[::7].tolist()]
+    grid = spark.createDataFrame([(0, float(t)) for t in ask], "seq_id long, t double")
+    back = lambda t, rows: max((k for k in rows if times[k] <= t + 1e-7), default=None)
+    ahead = lambda t, rows: min((k for k in rows if times[k] > t + 1e-7), default=None)
+    every, tracked = range(len(times)), [k for k in range(len(times)) if k % 3]
+    first = lambda *found: next(k for k in found if k is not None)
+    assert {(r.t, r.frame_idx) for r in timegrid.asof(grid, frames, ["seq_id"]).collect()} == {(t, first(back(t, every), 0)) for t in ask}
+    near = {(r.t, r.frame_idx) for r in timegrid.nearest(grid, frames, ["seq_id"]).collect()}
+    assert near == {(t, min(every, key=lambda k: (abs(times[k] - t), k))) for t in ask}
+    around = {(r.t, r.left_idx, r.right_idx) for r in timegrid.bracket(grid, frames, ["seq_id"]).collect()}
+    wanted = set()
+    for t in ask:
+        left, right = first(back(t, tracked), 0), ahead(t, tracked)
+        wanted.add((t, left, right if right is not None and right > left else len(times) - 1))
+    assert around == wanted
+    beside = {r.frame_idx: (r.previous_time, r.next_time) for r in timegrid.neighbours(frames, ["seq_id"]).collect()}
+    assert beside == {k: (times[max(k - 1, 0)], times[min(k + 1, len(times) - 1)]) for k in every}
+    assert {r.frame_idx for r in timegrid.every_nth(frames, ["seq_id"], 5).collect()} == set(range(4, len(times), 5))
+    for interval in (0.0, 0.4, 7.0, 100.0):
+        taken, last = [], -math.inf
+        for t in times.tolist():
+            if t - last >= interval:
+                taken.append(t)
+                last = t
+        assert sorted(r.frame_time for r in timegrid.at_interval(frames, ["seq_id"], interval).collect()) == taken
+    bent = frames.withColumn("frame_idx", F.col("frame_idx") * 100).withColumn("frame_time", F.when(F.col("frame_idx") % 2000 == 0, -1.0).otherwise(F.col("frame_time")))
+    assert sorted(r.frame_idx for r in timegrid.out_of_order(bent, ["seq_id"]).collect()) == list(range(2000, 100 * len(times), 2000))
+
+
+def test_pieces_without_rows(spark):
+    frames = spark.createDataFrame([], "seq_id long, frame_idx long, frame_time double, tracked boolean")
+    grid = spark.createDataFrame([(0, 1.0)], "seq_id long, t double")
+    assert [r.frame_idx for r in timegrid.asof(grid, frames, ["seq_id"]).collect()] == [None]
+    assert timegrid.at_interval(frames, ["seq_id"], 1.0).count() == timegrid.neighbours(frames, ["seq_id"]).count() == 0
+
+
+def test_curve_and_blend_in_ranges(spark):
+    random = np.random.default_rng(7)
+    rows = [(c, k, float(random.integers(0, 4) / 4), int(random.integers(0, 2))) for c in (0, 1) for k in range(150)]
+    matched = spark.createDataFrame(rows, "class_id long, det_id long, conf double, tp int").repartition(7)
+    n = spark.createDataFrame([(0, 120), (1, 90)], "class_id long, n_objects long")
+    found = {r.class_id: r.ap for r in detection.average_precision(detection.precision_recall(matched, n, ["class_id"], ["det_id"]), ["class_id"], ["det_id"]).collect()}
+    for c, objects in ((0, 120), (1, 90)):
+        hits = np.array([tp for _, _, tp in sorted((-conf, k, tp) for cc, k, conf, tp in rows if cc == c)])
+        precision = np.cumsum(hits) / np.arange(1, len(hits) + 1)
+        assert math.isclose(found[c], sum(precision[k:].max() * hits[k] / objects for k in range(len(hits))), abs_tol=1e-9)
+    vectors = spark.createDataFrame([(c, k, [float(c + k % 5), float(k)]) for c in (0, 1) for k in range(90)], "label long, vec_id long, embedding array<double>")
+    blends = {r.label: r.blend for r in frames_ops.running_embedding(vectors, ["label"], "embedding", "vec_id").collect()}
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])
+    folded = {r.label: r.blend for r in vectors.groupBy("label").agg(running_blend(listed).alias("blend")).collect()}
+    assert all(np.allclose(blends[c], folded[c], atol=1e-9) for c in (0, 1))
+    for c in (0, 1):
+        state = np.array([float(c), 0.0])
+        for k in range(1, 90):
+            state = 0.5 * state + 0.5 * np.array([c + k % 5, k])
+        assert np.allclose(blends[c], state, atol=1e-9)
+    before = {(r.label, r.vec_id): r.previous for r in frames_ops.with_previous(vectors, ["label"], "embedding", "vec_id").collect()}
+    assert all(v == (None if k == 0 else [float(c + (k - 1) % 5), float(k - 1)]) for (c, k), v in before.items()) and len(before) == 180

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.points import SIGMAS
 from ..functions.vectors import total
+from . import pieces
 from .assignment import assign
 from .motion import SAMPLES, BoxFilter
+from .tables import kept
 
 #: Default parameters of the association.
 PARAMS = {
@@ -263,10 +265,16 @@ def with_segments(frames: DataFrame, detections: DataFrame, keys: list[str], lea
     if "pose" in extras:
         conf = conf + pose_conf * F.coalesce(total(F.filter("pose", lambda _, i: i % 3 == 2)), F.lit(0.0))
     usable = joined.groupBy(*keys, "frame_idx", "frame_time").agg(F.coalesce(F.max(conf > least_conf), F.lit(False)).alias("usable"))
-    order = Window.partitionBy(*keys).orderBy("frame_time", "frame_idx")
-    numbered = usable.withColumn("n", F.row_number().over(order)).withColumn("before", F.last(F.when(F.col("usable"), F.col("n")), True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    starts = F.coalesce((F.col("usable") & (F.col("n") - F.col("before") > END_AFTER + LOST_AFTER)).cast("int"), F.lit(0))
-    parts = numbered.withColumn("segment", F.sum(starts).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ("frame_time", "frame_idx")
+    numbered = pieces.carry(pieces.by_step(usable, "frame_time", pieces.SECONDS), keys, {"frames": F.count("*")}, {"frames_before": F.sum("frames").over(pieces.earlier(keys))})
+    n = F.row_number().over(pieces.inside(keys, *order)) + F.coalesce("frames_before", F.lit(0))
+    numbered = kept(numbered.select(*keys, *order, "usable", pieces.PIECE, n.alias("n")), "frames")
+    used = F.when(F.col("usable"), F.col("n"))
+    cut = pieces.carry(numbered, keys, {"used": F.max(used)}, {"used_before": F.max("used").over(pieces.earlier(keys))})
+    before = F.coalesce(F.last(used, True).over(pieces.inside(keys, *order).rowsBetween(Window.unboundedPreceding, -1)), "used_before")
+    starts = cut.withColumn("starts", F.coalesce((F.col("usable") & (F.col("n") - before > END_AFTER + LOST_AFTER)).cast("int"), F.lit(0))).drop("used_before")
+    cut = pieces.carry(starts, keys, {"parts": F.sum("starts")}, {"parts_before": F.sum("parts").over(pieces.earlier(keys))})
+    parts = cut.withColumn("segment", F.sum("starts").over(pieces.up_to_here(keys, *order)) + F.coalesce("parts_before", F.lit(0)))
     return joined.join(parts.select(*keys, "frame_idx", "segment"), [*keys, "frame_idx"])
 
 

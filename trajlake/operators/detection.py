@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from . import pieces
+from .tables import kept
 
 
 def greedy_matches(objects: DataFrame, detections: DataFrame, keys: list[str], least_iou: float = 0.5) -> DataFrame:
@@ -25,21 +27,27 @@ def greedy_matches(objects: DataFrame, detections: DataFrame, keys: list[str], l
 def precision_recall(matched: DataFrame, n_objects: DataFrame, by: list[str], ties: list[str]) -> DataFrame:
     """The curve: for each detection, by falling confidence, cumulative hits and false ones, precision and recall.
 
-    Sums run over one list for each `by` (a run and class); equal confidences are ordered by `ties`.
+    Sums run over one list for each `by` (a run and class); equal confidences are ordered by `ties`. The list is dealt into
+    ranges of this order (column `piece`), however many detections one class or confidence has.
     """
-    order = Window.partitionBy(*by).orderBy(F.col("conf").desc(), *ties).rowsBetween(Window.unboundedPreceding, 0)
-    curve = matched.withColumns({"tps": F.sum("tp").over(order), "fps": F.sum(1 - F.col("tp")).over(order)}).join(n_objects, by)
+    order = [F.col("conf").desc(), *ties]
+    ranges = kept(pieces.by_range(matched, *by, *order), "curve")
+    before = {f"{n}_before": F.sum(n).over(pieces.earlier(by)) for n in ("hits", "false")}
+    cut = pieces.carry(ranges, by, {"hits": F.sum("tp"), "false": F.sum(1 - F.col("tp"))}, before)
+    here = pieces.up_to_here(by, *order)
+    sums = {"tps": F.sum("tp").over(here) + F.coalesce("hits_before", F.lit(0)), "fps": F.sum(1 - F.col("tp")).over(here) + F.coalesce("false_before", F.lit(0))}
+    curve = cut.withColumns(sums).drop(*before).join(n_objects, by)
     return curve.withColumns({"precision": F.col("tps") / (F.col("tps") + F.col("fps")), "recall": F.col("tps") / F.col("n_objects")})
 
 
 def average_precision(curve: DataFrame, by: list[str], ties: list[str], least_objects: int = 5, thresholds: tuple[float, ...] = (0.25, 0.3)) -> DataFrame:
     """ap (the area under the falling envelope), and precision and recall of all detections and of those from each threshold
-    on; null for under least_objects objects."""
-    order = Window.partitionBy(*by).orderBy(F.col("conf").desc(), *ties)
+    on; null for under least_objects objects. `curve` is that of precision_recall."""
     # the greatest precision from here on: a running maximum from the end, as a frame of all that follows takes the square of the rows
-    from_end = Window.partitionBy(*by).orderBy(F.col("conf").asc(), *(F.col(t).desc() for t in ties)).rowsBetween(Window.unboundedPreceding, 0)
-    envelope = F.max("precision").over(from_end)
-    gained = F.col("recall") - F.coalesce(F.lag("recall").over(order), F.lit(0.0))
+    from_end = pieces.up_to_here(by, F.col("conf").asc(), *(F.col(t).desc() for t in ties))
+    curve = pieces.carry(curve, by, {"top": F.max("precision")}, {"top_behind": F.max("top").over(pieces.later(by))})
+    envelope = F.greatest(F.max("precision").over(from_end), "top_behind")
+    gained = F.col("tp") / F.col("n_objects")
     parts = curve.withColumn("part", envelope * gained)
     at = {}
     for t in thresholds:

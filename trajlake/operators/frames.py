@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from . import pieces
+from .tables import kept
 
 
 def remap_classes(df: DataFrame, source: list[str], target: list[str]) -> DataFrame:
@@ -79,3 +81,31 @@ def mean_embedding(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
     means = parts.groupBy(*keys, "dim").agg(F.avg(F.col("value").cast("double")).alias("value"))
     ordered = F.array_sort(F.collect_list(F.struct("dim", "value")))
     return means.groupBy(*keys).agg(F.transform(ordered, lambda x: x["value"]).alias("mean"))
+
+
+def running_embedding(rows: DataFrame, keys: list[str], vector: str, order: str, share: float = 0.5) -> DataFrame:
+    """`blend`: the running mean of each key's vectors by this order, where each new vector takes `share` of it.
+
+    A vector's weight follows from its place alone, so places are counted in ranges of the order and weighted vectors summed
+    by dimension; those far back, whose weight is 0 in a double, add nothing.
+    """
+    ranges = kept(pieces.by_range(rows.select(*keys, order, vector), *keys, order), "blend")
+    sums = {"n_before": F.sum("n").over(pieces.earlier(keys)), "n_behind": F.sum("n").over(pieces.later(keys)), "n_here": F.col("n")}
+    cut = pieces.carry(ranges, keys, {"n": F.count("*")}, sums)
+    place = F.row_number().over(pieces.inside(keys, order)) + F.coalesce("n_before", F.lit(0))
+    total = F.coalesce("n_before", F.lit(0)) + F.col("n_here") + F.coalesce("n_behind", F.lit(0))
+    first = F.when(F.col("place") == 1, 1.0).otherwise(share)
+    weighted = cut.withColumns({"place": place, "total": total}).withColumn("weight", first * F.pow(F.lit(1.0 - share), F.col("total") - F.col("place"))).filter("weight > 0")
+    parts = weighted.select(*keys, "weight", F.posexplode(vector).alias("dim", "value"))
+    means = parts.groupBy(*keys, "dim").agg(F.sum(F.col("value").cast("double") * F.col("weight")).alias("value"))
+    listed = F.array_sort(F.collect_list(F.struct("dim", "value")))
+    return means.groupBy(*keys).agg(F.transform(listed, lambda x: x["value"]).alias("blend"))
+
+
+def with_previous(rows: DataFrame, keys: list[str], column: str, order: str, name: str = "previous") -> DataFrame:
+    """rows with the column of the row before in its key, null at the first; one row a range is handed on to the next."""
+    ranges = kept(pieces.by_range(rows, *keys, order), "previous")
+    last = F.max(F.struct(order, column))[column]
+    cut = pieces.carry(ranges, keys, {"end": last}, {"end_before": F.last("end").over(pieces.earlier(keys))})
+    before = F.when(F.row_number().over(pieces.inside(keys, order)) == 1, F.col("end_before")).otherwise(F.lag(column).over(pieces.inside(keys, order)))
+    return cut.withColumn(name, before).drop("end_before", pieces.PIECE)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import lerp
+from . import pieces
 
 EPS = 1e-7
 
@@ -19,15 +20,25 @@ def trim(df: DataFrame, start: float, end: float, time: str = "frame_time") -> D
 
 def neighbours(frames: DataFrame, keys: list[str]) -> DataFrame:
     """frames with previous_time and next_time; at the ends a frame's own time."""
-    order = Window.partitionBy(*keys).orderBy("frame_time")
-    own = F.col("frame_time")
-    return frames.withColumns({"previous_time": F.coalesce(F.lag("frame_time").over(order), own), "next_time": F.coalesce(F.lead("frame_time").over(order), own)})
+    own, order = F.col("frame_time"), pieces.inside(keys, "frame_time")
+    cut = pieces.carry(
+        pieces.by_step(frames, "frame_time", pieces.SECONDS), keys, {"low": F.min(own), "high": F.max(own)},
+        {"time_before": F.last("high", True).over(pieces.earlier(keys)), "time_behind": F.last("low", True).over(pieces.later(keys))},
+    )
+    times = {"previous_time": F.coalesce(F.lag(own).over(order), "time_before", own), "next_time": F.coalesce(F.lead(own).over(order), "time_behind", own)}
+    return cut.withColumns(times).drop(pieces.PIECE, "time_before", "time_behind")
+
+
+def with_time_before(frames: DataFrame, keys: list[str], order: str = "frame_idx") -> DataFrame:
+    """frames with `before`, the time of the frame before in the order of frame numbers; null at the first."""
+    last = F.max(F.struct(order, "frame_time"))["frame_time"]
+    cut = pieces.carry(pieces.by_step(frames, order, pieces.FRAMES), keys, {"high": last}, {"time_before": F.last("high").over(pieces.earlier(keys))})
+    return cut.withColumn("before", F.coalesce(F.lag("frame_time").over(pieces.inside(keys, order)), "time_before")).drop(pieces.PIECE, "time_before")
 
 
 def out_of_order(frames: DataFrame, keys: list[str], order: str = "frame_idx") -> DataFrame:
     """Frames whose time isn't later than that of the frame before."""
-    before = F.lag("frame_time").over(Window.partitionBy(*keys).orderBy(order))
-    return frames.withColumn("before", before).filter("frame_time <= before")
+    return with_time_before(frames, keys, order).filter("frame_time <= before")
 
 
 def extent(frames: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,38 +60,42 @@ def time_grid(spans: DataFrame, keys: list[str], step: Column, max_duration: flo
     return wide.select(*keys, "first_time", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("k")).select(*keys, "k", (F.col("first_time") + F.col("k") * F.col("step")).alias("t"))
 
 
-def _merged(grid: DataFrame, frames: DataFrame, keys: list[str], usable: Column) -> DataFrame:
-    """Grid rows between frame rows in one order of time: a frame up to 1e-7 after a grid time stands before it."""
+def _around(grid: DataFrame, frames: DataFrame, keys: list[str], usable: Column) -> DataFrame:
+    """The grid rows (keys, t), each with the usable frames (frame_idx, frame_time) around it: `back`, the last one up to
+    1e-7 after t, and `ahead`, the first one behind that; null where there is none. first_frame and last_frame are the ends
+    of the sequence, usable or not.
+
+    Grid and frames are one union, cut into pieces of time. A piece is sorted up and down; a frame that starts at each
+    row anew would take the square of the rows.
+    """
     stamp = F.struct("frame_idx", "frame_time")
     points = grid.select(*keys, "t", (F.col("t") + EPS).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(frames.select(stamp.alias("s")).schema[0].dataType).alias("frame"), F.lit(False).alias("usable"))
     marks = frames.select(*keys, F.lit(None).cast("double").alias("t"), F.col("frame_time").alias("at"), F.lit(2).alias("side"), stamp.alias("frame"), usable.alias("usable"))
-    return points.unionByName(marks)
-
-
-def _ahead(keys: list[str]) -> WindowSpec:
-    """This row and all behind it, nearest last: a frame that starts at each row anew would take the square of the rows."""
-    return Window.partitionBy(*keys).orderBy(F.col("at").desc(), F.col("side").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    seen, placed = F.when(F.col("usable"), F.col("frame")), F.when(F.col("usable"), F.struct("at", "frame"))
+    parts = {"low": F.min(placed)["frame"], "high": F.max(placed)["frame"], "first": F.min("frame"), "last": F.max("frame")}
+    before, behind = pieces.earlier(keys), pieces.later(keys)
+    carried = {"frame_before": F.last("high", True).over(before), "frame_behind": F.last("low", True).over(behind)}
+    carried |= {"first_frame": F.least(F.min("first").over(before), "first", F.min("first").over(behind)), "last_frame": F.greatest(F.max("last").over(before), "last", F.max("last").over(behind))}
+    cut = pieces.carry(pieces.by_step(points.unionByName(marks), "at", pieces.SECONDS), keys, parts, carried)
+    up = pieces.up_to_here(keys, "at", "side", "frame")
+    down = pieces.up_to_here(keys, *(F.col(c).desc() for c in ("at", "side", "frame")))
+    found = {"back": F.coalesce(F.last(seen, True).over(up), "frame_before"), "ahead": F.coalesce(F.last(seen, True).over(down), "frame_behind")}
+    return cut.withColumns(found).filter("side = 1").select(*keys, "t", *found, "first_frame", "last_frame")
 
 
 def asof(grid: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
-    """For each grid time the last frame before t + 1e-7 (else the first): frame_idx and frame_time, by one sort and one
-    shuffle of both sides."""
-    back = Window.partitionBy(*keys).orderBy("at", "side")
-    every = _merged(grid, frames, keys, F.lit(True))
-    found = F.coalesce(F.last("frame", True).over(back.rowsBetween(Window.unboundedPreceding, 0)), F.last("frame", True).over(_ahead(keys)))
-    return every.withColumn("found", found).filter("side = 1").select(*keys, "t", "found.frame_idx", "found.frame_time")
+    """For each grid time the last frame before t + 1e-7 (else the first): frame_idx and frame_time, by one shuffle of both
+    sides."""
+    found = _around(grid, frames, keys, F.lit(True)).withColumn("found", F.coalesce("back", "ahead"))
+    return found.select(*keys, "t", "found.frame_idx", "found.frame_time")
 
 
 def nearest(grid: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
     """For each grid time the nearest frame; of two the earlier."""
-    back = Window.partitionBy(*keys).orderBy("at", "side")
-    every = _merged(grid, frames, keys, F.lit(True))
-    after = F.last("frame", True).over(_ahead(keys))
-    before = F.coalesce(F.last("frame", True).over(back.rowsBetween(Window.unboundedPreceding, 0)), after)
-    closer = F.abs(F.col("after.frame_time") - F.col("t")) < F.abs(F.col("before.frame_time") - F.col("t"))
-    both = every.withColumns({"before": before, "after": after}).filter("side = 1")
-    found = F.when(F.col("after").isNotNull() & closer, F.col("after")).otherwise(F.col("before"))
-    return both.withColumn("found", found).select(*keys, "t", "found.frame_idx", "found.frame_time")
+    around = _around(grid, frames, keys, F.lit(True))
+    closer = F.col("back").isNull() | (F.abs(F.col("ahead.frame_time") - F.col("t")) < F.abs(F.col("back.frame_time") - F.col("t")))
+    found = F.when(F.col("ahead").isNotNull() & closer, F.col("ahead")).otherwise(F.col("back"))
+    return around.withColumn("found", found).select(*keys, "t", "found.frame_idx", "found.frame_time")
 
 
 def frame_at(grid: DataFrame, frames: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -91,15 +106,8 @@ def frame_at(grid: DataFrame, frames: DataFrame, keys: list[str], columns: list[
 def bracket(grid: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
     """The tracked frames around each grid time: left (the last one not after t, else the first frame) and right (the first
     one behind left, else the last frame), with `share`, where t lies between them (0 to 1)."""
-    back = Window.partitionBy(*keys).orderBy("at", "side")
-    every = _merged(grid, frames, keys, F.col("tracked"))
-    seen = F.when(F.col("usable"), F.col("frame"))
-    whole = Window.partitionBy(*keys)
-    edges = {"first_frame": F.min("frame").over(whole), "last_frame": F.max("frame").over(whole)}
-    both = every.withColumns(edges).withColumns({
-        "left": F.coalesce(F.last(seen, True).over(back.rowsBetween(Window.unboundedPreceding, 0)), F.col("first_frame")),
-        "right": F.last(seen, True).over(_ahead(keys)),
-    }).filter("side = 1")
+    both = _around(grid, frames, keys, F.col("tracked"))
+    both = both.withColumns({"left": F.coalesce("back", "first_frame"), "right": F.col("ahead")})
     behind = F.when(F.col("right.frame_idx") > F.col("left.frame_idx"), F.col("right"))
     both = both.withColumn("right", F.coalesce(behind, F.col("last_frame")))
     gap = F.col("right.frame_time") - F.col("left.frame_time") + EPS
@@ -142,11 +150,11 @@ def objects_at(grid: DataFrame, frames: DataFrame, objects: DataFrame, keys: lis
     around = bracket(grid, frames, keys)
     values = ["class_id", "conf", "x1", "y1", "x2", "y2"]
     parts = PARTS if set(PARTS) <= set(objects.columns) else []
-    sides = {}
-    for side in ("left", "right"):
-        found = around.join(objects.filter((F.col("conf") >= least_conf) & F.col("class_id").isNotNull()).select(*keys, F.col("frame_idx").alias(f"{side}_idx"), "traj_id", F.struct(*values, *parts).alias(side)), [*keys, f"{side}_idx"])
-        sides[side] = found.select(*keys, "t", "left_time", "right_time", "share", "traj_id", side)
-    both = sides["left"].join(sides["right"], [*keys, "t", "left_time", "right_time", "share", "traj_id"], "full_outer")
+    sides = F.explode(F.array(*(F.struct(F.lit(n).alias("side"), F.col(f"{n}_idx").alias("frame_idx")) for n in ("left", "right")))).alias("s")
+    usable = objects.filter((F.col("conf") >= least_conf) & F.col("class_id").isNotNull()).select(*keys, "frame_idx", "traj_id", F.struct(*values, *parts).alias("o"))
+    at = [*keys, "t", "left_time", "right_time", "share"]
+    found = around.select(*at, sides).select(*at, "s.side", "s.frame_idx").join(usable, [*keys, "frame_idx"])
+    both = found.groupBy(*at, "traj_id").agg(*(F.max(F.when(F.col("side") == n, F.col("o"))).alias(n) for n in ("left", "right")))
     share, left, right = F.col("share"), F.col("left").isNotNull(), F.col("right").isNotNull()
     near_left = (share <= 0.5) & (F.col("t") - F.col("left_time") < hold)
     near_right = ~near_left & (share >= 0.5) & (F.col("right_time") - F.col("t") < hold)
@@ -169,26 +177,53 @@ def objects_at(grid: DataFrame, frames: DataFrame, objects: DataFrame, keys: lis
 
 def every_nth(frames: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Frames n, 2n and so on of each sequence."""
-    order = Window.partitionBy(*keys).orderBy("frame_time")
-    return frames.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") % n == 0).drop("rank")
+    cut = pieces.carry(pieces.by_step(frames, "frame_time", pieces.SECONDS), keys, {"frames": F.count("*")}, {"frames_before": F.sum("frames").over(pieces.earlier(keys))})
+    rank = F.row_number().over(pieces.inside(keys, "frame_time")) + F.coalesce("frames_before", F.lit(0))
+    return cut.withColumn("rank", rank).filter(F.col("rank") % n == 0).drop("rank", "frames_before", pieces.PIECE)
+
+
+def _taken(times: np.ndarray, interval: float, last: float) -> list[float]:
+    """Of sorted times, each that is `interval` or more after the last one taken."""
+    out, at = [], -1
+    while (at := max(at + 1, int(np.searchsorted(times - last, interval)))) < len(times):
+        last = float(times[at])
+        out.append(last)
+    return out
 
 
 def at_interval(frames: DataFrame, keys: list[str], interval: float) -> DataFrame:
     """The first frame of each sequence, and then each that is `interval` or more after the last one taken.
 
-    A frame behind a gap of `interval` is always taken, so sequences are cut there and the parts are walked on their own.
+    What a piece of time takes depends on the last frame taken before it, and only by the first frame that it takes itself,
+    one of those in its first `interval`. So each piece says for each of these where it would end, one short list for each
+    sequence is walked from piece to piece, and all pieces are then read with the end before them.
     """
-    order = Window.partitionBy(*keys).orderBy("frame_time")
-    gap = F.col("frame_time") - F.lag("frame_time").over(order) >= interval
-    parts = frames.select(*keys, "frame_time").withColumn("new", F.coalesce(gap, F.lit(True)).cast("int"))
-    parts = parts.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    width = max(pieces.SECONDS, interval)
+    cut = pieces.by_step(frames.select(*keys, F.col("frame_time").cast("double")).filter("frame_time IS NOT NULL"), "frame_time", width)
+    kinds = dict(cut.dtypes)
+    named = ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+    def ends(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        times = np.unique(rows.frame_time.to_numpy())
+        end = np.empty(len(times))
+        for k in range(len(times) - 1, -1, -1):
+            after = max(k + 1, int(np.searchsorted(times - times[k], interval)))
+            end[k] = end[after] if after < len(times) else times[k]
+        firsts = min(len(times), int(np.searchsorted(times, times[0] + interval, "right")) + 1)
+        return pd.DataFrame([[*key, times[:firsts].tolist(), end[:firsts].tolist()]], columns=[*keys, pieces.PIECE, "firsts", "ends"])
 
     def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        times, taken, last = np.sort(rows.frame_time.to_numpy(float)), [], -np.inf
-        for t in times.tolist():
-            if t - last >= interval:
-                taken.append(t)
-                last = t
+        last, out = -np.inf, []
+        for r in rows.sort_values(pieces.PIECE).itertuples():
+            out.append([*key, r.piece, last])
+            k = int(np.searchsorted(np.asarray(r.firsts) - last, interval)) if last > -np.inf else 0
+            last = r.ends[k] if k < len(r.firsts) else last
+        return pd.DataFrame(out, columns=[*keys, pieces.PIECE, "last"])
+
+    def read(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        taken = _taken(np.sort(rows.frame_time.to_numpy()), interval, rows["last"].iloc[0])
         return pd.DataFrame([[*key[:-1], t] for t in taken], columns=[*keys, "frame_time"])
 
-    return parts.groupBy(*keys, "part").applyInPandas(walk, frames.select(*keys, F.col("frame_time").cast("double")).schema)
+    lists = cut.groupBy(*keys, pieces.PIECE).applyInPandas(ends, f"{named}, piece long, firsts array<double>, ends array<double>")
+    before = lists.groupBy(*keys).applyInPandas(walk, f"{named}, piece long, last double")
+    return cut.join(before, [*keys, pieces.PIECE]).groupBy(*keys, pieces.PIECE).applyInPandas(read, f"{named}, frame_time double")

@@ -503,18 +503,13 @@ WITH RECURSIVE e AS (SELECT label, embedding, row_number() OVER (PARTITION BY la
 r AS (SELECT label, n, list_transform(embedding, lambda v: v::DOUBLE) AS s FROM e WHERE n = 1 UNION ALL SELECT e.label, e.n, list_transform(range(1, len(s)+1), lambda i: 0.5*e.embedding[i] + 0.5*s[i]) FROM r JOIN e ON e.label = r.label AND e.n = r.n + 1)
 SELECT label, list_transform(arg_max(s, n), lambda v: round(v, 6)) AS blend FROM r GROUP BY label""")
 def embedding_ema(spark: SparkSession, d: str) -> DataFrame:
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])
-    out = embeddings(spark, d).groupBy("label").agg(ordered.alias("v"))
-    return out.select("label", F.transform(vectors.running_blend(F.col("v")), lambda x: F.round(x, 6)).alias("blend"))
+    out = fr.running_embedding(embeddings(spark, d), ["label"], "embedding", "vec_id")
+    return out.select("label", F.transform("blend", lambda x: F.round(x, 6)).alias("blend"))
 
 
 @query("--plain\nWITH p AS (SELECT vec_id, embedding AS b, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS a FROM embeddings) SELECT vec_id, list_transform(range(1, len(a)+1), lambda i: round(greatest(a[i], b[i])::DOUBLE*0.9 + least(a[i], b[i])::DOUBLE*0.1, 6)) AS blend FROM p WHERE a IS NOT NULL")
 def attribute_blend(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = embeddings(spark, d)
-    before = F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
-    out = rows.withColumn("a", before).filter("a IS NOT NULL")
+    out = fr.with_previous(embeddings(spark, d), ["label"], "embedding", "vec_id", "a").filter("a IS NOT NULL")
     wide = lambda c: F.transform(c, lambda x: x.cast("double"))
     return out.select("vec_id", F.transform(vectors.max_blend(wide("a"), wide("embedding")), lambda x: F.round(x, 6)).alias("blend"))
 

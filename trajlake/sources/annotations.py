@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import file_label, image_path
+from ..operators.timegrid import with_time_before
 
 #: The 9 columns of a ground-truth file, and the classes that its 12 numbers stand for.
 MOT_COLUMNS = "frame_id int, traj_id long, left double, top double, width double, height double, confidence double, class int, visibility double"
@@ -146,5 +147,4 @@ def search_log(entries: DataFrame, path: str) -> None:
 
 def ordered(frames: DataFrame) -> DataFrame:
     """Frames with `in_order`: whether each is later than the one before it in its sequence."""
-    before = F.lag("frame_time").over(Window.partitionBy("seq").orderBy("frame_idx"))
-    return frames.withColumn("in_order", before.isNull() | (F.col("frame_time") > before))
+    return with_time_before(frames, ["seq"]).withColumn("in_order", F.col("before").isNull() | (F.col("frame_time") > F.col("before"))).drop("before")
