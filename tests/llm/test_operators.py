@@ -1,3 +1,4 @@
+import hashlib
 import random
 import struct
 import zlib
@@ -177,6 +178,28 @@ def test_fingerprints_of_odd_rows(spark, odd, none):
     assert one.near_next == 1
 
 
+def test_a_key_with_a_third_of_all_rows_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "PER_BUCKET", 10)
+    ids = [*range(-100, 100), *[None] * 200, *[7] * 200]
+    rows = [(k, f"{n:04d}abcd") for n, k in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    filled = df.select("text", F.coalesce("doc_id", F.lit(-(2**63))).alias("k"))
+    bucket, n = fingerprint.order_buckets(filled, "k", F.xxhash64("text"))
+    dealt = filled.withColumn("b", bucket).groupBy("b").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("b").collect()
+    assert n == len(rows) == sum(r.n for r in dealt) and max(r.n for r in dealt) < 40
+    assert all(a.hi <= b.lo for a, b in zip(dealt[:-1], dealt[1:], strict=True))
+
+    starts = {hashlib.sha256((text[:4] + f"{n:04d}").encode()).hexdigest(): (text, n) for _, text in rows for n in range(len(rows))}
+    following = {int(text[:4]): n for text, n in (starts[r.edited_sha256] for r in fingerprint.fingerprints(df).collect())}
+    at, seen = 0, []
+    for _ in rows:
+        seen.append(at)
+        at = following[at]
+    keys = [-(2**63) if ids[k] is None else ids[k] for k in [*seen, at]]
+    falls = sum(a < b for a, b in zip(keys[:-1], keys[1:], strict=True))
+    assert at == 0 and len(set(seen)) == len(rows) and falls == 1  # one ring, and its keys descend
+
+
 def test_fingerprints_equal_plain_counting(spark):
     import xxhash
 

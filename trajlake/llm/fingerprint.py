@@ -10,12 +10,14 @@ fingerprint that tells equality, but no likeness.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LANES, BITS = 128, 16
 MODULUS = 1 << BITS
-SEGMENTS, PER_BUCKET, MOST_BUCKETS = 64, 2000, 65536
+SEGMENTS, PER_BUCKET, MOST_BUCKETS = 64, 2000, 1 << 20
 
 
 def elements(text: Column) -> Column:
@@ -79,22 +81,32 @@ def vectors(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     return exploded.groupBy(*keys).agg(*lane_sums("element")).select(*keys, lanes().alias("vector"))
 
 
-def order_buckets(ids: DataFrame, key: str) -> tuple[Column, int]:
+def order_buckets(rows: DataFrame, key: str, tie: Column) -> tuple[Column, int]:
     """An expression that deals rows to buckets of about PER_BUCKET rows, ascending with the key (long, not null).
 
-    The key's range is cut at quantiles into SEGMENTS, each evenly into buckets, so that uneven ids do no harm.
+    The key's range is cut at quantiles into SEGMENTS, each evenly into buckets, so that uneven ids do no harm. A key at
+    which two or more quantiles lie (any with 2 / SEGMENTS of all rows) has buckets of its own, by ranges of `tie` (a long
+    that is spread evenly).
     """
     at = [k / SEGMENTS for k in range(SEGMENTS + 1)]
-    n, cuts = ids.agg(F.count("*"), F.percentile_approx(key, at, 10_000)).first()
-    cuts = sorted(set(cuts or [0]))
-    each = max(1, min(MOST_BUCKETS, n // PER_BUCKET) // max(1, len(cuts) - 1))
+    n, found = rows.agg(F.count("*"), F.percentile_approx(key, at, 10_000)).first()
+    times = Counter(found or [0])
+    cuts, wanted = sorted(times), min(MOST_BUCKETS, n // PER_BUCKET)
+    each = max(1, wanted // max(1, len(cuts) - 1))
+    own = [0, *(wanted * (times[c] - 1) // SEGMENTS for c in cuts)]  # of the cut that a leaf begins with
     value = F.col(key).cast("double")
 
     def leaf(k: int) -> Column:
+        first = k * each + sum(own[:k])
         if k == 0 or k == len(cuts):  # before the first and from the last cut on
-            return F.lit(0 if k == 0 else each * len(cuts))
-        share = (value - float(cuts[k - 1])) / (float(cuts[k]) - float(cuts[k - 1])) * each
-        return each * k + F.least(F.lit(each - 1), share.cast("int"))
+            rest = F.lit(first + own[k])
+        else:
+            share = (value - float(cuts[k - 1])) / (float(cuts[k]) - float(cuts[k - 1])) * each
+            rest = first + own[k] + F.least(F.lit(each - 1), share.cast("int"))
+        if not own[k]:
+            return rest
+        part = F.floor((tie.cast("double") / 2.0**64 + 0.5) * own[k]).cast("int")
+        return F.when(F.col(key) == cuts[k - 1], first + F.least(F.lit(own[k] - 1), part)).otherwise(rest)
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -108,19 +120,21 @@ def order_buckets(ids: DataFrame, key: str) -> tuple[Column, int]:
 def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text's fingerprint, and that of its edited text, whose last half is the start of the next document.
 
-    Next is the row that follows by descending key (equal keys by text; null keys last); after the last comes the first. A
-    null text is empty; an empty text is one empty paragraph. Repeated rows follow one another. An empty table gives an
+    Next is the row that follows by descending key (equal keys by text, of a key with a large share of all rows by ranges
+    of the text's hash first; null keys last); after the last comes the first. A null text is empty; an empty text is one empty paragraph. Repeated rows follow one another. An empty table gives an
     empty one; extra columns play no part. Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next.
     """
     rows = documents.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("k"))
-    bucket, _ = order_buckets(rows.select("k"), "k")
+    bucket, _ = order_buckets(rows, "k", F.xxhash64("text"))
     rows = rows.withColumn("bucket", bucket)
     # the first row of each bucket also stands at the end of the bucket before; there are MOST_BUCKETS of them at most
     down = Window.orderBy(F.col("bucket").desc())
     firsts = rows.groupBy("bucket").agg(F.max("k").alias("k"))
-    firsts = firsts.select("k", F.coalesce(F.lag("bucket").over(down), F.min("bucket").over(Window.partitionBy(F.lit(0)))).alias("bucket"))
-    guests = rows.drop("bucket").join(F.broadcast(firsts), "k").select("doc_id", "text", "k", "bucket", F.lit(True).alias("guest"))
+    firsts = firsts.select("k", "bucket", F.coalesce(F.lag("bucket").over(down), F.min("bucket").over(Window.partitionBy(F.lit(0)))).alias("before"))
+    guests = rows.join(F.broadcast(firsts), ["bucket", "k"]).groupBy("before").agg(F.min("k").alias("k"), F.min("text").alias("text"))
+    nobody = F.lit(None).cast(rows.schema["doc_id"].dataType)
+    guests = guests.select(nobody.alias("doc_id"), "text", "k", F.col("before").alias("bucket"), F.lit(True).alias("guest"))
     every = rows.withColumn("guest", F.lit(False)).unionByName(guests)
     order = Window.partitionBy("bucket").orderBy("guest", F.col("k").desc(), "text")
     placed = every.withColumns({"row": F.row_number().over(order), "next": F.lead("text").over(order), "n_chars": F.char_length("text").cast("long")})
