@@ -519,6 +519,21 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert sorted(str(r.doc_id) for r in minhash.keep_first(odd).collect()) == sorted(str(k) for k, *_ in ODD if k != 5)
 
 
+def test_one_id_with_several_sets(spark):
+    """(5, A), (5, B), (3, near A), (8, near B), (9, near B as well): classes are told apart, whatever their ids."""
+    a, b = (" ".join(f"{s}{k}" for k in range(60)) for s in "ab")
+    c = " ".join(f"c{k}" for k in range(60))
+    rows = [(5, a), (5, b), (3, a + " more"), (8, b + " more"), (9, b + " other"), (5, c), (5, c), (4, c + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in minhash.near_duplicates(df).collect())
+    assert found == sorted([(5, 56, 3, False), (3, 57, 3, True), (5, 56, 5, True), (8, 57, 5, False), (9, 57, 5, False), (5, 56, 4, False), (5, 56, 4, False), (4, 57, 4, True)])
+    assert sorted((x.doc_id, x.text) for x in minhash.keep_first(df).collect()) == sorted([(3, a + " more"), (5, b), (4, c + " x")])
+    alone = [(5, a), (5, c), (3, a + " more")]  # the unique text of a shared id stays
+    assert sorted((x.doc_id, x.text) for x in minhash.keep_first(spark.createDataFrame(alone, "doc_id long, text string")).collect()) == sorted(alone[1:])
+    same = [(5, b), (5, b + " more")]  # of two sets in one group with one id, one stays
+    assert minhash.keep_first(spark.createDataFrame(same, "doc_id long, text string")).count() == 1
+
+
 def test_heavy_groups_are_joined_whole(spark):
     rows = spark.range(6000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("k"), "id")
     groups = rows.groupBy("k").agg(F.count("*").alias("size"))

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -96,8 +96,13 @@ def set_digest(hashes: np.ndarray, second: np.ndarray, at: np.ndarray) -> tuple[
     return out[0], out[1]
 
 
+def text_hash(text: str) -> Column:
+    """Tells the rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def sketch(documents: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """doc_id, n (size of the set), d1, d2 (its digest) and bands of every row."""
+    """doc_id, text_hash, n (size of the set), d1, d2 (its digest) and bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,15 +110,16 @@ def sketch(documents: DataFrame, key: str, text: str, k: int) -> DataFrame:
                 hashes, second, at = shingle_sets(data, offsets, k)
                 d1, d2 = set_digest(hashes, second, at)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS), pa.array(band_keys(signatures(hashes, at)).view(np.int64).ravel()))
-                columns = [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(d1), pa.array(d2), bands]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "d1", "d2", "bands"])
+                columns = [*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "text_hash")), pa.array(np.diff(at)), pa.array(d1), pa.array(d2), bands]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "d1", "d2", "bands"])
 
-    rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_batches(rows, run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
+    rows = documents.select(F.col(key).cast("long").alias("doc_id"), text_hash(text).alias("text_hash"), F.col(text).alias("text"))
+    return map_batches(rows, run, "doc_id long, text_hash long, n long, d1 long, d2 long, bands array<long>")
 
 
-def full_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """rep, n and the set (ascending 64-bit hashes) of the documents in `wanted` (rep, d1, d2)."""
+def full_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str, k: int, total: int) -> DataFrame:
+    """rep, n and the set (ascending 64-bit hashes) of the classes in `wanted` (rep, d1, d2, size), read again from the member
+    with the class's first_id and text_hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,8 +130,9 @@ def full_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str, k: i
                 sets = pa.array([hashes[at[i] : at[i + 1]].tobytes() for i in same], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column("rep"))[lo:hi][same]), pa.array(np.diff(at)[same]), sets], names=["rep", "n", "hashes"])
 
-    rows = documents.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted.select("rep", "d1", "d2"), "rep")
-    return map_batches(rows, run, "rep long, n long, hashes binary")
+    rows = documents.select(F.col(key).cast("long").alias("first_id"), text_hash(text).alias("text_hash"), F.col(text).alias("text"))
+    rows = join_groups(rows, wanted.select("rep", "d1", "d2", "first_id", "text_hash", "size"), ["first_id", "text_hash"], "size", total)
+    return map_batches(rows.select("rep", "d1", "d2", "text"), run, "rep long, n long, hashes binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -157,7 +164,7 @@ def distinct_buckets(keys: DataFrame) -> DataFrame:
     return found.groupBy("size", "lo", "hi", "x0", "x1").agg(F.min("key").alias("key")).drop("x1")
 
 
-def close_sizes(percent: int) -> F.Column:
+def close_sizes(percent: int) -> Column:
     """Sizes alone don't rule out a link."""
     return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
 
@@ -276,49 +283,63 @@ def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, total: in
     return map_batches(dealt, run, "a long, b long").distinct()
 
 
-def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the component) and kept (doc_id = component_id), a row for each row.
+def judged(documents: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and stays (the row's set is that of the component's first class) of every row.
 
-    A-Z are lowered, words are runs without ASCII white space, a set holds the distinct shingles of k words, or the whole
-    sequence where there are fewer. Documents without words are linked with nothing. A null doc_id takes part in nothing:
-    its component is null and it is kept. Rows repeated in full are one class; rows that share a doc_id but not the set
-    are judged each for itself. Extra columns play no part.
+    A class is named by a number of its own, given once and written with the class: ids can be shared by several sets.
     """
     rows = kept(sketch(documents, key, text, k), "sketch")
+    total = rows.count()
     usable = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    banded = kept(classes, "banded")
-    plain = kept(rows.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2"), "plain")
+    classes = usable.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    banded = kept(classes.select("d1", "d2", F.col("least.doc_id").alias("first_id"), F.col("least.text_hash").alias("text_hash"), "size", "n", "bands").withColumn("rep", F.monotonically_increasing_id()), "banded")
+    plain = kept(rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "d1", "d2"), "plain")
     drop(rows)
     reps = kept(banded.drop("bands"), "classes")
-    total = reps.count() * BANDS
     keys = banded.select("rep", F.explode("bands").alias("key"))
     buckets = kept(distinct_buckets(keys), "buckets")
     large = buckets.filter("size > 3").select("key", "size")
-    found = kept(join_groups(keys, large, ["key"], "size", total), "members")
+    found = kept(join_groups(keys, large, ["key"], "size", reps.count() * BANDS), "members")
     drop(banded)
     members = kept(found.join(reps.select("rep", "n"), "rep"), "sized")
     n_members = members.count()
     pairs = kept(small_pairs(buckets, reps, percent).unionByName(star_pairs(members, n_members, percent)).distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(members.select("rep")).distinct()
-    wanted = reps.join(ends, "rep", "left_semi")
-    sets = kept(full_sets(documents, wanted, key, text, k).dropDuplicates(["rep"]), "sets")
+    wanted = kept(reps.join(ends, "rep", "left_semi"), "wanted")
+    sets = kept(full_sets(documents, wanted, key, text, k, total).dropDuplicates(["rep"]), "sets")
     links = kept(confirm(pairs, sets, percent), "links")
     labels = kept(components(links), "labels")
     more = kept(open_links(members, labels, sets, n_members, percent), "links")
     if not more.isEmpty():
+        drop(labels)
         labels = kept(components(links.unionByName(more)), "labels")
-    drop(sets, found, pairs, buckets)
-    named = reps.select("d1", "d2", "rep", "size").join(labels, F.col("rep") == F.col("v"), "left")
-    named = kept(named.select("d1", "d2", F.coalesce("component", "rep").alias("component_id"), "size"), "named")
-    joined = join_groups(plain.filter("n_shingles > 0 AND doc_id IS NOT NULL"), named, ["d1", "d2"], "size", plain.count())
-    alone = plain.filter("n_shingles = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
-    out = joined.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
+    drop(sets, found, members, wanted, pairs, buckets, links, more)
+    named = kept(reps.join(labels, F.col("rep") == F.col("v"), "left").select("d1", "d2", "first_id", "size", F.coalesce("component", "rep").alias("component")), "named")
+    firsts = named.groupBy("component").agg(F.min(F.struct("first_id", "d1", "d2")).alias("head"), F.count("*").alias("members"))
+    told = join_groups(named, firsts, ["component"], "members", reps.count())
+    told = kept(told.select("d1", "d2", "size", F.col("head.first_id").alias("component_id"), ((F.col("d1") == F.col("head.d1")) & (F.col("d2") == F.col("head.d2"))).alias("head")), "told")
+    drop(reps, labels, named)
+    columns = ["doc_id", "text_hash", "n_shingles", "component_id", "stays"]
+    joined = join_groups(plain.filter("n_shingles > 0 AND doc_id IS NOT NULL"), told, ["d1", "d2"], "size", total)
+    joined = joined.withColumn("stays", F.col("head") & (F.col("doc_id") == F.col("component_id")))
+    alone = plain.filter("n_shingles = 0 OR doc_id IS NULL").withColumns({"component_id": F.col("doc_id"), "stays": F.lit(True)})
+    return joined.select(*columns).unionByName(alone.select(*columns))
+
+
+def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id of the component) and kept (doc_id = component_id), a row for each row.
+
+    A-Z are lowered, words are runs without ASCII white space, a set holds the distinct shingles of k words, or the whole
+    sequence where there are fewer. Documents without words are linked with nothing. A null doc_id takes part in nothing:
+    its component is null and it is kept. Rows repeated in full are one class; rows that share a doc_id but not the set
+    are judged each for itself. Extra columns play no part.
+    """
+    out = judged(documents, key, text, k, percent).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_first(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of documents that near_duplicates() keeps: of each component the one with the smallest key; of rows that
-    repeat a kept key, all."""
-    gone = near_duplicates(documents, key, text, k, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col(key).cast("long") == F.col("_gone"), "left_anti")
+    """The rows of documents without near-duplicates: of each component the rows with the smallest key, and of several sets with
+    that key those of one set. Rows with a null key, and rows without words, stay; rows repeated in full stay or go together."""
+    gone = judged(documents, key, text, k, percent).filter("NOT stays").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct()
+    return documents.join(gone, (F.col(key).cast("long") == F.col("_gone")) & (text_hash(text) == F.col("_gone_hash")), "left_anti")
