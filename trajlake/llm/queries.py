@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import kept, new_path
-from . import fingerprint, media, minhash, mixing, quality, sentencepiece, substring_dedup, token_shards, url_filter, warc
+from . import fingerprint, media, minhash, mixing, phrases, quality, sentencepiece, substring_dedup, token_shards, url_filter, warc
 from ._scratch import table
 
 
@@ -68,7 +68,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_token_shards, op4_fingerprint, op5_substring_dedup, op6_mixing, op7_quality, op8_minhash, op9_media, op10_url_filter)}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_token_shards, op4_fingerprint, op5_substring_dedup, op6_mixing, op7_quality, op8_minhash, op9_media, op10_url_filter, op13_phrases)}
 
 ORACLE: dict[str, str] = {
     "op1_warc": """
@@ -111,4 +115,19 @@ WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, posit
                           WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
                           WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM s)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM t""",
+    "op13_phrases": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+     w AS (SELECT lang, list_filter(string_split(replace(piece, chr(9), ' '), ' '), lambda x: x <> '') AS w FROM p),
+     t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+     i AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3)) v(m)),
+     f AS (SELECT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, m, count(*) AS c FROM i GROUP BY ALL),
+     c AS (SELECT lang, phrase, m, c AS a, string_split(phrase, ' ') AS x FROM f WHERE m > 1 AND c >= 10),
+     k AS (SELECT c.*, unnest(range(1, m)) AS k FROM c),
+     s AS (SELECT k.lang, k.phrase, k.a, k.k, l.c AS l, r.c AS r, CAST((1000000::HUGEINT * k.a * k.a) // (l.c::HUGEINT * r.c) AS BIGINT) AS score
+           FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.x[1:k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.x[k.k + 1:], ' ')),
+     b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+     o AS (SELECT lang, array_to_string(x[j:j + 1], ' ') AS phrase, max(a) AS cover FROM c, (VALUES (1), (2)) v(j) WHERE m = 3 GROUP BY ALL),
+     d AS (SELECT b.* FROM b LEFT JOIN o USING (lang, phrase) WHERE cover IS NULL OR 100 * cover < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d) JOIN t USING (lang) WHERE rank <= 2000""",
 }
