@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import kept, new_path
-from . import fingerprint, media, minhash, mixing, phrases, quality, sentencepiece, substring_dedup, token_shards, url_filter, warc
-from ._scratch import table
+from . import fingerprint, media, minhash, mixing, phrases, quality, runs, sentencepiece, substring_dedup, token_shards, url_filter, warc
+from ._scratch import map_batches, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +69,41 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def with_repetitions(documents: DataFrame) -> DataFrame:
+    """doc_id and text; with h, the crc32 of the decimal id, and g = h div 10: where h % 10 is 0, the words from number
+    a = g % n on repeat the p words there, p = 1 + (n - a) div (3 + g % 8). Other texts, and those of a null id, stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for h, body in zip(batch.column("h").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                if h is not None and h % 10 == 0 and (words := (body or b"").split()):
+                    g, n = h // 10, len(words)
+                    a = g % n
+                    p = 1 + (n - a) // (3 + g % 8)
+                    body = b" ".join([*words[:a], *(words[a + i % p] for i in range(n - a))])
+                texts.append(body)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
+
+    rows = documents.select("doc_id", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"), "text")
+    return map_batches(rows, run, "doc_id long, text string")
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_repetitions(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    told = found.withColumn("best", runs.strongest(F.col("runs")))
+    return told.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_token_shards, op4_fingerprint, op5_substring_dedup, op6_mixing, op7_quality, op8_minhash, op9_media, op10_url_filter, op13_phrases)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_token_shards, op4_fingerprint, op5_substring_dedup, op6_mixing, op7_quality, op8_minhash, op9_media, op10_url_filter, op12_runs, op13_phrases)}
 
 ORACLE: dict[str, str] = {
     "op1_warc": """
