@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import kept, new_path
-from . import fingerprint, media, minhash, mixing, phrases, quality, runs, sentencepiece, substring_dedup, token_shards, url_filter, warc
+from . import chat, fingerprint, media, minhash, mixing, phrases, quality, runs, sentencepiece, substring_dedup, token_shards, url_filter, warc
 from ._scratch import map_batches, table
 
 
@@ -69,6 +69,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok").alias("text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
+    parts = kept(chat.formatted(chat.messages(chat.log_of(conversations.unionByName(more)))), "chat")
+    return chat.digests(parts)
+
+
 def with_repetitions(documents: DataFrame) -> DataFrame:
     """doc_id and text; with h, the crc32 of the decimal id, and g = h div 10: where h % 10 is 0, the words from number
     a = g % n on repeat the p words there, p = 1 + (n - a) div (3 + g % 8). Other texts, and those of a null id, stay."""
@@ -103,7 +111,7 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_token_shards, op4_fingerprint, op5_substring_dedup, op6_mixing, op7_quality, op8_minhash, op9_media, op10_url_filter, op12_runs, op13_phrases)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_token_shards, op4_fingerprint, op5_substring_dedup, op6_mixing, op7_quality, op8_minhash, op9_media, op10_url_filter, op11_chat, op12_runs, op13_phrases)}
 
 ORACLE: dict[str, str] = {
     "op1_warc": """
@@ -146,6 +154,16 @@ WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, posit
                           WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
                           WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM s)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM t""",
+    "op11_chat": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+     e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '</turn>', '\</turn>'), '<turn ', '\<turn ') AS body,
+                  replace(replace(replace(role, '\', '\\'), '>', '\>'), chr(10), '\' || chr(10)) AS name FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(name) + length(body) + 16) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
     "op13_phrases": r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
      w AS (SELECT lang, list_filter(string_split(replace(piece, chr(9), ' '), ' '), lambda x: x <> '') AS w FROM p),
