@@ -106,6 +106,6 @@ def with_previous(rows: DataFrame, keys: list[str], column: str, order: str, nam
     """rows with the column of the row before in its key, null at the first; one row a range is handed on to the next."""
     ranges = kept(pieces.by_range(rows, *keys, order), "previous")
     last = F.max(F.struct(order, column))[column]
-    cut = pieces.carry(ranges, keys, {"end": last}, {"end_before": F.last("end").over(pieces.earlier(keys))})
-    before = F.when(F.row_number().over(pieces.inside(keys, order)) == 1, F.col("end_before")).otherwise(F.lag(column).over(pieces.inside(keys, order)))
-    return cut.withColumn(name, before).drop("end_before", pieces.PIECE)
+    cut = pieces.carry(ranges, keys, {"end": last}, {"trajlake_end": F.last("end").over(pieces.earlier(keys))})
+    before = F.when(F.row_number().over(pieces.inside(keys, order)) == 1, F.col("trajlake_end")).otherwise(F.lag(column).over(pieces.inside(keys, order)))
+    return cut.withColumn(name, before).drop("trajlake_end", pieces.PIECE)

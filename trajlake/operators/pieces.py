@@ -1,14 +1,18 @@
 """Windows over long groups, cut into pieces: each piece is ordered on its own, and only one row of each is ordered for the
-whole group, so that one group with a third of all rows is spread over many tasks. Rows without a key go."""
+whole group, so that one group with a third of all rows is spread over many tasks. Rows with a null key are a group like others."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Seconds, or numbers of frames, in a piece: some thousand rows of a sequence with the usual frame rates.
 SECONDS, FRAMES = 64.0, 2048
-PIECE = "piece"
+#: Internal columns have names of their own, so that no input column gives way to them.
+PIECE = "trajlake_piece"
 
 
 def by_step(df: DataFrame, value: str, step: float) -> DataFrame:
@@ -35,7 +39,10 @@ def later(by: list[str]) -> WindowSpec:
 def carry(rows: DataFrame, by: list[str], parts: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
     """rows with the columns of `carried`: windows (earlier, later) over the aggregates `parts` of each piece."""
     each = rows.groupBy(*by, PIECE).agg(*(c.alias(n) for n, c in parts.items()))
-    return rows.join(each.select(*by, PIECE, *(c.alias(n) for n, c in carried.items())), [*by, PIECE])
+    names = {k: f"trajlake_key_{i}" for i, k in enumerate([*by, PIECE])}
+    each = each.select(*(F.col(k).alias(n) for k, n in names.items()), *(c.alias(n) for n, c in carried.items()))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()))
+    return rows.join(each, same).drop(*names.values())
 
 
 def inside(by: list[str], *order: str | Column) -> WindowSpec:

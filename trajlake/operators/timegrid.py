@@ -23,17 +23,17 @@ def neighbours(frames: DataFrame, keys: list[str]) -> DataFrame:
     own, order = F.col("frame_time"), pieces.inside(keys, "frame_time")
     cut = pieces.carry(
         pieces.by_step(frames, "frame_time", pieces.SECONDS), keys, {"low": F.min(own), "high": F.max(own)},
-        {"time_before": F.last("high", True).over(pieces.earlier(keys)), "time_behind": F.last("low", True).over(pieces.later(keys))},
+        {"trajlake_before": F.last("high", True).over(pieces.earlier(keys)), "trajlake_behind": F.last("low", True).over(pieces.later(keys))},
     )
-    times = {"previous_time": F.coalesce(F.lag(own).over(order), "time_before", own), "next_time": F.coalesce(F.lead(own).over(order), "time_behind", own)}
-    return cut.withColumns(times).drop(pieces.PIECE, "time_before", "time_behind")
+    times = {"previous_time": F.coalesce(F.lag(own).over(order), "trajlake_before", own), "next_time": F.coalesce(F.lead(own).over(order), "trajlake_behind", own)}
+    return cut.withColumns(times).drop(pieces.PIECE, "trajlake_before", "trajlake_behind")
 
 
 def with_time_before(frames: DataFrame, keys: list[str], order: str = "frame_idx") -> DataFrame:
     """frames with `before`, the time of the frame before in the order of frame numbers; null at the first."""
     last = F.max(F.struct(order, "frame_time"))["frame_time"]
-    cut = pieces.carry(pieces.by_step(frames, order, pieces.FRAMES), keys, {"high": last}, {"time_before": F.last("high").over(pieces.earlier(keys))})
-    return cut.withColumn("before", F.coalesce(F.lag("frame_time").over(pieces.inside(keys, order)), "time_before")).drop(pieces.PIECE, "time_before")
+    cut = pieces.carry(pieces.by_step(frames, order, pieces.FRAMES), keys, {"high": last}, {"trajlake_before": F.last("high").over(pieces.earlier(keys))})
+    return cut.withColumn("before", F.coalesce(F.lag("frame_time").over(pieces.inside(keys, order)), "trajlake_before")).drop(pieces.PIECE, "trajlake_before")
 
 
 def out_of_order(frames: DataFrame, keys: list[str], order: str = "frame_idx") -> DataFrame:
@@ -177,9 +177,9 @@ def objects_at(grid: DataFrame, frames: DataFrame, objects: DataFrame, keys: lis
 
 def every_nth(frames: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Frames n, 2n and so on of each sequence."""
-    cut = pieces.carry(pieces.by_step(frames, "frame_time", pieces.SECONDS), keys, {"frames": F.count("*")}, {"frames_before": F.sum("frames").over(pieces.earlier(keys))})
-    rank = F.row_number().over(pieces.inside(keys, "frame_time")) + F.coalesce("frames_before", F.lit(0))
-    return cut.withColumn("rank", rank).filter(F.col("rank") % n == 0).drop("rank", "frames_before", pieces.PIECE)
+    cut = pieces.carry(pieces.by_step(frames, "frame_time", pieces.SECONDS), keys, {"frames": F.count("*")}, {"trajlake_frames": F.sum("frames").over(pieces.earlier(keys))})
+    rank = F.row_number().over(pieces.inside(keys, "frame_time")) + F.coalesce("trajlake_frames", F.lit(0))
+    return cut.withColumn("trajlake_rank", rank).filter(F.col("trajlake_rank") % n == 0).drop("trajlake_rank", "trajlake_frames", pieces.PIECE)
 
 
 def _taken(times: np.ndarray, interval: float, last: float) -> list[float]:
@@ -215,7 +215,7 @@ def at_interval(frames: DataFrame, keys: list[str], interval: float) -> DataFram
     def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         last, out = -np.inf, []
         for r in rows.sort_values(pieces.PIECE).itertuples():
-            out.append([*key, r.piece, last])
+            out.append([*key, r.trajlake_piece, last])
             k = int(np.searchsorted(np.asarray(r.firsts) - last, interval)) if last > -np.inf else 0
             last = r.ends[k] if k < len(r.firsts) else last
         return pd.DataFrame(out, columns=[*keys, pieces.PIECE, "last"])
@@ -224,6 +224,6 @@ def at_interval(frames: DataFrame, keys: list[str], interval: float) -> DataFram
         taken = _taken(np.sort(rows.frame_time.to_numpy()), interval, rows["last"].iloc[0])
         return pd.DataFrame([[*key[:-1], t] for t in taken], columns=[*keys, "frame_time"])
 
-    lists = cut.groupBy(*keys, pieces.PIECE).applyInPandas(ends, f"{named}, piece long, firsts array<double>, ends array<double>")
-    before = lists.groupBy(*keys).applyInPandas(walk, f"{named}, piece long, last double")
+    lists = cut.groupBy(*keys, pieces.PIECE).applyInPandas(ends, f"{named}, {pieces.PIECE} long, firsts array<double>, ends array<double>")
+    before = lists.groupBy(*keys).applyInPandas(walk, f"{named}, {pieces.PIECE} long, last double")
     return cut.join(before, [*keys, pieces.PIECE]).groupBy(*keys, pieces.PIECE).applyInPandas(read, f"{named}, frame_time double")
