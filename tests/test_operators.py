@@ -394,6 +394,45 @@ def test_rows_wait_for_the_watermark(spark, tmp_path):
     assert found == [(0, 0), (1, 0), (2, 0), (9, 0)]  # 4 came behind the watermark; 20 and 21 still wait
 
 
+def evaluated(spark, tmp_path, batches, **options):
+    ddl = f"side string, seq_id long, frame_idx long, frame_time double, traj_id long, {BOX}"
+    for batch in batches:
+        spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(ddl).parquet(f"{tmp_path}/in")
+        one = {s: stream.filter(F.col("side") == s) for s in ("object", "prediction", "tick")}
+        log = online.events_stream(one["object"], one["prediction"], ticks=one["tick"], **options)
+        log.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{tmp_path}/out")
+
+
+def test_streamed_log_equals_the_batch(spark, tmp_path):
+    """Ambiguous frames, missing sides and rows out of order within the delay; the last batch comes after a restart each."""
+    random, rows = np.random.default_rng(6), []
+    for frame in range(60):
+        for seq in range(2):
+            left = random.permutation(5) * 6.0
+            rows += [("object", seq, frame, frame / 4, t, x, 0.0, x + 10, 10.0) for t, x in enumerate(left[: random.integers(0, 5)].tolist())]
+            rows += [("prediction", seq, frame, frame / 4, 50 + (t + frame // 20) % 5, x + float(random.integers(-3, 4)), 0.0, x + 10, 10.0) for t, x in enumerate(left[: random.integers(0, 5)].tolist())]
+    ddl = f"side string, seq_id long, frame_idx long, frame_time double, traj_id long, {BOX}"
+    whole = spark.createDataFrame(rows, ddl)
+    batch = clearmot.events(whole.filter("side = 'object'"), whole.filter("side = 'prediction'"), ["seq_id"])
+    ticks = [("tick", s, None, 99.0, None, None, None, None, None) for s in range(2)]
+    jitter = random.integers(0, 8, len(rows))
+    shuffled = [rows[k] for k in np.argsort([r[2] + j for r, j in zip(rows, jitter, strict=True)], kind="stable")]
+    cut = len(rows) // 3
+    log = evaluated(spark, tmp_path, [shuffled[:cut], shuffled[cut : 2 * cut], shuffled[2 * cut :] + ticks], delay=3.0)
+    names = ["seq_id", "frame_idx", "type", "oid", "hid", "d"]
+    assert rows_of(log.select(*names)) == rows_of(batch.select(*names))
+    assert {r.type for r in log.select("type").collect()} == {"MATCH", "SWITCH", "MISS", "FP"} and log.agg(F.max("late")).first()[0] == 0
+
+
+def test_open_frames_wait_and_late_rows_are_counted(spark, tmp_path):
+    box = (0.0, 0.0, 10.0, 10.0)
+    batches = [[("object", 0, 0, 0.0, 1, *box), ("object", 0, 8, 8.0, 1, *box)], [("prediction", 0, 0, 0.0, 7, *box), ("prediction", 0, 8, 8.0, 7, *box), ("tick", 0, None, 12.0, None, None, None, None, None)], [("tick", 0, None, 20.0, None, None, None, None, None)]]
+    found = [(r.frame_idx, r.type, r.oid, r.hid) for r in evaluated(spark, tmp_path, batches, delay=2.0).orderBy("frame_idx").collect()]
+    assert found == [(0, "MISS", 1, None), (8, "MATCH", 1, 7)]  # the prediction of frame 0 came behind the watermark
+
+
 def test_silent_sequences_are_forgotten(spark, tmp_path):
     batches = [[(0, 0, 0.0)], [(1, 30, 30.0)], [(0, 1, 40.0)], [(1, 60, 60.0)]]
     found = replay(spark, tmp_path, batches, lambda s: online.rate_limited(s, 50.0, delay=1.0, idle=5.0))

@@ -665,6 +665,24 @@ def online_mot_stream(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_replayed(spark, gated, "stream", online.matches_stream).drop("late"))
 
 
+@query("SELECT seq_id, frame_idx, type, oid, hid, round(d, 6) AS d FROM fx_log")
+def online_mot_events(spark: SparkSession, d: str) -> DataFrame:
+    """The whole log as a stream, a second behind the latest frame; a tick at the end closes the last ones."""
+    from ..streaming import online
+
+    columns = [*FRAME, "frame_time", "traj_id", "x1", "y1", "x2", "y2"]
+    sides = [rows.select(*columns, F.lit(name).alias("side")) for rows, name in ((fx.gt(spark, d), "object"), (fx.hyp(spark, d), "prediction"))]
+    end = fx.frames(spark, d).agg(F.max("frame_time").alias("end"))
+    ticks = fx.frames(spark, d).select("seq_id").distinct().join(F.broadcast(end)).select("seq_id", (F.col("end") + 2).alias("frame_time"), F.lit("tick").alias("side"))
+    rows = sides[0].unionByName(sides[1]).unionByName(ticks, allowMissingColumns=True)
+
+    def run(stream: DataFrame) -> DataFrame:
+        one = lambda name: stream.filter(F.col("side") == name)
+        return online.events_stream(one("object"), one("prediction"), delay=1.0, ticks=one("tick"))
+
+    return rounded(_replayed(spark, rows, "stream", run).drop("late"))
+
+
 @query(WALK + "SELECT seq_id, CAST(frame_time * 32 AS BIGINT) AS frame_idx, frame_time FROM fx_walk WHERE frame_time IS NOT NULL")
 def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming import online

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.associate import COLUMNS, OUT, PARAMS, Associator
+from ..operators.associate import COLUMNS, OUT, PARAMS, Associator, iou_matrix
 from ..operators.clearmot import fold_matches
 
 
@@ -86,3 +86,43 @@ def matches_stream(pairs: DataFrame, key: str = "seq_id", delay: float | None =
     """MATCH and SWITCH events of gated pairs (key, frame_idx, frame_time, oid, hid, d), and late; the state is each object's
     last partner."""
     return _run(pairs, key, dict, lambda last, rows: fold_matches(rows, last), "frame_idx long, type string, oid long, hid long, d double", delay, idle)
+
+
+BOX = ["x1", "y1", "x2", "y2"]
+EVENTS = "frame_idx long, type string, oid long, hid long, d double"
+
+
+def frame_events(last: dict[int, int], rows: pd.DataFrame, max_distance: float) -> pd.DataFrame:
+    """All events (EVENTS) of whole frames (side, frame_idx, traj_id, box): what fold_matches() matches, a MISS for each other
+    object and an FP for each other prediction. `last` holds each object's last partner, and is carried on."""
+    sides = {s: rows[rows.side == s].sort_values(["frame_idx", "traj_id", *BOX]) for s in ("object", "prediction")}
+    near = [pd.DataFrame(columns=["frame_idx", "oid", "hid", "d"])]
+    predictions = dict(iter(sides["prediction"].groupby("frame_idx")))
+    for frame, objects in sides["object"].groupby("frame_idx"):
+        if frame in predictions:
+            apart = 1 - iou_matrix(objects[BOX].to_numpy(float), predictions[frame][BOX].to_numpy(float))
+            o, h = (apart <= max_distance).nonzero()
+            near.append(pd.DataFrame({"frame_idx": frame, "oid": objects.traj_id.to_numpy()[o], "hid": predictions[frame].traj_id.to_numpy()[h], "d": apart[o, h]}))
+    found = fold_matches(pd.concat(near[1:] or near), last)
+    out = [found]
+    for side, name, kind in (("object", "oid", "MISS"), ("prediction", "hid", "FP")):
+        matched = set(zip(found.frame_idx, found[name], strict=True))
+        rest = sides[side][[k not in matched for k in zip(sides[side].frame_idx, sides[side].traj_id, strict=True)]]
+        out.append(pd.DataFrame({"frame_idx": rest.frame_idx, "type": kind, name: rest.traj_id.astype("Int64")}))
+    return pd.concat([x for x in out if len(x)] or out[:1])[["frame_idx", "type", "oid", "hid", "d"]].astype({"oid": "Int64", "hid": "Int64", "d": float})
+
+
+def events_stream(objects: DataFrame, predictions: DataFrame, key: str = "seq_id", max_distance: float = 0.45, delay: float | None = None, idle: float | None = None, ticks: DataFrame | None = None) -> DataFrame:
+    """The whole event log of two streams (key, frame_idx, frame_time, traj_id, box): key, EVENTS and late, equal to events().
+
+    Both sides share one watermark: a frame is closed, and its MISS and FP are told, when that has passed it, in whatever
+    order objects and predictions came. ticks (key, frame_time) are frames in which nothing was seen or predicted: they move the
+    watermark and have no events, so that the last frames are closed as well. Without a delay a micro-batch must hold
+    whole frames of both sides. Rows without an id or frame have no events.
+    """
+    columns = [key, "frame_idx", "frame_time", "traj_id", *BOX]
+    both = objects.select(*columns, F.lit("object").alias("side")).unionByName(predictions.select(*columns, F.lit("prediction").alias("side")))
+    both = both.filter("traj_id IS NOT NULL AND frame_idx IS NOT NULL")
+    if ticks is not None:
+        both = both.unionByName(ticks.select(key, "frame_time", F.lit("tick").alias("side")), allowMissingColumns=True)
+    return _run(both, key, dict, lambda last, rows: frame_events(last, rows, max_distance), EVENTS, delay, idle)
