@@ -13,6 +13,7 @@ import math
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,9 +108,10 @@ def frame_events(last: dict[int, int], rows: pd.DataFrame, max_distance: float)
     out = [found]
     for side, name, kind in (("object", "oid", "MISS"), ("prediction", "hid", "FP")):
         matched = set(zip(found.frame_idx, found[name], strict=True))
-        rest = sides[side][[k not in matched for k in zip(sides[side].frame_idx, sides[side].traj_id, strict=True)]]
+        free = [k not in matched for k in zip(sides[side].frame_idx, sides[side].traj_id, strict=True)]
+        rest = sides[side][np.array(free, bool)]
         out.append(pd.DataFrame({"frame_idx": rest.frame_idx, "type": kind, name: rest.traj_id.astype("Int64")}))
-    return pd.concat([x for x in out if len(x)] or out[:1])[["frame_idx", "type", "oid", "hid", "d"]].astype({"oid": "Int64", "hid": "Int64", "d": float})
+    return pd.concat([x for x in out if len(x)] or out[:1]).reindex(columns=["frame_idx", "type", "oid", "hid", "d"]).astype({"oid": "Int64", "hid": "Int64", "d": float})
 
 
 def events_stream(objects: DataFrame, predictions: DataFrame, key: str = "seq_id", max_distance: float = 0.45, delay: float | None = None, idle: float | None = None, ticks: DataFrame | None = None) -> DataFrame:
