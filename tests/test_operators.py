@@ -12,7 +12,7 @@ from trajlake.functions import geometry as g
 from trajlake.functions.vectors import running_blend
 from trajlake.operators import associate, clearmot, detection, identity, motion, rollup, sweep, timegrid
 from trajlake.operators import frames as frames_ops
-from trajlake.operators.assignment import assign
+from trajlake.operators.assignment import assign, best_pairs
 from trajlake.sources import annotations
 from trajlake.streaming import online
 
@@ -35,6 +35,30 @@ def test_assignment_equals_brute_force(rows, columns, random):
     assert sum(cost[r, c] for r, c in found) == pytest.approx(best[1])
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 9), st.integers(1, 9), st.floats(0.1, 1), st.sampled_from([1, 3, 1000]), st.integers(0, 2**32))
+def test_auction_equals_the_solver(rows, columns, share, most, seed):
+    r = np.random.default_rng(seed)
+    gain = np.where(r.random((rows, columns)) < share, r.integers(0, most + 1, (rows, columns)), -1)
+    left, right = np.nonzero(gain >= 0)
+    found = best_pairs(left + 100, right * 7, gain[left, right])
+    assert len(set(left[found])) == len(found) == len(set(right[found]))
+    whole = np.maximum(gain, 0)
+    assert gain[left[found], right[found]].sum() == sum(whole[p] for p in assign(-whole.astype(float)))
+
+
+def test_auction_of_a_large_component():
+    """50,000 ids in one sparse component; the choice is proved best by the sum of one that is planted."""
+    r, n = np.random.default_rng(1), 25_000
+    order = r.permutation(n)
+    left = np.concatenate([np.arange(n), np.arange(n), r.integers(0, n, 2 * n)])
+    right = np.concatenate([order, np.roll(order, 1), r.integers(0, n, 2 * n)])
+    gain = np.concatenate([np.full(n, 50), r.integers(0, 50, n), r.integers(0, 50, 2 * n)])  # none is over 50
+    _, keep = np.unique(left * n + right, return_index=True)
+    found = best_pairs(left[keep], right[keep], gain[keep])
+    assert len(found) == n and gain[keep][found].sum() == 50 * n
+
+
 def boxes(spark, rows):
     """(seq, frame, trajectory, left) as boxes of width 10 and height 10."""
     data = [(s, f, t, float(x), 0.0, float(x) + 10, 10.0) for s, f, t, x in rows]

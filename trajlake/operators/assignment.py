@@ -1,4 +1,4 @@
-"""One-to-one assignment of small groups."""
+"""One-to-one assignment: of small groups by a matrix, of large sparse ones by an auction over their pairs."""
 
 from __future__ import annotations
 
@@ -35,3 +35,51 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
         while at != columns:
             owner[at], at = owner[before[at]], before[at]
     return sorted((int(owner[c]), c) for c in range(columns) if owner[c] < rows and finite[owner[c], c])
+
+
+def best_pairs(left: np.ndarray, right: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs (left, right; whole gains of 0 or more) of a one-to-one choice with the largest sum: an auction.
+
+    Memory is that of the pairs. Each end also has a partner of its own without gain, and these partners can have one
+    another where the ends are a pair, so that all can be matched (twice the pairs). Whoever is free bids for its best
+    partner as much as that is better than its second best, all at once; each takes its highest bid. Prices are kept
+    from one size of the least raise to the next smaller one; with the last, less than one unit over all ends, the choice is best.
+    """
+    if not len(gain):
+        return np.zeros(0, np.int64)
+    (_, a), (_, b) = (np.unique(x, return_inverse=True) for x in (left, right))
+    n, m = int(a.max()) + 1, int(b.max()) + 1
+    bidder = np.concatenate([a, np.arange(n), n + np.arange(m), n + b])
+    item = np.concatenate([b, m + np.arange(n), np.arange(m), m + a])
+    value = np.concatenate([gain.astype(np.int64) * (n + m + 1), np.zeros(n + m + len(gain), np.int64)])
+    pair = np.concatenate([np.arange(len(gain)), np.full(n + m + len(gain), -1)])
+    order = np.argsort(bidder, kind="stable")
+    item, value, pair = item[order], value[order], pair[order]
+    first = np.searchsorted(bidder[order], np.arange(n + m + 1))
+    price, least = np.zeros(n + m, np.int64), max(1, int(value.max()) // 4)
+    while True:
+        owner, has = np.full(n + m, -1), np.full(n + m, -1)  # an item's bidder, a bidder's offer
+        free = np.arange(n + m)
+        while len(free):
+            size = first[free + 1] - first[free]
+            begin = np.cumsum(size) - size
+            edge = np.repeat(first[free] - begin, size) + np.arange(size.sum())
+            profit = value[edge] - price[item[edge]]
+            best = np.maximum.reduceat(profit, begin)
+            is_best = profit == np.repeat(best, size)
+            chosen = np.minimum.reduceat(np.where(is_best, np.arange(len(edge)), len(edge)), begin)
+            profit[chosen] = np.iinfo(np.int64).min
+            bid = price[item[edge[chosen]]] + best - np.maximum.reduceat(profit, begin) + least
+            wanted = item[edge[chosen]]
+            ranked = np.lexsort((bid, wanted))
+            top = ranked[np.append(wanted[ranked][1:] != wanted[ranked][:-1], True)]
+            at, winner = wanted[top], free[top]
+            out = owner[at]
+            price[at], owner[at], has[winner] = bid[top], winner, edge[chosen[top]]
+            has[out[out >= 0]] = -1
+            lost = np.ones(len(free), bool)
+            lost[top] = False
+            free = np.concatenate([free[lost], out[out >= 0]])
+        if least == 1:
+            return np.sort(pair[has[:n]][pair[has[:n]] >= 0])
+        least = max(1, least // 5)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .assignment import assign
+from .assignment import best_pairs
 from .components import pair_components
 
 
@@ -17,16 +17,16 @@ def shared_frames(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 def identity_matches(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """idtp by sequence: in each component the one-to-one choice with the largest sum of shared frames. A component in
-    which each prediction meets one object, or each object one prediction, is a plain maximum; others are assigned in
-    pandas, each a group of its own."""
+    which each prediction meets one object, or each object one prediction, is a plain maximum; others are assigned by an
+    auction over their pairs, each component a group of its own: a row for each pair of ids that meets, no matrix."""
     shared = shared_frames(pairs, keys).join(pair_components(pairs, keys), [*keys, "oid", "hid"])
     sizes = shared.groupBy(*keys, "component").agg(F.countDistinct("oid").alias("objects"), F.countDistinct("hid").alias("predictions"))
     joined = shared.join(sizes, [*keys, "component"])
     plain = joined.filter("objects = 1 OR predictions = 1").groupBy(*keys, "component").agg(F.max("shared").alias("idtp"))
 
     def solve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        table = group.pivot(index="oid", columns="hid", values="shared").fillna(0).to_numpy()
-        most = sum(table[r, c] for r, c in assign(-table + 0.0))
+        shared = group.shared.to_numpy()
+        most = shared[best_pairs(group.oid.to_numpy(), group.hid.to_numpy(), shared)].sum()
         return pd.DataFrame([[*key, int(most)]], columns=[*keys, "component", "idtp"])
 
     kinds = dict(pairs.dtypes)

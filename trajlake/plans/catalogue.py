@@ -331,6 +331,18 @@ def idf1(spark: SparkSession, d: str) -> DataFrame:
     return identity.identity_matches(pairs.iou_pairs(fx.gt(spark, d), fx.hyp(spark, d), FRAME), SEQ)
 
 
+@query(""", fx_met AS (SELECT seq_id, ln AS oid, 100 + CASE WHEN (ok*7+ln*3)%5 < 2 THEN xor(ln, 1) ELSE ln END AS hid, count(*) AS n FROM fx_gt GROUP BY ALL),
+fx_cell AS (SELECT seq_id, oid // 2 AS grp, oid % 2 AS o, hid % 2 AS h, n FROM fx_met),
+fx_choice AS (SELECT seq_id, grp, greatest(coalesce(sum(n) FILTER (o = h), 0), coalesce(sum(n) FILTER (o <> h), 0)) AS best FROM fx_cell GROUP BY ALL)
+SELECT seq_id, CAST(sum(best) AS BIGINT) AS idtp FROM fx_choice GROUP BY seq_id""")
+def identity_crossed(spark: SparkSession, d: str) -> DataFrame:
+    """Identities of objects whose predictions change places with a neighbour's: components of two objects and two predictions."""
+    ok, ln = F.col("ok"), F.col("ln")
+    hid = 100 + F.when((ok * 7 + ln * 3) % 5 < 2, ln.bitwiseXOR(F.lit(1).cast("long"))).otherwise(ln)
+    met = fx.gt(spark, d).select(*FRAME, F.col("traj_id").alias("oid"), hid.alias("hid"), F.lit(0.0).alias("d"))
+    return identity.identity_matches(met, SEQ)
+
+
 @query("SELECT seq_id, frame_idx, oid, type, CAST(sum(CASE WHEN type='MISS' THEN 1 ELSE 0 END) OVER (PARTITION BY seq_id, oid, island ORDER BY frame_idx) AS BIGINT) AS missed_in_row FROM (SELECT *, sum(CASE WHEN type='MISS' THEN 0 ELSE 1 END) OVER (PARTITION BY seq_id, oid ORDER BY frame_idx) AS island FROM fx_log WHERE oid IS NOT NULL)")
 def consecutive_misses(spark: SparkSession, d: str) -> DataFrame:
     return fr.miss_runs(log(spark, d), SEQ).select(*FRAME, "oid", "type", "missed_in_row")
