@@ -52,6 +52,7 @@ def test_collocations_equal_brute_force(spark, monkeypatch, heavy, together, mos
     for name, value in (("LEAST_HEAVY", heavy), ("TOGETHER", together), ("MOST_HELD", most)):  # all buckets are split, or some
         monkeypatch.setattr(phrases, name, value)
     rows = sentences(3, 120)
+    monkeypatch.setattr(phrases, "BUCKET", 1000)
     assert len(brute(rows)) > 50
     assert found(spark, rows) == brute(rows)
 
@@ -69,6 +70,8 @@ def test_parts_equal_plain_counts():
         keys[r.random(n) < 0.2, 2] = -1
         keys[r.random(n) < 0.1, 1:] = -1
         weights = r.integers(1, 4, n)
+        ones, _ = phrases.equal_parts(keys, None, least)
+        assert sorted(map(tuple, ones.tolist())) == sorted(map(tuple, phrases.equal_parts(keys, np.ones(n), least)[0].tolist()))
         inner, whole = phrases.equal_parts(keys, weights, least)
         plain, full = Counter(), Counter()
         for key, w in zip(keys.tolist(), weights.tolist(), strict=True):

@@ -6,10 +6,10 @@ part goes on with the next word, and its size is the count of the words so far.
 numpy. Equal suffixes leave the task as one, with their number.
 
 They are then dealt to buckets by their leading word, by the two leading words where the first is frequent in the whole
-corpus, and by all words where both are (`split`); so no bucket grows with one word or pair. Each bucket is sorted in the same way,
-and a part whose numbers add up to less than `least` is abandoned at once with all that it would be split into. Counts of
-buckets are whole, but for the shorter phrases of split suffixes, whose parts are added up. Words are counted before, in
-a pass of their own, which tells the frequent ones: less than 2**17 of them, whose hashes are sent to all tasks.
+corpus; where both are, each beginning of two words or more goes by all its words (`split`). So no bucket grows with one
+word or pair, and every count is whole in its bucket. Each bucket is sorted in the same way, and a part whose numbers add up to less
+than `least` is abandoned at once with all that it would be split into. Words are counted before, in a pass of their own,
+which tells the frequent ones: less than 2**17 of them, whose hashes are sent to all tasks.
 """
 
 from __future__ import annotations
@@ -31,47 +31,47 @@ BREAK, GAP = np.zeros(256, bool), np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 GAP[[0x20, 0x09, *np.flatnonzero(BREAK)]] = True
 #: Bytes of text that are sorted together, suffixes in a bucket, and a bucket's suffixes from which equal ones are added up.
-TOGETHER, BUCKET, MOST_HELD = 8 << 20, 1 << 18, 1 << 20
+TOGETHER, BUCKET, MOST_HELD = 4 << 20, 1 << 18, 1 << 20
 #: A word with less occurrences is never frequent; and at most one in 2**HEAVY_BITS occurrences makes a word so.
 LEAST_HEAVY, HEAVY_BITS = 4096, 17
 #: Parts that the rows of one language are ranked in first.
 SALTS = 64
 
 
-def equal_parts(keys: np.ndarray, weights: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey three-way quicksort of pointers (rows of keys: word numbers, -1 behind the last word).
+def equal_parts(keys: np.ndarray, weights: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey three-way quicksort of pointers (rows of keys: word numbers, -1 behind the last word; without weights, 1 each).
 
     Gives inner and whole: rows (pointer, words, weight), one for each set of pointers with the same first words and for
     each set of the same whole suffix. Sets of less weight than `least` are abandoned. Parts aren't put in order.
     """
     inner, whole = [np.zeros((0, 3), np.int64)], [np.zeros((0, 3), np.int64)]
-    work, sizes, depths = np.arange(len(keys)), np.array([len(keys)]), np.array([0])
-    while len(work):
-        segment = np.repeat(np.arange(len(sizes)), sizes)
-        value = keys[work, depths[segment]]
-        first = np.cumsum(sizes) - sizes
-        a, b, c = value[first], value[first + sizes // 2], value[first + sizes - 1]
-        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
-        above = pivot[segment]
-        rest = []
-        for side, chosen in enumerate((value < above, value == above, value > above)):
-            some, where = work[chosen], segment[chosen]
-            count = np.bincount(where, minlength=len(sizes))
-            total = np.bincount(where, weights[some], len(sizes)).astype(np.int64)
-            stays = (count > 0) & (total >= least)
-            depth = depths
-            if side == 1:
-                at = np.flatnonzero(stays)
-                lead = some[(np.cumsum(count) - count)[at]]
-                ended = pivot[at] < 0
-                last = ended | (depths[at] == keys.shape[1] - 1)
-                part = np.stack([lead, depths[at] + ~ended, total[at]], axis=1)
-                inner.append(part[~ended])
-                whole.append(part[last])
-                stays[at[last]] = False
-                depth = depths + 1
-            rest.append((some[stays[where]], count[stays], depth[stays]))
-        work, sizes, depths = (np.concatenate(x) for x in zip(*rest, strict=True))
+    work, sizes = np.arange(len(keys), dtype=np.int32), np.array([len(keys)])
+    for depth in range(keys.shape[1]):
+        value, deeper = keys[:, depth][work], [(work[:0], sizes[:0])]
+        while len(work):
+            first = np.cumsum(sizes) - sizes
+            a, b, c = value[first], value[first + sizes // 2], value[first + sizes - 1]
+            pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
+            above, segment = np.repeat(pivot, sizes), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            rest = []
+            for chosen in (value < above, value == above, value > above):
+                at = np.flatnonzero(chosen)
+                where = segment[at]
+                count = np.bincount(where, minlength=len(sizes))
+                total = count if weights is None else np.bincount(where, weights[work[at]], len(sizes)).astype(np.int64)
+                stays = (count > 0) & (total >= least)
+                if len(rest) == 1:
+                    part = np.flatnonzero(stays)
+                    ended = pivot[part] < 0
+                    found = np.stack([work[at[(np.cumsum(count) - count)[part]]], depth + ~ended, total[part]], axis=1)
+                    inner.append(found[~ended])
+                    whole.append(found[ended | (depth == keys.shape[1] - 1)])
+                    stays[part[ended]] = False
+                at = at[stays[where]]
+                rest.append((work[at], value[at], count[stays]))
+            deeper.append(rest.pop(1)[::2])
+            work, value, sizes = (np.concatenate(x) for x in zip(*rest, strict=True))
+        work, sizes = (np.concatenate(x) for x in zip(*deeper, strict=True))
     return np.concatenate(inner), np.concatenate(whole)
 
 
@@ -147,8 +147,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def routed(texts: DataFrame, longest: int, n_buckets: int, heavy) -> DataFrame:
-    """bucket, lang, split, phrases (lines) and counts (longs) of the suffixes with two words or more. heavy: a broadcast, the
-    ascending hashes of frequent words."""
+    """bucket, lang, split, phrases (lines) and counts (longs) of the suffixes with two words or more; of those that begin with
+    two frequent words (split) each beginning is a phrase of its own. heavy: a broadcast, the ascending hashes of frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = heavy.value
@@ -158,16 +158,16 @@ def routed(texts: DataFrame, longest: int, n_buckets: int, heavy) -> DataFrame:
                 continue
             keys = words.suffixes(longest)
             some = np.flatnonzero(keys[:, 1] >= 0)
-            _, found = equal_parts(keys[some], np.ones(len(some)), 1)
-            pointer, length, count = some[found[:, 0]], found[:, 1], found[:, 2]
+            inner, whole = equal_parts(keys[some], None, 1)
             hashes = vocabulary_hashes(words.vocabulary, lang)
             frequent = np.isin(hashes, often)
-            key = keys[pointer]
-            first, second = frequent[key[:, 0]], frequent[key[:, 1]]
-            split = first & second
+            hot = frequent[keys[some, 0]] & frequent[keys[some, 1]]
+            found = np.concatenate([whole[~hot[whole[:, 0]]], inner[hot[inner[:, 0]] & (inner[:, 1] > 1)]])
+            pointer, length, count = some[found[:, 0]], found[:, 1], found[:, 2]
+            key, split = keys[pointer], hot[found[:, 0]]
             route = hashes[key[:, 0]]
             for d in range(1, longest):
-                more = (first if d == 1 else split) & (key[:, d] >= 0)
+                more = split & (d < length) if d > 1 else frequent[key[:, 0]]
                 route = np.where(more, joined(route, hashes[key[:, d]], 24), route)
             bucket = (mix(route, 25) % np.uint64(n_buckets)).astype(np.int64)
             order = np.lexsort((split, bucket))
@@ -217,14 +217,12 @@ class Held:
         return [b" ".join([names[k] for k in row[:n]]) for row, n in zip(keys[found[:, 0]].tolist(), found[:, 1].tolist(), strict=True)]
 
     def counted(self, lang: str, split: bool, least: int) -> pa.RecordBatch:
-        """Phrases of two words or more with `least` occurrences; of split suffixes the shorter ones all, as parts."""
+        """Phrases of two words or more with `least` occurrences: all beginnings of suffixes, or what is split by itself."""
         keys, vocabulary = self._keys()
-        inner, _ = equal_parts(keys, np.concatenate(self.counts), 1 if split else least)
-        part = (inner[:, 1] < self.longest) & split
-        some = (inner[:, 1] > 1) & (part | (inner[:, 2] >= least))
-        inner, part = inner[some], part[some]
-        phrases = pa.array(self._named(keys, vocabulary, inner), pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(inner), pa.string()), phrases, pa.array(inner[:, 1]), pa.array(inner[:, 2]), pa.array(part)], names=["lang", "phrase", "words", "a", "part"])
+        inner, whole = equal_parts(keys, np.concatenate(self.counts), least)
+        found = whole if split else inner[inner[:, 1] > 1]
+        phrases = pa.array(self._named(keys, vocabulary, found), pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), phrases, pa.array(found[:, 1]), pa.array(found[:, 2])], names=["lang", "phrase", "words", "a"])
 
 
 def candidates(suffixes: DataFrame, parts: int, longest: int, least: int) -> DataFrame:
@@ -242,10 +240,8 @@ def candidates(suffixes: DataFrame, parts: int, longest: int, least: int) -> Dat
         if now is not None:
             yield held.counted(*now[1:], least)
 
-    dealt = suffixes.repartition(parts, "bucket").sortWithinPartitions("bucket", "lang", "split")
-    found = kept(map_batches(dealt, run, "lang string, phrase string, words long, a long, part boolean"), "phrases")
-    added = found.filter("part").groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
-    return found.filter("NOT part").drop("part").unionByName(added)
+    dealt = suffixes.repartitionById(parts, (F.col("bucket") % parts).cast("int")).sortWithinPartitions("bucket", "lang", "split")
+    return map_batches(dealt, run, "lang string, phrase string, words long, a long")
 
 
 def score(a: str, left: str, right: str) -> Column:
@@ -270,7 +266,7 @@ def collocations(documents: DataFrame, text: str = "text", lang: str = "lang", l
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     n = totals.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // (BUCKET * 16))
-    n_buckets = max(8 * parts, n // BUCKET)
+    n_buckets = max(1, n // BUCKET)
     often = words.filter(F.col("f") > max(n >> HEAVY_BITS, n // n_buckets // 4, LEAST_HEAVY)).select("hash").collect()  # less than 2**HEAVY_BITS
     heavy = spark.sparkContext.broadcast(np.sort(np.array([r.hash for r in often], np.int64).view(np.uint64)))
     found = kept(candidates(routed(texts, longest, n_buckets, heavy), parts, longest, least), "candidates")
