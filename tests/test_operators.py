@@ -396,6 +396,28 @@ def test_parts_go_along_with_trajectories(spark):
     assert none == 3 and plugged.select("traj_id").distinct().count() == 1
 
 
+def test_measures_by_class(spark):
+    """Two runs: one with enough detections and objects of one class only, one with too few detections."""
+    r = np.random.default_rng(7)
+    hits = [(0, 0, k, float(c), int(t)) for k, (c, t) in enumerate(zip(r.random(200) ** 2, r.random(200) < 0.6, strict=True))]
+    hits += [(0, 1, 900, 0.5, 1), (0, 7, 901, 0.9, 0), *((1, 0, k, 0.5, 1) for k in range(5))]
+    matched = spark.createDataFrame(hits, "run long, class_id int, det_id long, conf double, tp int")
+    truth = spark.createDataFrame([(0, 0)] * 150 + [(0, 1)] * 4 + [(1, 0)] * 20, "run long, class_id int")
+    found = {(x.run, x.class_name): x for x in detection.class_measures(matched, truth, ["run"], ["person", "face"], ["det_id"]).collect()}
+    assert {k: x.n_objects for k, x in found.items()} == {(0, "person"): 150, (0, "face"): 4, (1, "person"): 20, (1, "face"): 0}
+    assert all(x.ap is None and x.p_th25 is None for k, x in found.items() if k != (0, "person"))
+    own, x = [h for h in hits if h[:2] == (0, 0)], found[0, "person"]
+    for t in (25, 30):
+        some = [h for h in own if h[3] * 999 >= t * 10]
+        assert x[f"p_th{t}"] == pytest.approx(sum(h[4] for h in some) / len(some)) and x[f"r_th{t}"] == pytest.approx(sum(h[4] for h in some) / 150)
+    n = spark.createDataFrame([(0, 150), (2, 3)], "run long, n_objects long")
+    axis = {(a.run, a.k): (a.precision, a.recall) for a in detection.confidence_axis(matched.filter("class_id = 0"), n, ["run"], 50).collect()}
+    assert len(axis) == 100 and axis[2, 0] == (1.0, 0.0)
+    for k in range(50):
+        some = [h for h in own if h[3] * 49 >= k]
+        assert axis[0, k] == (pytest.approx(sum(h[4] for h in some) / len(some)) if some else 1.0, pytest.approx(sum(h[4] for h in some) / 150))
+
+
 # --- streams
 
 

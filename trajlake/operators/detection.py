@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from . import pieces
 from .tables import kept
+from .timegrid import objects_at
 
 
 def greedy_matches(objects: DataFrame, detections: DataFrame, keys: list[str], least_iou: float = 0.5) -> DataFrame:
@@ -57,3 +58,49 @@ def average_precision(curve: DataFrame, by: list[str], ties: list[str], least_ob
     out = parts.groupBy(*by).agg(F.sum("part").alias("ap"), (F.sum("tp") / F.count("*")).alias("p"), F.max("recall").alias("r"), F.first("n_objects").alias("n_objects"), *(c.alias(n) for n, c in at.items()))
     enough = F.col("n_objects") >= least_objects
     return out.select(*by, "n_objects", *(F.when(enough, F.col(c)).alias(c) for c in ["ap", "p", "r", *at]))
+
+
+def confidence_axis(matched: DataFrame, n_objects: DataFrame, by: list[str], points: int = 1000) -> DataFrame:
+    """The curve on an even axis of confidences: by, k, least_conf (k / (points - 1)), and precision and recall of the detections that
+    have so much or more; 1 and 0 where there are none. Each `by` of n_objects has all points.
+
+    A detection counts for all points up to its confidence, so counts by its last point and their sums from the end are
+    enough: no list of detections is sorted, and no window is longer than the axis.
+    """
+    last = F.greatest(F.lit(0), F.least(F.lit(points - 1), F.floor(F.col("conf") * (points - 1)))).cast("int")
+    counted = matched.groupBy(*by, last.alias("k")).agg(F.sum("tp").alias("hits"), F.count("*").alias("n"))
+    axis = n_objects.select(*by, "n_objects", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")).join(counted, [*by, "k"], "left")
+    from_here = Window.partitionBy(*by).orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    summed = axis.withColumns({c: F.coalesce(F.sum(c).over(from_here), F.lit(0)) for c in ("hits", "n")})
+    precision, recall = F.coalesce(F.try_divide("hits", "n"), F.lit(1.0)), F.coalesce(F.try_divide("hits", "n_objects"), F.lit(0.0))
+    return summed.select(*by, "k", (F.col("k") / (points - 1)).alias("least_conf"), precision.alias("precision"), recall.alias("recall"))
+
+
+def match_at_detections(frames: DataFrame, objects: DataFrame, processed: DataFrame, detections: DataFrame, keys: list[str], least_iou: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Detections (keys, t, det_id, class_id, conf, box) with tp and gt_id, and the truth that they were held against: objects
+    interpolated to the times (keys, t) of `processed`, the frames that were looked at, with or without detections."""
+    truth = kept(objects_at(processed, frames, objects, keys), "truth")
+    return greedy_matches(truth, detections, [*keys, "t"], least_iou), truth
+
+
+def class_measures(matched: DataFrame, truth: DataFrame, by: list[str], classes: list[str], ties: list[str], least_objects: int = 5, least_detections: int = 6, points: int = 1000, thresholds: tuple[float, ...] = (0.25, 0.3)) -> DataFrame:
+    """A row for each `by` (a run) of the truth and each class: class_name, n_objects, ap, p and r of all detections, and p_thXX
+    and r_thXX, the axis at int(points * threshold).
+
+    Rates are null for classes with less than least_objects true objects, and for runs with less than least_detections
+    detections. Detections of other classes than those named play no part.
+    """
+    whole = [*by, "class_id"]
+    named = lambda df: df.filter(F.col("class_id").between(0, len(classes) - 1))
+    matched, truth = kept(named(matched), "matched"), named(truth)
+    every = truth.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(len(classes) - 1))).alias("class_id"))
+    n = every.join(truth.groupBy(*whole).agg(F.count("*").alias("n_objects")), whole, "left").fillna(0, ["n_objects"])
+    enough = n.join(matched.groupBy(*by).agg(F.count("*").alias("run_detections")), by, "left")
+    out = average_precision(precision_recall(matched, n, whole, ties), whole, ties, least_objects, ()).drop("n_objects")
+    axis = confidence_axis(matched, n, whole, points)
+    at = {f"{c}_th{round(t * 100)}": F.max(F.when(F.col("k") == int(points * t), F.col(name))) for t in thresholds for c, name in (("p", "precision"), ("r", "recall"))}
+    picked = axis.groupBy(*whole).agg(*(c.alias(k) for k, c in at.items()))
+    joined = enough.join(out, whole, "left").join(picked, whole)
+    told = (F.col("n_objects") >= least_objects) & (F.col("run_detections") >= least_detections)
+    rates = {**{c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("ap", "p", "r")}, **{k: F.col(k) for k in at}}
+    return joined.select(*by, F.get(F.array(*map(F.lit, classes)), F.col("class_id")).alias("class_name"), "n_objects", *(F.when(told, c).alias(k) for k, c in rates.items()))

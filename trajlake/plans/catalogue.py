@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -212,7 +212,7 @@ def bracket_frames(spark: SparkSession, d: str) -> DataFrame:
     return timegrid.bracket(grid(spark, d), fx.half_frames(spark, d), SEQ).withColumn("share", F.round("share", 6))
 
 
-@query("--plain\n" + HALF.rstrip() + BRACKET.rstrip() + """,
+INTERPOLATED = """,
 fx_both AS (
   SELECT coalesce(a.seq_id, b.seq_id) AS seq_id, coalesce(a.t, b.t) AS t, coalesce(a.traj_id, b.traj_id) AS traj_id, coalesce(a.share, b.share) AS f, coalesce(a.left_time, b.left_time) AS lt, coalesce(a.right_time, b.right_time) AS rt,
          a.traj_id IS NOT NULL AS l, b.traj_id IS NOT NULL AS r, a.class_id AS ac, b.class_id AS bc, a.conf AS ak, b.conf AS bk, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2
@@ -220,6 +220,10 @@ fx_both AS (
   FULL JOIN (SELECT k.*, h.traj_id, class_id, conf, x1, y1, x2, y2 FROM fx_bracket k JOIN fx_half h ON k.seq_id=h.seq_id AND k.right_idx=h.frame_idx) b ON a.seq_id=b.seq_id AND a.t=b.t AND a.traj_id=b.traj_id),
 fx_source AS (SELECT *, CASE WHEN f > 0.99 THEN CASE WHEN r THEN 'right' END WHEN f < 0.01 THEN CASE WHEN l THEN 'left' END WHEN l AND r THEN 'both' WHEN l AND f <= 0.5 AND t - lt < 0.1 THEN 'left'
   WHEN r AND NOT (f <= 0.5 AND t - lt < 0.1) AND f >= 0.5 AND rt - t < 0.1 THEN 'right' END AS s FROM fx_both)
+"""
+
+
+@query("--plain\n" + HALF.rstrip() + BRACKET.rstrip() + INTERPOLATED + """
 SELECT seq_id, t, traj_id, CASE WHEN s='right' THEN bc ELSE ac END AS class_id, round(CASE s WHEN 'both' THEN ak+(bk-ak)*f WHEN 'left' THEN ak ELSE bk END, 6) AS conf, round(CASE s WHEN 'both' THEN ax1+(bx1-ax1)*f WHEN 'left' THEN ax1 ELSE bx1 END, 4) AS x1,
   round(CASE s WHEN 'both' THEN ay1+(by1-ay1)*f WHEN 'left' THEN ay1 ELSE by1 END, 4) AS y1, round(CASE s WHEN 'both' THEN ax2+(bx2-ax2)*f WHEN 'left' THEN ax2 ELSE bx2 END, 4) AS x2, round(CASE s WHEN 'both' THEN ay2+(by2-ay2)*f WHEN 'left' THEN ay2 ELSE by2 END, 4) AS y2 FROM fx_source WHERE s IS NOT NULL""")
 def interpolate_objects(spark: SparkSession, d: str) -> DataFrame:
@@ -488,6 +492,54 @@ def det_ap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(detection.average_precision(detection.precision_recall(hits, n, SEQ, ties), SEQ, ties))
 
 
+TWO_CLASSES = "--plain\n" + fx.SQL.rstrip() + """,
+fx_half_frames AS (SELECT * FROM fx_frames WHERE frame_idx % 2 = 0), fx_grid AS (SELECT seq_id, frame_time AS t FROM fx_frames WHERE frame_idx % 2 = 1),
+fx_true AS (SELECT seq_id, frame_idx, traj_id, traj_id % 2 AS class_id, conf, x1, y1, x2, y2 FROM fx_gt WHERE frame_idx % 2 = 0 AND frame_idx % 10 <> 7)""" + BRACKET.rstrip() + INTERPOLATED.replace("fx_half h", "fx_true h").rstrip() + """,
+fx_truth AS (SELECT seq_id % 2 AS run, seq_id, t, CASE WHEN s='right' THEN bc ELSE ac END AS class_id, CASE s WHEN 'both' THEN ax1+(bx1-ax1)*f WHEN 'left' THEN ax1 ELSE bx1 END AS x1, CASE s WHEN 'both' THEN ay1+(by1-ay1)*f WHEN 'left' THEN ay1 ELSE by1 END AS y1,
+  CASE s WHEN 'both' THEN ax2+(bx2-ax2)*f WHEN 'left' THEN ax2 ELSE bx2 END AS x2, CASE s WHEN 'both' THEN ay2+(by2-ay2)*f WHEN 'left' THEN ay2 ELSE by2 END AS y2 FROM fx_source WHERE s IS NOT NULL),
+fx_d AS (SELECT seq_id % 2 AS run, seq_id, frame_time AS t, traj_id % 2 AS class_id, conf, x1, y1, x2, y2, row_number() OVER (PARTITION BY seq_id, frame_idx ORDER BY conf DESC, x1, y1) AS det_id FROM fx_hyp WHERE frame_idx % 2 = 1),
+fx_over AS (SELECT DISTINCT d.seq_id, d.t, d.det_id FROM fx_d d JOIN fx_truth g ON d.seq_id=g.seq_id AND d.t=g.t AND d.class_id=g.class_id AND greatest(0, least(d.x2,g.x2)-greatest(d.x1,g.x1))*greatest(0, least(d.y2,g.y2)-greatest(d.y1,g.y1))
+  > 0.5*((d.x2-d.x1)*(d.y2-d.y1)+(g.x2-g.x1)*(g.y2-g.y1)-greatest(0, least(d.x2,g.x2)-greatest(d.x1,g.x1))*greatest(0, least(d.y2,g.y2)-greatest(d.y1,g.y1)))),
+fx_hits AS (SELECT d.*, CASE WHEN o.det_id IS NULL THEN 0 ELSE 1 END AS tp FROM fx_d d LEFT JOIN fx_over o ON o.seq_id=d.seq_id AND o.t=d.t AND o.det_id=d.det_id),
+fx_n AS (SELECT run, class_id, count(*) AS n_objects FROM fx_truth GROUP BY ALL)
+"""
+
+
+def two_classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Detections of odd frames against truth interpolated from even ones; trajectories with even numbers are persons."""
+    parity = (F.col("traj_id") % 2).cast("int")
+    order = Window.partitionBy(*FRAME).orderBy(F.col("conf").desc(), "x1", "y1")
+    odd = F.col("frame_idx") % 2 == 1
+    detections = fx.hyp(spark, d).filter(odd).select("seq_id", F.col("frame_time").alias("t"), F.row_number().over(order).cast("long").alias("det_id"), parity.alias("class_id"), "conf", *BOX)
+    objects = fx.gt(spark, d).filter((F.col("frame_idx") % 2 == 0) & (F.col("frame_idx") % 10 != 7)).withColumn("class_id", parity)
+    processed = fx.frames(spark, d).filter(odd).select("seq_id", F.col("frame_time").alias("t"))
+    matched, truth = detection.match_at_detections(fx.half_frames(spark, d), objects, processed, detections, SEQ)
+    run = (F.col("seq_id") % 2).alias("run")
+    return matched.select("*", run), truth.select("*", run)
+
+
+@query(TWO_CLASSES.rstrip() + """,
+fx_curve AS (SELECT h.*, n_objects, sum(tp) OVER w AS tps, count(*) OVER w AS n FROM fx_hits h JOIN fx_n USING (run, class_id) WINDOW w AS (PARTITION BY run, class_id ORDER BY conf DESC, seq_id, t, det_id ROWS UNBOUNDED PRECEDING)),
+fx_parts AS (SELECT *, max(tps/n) OVER (PARTITION BY run, class_id ORDER BY conf DESC, seq_id, t, det_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * tp / n_objects AS part FROM fx_curve)
+SELECT run, CASE class_id WHEN 0 THEN 'person' ELSE 'face' END AS class_name, any_value(n_objects) AS n_objects, round(sum(part), 6) AS ap, round(sum(tp)/count(*), 6) AS p, round(sum(tp)/any_value(n_objects), 6) AS r,
+ round(sum(tp) FILTER (conf*999>=250)/count(*) FILTER (conf*999>=250), 6) AS p_th25, round(sum(tp) FILTER (conf*999>=250)/any_value(n_objects), 6) AS r_th25,
+ round(sum(tp) FILTER (conf*999>=300)/count(*) FILTER (conf*999>=300), 6) AS p_th30, round(sum(tp) FILTER (conf*999>=300)/any_value(n_objects), 6) AS r_th30 FROM fx_parts GROUP BY run, class_id""")
+def det_ap_by_class(spark: SparkSession, d: str) -> DataFrame:
+    matched, truth = two_classes(spark, d)
+    return rounded(detection.class_measures(matched, truth, ["run"], ["person", "face"], ["seq_id", "t", "det_id"]))
+
+
+@query(TWO_CLASSES.rstrip() + """,
+fx_axis AS (SELECT run, class_id, n_objects, k FROM fx_n, range(1000) r(k)),
+fx_last AS (SELECT run, class_id, CAST(floor(conf*999) AS BIGINT) AS k, sum(tp) AS hits, count(*) AS n FROM fx_hits GROUP BY ALL),
+fx_sums AS (SELECT a.run, a.class_id, a.k, n_objects, coalesce(sum(hits) OVER w, 0) AS hits, coalesce(sum(n) OVER w, 0) AS n FROM fx_axis a LEFT JOIN fx_last l USING (run, class_id, k) WINDOW w AS (PARTITION BY a.run, a.class_id ORDER BY a.k DESC ROWS UNBOUNDED PRECEDING))
+SELECT run, CAST(class_id AS INT) AS class_id, CAST(k AS INT) AS k, round(k/999, 6) AS least_conf, round(CASE WHEN n = 0 THEN 1 ELSE hits/n END, 6) AS precision, round(hits/n_objects, 6) AS recall FROM fx_sums""")
+def det_confidence_axis(spark: SparkSession, d: str) -> DataFrame:
+    matched, truth = two_classes(spark, d)
+    n = truth.groupBy("run", "class_id").agg(F.count("*").alias("n_objects"))
+    return rounded(detection.confidence_axis(matched, n, ["run", "class_id"]))
+
+
 DIMS = "--plain\nWITH e AS (SELECT vec_id, label, embedding FROM embeddings), x AS (SELECT label, unnest(range(1, len(embedding)+1)) AS dim, unnest(embedding) AS v FROM e), m AS (SELECT label, dim, avg(v::DOUBLE) AS v FROM x GROUP BY ALL), means AS (SELECT label, list(v ORDER BY dim) AS mean FROM m GROUP BY label)\n"
 
 
