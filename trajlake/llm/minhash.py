@@ -117,22 +117,44 @@ def sketch(documents: DataFrame, key: str, text: str, k: int) -> DataFrame:
     return map_batches(rows, run, "doc_id long, text_hash long, n long, d1 long, d2 long, bands array<long>")
 
 
-def full_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str, k: int, total: int) -> DataFrame:
-    """rep, n and the set (ascending 64-bit hashes) of the classes in `wanted` (rep, d1, d2, size), read again from the member
-    with the class's first_id and text_hash."""
+def marks(wanted: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits: the places of the ids and text hashes of `wanted`."""
+    place = wanted.select(place_of(F.col("first_id"), F.col("text_hash"), bits).alias("place"))
+    segments = place.groupBy(F.shiftright("place", 15).alias("segment")).agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32767))).alias("bits"))
+    out = np.zeros((1 << bits - 15, 4096), np.uint8)
+    for row in segments.toLocalIterator():  # 2**bits at most
+        out[row.segment] = np.frombuffer(row.bits, np.uint8)
+    return out.ravel()
+
+
+def place_of(doc_id: Column, text_hash: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id, text_hash), F.lit(1 << bits))
+
+
+def full_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str, k: int, most_bits: int = 28) -> DataFrame:
+    """rep, n and the set (ascending 64-bit hashes) of the classes in `wanted` (rep, d1, d2, first_id, text_hash), made again
+    from the member with that id and hash.
+
+    Only rows that a bitmap of these (32 MB at most; a full one costs work, not links) lets pass are made into sets, and no
+    text is shuffled.
+    """
+    bits = min(most_bits, max(18, (16 * wanted.count()).bit_length()))
+    sent = documents.sparkSession.sparkContext.broadcast(marks(wanted, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in pieces(batch.column("text")):
+            place = np.asarray(batch.column("place"))
+            batch = batch.filter(pa.array((sent.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+            for _, _, data, offsets in pieces(batch.column("text")):
                 hashes, second, at = shingle_sets(data, offsets, k)
                 d1, d2 = set_digest(hashes, second, at)
-                same = np.flatnonzero((d1 == np.asarray(batch.column("d1"))[lo:hi]) & (d2 == np.asarray(batch.column("d2"))[lo:hi]))
-                sets = pa.array([hashes[at[i] : at[i + 1]].tobytes() for i in same], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column("rep"))[lo:hi][same]), pa.array(np.diff(at)[same]), sets], names=["rep", "n", "hashes"])
+                sets = pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(np.diff(at)), sets], names=["d1", "d2", "n", "hashes"])
 
-    rows = documents.select(F.col(key).cast("long").alias("first_id"), text_hash(text).alias("text_hash"), F.col(text).alias("text"))
-    rows = join_groups(rows, wanted.select("rep", "d1", "d2", "first_id", "text_hash", "size"), ["first_id", "text_hash"], "size", total)
-    return map_batches(rows.select("rep", "d1", "d2", "text"), run, "rep long, n long, hashes binary")
+    rows = documents.select(F.col(key).cast("long").alias("doc_id"), text_hash(text).alias("text_hash"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
+    rows = rows.select(place_of(F.col("doc_id"), F.col("text_hash"), bits).alias("place"), "text")
+    found = map_batches(rows, run, "d1 long, d2 long, n long, hashes binary").dropDuplicates(["d1", "d2"])
+    return found.join(wanted.select("rep", "d1", "d2"), ["d1", "d2"]).select("rep", "n", "hashes")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -306,7 +328,7 @@ def judged(documents: DataFrame, key: str, text: str, k: int, percent: int) -> D
     pairs = kept(small_pairs(buckets, reps, percent).unionByName(star_pairs(members, n_members, percent)).distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(members.select("rep")).distinct()
     wanted = kept(reps.join(ends, "rep", "left_semi"), "wanted")
-    sets = kept(full_sets(documents, wanted, key, text, k, total).dropDuplicates(["rep"]), "sets")
+    sets = kept(full_sets(documents, wanted, key, text, k), "sets")
     links = kept(confirm(pairs, sets, percent), "links")
     labels = kept(components(links), "labels")
     more = kept(open_links(members, labels, sets, n_members, percent), "links")
