@@ -179,7 +179,7 @@ def repeated_ranges(documents: DataFrame, text: str, window: int, gram: int, mos
     asked = map_batches(documents.select(F.coalesce(F.col("key"), F.lit(-1)).alias("key"), "text_hash", text), ask, "h1 long, h2 long, key long, text_hash long, place long")
     counted = asked.withColumn("total", F.sum(F.when(F.col("place") < 0, 2).otherwise(1)).over(Window.partitionBy("h1", "h2"))).filter("total >= 2 AND place <> -1")
     place = F.when(F.col("place") < 0, -2 - F.col("place")).otherwise(F.col("place"))
-    return counted.groupBy("key", "text_hash").agg(F.collect_list(place).alias("ranges"))
+    return counted.groupBy("key", "text_hash").agg(F.collect_set(place).alias("ranges"))  # once each, however often the row is repeated
 
 
 def remove_repeats(documents: DataFrame, text: str = "text", key: str = "doc_id", window: int = 35, gram: int = 8, most_cells: int = 1 << 28) -> DataFrame:
