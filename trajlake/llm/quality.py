@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tables import drop, kept
 from ._schema import extended
 from ._scratch import map_batches
 from ._text import lower, pieces, windows, with_columns, word_hashes, words
@@ -81,12 +82,16 @@ def fold(key: str = "doc_id") -> F.Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", most_labelled: int = 3000, bits: int = 18, dim: int = 16, epochs: int = 12, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", most_labelled: int = 3000, most_bytes: int = 256 << 20, bits: int = 18, dim: int = 16, epochs: int = 12, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
     """Learn from labelled rows whose fold isn't 0. Rows with a null id, label or no document are left out; of an id that is
-    labelled more than once the largest label counts."""
+    labelled more than once the largest label counts, of one with several texts the text with the smallest hash.
+
+    The driver gets the features of most_labelled texts, and no more than most_bytes of them: in the order of the ids' hashes,
+    those that go beyond are left out of the sample."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
     texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # most_labelled rows bound what is broadcast
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text"))["text"].alias("text"), F.first("label").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,8 +103,14 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", most_la
                     "rows": pa.array([x[0].astype(np.uint32).tobytes() for x in counted], pa.binary()), "counts": pa.array([x[1].astype(np.uint32).tobytes() for x in counted], pa.binary()),
                 })
 
-    rows = map_batches(texts, run, "doc_id long, label int, rows binary, counts binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.rows, r.counts))
+    found, rows, size = kept(map_batches(texts, run, "doc_id long, label int, rows binary, counts binary"), "features"), [], 0
+    for row in found.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        size += len(row.rows) + len(row.counts)
+        if size > most_bytes:
+            break
+        rows.append(row)
+    drop(found)
+    rows.sort(key=lambda r: r.doc_id)
     samples = [(np.frombuffer(r.rows, np.uint32), np.frombuffer(r.counts, np.uint32).astype(np.float32), r.label) for r in rows]
     return train(samples, bits, dim, epochs, rate, seed) if samples else (np.zeros(1 << bits, np.float32), 0.0)
 
