@@ -48,19 +48,23 @@ def schedule(parts: DataFrame) -> DataFrame:
     return slots.select(F.get("names", F.col("i")).alias("source"), F.get("c", F.col("i")).alias("parts"), "period", "slot_in_period").withColumn("nth", nth)
 
 
-def mix(rows: DataFrame, weights: dict[str | None, int] | None = None, key: str = "doc_id", source: str = "source", block_rows: int = 64, exponent: float = 0.5, period: int = 1000) -> DataFrame:
+def mix(rows: DataFrame, weights: dict[str | None, int] | None = None, key: str = "doc_id", source: str = "source", block_rows: int = 64, exponent: float = 0.5, period: int = 1000, ties: list[str] | None = None) -> DataFrame:
     """rows with block (of its source), slot (of the block, in all) and place (in the block), all long.
 
     weights: whole parts by source, 1 at least (a ValueError otherwise, as no row may be lost); a source that isn't named gets
     one part. Without weights, parts follow rows ** exponent. The period, and so the number of sources, bounds the one row
-    that the schedule is made in: it is meant for some thousands. A null source is a source like others. Rows of a source are ordered by a hash of the key, then the key; equal
-    rows follow one another. The last block of a source may be short. An empty table gives an empty one; columns called
-    block, slot or place are replaced.
+    that the schedule is made in: it is meant for some thousands. A null source is a source like others. Rows of a source are ordered by a hash of the key and the columns `ties`, then by
+    these; rows that are equal in them follow one another, in one task, so that ties should tell rows apart where keys are
+    null or repeated. The last block of a source may be short. An empty table gives an empty one; columns called block, slot or
+    place are replaced, others go along whatever their names.
     """
     if weights and min(weights.values()) < 1:
         raise ValueError("every source's weight must be 1 or more")
-    named = rows.drop("block", "slot", "place").withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit(MISSING)))
-    hashed = named.withColumn("_order", F.shiftrightunsigned(F.xxhash64(key), 1))
+    told = [key, *(ties or [])]
+    hashed = rows.select(
+        F.struct(*rows.drop("block", "slot", "place").columns).alias("row"), F.struct(*told).alias("_key"),
+        F.coalesce(F.col(source).cast("string"), F.lit(MISSING)).alias("_source"), F.shiftrightunsigned(F.xxhash64(*told), 1).alias("_order"),
+    )
     counts = kept(hashed.groupBy("_source").agg(F.count("*").alias("n")).withColumnRenamed("_source", "source"), "counts")
     if weights is None:
         parts = tempered(counts, exponent, period)
@@ -74,14 +78,14 @@ def mix(rows: DataFrame, weights: dict[str | None, int] | None = None, key: str
     sizes = hashed.groupBy("_source", "_bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("n")
     ahead = sizes.select("_source", "_bucket", before.alias("_before")).join(plan.filter("nth = 0").select(F.col("source").alias("_source"), "parts", "period"), "_source")
-    rank = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_order", key)) - 1
+    rank = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_order", "_key")) - 1
     ranked = hashed.withColumn("_rank", rank).join(ahead, ["_source", "_bucket"])
     ordinal = F.col("_before") + F.col("_rank")
     block = F.floor(ordinal / block_rows)
     placed = ranked.withColumns({"block": block.cast("long"), "place": ordinal % block_rows}).withColumns({"_nth": (F.col("block") % F.col("parts")).cast("int"), "_turn": F.floor(F.col("block") / F.col("parts")).cast("long")})
     slots = plan.select(F.col("source").alias("_source"), F.col("nth").alias("_nth"), "slot_in_period")
     out = placed.join(slots, ["_source", "_nth"]).withColumn("slot", F.col("_turn") * F.col("period") + F.col("slot_in_period"))
-    return out.select(*rows.drop("block", "slot", "place").columns, "block", "slot", "place")
+    return out.select("row.*", "block", "slot", "place")
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.in_order(mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source")))
+    return mixing.in_order(mixing.mix(table(spark, sf_dir, "documents"), ties=["text"]))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
