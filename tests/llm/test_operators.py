@@ -200,6 +200,18 @@ def test_a_key_with_a_third_of_all_rows_is_spread(spark, monkeypatch):
     assert at == 0 and len(set(seen)) == len(rows) and falls == 1  # one ring, and its keys descend
 
 
+def test_no_bucket_grows_with_a_key(spark):
+    """A key with 3 % of all rows, and one with half a per cent, in buckets of their own."""
+    n = 200_000
+    k = F.when(F.col("id") % 100 < 3, 70_000).when(F.col("id") % 1000 == 999, 70_001).otherwise(F.col("id"))
+    df = spark.range(n).select(k.cast("long").alias("k"), F.col("id").cast("string").alias("text"))
+    bucket, _ = fingerprint.order_buckets(df, "k", F.xxhash64("text"))
+    dealt = df.withColumn("b", bucket).groupBy("b").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("b").collect()
+    sizes = sorted(r.n for r in dealt)
+    assert sum(sizes) == n and sizes[-1] < 2 * sizes[len(sizes) // 2]
+    assert all(a.hi <= b.lo for a, b in zip(dealt[:-1], dealt[1:], strict=True))
+
+
 def test_fingerprints_equal_plain_counting(spark):
     import xxhash
 
@@ -212,9 +224,9 @@ def test_fingerprints_equal_plain_counting(spark):
         out = [0] * fingerprint.LANES
         for paragraph in text.split("\n"):
             w = paragraph.split(" ")
-            found = [h(a.encode(), b.encode()) for a, b in zip(w[:-1], w[1:], strict=True)] + [h(w[-1].encode()), h(paragraph.encode(), b"paragraph")]
-            for e in found:
-                for k, x in enumerate((e, h(struct.pack("<Q", e), struct.pack("<i", 2)))):
+            found = [(a.encode(), b.encode()) for a, b in zip(w[:-1], w[1:], strict=True)] + [(w[-1].encode(),), (paragraph.encode(), b"paragraph")]
+            for values in found:
+                for k, x in enumerate((h(*values), h(struct.pack("<i", 7), *values))):
                     for j in range(32):
                         out[64 * k + 2 * j] += 1 if x >> j & 1 else -1
                         out[64 * k + 2 * j + 1] += 1 if x >> (j + 32) & 1 else -1
@@ -261,6 +273,13 @@ def test_repeats_equal_brute_force(spark, seed):
         assert found[d].kept_text == kept and found[d].n_words == len(texts[d].split()) and found[d].n_removed == found[d].n_words - len(kept.split())
 
 
+def test_ranges_of_repeated_rows_are_told_once(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(None, text)] * 2000, "key long, text string").withColumn("text_hash", F.xxhash64("text")).repartition(8)
+    rows = substring_dedup.repeated_ranges(df, "text", 35, 8, 1 << 20).collect()
+    assert len(rows) == 1 and len(rows[0].ranges) <= 2
+
+
 def test_repeats_do_not_need_a_wide_sketch(spark):
     texts = chatter(3, 80, 40)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -320,6 +339,19 @@ def test_mixing_stays_within_a_block(spark):
     assert [(r.slot, r.place) for r in ordered] == sorted((r.slot, r.place) for r in out)
 
 
+def test_mixing_keeps_all_columns(spark):
+    """Columns called like internal ones come back as they were; null keys are told apart by ties."""
+    names = ["parts", "period", "slot_in_period", "_rank", "_bucket", "_order", "_source", "_nth", "_turn", "_before", "_key", "row", "n", "names", "slot"]
+    rows = [(k if k % 3 else None, "ab"[k % 2], f"text {k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({c: F.concat(F.lit(c), "text") for c in names})
+    out = mixing.mix(df, block_rows=4, ties=["text"]).collect()
+    assert sorted((r.text, r.doc_id or -1, r.source) for r in out) == sorted((t, k or -1, s) for k, s, t in rows)
+    assert all(r[c] == c + r.text for r in out for c in names if c != "slot")
+    assert len({(r.slot, r.place) for r in out}) == len(rows)
+    again = {r.text: (r.slot, r.place) for r in mixing.mix(df.select("doc_id", "source", "text").repartition(3), block_rows=4, ties=["text"]).collect()}
+    assert again == {r.text: (r.slot, r.place) for r in out}
+
+
 def test_schedule_equals_earliest_deadline_first(spark):
     for parts in ({"a": 5, "b": 3, "c": 2, "d": 1}, {"x": 1}, {"p": 7, "q": 7, "r": 13}):
         whole = sum(parts.values())
@@ -357,6 +389,20 @@ def test_classifier_odd_rows(spark, odd, none):
     assert quality.score(odd, quality.fit(odd, labels.limit(0), bits=10)).filter("score <> 0.5").count() == 0
 
 
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """Four labelled ids over 20,000 rows, and a bound on the bytes."""
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda samples, *_: seen.append(samples) or (np.zeros(4, np.float32), 0.0))
+    docs = spark.range(20_000).select((F.col("id") % 4 + 1).alias("doc_id"), F.concat(F.lit("some text "), "id").alias("text"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 5)], "doc_id long, quality int")
+    quality.fit(docs, labels)
+    known = sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(1, 5))
+    assert len(seen[0]) == known
+    size = max(len(x[0]) for x in seen[0]) * 8
+    quality.fit(docs, labels, most_bytes=2 * size)
+    assert 1 <= len(seen[1]) <= 2 < known
+
+
 def test_training_equals_plain_loops():
     samples = [(np.array([0, 3, 5], np.uint32), np.array([2, 1, 1], np.float32), 1), (np.array([3, 6], np.uint32), np.array([1, 4], np.float32), 0), (np.array([], np.uint32), np.array([], np.float32), 1)]
     bits, dim, epochs, rate = 3, 4, 5, 0.5

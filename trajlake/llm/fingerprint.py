@@ -17,16 +17,22 @@ from pyspark.sql import functions as F
 
 LANES, BITS = 128, 16
 MODULUS = 1 << BITS
-SEGMENTS, PER_BUCKET, MOST_BUCKETS = 64, 2000, 1 << 20
+SEGMENTS, PER_BUCKET, MOST_BUCKETS = 1024, 2000, 1 << 20
+#: Cuts that are looked through at a time.
+STEP = 32
 
 
 def elements(text: Column) -> Column:
-    """64-bit hashes of a text's paragraphs and of the word pairs in each (the last word stands alone)."""
+    """Two 64-bit hashes, neither made from the other, of a text's paragraphs and of the word pairs in each (the last word stands
+    alone)."""
+
+    def both(*values: Column) -> Column:
+        return F.struct(F.xxhash64(*values).alias("h0"), F.xxhash64(F.lit(7), *values).alias("h1"))
 
     def of(paragraph: Column) -> Column:
         words = F.split(paragraph, " ")
-        pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.xxhash64(a, b))
-        return F.array_append(pairs, F.xxhash64(paragraph, F.lit("paragraph")))
+        pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: both(a, b))
+        return F.array_append(pairs, both(paragraph, F.lit("paragraph")))
 
     return F.flatten(F.transform(F.split(text, "\n"), of))
 
@@ -34,8 +40,7 @@ def elements(text: Column) -> Column:
 def lane_sums(element: str) -> list[Column]:
     """Sums over elements: how many hashes have each of 128 bits set, two counters of 32 bits in a long."""
     both = F.lit((1 << 32) + 1)
-    second = F.xxhash64(F.col(element), F.lit(2))
-    sums = [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(both)).alias(f"s{k}_{j}") for k, h in enumerate((F.col(element), second)) for j in range(32)]
+    sums = [F.sum(F.shiftrightunsigned(f"{element}.h{k}", j).bitwiseAND(both)).alias(f"s{k}_{j}") for k in range(2) for j in range(32)]
     return [F.count("*").alias("n"), *sums]
 
 
@@ -84,37 +89,31 @@ def vectors(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 def order_buckets(rows: DataFrame, key: str, tie: Column) -> tuple[Column, int]:
     """An expression that deals rows to buckets of about PER_BUCKET rows, ascending with the key (long, not null).
 
-    The key's range is cut at quantiles into SEGMENTS, each evenly into buckets, so that uneven ids do no harm. A key at
-    which two or more quantiles lie (any with 2 / SEGMENTS of all rows) has buckets of its own, by ranges of `tie` (a long
-    that is spread evenly).
+    The key's range is cut at quantiles into as many segments as there are buckets, SEGMENTS at most, each evenly into
+    buckets, so that uneven ids do no harm. A key at which two or more quantiles lie (any with 2 / SEGMENTS of all rows, or
+    with two buckets' rows where there are fewer segments) has buckets of its own, by ranges of `tie` (a long that is spread
+    evenly).
     """
-    at = [k / SEGMENTS for k in range(SEGMENTS + 1)]
-    n, found = rows.agg(F.count("*"), F.percentile_approx(key, at, 10_000)).first()
+    n = rows.count()
+    wanted = min(MOST_BUCKETS, max(1, n // PER_BUCKET))
+    segments = min(SEGMENTS, wanted)
+    found = rows.agg(F.percentile_approx(key, [k / segments for k in range(segments + 1)], 20 * SEGMENTS)).first()[0]
     times = Counter(found or [0])
-    cuts, wanted = sorted(times), min(MOST_BUCKETS, n // PER_BUCKET)
+    cuts = sorted(times)
     each = max(1, wanted // max(1, len(cuts) - 1))
-    own = [0, *(wanted * (times[c] - 1) // SEGMENTS for c in cuts)]  # of the cut that a leaf begins with
-    value = F.col(key).cast("double")
-
-    def leaf(k: int) -> Column:
-        first = k * each + sum(own[:k])
-        if k == 0 or k == len(cuts):  # before the first and from the last cut on
-            rest = F.lit(first + own[k])
-        else:
-            share = (value - float(cuts[k - 1])) / (float(cuts[k]) - float(cuts[k - 1])) * each
-            rest = first + own[k] + F.least(F.lit(each - 1), share.cast("int"))
-        if not own[k]:
-            return rest
-        part = F.floor((tie.cast("double") / 2.0**64 + 0.5) * own[k]).cast("int")
-        return F.when(F.col(key) == cuts[k - 1], first + F.least(F.lit(own[k] - 1), part)).otherwise(rest)
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return leaf(lo)
-        middle = (lo + hi) // 2
-        return F.when(F.col(key) < cuts[middle], tree(lo, middle)).otherwise(tree(middle + 1, hi))
-
-    return tree(0, len(cuts)), n
+    own = [0, *(wanted * (times[c] - 1) // segments for c in cuts)]  # buckets of the cut that a leaf begins with
+    firsts = [k * each + sum(own[:k]) for k in range(len(cuts) + 1)]
+    value, blocks = F.col(key), [cuts[k : k + STEP] for k in range(0, len(cuts), STEP)]
+    numbers = lambda x: F.array(*map(F.lit, x)).cast("array<bigint>")
+    not_above = lambda x: F.size(F.filter(x, lambda c: c <= value))
+    block = F.greatest(F.lit(0), not_above(numbers([b[0] for b in blocks])) - 1)
+    leaf = block * STEP + not_above(F.get(F.array(*map(numbers, blocks)), block))  # how many cuts are not above the key
+    of_leaf = lambda x: F.get(numbers(x), leaf)
+    low, high = of_leaf([cuts[0], *cuts]), of_leaf([*cuts, cuts[-1]])
+    share = F.coalesce(F.try_divide(value.cast("double") - low.cast("double"), high.cast("double") - low.cast("double")), F.lit(0.0))
+    rest = of_leaf(firsts) + of_leaf(own) + F.least(F.lit(each - 1), F.greatest(F.lit(0), (share * each).cast("int")))
+    part = F.floor((tie.cast("double") / 2.0**64 + 0.5) * of_leaf(own)).cast("long")
+    return F.when((of_leaf(own) > 0) & (value == low), of_leaf(firsts) + F.least(of_leaf(own) - 1, part)).otherwise(rest), n
 
 
 def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
