@@ -19,9 +19,9 @@ def test_query_equals_its_sql(spark, sf_dir, connection, name):
 def test_batch_and_stream_give_the_same_result(spark, sf_dir):
     columns = ["seq_id", "frame_idx", "class_id", "conf", "x1", "y1", "x2", "y2"]
     batch = rows_of(catalogue.associate_batch(spark, sf_dir).select(*columns))
-    stream = catalogue.associate_stream(spark, sf_dir)
-    assert stream.agg({"late": "max"}).first()[0] == 0
-    assert rows_of(stream.select(*columns)) == batch
+    for stream in (catalogue.associate_stream(spark, sf_dir), catalogue.associate_keyed_stream(spark, sf_dir)):
+        assert stream.agg({"late": "max"}).first()[0] == 0
+        assert rows_of(stream.select(*columns)) == batch
 
 
 def test_online_matches_equal_batch_matches(spark, sf_dir):

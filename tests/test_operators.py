@@ -14,7 +14,7 @@ from trajlake.operators import associate, clearmot, detection, identity, motion,
 from trajlake.operators import frames as frames_ops
 from trajlake.operators.assignment import assign, best_pairs
 from trajlake.sources import annotations
-from trajlake.streaming import online
+from trajlake.streaming import keyed, online
 
 BOX = "x1 double, y1 double, x2 double, y2 double"
 
@@ -440,6 +440,47 @@ def test_rows_wait_for_the_watermark(spark, tmp_path):
     assert found == [(0, 0), (1, 0), (2, 0), (9, 0)]  # 4 came behind the watermark; 20 and 21 still wait
 
 
+def moving_boxes(seed, frames=50):
+    """(seq, frame, time, class, conf, box) of two sequences; some frames have no detections, and one gap ends all."""
+    random, rows = np.random.default_rng(seed), []
+    for seq in range(2):
+        for frame in range(frames):
+            some = [k for k in range(4) if random.random() < 0.8 and not 20 <= frame < 33]
+            found = [(seq, frame, frame / 8, 0, float(random.uniform(0.2, 1)), *(np.array([0.2 * k, 0.2, 0.2 * k + 0.1, 0.5]) + frame * 0.002 + random.normal(0, 0.003, 4)).tolist()) for k in some]
+            rows += found or [(seq, frame, frame / 8, None, None, None, None, None, None)]
+    return rows
+
+
+DETECTIONS = f"seq_id long, frame_idx long, frame_time double, class_id int, conf double, {BOX}"
+
+
+def test_keyed_state_equals_the_batch(spark, tmp_path):
+    """Three runs from one checkpoint, rows out of order within the delay; state counts entries and forgets what has ended."""
+    rows = moving_boxes(4)
+    whole = spark.createDataFrame(rows, DETECTIONS)
+    names = ["seq_id", "frame_idx", "traj_id", "conf", "x1"]
+    batch = associate.associate(whole.select("seq_id", "frame_idx", "frame_time").distinct(), whole.filter("conf IS NOT NULL"), ["seq_id"], split=False)
+    jitter = np.random.default_rng(1).integers(0, 6, len(rows))
+    shuffled = [rows[k] for k in np.argsort([r[1] + j for r, j in zip(rows, jitter, strict=True)], kind="stable")]
+    cut, setting, sizes = len(rows) // 3, "spark.sql.streaming.stateStore.providerClass", []
+    before = spark.conf.get(setting)
+    with pytest.raises(ValueError):
+        keyed.associate_keyed(whole)
+    spark.conf.set(setting, keyed.PROVIDER)
+    try:
+        for part in (shuffled[:cut], shuffled[cut : 2 * cut], shuffled[2 * cut :], [(9, 0, 99.0, None, None, None, None, None, None)]):
+            spark.createDataFrame(part, DETECTIONS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = keyed.associate_keyed(spark.readStream.schema(DETECTIONS).parquet(f"{tmp_path}/in"), delay=2.0, idle=5.0)
+            query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+            query.awaitTermination()
+            sizes.append(keyed.state_size(query.lastProgress))
+    finally:
+        spark.conf.set(setting, before)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert rows_of(out.select(*names)) == rows_of(batch.select(*names)) and out.agg(F.max("late")).first()[0] == 0
+    assert sizes[0]["entries"] > 10 and sizes[-1]["entries"] < sizes[0]["entries"]  # the last batch ended both sequences
+
+
 def evaluated(spark, tmp_path, batches, **options):
     ddl = f"side string, seq_id long, frame_idx long, frame_time double, traj_id long, {BOX}"
     for batch in batches:

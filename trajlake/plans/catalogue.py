@@ -721,6 +721,21 @@ def associate_stream(spark: SparkSession, d: str) -> DataFrame:
     return _replayed(spark, rows, "stream", online.associate_stream)
 
 
+@query()
+def associate_keyed_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same with an entry for each trajectory as state."""
+    from ..streaming import keyed
+
+    rows = fx.frames(spark, d).select(*FRAME, "frame_time").join(unit(fx.det(spark, d)).drop("frame_time"), FRAME, "left")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, keyed.PROVIDER)
+    try:
+        return _replayed(spark, rows, "stream", keyed.associate_keyed)
+    finally:
+        spark.conf.set(setting, before)
+
+
 @query("SELECT seq_id, frame_idx, type, oid, hid, round(d, 6) AS d FROM fx_match")
 def online_mot_stream(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming import online
