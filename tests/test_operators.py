@@ -214,6 +214,35 @@ def test_native_round_trip(spark, tmp_path):
     assert d.count() == r.count() == 0
 
 
+def test_large_files_are_written_in_lines_and_read_in_parts(spark, tmp_path):
+    """Braces, quotes and backslashes in strings; blocks of 600 bytes, so that frames and strings lie across them."""
+    hard = ["p", '}{"', "\\", '\\"}', "{[", "é}}", None]
+    sequences = spark.createDataFrame([("a b", 25.0, 64, 48, ["per}son", '"{']), ("c", 5.0, 6, 4, [])], "seq string, frame_rate double, width int, height int, classes array<string>")
+    frames = spark.createDataFrame([(s, k, k / 25, k % 5 != 3, hard[k % len(hard)]) for s, n in (("a b", 60), ("c", 3)) for k in range(n)], "seq string, frame_idx long, frame_time double, tracked boolean, image_path string")
+    objects = spark.createDataFrame([("a b", k, t, 0, 0.5, 0.0, 0.1, 0.2, k / 64) for k in range(60) if k % 5 != 3 for t in range(k % 4)], f"seq string, frame_idx long, traj_id long, class_id int, conf double, {BOX}")
+    annotations.write_native(sequences, frames, objects, f"{tmp_path}/out")
+    written = {p.parent.name[5:]: p for p in (tmp_path / "out").rglob("*.txt")}
+    documents = {r.file: r.document for r in annotations.native_documents(sequences, frames, objects).collect()}
+    assert {k: p.read_text().replace("\n", "") for k, p in written.items()} == documents
+    (tmp_path / "in").mkdir()
+    for k, text in documents.items():  # in one line, and spread over many
+        (tmp_path / "in" / f"{k}.json").write_text(text)
+        (tmp_path / "in" / f"{k}-spread.json").write_text(written[k].read_text())
+    block = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        from trajlake.sources.split_json import top_objects
+
+        assert spark.read.option("lineSep", "}").text(f"{tmp_path}/in/*.json").rdd.getNumPartitions() > 20
+        parts = annotations.read_native(spark, f"{tmp_path}/in/*.json", large=True)
+        assert top_objects(spark, f"{tmp_path}/in/c.json").count() == 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    for found, whole in zip(parts, annotations.read_native(spark, f"{tmp_path}/in/*.json"), strict=True):
+        assert found.columns == whole.columns and rows_of(found) == rows_of(whole)
+    assert parts[2].count() == 2 * objects.count()
+
+
 # --- events where a frame leaves a choice
 
 

@@ -65,10 +65,12 @@ def matches(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return clear.select(*columns).unionByName(folded.select(*columns))
 
 
-def events(objects: DataFrame, predictions: DataFrame, keys: list[str], max_distance: float = 0.45) -> DataFrame:
-    """keys, frame_idx, type (MATCH, SWITCH, MISS or FP), oid, hid and d of every object and prediction."""
+def events(objects: DataFrame, predictions: DataFrame, keys: list[str], max_distance: float = 0.45, pairs: DataFrame | None = None) -> DataFrame:
+    """keys, frame_idx, type (MATCH, SWITCH, MISS or FP), oid, hid and d of every object and prediction. pairs: those of
+    iou_pairs(), where they are there already."""
     frame = [*keys, "frame_idx"]
-    pairs = iou_pairs(objects, predictions, frame, max_distance)
+    if pairs is None:
+        pairs = iou_pairs(objects, predictions, frame, max_distance)
     found = matches(pairs, keys)
     nothing = F.lit(None).cast("long")
     missed = objects.select(*frame, F.col("traj_id").alias("oid")).join(found, [*frame, "oid"], "left_anti").select(*frame, F.lit("MISS").alias("type"), "oid", nothing.alias("hid"), F.lit(None).cast("double").alias("d"))

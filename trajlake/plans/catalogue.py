@@ -11,6 +11,7 @@ from ..functions import geometry as g
 from ..functions import labels, points, vectors
 from ..operators import associate, clearmot, detection, identity, motion, pairs, rollup, sweep, timegrid
 from ..operators import frames as fr
+from ..operators.tables import kept
 from . import fixtures as fx
 
 SEQ, FRAME = ["seq_id"], ["seq_id", "frame_idx"]
@@ -300,8 +301,11 @@ MEASURES = ", ".join([*COUNTS, *(f"round({r}, 6) AS {r}" for r in RATES)])
 
 
 def all_measures(spark: SparkSession, d: str) -> DataFrame:
-    gated = pairs.iou_pairs(fx.gt(spark, d), fx.hyp(spark, d), FRAME)
-    return clearmot.measures(log(spark, d), SEQ, identity.identity_matches(gated, SEQ))
+    """Pairs and the log are written once, as both have several readers."""
+    objects, predictions = fx.gt(spark, d), fx.hyp(spark, d)
+    gated = kept(pairs.iou_pairs(objects, predictions, FRAME), "pairs")
+    told = kept(clearmot.events(objects, predictions, SEQ, pairs=gated), "log")
+    return clearmot.measures(told, SEQ, identity.identity_matches(gated, SEQ))
 
 
 @query(f"SELECT seq_id, {MEASURES} FROM fx_measures")
@@ -371,7 +375,7 @@ SELECT ds_key, test_key, num_frames, num_objects, num_switches, num_false_positi
 
 def results(spark: SparkSession, d: str) -> DataFrame:
     """The measures of each sequence as two tests."""
-    one = all_measures(spark, d).withColumns({"ds_key": F.col("seq_id").cast("string"), "grp": F.col("seq_id") % 2}).drop("seq_id")
+    one = kept(all_measures(spark, d), "measures").withColumns({"ds_key": F.col("seq_id").cast("string"), "grp": F.col("seq_id") % 2}).drop("seq_id")
     other = one.withColumns({"test_key": F.lit("shifted"), "num_misses": F.col("num_misses") + 7, "mota": F.col("mota") - 0.125})
     return one.withColumn("test_key", F.lit("gate45")).unionByName(other)
 

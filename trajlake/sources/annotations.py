@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.labels import file_label, image_path
 from ..operators.timegrid import with_time_before
+from .split_json import top_objects
 
 #: The 9 columns of a ground-truth file, and the classes that its 12 numbers stand for.
 MOT_COLUMNS = "frame_id int, traj_id long, left double, top double, width double, height double, confidence double, class int, visibility double"
@@ -76,13 +78,24 @@ def read_mot(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Da
     return sequences, frames, objects.select("seq", "frame_idx", "frame_time", "traj_id", "class_id", "conf", "x1", "y1", "x2", "y2")
 
 
-def read_native(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+def read_native(spark: SparkSession, glob: str, large: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """sequences, frames, objects, detections and regions of annotation files (JSON, one object a file). A frame without an
     object map is untracked; frames that a run skipped for its frame rate are left out, and of frames with a result type those
-    with neither objects nor debug data, which a run doesn't store."""
-    docs = spark.read.schema(NATIVE).option("multiLine", True).json(glob).withColumn("seq", F.regexp_extract(F.input_file_name(), r"([^/]*)\.[^./]*$", 1))
-    sequences = docs.select("seq", "metadata.*")
-    each = docs.select("seq", F.posexplode("frames").alias("frame_idx", "f")).filter("f.result_type IS NULL OR f.result_type <> 'SKIP_FRAMERATE'").filter("f.objects IS NOT NULL OR f.tracker_debug IS NOT NULL OR f.result_type IS NULL")
+    with neither objects nor debug data, which a run doesn't store.
+
+    large: a file is read by many tasks, frame by frame (split_json); else each file by one, which needs no shuffle.
+    """
+    name = lambda path: F.regexp_extract(path, r"([^/]*)\.[^./]*$", 1).alias("seq")
+    kinds = {f.name: f.dataType for f in T._parse_datatype_string(NATIVE)}
+    if large:
+        parts = top_objects(spark, glob)
+        sequences = parts.filter("label = 'metadata'").select(name(F.col("path")), F.from_json("text", kinds["metadata"]).alias("m")).select("seq", "m.*")
+        each = parts.filter("label = 'frames'").select(name(F.col("path")), F.col("n").alias("frame_idx"), F.from_json("text", kinds["frames"].elementType).alias("f"))
+    else:
+        docs = spark.read.schema(NATIVE).option("multiLine", True).json(glob).withColumn("seq", name(F.input_file_name()))
+        sequences = docs.select("seq", "metadata.*")
+        each = docs.select("seq", F.posexplode("frames").alias("frame_idx", "f"))
+    each = each.filter("f.result_type IS NULL OR f.result_type <> 'SKIP_FRAMERATE'").filter("f.objects IS NOT NULL OR f.tracker_debug IS NOT NULL OR f.result_type IS NULL")
     each = each.select("seq", F.col("frame_idx").cast("long").alias("frame_idx"), "f.*")
     frames = each.select("seq", "frame_idx", "frame_time", F.col("objects").isNotNull().alias("tracked"), "image_path")
     box = [F.get("o.box", F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))]
@@ -95,10 +108,9 @@ def read_native(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame, D
     return sequences, frames, objects, detections, regions
 
 
-def native_documents(sequences: DataFrame, frames: DataFrame, objects: DataFrame, original_video: tuple[str, str] | None = None) -> DataFrame:
-    """file (a clean name) and document (JSON text) of each sequence; frames in order of time, untracked ones without an
-    object map. Of points, attributes, sub-boxes, pictures (as base64) and embeddings those columns are written that objects
-    have; nulls are left out. original_video: (pattern, replacement) for the video's path."""
+def _frame_rows(frames: DataFrame, objects: DataFrame) -> DataFrame:
+    """seq, frame_time, frame_idx and `frame`, as the files have it. Of points, attributes, sub-boxes, pictures (as base64) and
+    embeddings those columns are written that objects have."""
     have, more = set(objects.columns), []
     more += [F.col(n) for n in (x.split()[0] for x in POINT_LISTS.split(", ")) if n in have]
     for n in ("face_jpeg", "clip_jpeg"):
@@ -109,18 +121,45 @@ def native_documents(sequences: DataFrame, frames: DataFrame, objects: DataFrame
     maps = objects.groupBy("seq", "frame_idx").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("traj_id").cast("string").alias("key"), one.alias("value"))))).alias("objects"))
     none = F.create_map().cast(maps.schema["objects"].dataType)
     filled = frames.join(maps, ["seq", "frame_idx"], "left").withColumn("objects", F.when(F.col("tracked"), F.coalesce("objects", none)))
-    frame = F.struct("frame_time", F.col("frame_idx").alias("frame_id"), "image_path", "objects")
-    by_time = lambda a, b: F.when(a["frame_time"] < b["frame_time"], -1).when(a["frame_time"] > b["frame_time"], 1).otherwise(0)
-    lists = filled.groupBy("seq").agg(F.array_sort(F.collect_list(frame), by_time).alias("frames"))
+    return filled.select("seq", "frame_time", "frame_idx", F.struct("frame_time", F.col("frame_idx").alias("frame_id"), "image_path", "objects").alias("frame"))
+
+
+def _with_metadata(sequences: DataFrame, original_video: tuple[str, str] | None) -> DataFrame:
     if original_video and "original_video" in sequences.columns:
         sequences = sequences.withColumn("original_video", F.regexp_replace("original_video", *original_video))
-    meta = F.struct(*(c for c in sequences.columns if c != "seq"))
-    return sequences.withColumn("metadata", meta).join(lists, "seq").select(file_label(F.col("seq")).alias("file"), F.to_json(F.struct("metadata", "frames")).alias("document"))
+    return sequences.select("seq", file_label(F.col("seq")).alias("file"), F.struct(*(c for c in sequences.columns if c != "seq")).alias("metadata"))
 
 
-def write_native(sequences: DataFrame, frames: DataFrame, objects: DataFrame, folder: str) -> None:
-    """One folder `file=<name>` with one text file for each sequence."""
-    native_documents(sequences, frames, objects).write.partitionBy("file").text(folder)
+def native_documents(sequences: DataFrame, frames: DataFrame, objects: DataFrame, original_video: tuple[str, str] | None = None) -> DataFrame:
+    """file (a clean name) and document (JSON text) of each sequence with frames: for short sequences, as each is one row.
+    Frames are in order of time and number, untracked ones without an object map; nulls are left out. original_video:
+    (pattern, replacement) for the video's path."""
+    rows = _frame_rows(frames, objects)
+    ordered_ = F.array_sort(F.collect_list(F.struct("frame_time", "frame_idx", F.to_json("frame").alias("text"))))
+    lists = rows.groupBy("seq").agg(F.array_join(F.transform(ordered_, lambda x: x["text"]), ",").alias("frames"))
+    told = _with_metadata(sequences, original_video).join(lists, "seq")
+    return told.select("file", F.concat(F.lit('{"metadata":'), F.to_json("metadata"), F.lit(',"frames":['), "frames", F.lit("]}")).alias("document"))
+
+
+def native_lines(sequences: DataFrame, frames: DataFrame, objects: DataFrame, original_video: tuple[str, str] | None = None) -> DataFrame:
+    """file, seq, part, frame_time, frame_idx and line: the same documents in lines, in order of these columns: a head, a line for each
+    frame, a tail. Without the line ends they are native_documents(), as JSON text has none of its own."""
+    rows = _frame_rows(frames, objects)
+    first = rows.groupBy("seq").agg(F.min(F.struct("frame_time", "frame_idx")).alias("first"))
+    named = _with_metadata(sequences, original_video).join(first, "seq")
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("part"), F.concat(F.lit('{"metadata":'), F.to_json("metadata"), F.lit(',"frames":[')).alias("line")), F.struct(F.lit(2).alias("part"), F.lit("]}").alias("line"))))
+    edges = named.select("file", "seq", ends.alias("e")).select("file", "seq", "e.part", F.lit(None).cast("double").alias("frame_time"), F.lit(None).cast("long").alias("frame_idx"), "e.line")
+    is_first = F.struct("frame_time", "frame_idx") == F.col("first")
+    body = rows.join(named.select("seq", "file", "first"), "seq").select("file", "seq", F.lit(1).alias("part"), F.col("frame_time").cast("double"), F.col("frame_idx").cast("long"), F.concat(F.when(is_first, "").otherwise(","), F.to_json("frame")).alias("line"))
+    return edges.unionByName(body)
+
+
+def write_native(sequences: DataFrame, frames: DataFrame, objects: DataFrame, folder: str, original_video: tuple[str, str] | None = None) -> None:
+    """One folder `file=<name>` with one text file for each sequence: a task writes it line by line from sorted rows, so that
+    its memory is that of a frame, and the sort spills."""
+    order = ["file", "seq", "part", "frame_time", "frame_idx"]
+    lines = native_lines(sequences, frames, objects, original_video).repartition("file").sortWithinPartitions(*order)
+    lines.select("file", "line").write.partitionBy("file").text(folder)
 
 
 def convert_mot(spark: SparkSession, folder: str, out: str) -> None:
