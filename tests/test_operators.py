@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.compare import rows_of
 from trajlake.functions import geometry as g
+from trajlake.functions import labels
 from trajlake.functions.vectors import running_blend
 from trajlake.operators import associate, clearmot, detection, identity, motion, rollup, sweep, timegrid
 from trajlake.operators import frames as frames_ops
@@ -188,6 +189,110 @@ def test_coordinate_descent_finds_the_top():
         sweep.search_space({"a": {"min": 0, "max": 1, "step": 1}}, {"a": 3})
 
 
+SPACE = {"a": {"min": -5, "max": 5, "step": 0.25, "initial": 0}, "b": {"min": 0, "max": 4, "step": 0.5, "initial": 4}, "c": {"min": 0, "max": 1, "step": 0.125, "initial": 0.5}}
+
+
+def hill(v):
+    return -((v["a"] - 2) ** 2) - (v["b"] - 1) ** 2 - abs(v["c"] - 0.125) * (1 + v["b"])
+
+
+def test_search_goes_on_where_it_stopped(spark, tmp_path):
+    """The walk of coordinate_descent, stopped by its rounds, then by a failure, then to its end; no vector is scored twice."""
+    asked, calls = [], []
+
+    def evaluate(candidates):
+        calls.append(1)
+        if len(calls) == 4:
+            raise RuntimeError("lost")
+        rows = candidates.collect()
+        asked.extend(tuple(sorted(r.vector.items())) for r in rows)
+        scores = [(r.candidate, s, hill(r.vector) - (s == "validation")) for r in rows for s in ("train", "validation", "test")]
+        return spark.createDataFrame(scores, "candidate string, split string, score double")
+
+    path = f"{tmp_path}/search"
+    assert sweep.search(spark, path, SPACE, evaluate, most_rounds=2).agg(F.max("round")).first()[0] == 1
+    with pytest.raises(RuntimeError):
+        sweep.search(spark, path, SPACE, evaluate)
+    state = sweep.search(spark, path, SPACE, evaluate)
+    done = len(calls)
+    again = sweep.search(spark, path, SPACE, evaluate)
+    assert len(calls) == done and again.count() == state.count() and len(asked) == len(set(asked))
+    vector, value = sweep.coordinate_descent(SPACE, lambda vs: [hill(v) for v in vs])
+    top = sweep.best_vectors(state).first()
+    assert top.vector == vector and top.train == value and top.validation == value - 1
+    assert {r.split for r in state.select("split").distinct().collect()} == {"train", "validation"}
+    assert all(SPACE[n]["min"] <= x <= SPACE[n]["max"] for v in asked for n, x in v)
+
+
+def test_sweep_of_splits_equals_sweeps_of_their_sequences(spark):
+    rows = spark.createDataFrame(moving_boxes(2, 30), DETECTIONS)
+    frames, found = rows.select("seq_id", "frame_idx", "frame_time").distinct(), rows.filter("conf IS NOT NULL")
+    truth = found.withColumn("traj_id", F.round((F.col("x1") - 0.002 * F.col("frame_idx")) * 5).cast("long"))
+    splits = spark.createDataFrame([(0, "train"), (1, "validation"), (0, "all"), (1, "all")], "seq_id long, split string")
+    tries = spark.createDataFrame([("x", {"new_traj_thr": 0.3}), ("y", {"new_traj_thr": 0.8})], "candidate string, vector map<string, double>")
+    scores = {(r.candidate, r.split): r.score for r in sweep.evaluator(frames, found, truth, ["seq_id"], splits)(tries).collect()}
+    assert len(scores) == 6 and len(set(scores.values())) > 2
+    for split, some in (("train", "seq_id = 0"), ("validation", "seq_id = 1"), ("all", "true")):
+        one = sweep.sweep({"x": {"new_traj_thr": 0.3}}, frames.filter(some), found.filter(some), truth.filter(some), ["seq_id"]).first()
+        assert scores["x", split] == pytest.approx(one.fitness)
+
+
+def test_results_reports_and_search_logs_are_written(spark, tmp_path):
+    results = spark.createDataFrame([("a", "t", 1.0), ("b", "t", 2.0)], "ds_key string, test_key string, mota double")
+    marked = spark.createDataFrame([("b", True), ("a", False)], "ds_key string, no_cache boolean")
+    for _ in range(2):
+        annotations.append_results(results, f"{tmp_path}/results", marked)
+    assert rows_of(spark.read.parquet(f"{tmp_path}/results")) == [(("a"), 1.0, "t")] * 2
+    annotations.write_report(results.orderBy("ds_key"), f"{tmp_path}/report")
+    assert [p.read_text() for p in (tmp_path / "report").glob("*.csv")] == ["ds_key,test_key,mota\na,t,1.0\nb,t,2.0\n"]
+    for k in range(2):
+        annotations.search_log(spark.createDataFrame([(k, "v", 0.5, "train")], "iteration int, vector string, score double, split string"), f"{tmp_path}/log")
+    assert sorted(r.iteration for r in spark.read.parquet(f"{tmp_path}/log").collect()) == [0, 1]
+
+
+def test_corpus_is_converted(spark, tmp_path):
+    folder = tmp_path / "mot" / "S1"
+    (folder / "gt").mkdir(parents=True)
+    (folder / "seqinfo.ini").write_text("[Sequence]\nname=S1\nimDir=img1\nframeRate=10\nseqLength=4\nimWidth=100\nimHeight=200\nimExt=.jpg\n")
+    (folder / "gt" / "gt.txt").write_text("1,7,10,20,30,40,1,1,1\n2,7,11,20,30,40,0,4,1\n")
+    annotations.convert_mot(spark, str(tmp_path / "mot"), str(tmp_path / "out"))
+    read = annotations.read_native(spark, f"{tmp_path}/out/file=S1/*.txt", large=True)
+    assert read[1].count() == 3 and sorted((r.frame_idx, r.class_id, r.x1) for r in read[2].collect()) == [(0, 0, 0.1), (1, 1, 0.11)]
+
+
+def test_labels_collected_from_a_table(spark):
+    rows = spark.createDataFrame([(0, "people", 1.0, 1.0, 10.0, 20.0), (1, "person", 11.0, 21.0, 10.0, 20.0), (2, "bike", 1.0, 1.0, 50.0, 50.0)], "k long, label string, left double, top double, width double, height double").withColumns({"im_width": F.lit(100), "im_height": F.lit(200)})
+    found = {r.label: (r.class_id, r.x1, r.y2) for r in annotations.normalise_boxes(rows).collect()}
+    assert found == {"person": (0, 0.1, 0.2), "bike": (1, 0.0, 0.25), "people": (2, 0.0, 0.1)}
+    assert {r.class_id for r in annotations.normalise_boxes(rows, ["people", "person"]).collect()} == {0, 1, -1}
+
+
+def test_registry_and_small_columns(spark):
+    assert associate.associator("kalman_iou") is associate.associate
+    row = spark.range(1).select(labels.seconds_ago(F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-01 00:01:30").cast("timestamp")).alias("s"), *(c.alias(n) for c, n in zip(g.corner_form((F.lit(5.0), F.lit(6.0), F.lit(0.5), F.lit(4.0))), "abcd", strict=True))).first()
+    assert row.s == 90 and (row.a, row.b, row.c, row.d) == (4.0, 4.0, 6.0, 8.0)
+
+
+# --- appending
+
+
+def test_appended_frames_are_later_than_all_before(spark, tmp_path):
+    """Late and equal times in their own table, whichever batch they come in; a batch that is given again adds nothing."""
+    from trajlake.sources import append
+
+    ddl, path, told = "seq_id long, frame_idx long, frame_time double", str(tmp_path / "t"), []
+    batches = [[(0, 0, 0.0), (0, 1, 1.0), (0, 2, 0.5), (None, 0, 3.0)], [(0, 3, 1.0), (0, 4, 2.0), (1, 0, 0.1), (None, 1, 2.0), (0, 5, None)], [(0, 6, 2.0), (0, 7, 2.5), (1, 1, 0.1), (1, 2, 0.2), (1, 2, 0.2)]]
+    for batch in batches:
+        spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(ddl).parquet(f"{tmp_path}/in")
+        append.append_frames(stream, path, f"{tmp_path}/c", ["seq_id"], callback=lambda b, a, r: told.append((b, a.count(), r.count())), availableNow=True).awaitTermination()
+    assert told == [(0, 3, 1), (1, 2, 3), (2, 2, 3)]
+    before = [rows_of(append.appended(spark, path, n)) for n in ("accepted", "rejected")]
+    append.append_batch(spark.createDataFrame(batches[2], ddl), 2, path, ["seq_id"])
+    assert [rows_of(append.appended(spark, path, n)) for n in ("accepted", "rejected")] == before
+    assert sorted((r.seq_id, r.frame_idx) for r in append.appended(spark, path).collect() if r.seq_id is not None) == [(0, 0), (0, 1), (0, 4), (0, 7), (1, 0), (1, 2)]
+
+
 def test_mot_files(spark, tmp_path):
     folder = tmp_path / "S1"
     (folder / "gt").mkdir(parents=True)

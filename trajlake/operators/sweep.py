@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .associate import COLUMNS, OUT, PARAMS, Associator, with_segments
 from .clearmot import events, measures
-from .tables import kept
+from .tables import _file_system, kept
 
 OUT_OF_BOUNDS = -10000.0
 
@@ -41,9 +41,10 @@ def not_evaluated(candidates: DataFrame, done: DataFrame, vector: list[str]) ->
     return candidates.join(done, vector, "left_anti")
 
 
-def sweep(candidates: dict[str, dict], frames: DataFrame, detections: DataFrame, objects: DataFrame, keys: list[str], max_distance: float = 0.45) -> DataFrame:
+def sweep(candidates: dict[str, dict], frames: DataFrame, detections: DataFrame, objects: DataFrame, keys: list[str], max_distance: float = 0.45, splits: DataFrame | None = None) -> DataFrame:
     """fitness and the counts behind it for every candidate, pooled over all sequences: association, events and sums of all
-    candidates and sequences run in one job. Each candidate and part of a sequence (see with_segments) is a group of its own."""
+    candidates and sequences run in one job. Each candidate and part of a sequence (see with_segments) is a group of its own.
+    splits (keys, split): a row for each split instead, pooled over its sequences; a sequence can be in several."""
     spark = frames.sparkSession
     names = spark.createDataFrame([(c,) for c in candidates], "candidate string")
     least = min((PARAMS | c)[k] for c in candidates.values() for k in ("traj_initial_thr", "traj_high_thr", "traj_low_thr", "new_traj_thr"))
@@ -62,7 +63,10 @@ def sweep(candidates: dict[str, dict], frames: DataFrame, detections: DataFrame,
     gt = objects.crossJoin(F.broadcast(names))
     trajectories = kept(trajectories, "sweep")  # read several times from here on
     scores = measures(kept(events(gt, trajectories, by, max_distance), "events"), by)
-    sums = scores.groupBy("candidate").agg(*(F.sum(c).alias(c) for c in ("num_objects", "num_misses", "num_false_positives", "num_switches", "fp_tracks", "num_frames")))
+    pool = ["candidate"]
+    if splits is not None:
+        scores, pool = scores.join(splits.select(*keys, "split"), keys), ["candidate", "split"]
+    sums = scores.groupBy(*pool).agg(*(F.sum(c).alias(c) for c in ("num_objects", "num_misses", "num_false_positives", "num_switches", "fp_tracks", "num_frames")))
     mota = 1 - (F.col("num_misses") + F.col("num_false_positives") + F.col("num_switches")) / (F.col("num_objects") + 1e-7)
     sums = sums.withColumns({"mota": mota, "fp_per_frame": F.col("num_false_positives") / (F.col("num_frames") + 1e-7)})
     return sums.withColumn("fitness", F.col("mota") - 0.0005 * F.col("fp_tracks") - 0.002 * F.col("fp_per_frame"))
@@ -108,3 +112,88 @@ def coordinate_descent(space: dict[str, dict], evaluate: Callable[[list[dict]],
         if step > last + len(names) + 1:
             multiplier, last = multiplier / 2, step
     return now, value
+
+
+class RoundsUsedUp(Exception):
+    pass
+
+
+def evaluator(frames: DataFrame, detections: DataFrame, objects: DataFrame, keys: list[str], splits: DataFrame, max_distance: float = 0.45) -> Callable[[DataFrame], DataFrame]:
+    """For search(): the fitness of a round's candidates on the splits train and validation, all in one sweep."""
+
+    def evaluate(candidates: DataFrame) -> DataFrame:
+        vectors = {r.candidate: r.vector for r in candidates.collect()}  # the candidates of one round
+        return sweep(vectors, frames, detections, objects, keys, max_distance, splits).select("candidate", "split", F.col("fitness").alias("score"))
+
+    return evaluate
+
+
+STATE = "round long, candidate string, vector map<string, double>, split string, score double, better boolean"
+
+
+def search(spark: SparkSession, path: str, space: dict[str, dict], evaluate: Callable[[DataFrame], DataFrame], validate: bool = True, start: float = 4.0, stop: float = 0.5, gains: int = 3, most_rounds: int | None = None) -> DataFrame:
+    """coordinate_descent() with its state as a table at `path` (STATE): it goes on from there after it was stopped or killed.
+
+    A round tries the neighbours that the walk can come to next, up and down, of all parameters at once; those in the table
+    already are left out (anti join by vector), the others are scored in one job. evaluate takes candidates (candidate,
+    vector) and gives scores (candidate, split, score), for the split `train` and, with validate, `validation`: the walk
+    follows train alone. Vectors out of bounds are never run. Each round is one append of its rows, the last thing that it
+    does, so that a round that was cut off is done again. Gives the table; `better` rows beat the best vector before their
+    round. most_rounds ends a call after so many rounds in all.
+    """
+    names = list(space)
+    key = lambda v: tuple(v[n] for n in names)
+    known: dict[tuple, dict[str, float]] = {}
+    rounds = 0
+    where, files = _file_system(spark, path)
+    if files.exists(where):
+        for row in spark.read.schema(STATE).parquet(path).collect():  # some dozens of vectors a round: the walk's own log
+            known.setdefault(key(row.vector), {})[row.split] = row.score
+            rounds = max(rounds, row["round"] + 1)
+
+    def scored(vectors: list[dict], best: float) -> list[float]:
+        nonlocal rounds
+        inside = {key(v): v for v in vectors if all(space[n]["min"] <= v[n] <= space[n]["max"] for n in names)}
+        new = {k: v for k, v in inside.items() if k not in known}
+        if new:
+            if most_rounds is not None and rounds >= most_rounds:
+                raise RoundsUsedUp
+            frame = spark.createDataFrame([(f"{rounds}-{i}", v) for i, v in enumerate(new.values())], "candidate string, vector map<string, double>")
+            found = kept(evaluate(frame).select("candidate", "split", F.col("score").cast("double")), "scores")
+            splits = ["train", "validation"] if validate else ["train"]
+            rows = found.filter(F.col("split").isin(splits)).join(F.broadcast(frame), "candidate")  # the candidates of one round
+            rows.select(F.lit(rounds).cast("long").alias("round"), "candidate", "vector", "split", "score", ((F.col("split") == "train") & (F.col("score") > best)).alias("better")).write.mode("append").parquet(path)
+            for row in rows.collect():
+                known.setdefault(key(row.vector), {})[row.split] = row.score
+            rounds += 1
+        return [known[key(v)].get("train", OUT_OF_BOUNDS) if key(v) in known else OUT_OF_BOUNDS for v in vectors]
+
+    def around(now: dict, multiplier: float) -> list[dict]:
+        return [now | {n: round(now[n] + sign * multiplier * space[n]["step"], 3)} for n in names for sign in (1, -1)]
+
+    now = {n: round(float(space[n]["initial"]), 3) for n in names}
+    try:
+        value, multiplier, at, won, step, last = scored([now], -float("inf"))[0], start, 0, 0, 0, 0
+        while multiplier >= stop:
+            name = names[at % len(names)]
+            tries = [now | {name: round(now[name] + sign * multiplier * space[name]["step"], 3)} for sign in (1, -1)]
+            if any(key(v) not in known for v in tries):
+                scored(around(now, multiplier), value)
+            found = scored(tries, value)
+            better = next((k for k in (0, 1) if found[k] > value), None)
+            step += 1
+            if better is not None:
+                now, value, last, won = tries[better], found[better], step, won + 1
+            if better is None or won >= gains:
+                at, won = at + 1, 0
+            if step > last + len(names) + 1:
+                multiplier, last = multiplier / 2, step
+    except RoundsUsedUp:
+        pass
+    return spark.read.schema(STATE).parquet(path)
+
+
+def best_vectors(state: DataFrame) -> DataFrame:
+    """vector, train and validation (null without) of a search's table, best first by train, of equal ones the earliest."""
+    each = state.groupBy("round", "candidate").agg(F.first("vector").alias("vector"), *(F.max(F.when(F.col("split") == s, F.col("score"))).alias(s) for s in ("train", "validation")))
+    return each.orderBy(F.col("train").desc_nulls_last(), "round", "candidate").select("vector", "train", "validation")
