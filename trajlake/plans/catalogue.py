@@ -789,3 +789,76 @@ def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming import online
 
     return _replayed(spark, fx.frames(spark, d), "stream", lambda s: online.rate_limited(s, 0.199)).drop("late")
+
+
+#: Parameters under which a detection goes on with the last box that it overlaps by 0.3, and trajectories are tracked at once.
+LANES = {
+    "kf_weight": 0.0, "fuse_scores": 0.0, "traj_initial_thr": 0.0, "traj_high_thr": 0.0, "traj_low_thr": 0.0, "new_traj_thr": 0.0,
+    "immediate_confirm_thr": 0.0, "match_thr_initial": 0.3, "traj_buffer_seconds": 2.0, "delete_dup_iou": 2.0,
+}
+SURE = {k: 0.5 for k in ("traj_initial_thr", "traj_high_thr", "traj_low_thr", "new_traj_thr")}
+#: Boxes of one object overlap by 0.35 or more at any time, those of different ones by less than 0.05, so that trajectories are
+#: islands of detections: one ends after ten frames without any, or after three or more if two seconds have passed.
+LANES_SQL = """, fx_try AS (SELECT * FROM (VALUES ('all', 0.0), ('sure', 0.5)) v(candidate, least)),
+fx_lane AS (SELECT candidate, seq_id, frame_idx, frame_time, CASE WHEN traj_id >= 900 THEN 0 WHEN traj_id > 110 THEN traj_id - 110 ELSE traj_id - 100 END AS lane, conf, x1/1024 AS x1, y1/1024 AS y1, x2/1024 AS x2, y2/1024 AS y2
+  FROM fx_hyp, fx_try WHERE conf > least AND (traj_id >= 900 OR (frame_idx*8 + seq_id + CASE WHEN traj_id > 110 THEN traj_id - 110 ELSE traj_id - 100 END) % 23 <> 0)),
+fx_nth AS (SELECT seq_id, frame_idx, frame_time, row_number() OVER (PARTITION BY seq_id ORDER BY frame_time) AS nth FROM fx_frames),
+fx_seen AS (SELECT l.*, nth FROM fx_lane l JOIN fx_nth USING (seq_id, frame_idx)),
+fx_gap AS (SELECT *, nth - lag(nth) OVER w - 1 AS missed, lag(frame_time) OVER w AS before FROM fx_seen WINDOW w AS (PARTITION BY candidate, seq_id, lane ORDER BY nth)),
+fx_start AS (SELECT g.*, CASE WHEN missed IS NULL OR (missed >= 3 AND (missed >= 10 OR p.frame_time - before >= 2)) THEN g.frame_idx END AS start FROM fx_gap g LEFT JOIN fx_nth p ON p.seq_id = g.seq_id AND p.nth = g.nth - 1),
+fx_island AS (SELECT * EXCLUDE (start), last_value(start IGNORE NULLS) OVER (PARTITION BY candidate, seq_id, lane ORDER BY nth ROWS UNBOUNDED PRECEDING) AS start_idx FROM fx_start),
+fx_traj AS MATERIALIZED (SELECT candidate, seq_id, frame_idx, lane, start_idx, conf, x1, y1, x2, y2 FROM fx_island UNION ALL
+  SELECT i.candidate, i.seq_id, n.frame_idx, i.lane, i.start_idx, i.conf, i.x1, i.y1, i.x2, i.y2 FROM fx_island i JOIN fx_nth n ON n.seq_id = i.seq_id AND n.nth = i.nth + 1 ANTI JOIN fx_island o ON o.candidate = i.candidate AND o.seq_id = i.seq_id AND o.lane = i.lane AND o.nth = i.nth + 1)
+"""
+LANES_OUT = LANES_SQL.rstrip() + " SELECT seq_id, frame_idx, start_idx, round(conf, 6) AS conf, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM fx_traj WHERE candidate = 'all'"
+
+
+def lanes(spark: SparkSession, d: str) -> DataFrame:
+    """Detections without those that leave their object's place."""
+    ln = F.when(F.col("traj_id") > 110, F.col("traj_id") - 110).otherwise(F.col("traj_id") - 100)
+    return unit(fx.hyp(spark, d).filter((F.col("traj_id") >= 900) | ((F.col("frame_idx") * 8 + F.col("seq_id") + ln) % 23 != 0))).drop("traj_id")
+
+
+def by_start(trajectories: DataFrame) -> DataFrame:
+    """Trajectories named by the frame that they start with."""
+    first = F.min("frame_idx").over(Window.partitionBy("seq_id", "traj_id"))
+    return rounded(trajectories.select(*FRAME, first.alias("start_idx"), "conf", *BOX))
+
+
+@query(LANES_OUT)
+def associate_lanes(spark: SparkSession, d: str) -> DataFrame:
+    return by_start(associate.associate(fx.frames(spark, d), lanes(spark, d), SEQ, LANES))
+
+
+@query(LANES_OUT)
+def associate_lanes_stream(spark: SparkSession, d: str) -> DataFrame:
+    from ..streaming import online
+
+    rows = fx.frames(spark, d).select(*FRAME, "frame_time").join(lanes(spark, d).drop("frame_time"), FRAME, "left")
+    return by_start(_replayed(spark, rows, "stream", lambda s: online.associate_stream(s, params=LANES)))
+
+
+SWEPT = LANES_SQL.rstrip() + """,
+fx_near AS (SELECT candidate, g.seq_id, g.frame_idx, g.traj_id AS oid, lane * 1000000000 + start_idx AS hid, least(g.x2/1024,h.x2)-greatest(g.x1/1024,h.x1) AS w, least(g.y2/1024,h.y2)-greatest(g.y1/1024,h.y1) AS hh, (g.x2-g.x1)*(g.y2-g.y1)/1048576 + (h.x2-h.x1)*(h.y2-h.y1) AS sizes
+  FROM fx_gt g JOIN fx_traj h ON g.seq_id = h.seq_id AND g.frame_idx = h.frame_idx),
+fx_met AS MATERIALIZED (SELECT candidate, seq_id, frame_idx, oid, hid FROM fx_near WHERE w > 0 AND hh > 0 AND 1 - w*hh/(sizes - w*hh) <= 0.45),
+fx_told AS (SELECT *, coalesce(lag(hid) OVER (PARTITION BY candidate, seq_id, oid ORDER BY frame_idx) <> hid, FALSE) AS switch FROM fx_met),
+fx_sure AS (SELECT candidate, seq_id, hid, count(*) FILTER (NOT switch) AS n FROM fx_told GROUP BY ALL),
+fx_all AS (SELECT candidate, count(*) AS predictions FROM fx_traj GROUP BY ALL),
+fx_sums AS (SELECT candidate, (SELECT count(*) FROM fx_gt) AS num_objects, (SELECT count(*) FROM fx_gt) - count(*) AS num_misses, any_value(predictions) - count(*) AS num_false_positives, count(*) FILTER (switch) AS num_switches FROM fx_told JOIN fx_all USING (candidate) GROUP BY candidate),
+fx_false AS (SELECT candidate, count(*) AS fp_tracks FROM (SELECT DISTINCT candidate, seq_id, lane * 1000000000 + start_idx AS hid FROM fx_traj) t LEFT JOIN fx_sure s USING (candidate, seq_id, hid) WHERE coalesce(s.n, 0) = 0 GROUP BY candidate),
+fx_seen_frames AS (SELECT candidate, count(*) AS num_frames FROM (SELECT candidate, seq_id, frame_idx FROM fx_traj UNION SELECT candidate, seq_id, frame_idx FROM fx_gt, fx_try) GROUP BY candidate),
+fx_swept AS (SELECT *, 1 - (num_misses + num_false_positives + num_switches)/(num_objects + 1e-7) AS mota, num_false_positives/(num_frames + 1e-7) AS fp_per_frame FROM fx_sums JOIN fx_false USING (candidate) JOIN fx_seen_frames USING (candidate)),
+fx_fit AS (SELECT *, mota - 0.0005*fp_tracks - 0.002*fp_per_frame AS fitness FROM fx_swept)
+"""
+
+
+@query(SWEPT + "SELECT candidate, num_objects, num_misses, num_false_positives, num_switches, fp_tracks, num_frames, round(mota, 6) AS mota, round(fp_per_frame, 6) AS fp_per_frame, round(fitness, 6) AS fitness FROM fx_fit")
+def sweep_lanes(spark: SparkSession, d: str) -> DataFrame:
+    """Two candidates, of which one takes sure detections alone."""
+    return rounded(sweep.sweep({"all": LANES, "sure": LANES | SURE}, fx.frames(spark, d), lanes(spark, d), unit(fx.gt(spark, d)), SEQ))
+
+
+@query(SWEPT + "SELECT candidate, round(fitness, 6) AS fitness FROM fx_fit ORDER BY fitness DESC LIMIT 1")
+def sweep_lanes_best(spark: SparkSession, d: str) -> DataFrame:
+    return sweep.best(sweep_lanes(spark, d))
