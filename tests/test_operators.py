@@ -273,6 +273,46 @@ def test_registry_and_small_columns(spark):
     assert row.s == 90 and (row.a, row.b, row.c, row.d) == (4.0, 4.0, 6.0, 8.0)
 
 
+# --- regions ahead
+
+
+def test_parts_go_into_regions_and_back(spark):
+    rows = spark.createDataFrame([(0, 0, [0.2, 0.3, 0.4, 0.6], [[0.25, 0.5], [0.3, 0.4]], None, 0.2, 0.3, 0.4, 0.6), (0, 1, None, [], [[0.5, 0.5]], 0.1, 0.1, 0.2, 0.2)], f"seq_id long, frame_idx long, subbox array<double>, pose_pos array<array<double>>, face_pos array<array<double>>, {BOX}")
+    regions = spark.createDataFrame([(0, 0, 0.1, 0.2, 0.6, 0.7)], f"seq_id long, frame_idx long, {BOX}")
+    keys = ["seq_id", "frame_idx"]
+    inner = frames_ops.map_parts(rows, regions, keys)
+    assert inner.columns == rows.columns
+    first = inner.filter("frame_idx = 0").first()
+    assert first.subbox == pytest.approx([0.2, 0.2, 0.6, 0.8]) and first.pose_pos[0] == pytest.approx([0.3, 0.6]) and first.face_pos is None
+    assert rows_of(frames_ops.unmap_parts(inner, regions, keys)) == rows_of(rows)  # without a region they stay
+
+
+def test_predictions_equal_those_of_a_plain_walk(spark):
+    """The boxes that a plain walk over the frames has before each of them, and their union with the motion."""
+    rows = moving_boxes(8, 30)
+    whole = spark.createDataFrame(rows, DETECTIONS)
+    frames = whole.select("seq_id", "frame_idx", "frame_time").distinct().withColumns({"gw": F.lit(2), "gh": F.lit(2), "field_dx": F.array(*map(F.lit, [0.01, 0.0, 0.02, 0.0])), "field_dy": F.array(*[F.lit(-0.01)] * 4)})
+    found = associate.predict(frames, whole.filter("conf IS NOT NULL"), ["seq_id"]).collect()
+    field, want = (2, 2, np.array([0.01, 0.0, 0.02, 0.0]), np.full(4, -0.01)), {}
+    for seq in range(2):
+        walk = associate.Associator()
+        for frame in range(20):  # up to the gap, where a new part begins
+            own = [r for r in rows if r[:2] == (seq, frame) and r[4] is not None]
+            time = frame / 8
+            for t in walk.trajectories:
+                want[seq, frame, t.number] = (*t.box, *associate.moved_boxes(t.box[None], field)[0], *t.filter.predicted(time))
+            walk.step(time, np.array([r[5:] for r in own]).reshape(-1, 4), np.array([r[4] for r in own]), np.zeros(len(own), int), None, field)
+    told = {(r.seq_id, r.frame_idx, r.traj_id): tuple(r)[4:] for r in found if r.frame_idx < 20}
+    assert told.keys() == want.keys() and all(told[k] == pytest.approx(want[k]) for k in want)
+    ahead = spark.createDataFrame(found)
+    motion = spark.createDataFrame([(0, 5, 0.9, 0.95, 0.97, 0.99), (7, 0, 0.5, 0.5, 0.51, 0.9)], f"seq_id long, frame_idx long, {BOX}")
+    regions = {(r.seq_id, r.frame_idx): tuple(r)[2:] for r in frames_ops.regions_ahead(ahead, motion, ["seq_id", "frame_idx"], 0.5).collect()}
+    assert regions[7, 0] == pytest.approx((0.4875, 0.4, 0.5225, 1.0))  # a width of 0.05 at least, within the frame
+    boxes_ = np.array([b for k, v in want.items() if k[:2] == (0, 5) for b in (v[4:8], v[8:])] + [(0.9, 0.95, 0.97, 0.99)])
+    low, high = boxes_[:, :2].min(axis=0), boxes_[:, 2:].max(axis=0)
+    assert regions[0, 5] == pytest.approx((*np.clip(low - (high - low) / 4, 0, 1), *np.clip(high + (high - low) / 4, 0, 1)))
+
+
 # --- appending
 
 

@@ -116,21 +116,29 @@ class Associator:
     pair_score: Callable | None = None
     #: (boxes, boxes of trajectories) -> matrix of the pairs that are to be scored at all.
     blocking: Callable | None = None
+    #: Where a list, step() adds (number, box, box moved by the field, box of the filter) of each trajectory before its frame.
+    predictions: list | None = None
+
+    def moved(self, trajectories: list[Trajectory], field: tuple | None, pose: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """The trajectories' boxes moved by the field, with poses grown over their sure points, and the moved poses."""
+        flow, m = moved_boxes(np.array([t.box for t in trajectories]), field), len(trajectories)
+        if not pose:
+            return flow, None
+        poses = stacked([t.parts.get("pose") for t in trajectories], 51).reshape(m, 17, 3)
+        known = ~np.isnan(poses[:, 0, 0])
+        poses[known, :, :2] = moved_points(poses[known, :, :2].reshape(-1, 2), field).reshape(-1, 17, 2)
+        sure = (poses[:, :, 2] > SURE)[:, :, None]
+        low, high = (np.where(sure, poses[:, :, :2], x) for x in (np.inf, -np.inf))
+        return np.concatenate([np.minimum(flow[:, :2], low.min(axis=1)), np.maximum(flow[:, 2:], high.max(axis=1))], axis=1), poses
 
     def scores(self, boxes: np.ndarray, confs: np.ndarray, parts: dict, trajectories: list[Trajectory], time: float, least: float, field: tuple | None = None) -> np.ndarray:
         """Weighted mean of the overlap with each trajectory's box, moved by the field and grown over its sure points (and of
         the faces' overlap), the overlap with its predicted box and the points' similarity, with the embeddings' likeness
         added; 0 below `least`, by confidence."""
         p, n, m = self.params, len(boxes), len(trajectories)
-        flow, ahead = moved_boxes(np.array([t.box for t in trajectories]), field), np.array([t.filter.predicted(time) for t in trajectories])
+        ahead = np.array([t.filter.predicted(time) for t in trajectories])
         old = {k: [t.parts.get(k) for t in trajectories] for k in parts}
-        if "pose" in parts:
-            poses = stacked(old["pose"], 51).reshape(m, 17, 3)
-            known = ~np.isnan(poses[:, 0, 0])
-            poses[known, :, :2] = moved_points(poses[known, :, :2].reshape(-1, 2), field).reshape(-1, 17, 2)
-            sure = (poses[:, :, 2] > SURE)[:, :, None]
-            low, high = (np.where(sure, poses[:, :, :2], x) for x in (np.inf, -np.inf))
-            flow = np.concatenate([np.minimum(flow[:, :2], low.min(axis=1)), np.maximum(flow[:, 2:], high.max(axis=1))], axis=1)
+        flow, poses = self.moved(trajectories, field, "pose" in parts)
         weight = np.array([0.0 if t.observations < 2 else p["kf_weight"] * (1 - max(0.1, 1 / t.observations) ** p["kf_warmup"]) for t in trajectories])
         seen, kf = iou_matrix(boxes, flow), iou_matrix(boxes, ahead)
         if "subbox" in parts:
@@ -171,6 +179,9 @@ class Associator:
         elif "reid" in parts:
             self.mean = np.zeros(0)
         free, waiting, alive = np.ones(len(boxes), bool), list(self.trajectories), []
+        if self.predictions is not None and waiting:
+            flow, _ = self.moved(waiting, field, any("pose" in t.parts for t in waiting))
+            self.predictions += [(t.number, *map(float, t.box), *map(float, f), *map(float, t.filter.predicted(time))) for t, f in zip(waiting, flow, strict=True)]
         for name, all_states in (("initial", False), ("high", True), ("low", True)):
             dets = np.flatnonzero(free & (raised > p[f"traj_{name}_thr"]))
             olds = [t for t in waiting if all_states or t.state != LOST]
@@ -227,9 +238,10 @@ class Associator:
             trajectories = [t for t in trajectories if t.number not in gone]
         return trajectories
 
-    def frames(self, rows: pd.DataFrame) -> pd.DataFrame:
+    def frames(self, rows: pd.DataFrame, ahead: list | None = None) -> pd.DataFrame:
         """Step through rows (COLUMNS, and EXTRAS and FIELD where there are some); a row without a box is a frame without
-        detections. Frames not after the last one are left out."""
+        detections. Frames not after the last one are left out. ahead: a list that gets a row of PREDICTED for each
+        trajectory before each frame."""
         extras = [c for c in EXTRAS if c in rows.columns]
         time, frame = rows.frame_time.to_numpy(float), rows.frame_idx.to_numpy(np.int64)
         order = np.lexsort((frame, time))
@@ -246,12 +258,18 @@ class Associator:
                 motion = None
                 if fields and fields[2][lo] is not None:
                     motion = int(fields[0][lo]), int(fields[1][lo]), np.asarray(fields[2][lo], float), np.asarray(fields[3][lo], float)
+                self.predictions = None if ahead is None else []
                 found = self.step(float(time[lo]), boxes[some], conf[some], classes[some], {c: [v[k] for k in some] for c, v in parts.items()}, motion)
                 out += [(int(frame[lo]), float(time[lo]), *row) for row in found]
+                if ahead is not None:
+                    ahead += [(int(frame[lo]), float(time[lo]), *row) for row in self.predictions]
         return pd.DataFrame(out, columns=["frame_idx", "frame_time", "traj_id", "class_id", "conf", "x1", "y1", "x2", "y2", *extras])
 
 
 OUT = "frame_idx long, frame_time double, traj_id long, class_id int, conf double, x1 double, y1 double, x2 double, y2 double"
+#: Where a trajectory was last, where the field moves it, and where its filter expects it.
+SIDES = ("from", "flow", "filter")
+PREDICTED = ["frame_idx", "frame_time", "traj_id", *(f"{s}_{c}" for s in SIDES for c in ("x1", "y1", "x2", "y2"))]
 COLUMNS = ["frame_idx", "frame_time", "class_id", "conf", "x1", "y1", "x2", "y2"]
 
 
@@ -303,6 +321,29 @@ def associate(frames: DataFrame, detections: DataFrame, keys: list[str], params:
     return rows.groupBy(*keys, "segment").applyInPandas(fold, ", ".join([*(f"{k} {kinds[k]}" for k in keys), OUT, *(f"{c} array<double>" for c in extras)]))
 
 
+def predict(frames: DataFrame, detections: DataFrame, keys: list[str], params: dict | None = None) -> DataFrame:
+    """What associate() expects before each frame: keys, frame_idx, frame_time, traj_id and three boxes of every trajectory
+    alive, lost ones too: its last one (from_x1 and so on), the one moved by the displacement field and grown over its sure points (flow_)
+    and the filter's (filter_). Regions of the next detection come from these (frames.regions_ahead)."""
+    chosen = PARAMS | (params or {})
+    least = min(chosen[k] for k in ("traj_initial_thr", "traj_high_thr", "traj_low_thr", "new_traj_thr"))
+    rows = with_segments(frames, detections, keys, least, chosen["pose_conf"])
+    kinds = dict(rows.dtypes)
+    used = [*COLUMNS, *(c for c in (*EXTRAS, *FIELD) if c in kinds)]
+
+    def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        ahead = []
+        Associator(chosen).frames(group[used], ahead)
+        out = pd.DataFrame(ahead, columns=PREDICTED)
+        out["traj_id"] += int(key[-1]) << 32
+        for k, name in enumerate(keys):
+            out.insert(k, name, key[k])
+        return out
+
+    boxes = ", ".join(f"{c} double" for c in PREDICTED[3:])
+    return rows.groupBy(*keys, "segment").applyInPandas(fold, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"frame_idx long, frame_time double, traj_id long, {boxes}"]))
+
+
 #: Associators by name; each is (frames, detections, keys, params) -> trajectories. Add to it to plug in another.
 ASSOCIATORS: dict[str, Callable[..., DataFrame]] = {"kalman_iou": associate}
 

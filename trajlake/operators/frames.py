@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,47 @@ def region_of(boxes: DataFrame, keys: list[str], ratio: float = 1.0, least_width
     return union.select(*keys, *(g.clip(v).alias(n) for v, n in zip(wide, ("x1", "y1", "x2", "y2"), strict=True)))
 
 
+def regions_ahead(predictions: DataFrame, motion: DataFrame, keys: list[str], more: float = 0.0, least: float = 0.05) -> DataFrame:
+    """The region to look at in each frame: the union of the frame's motion (keys, box) and of what is predicted there
+    (associate.predict), with `more` / 2 of its width and height (`least` at least) added on each side, within the frame.
+
+    A frame has a region where it has motion, a prediction or both; sides without a number (nulls, NaN) play no part.
+    """
+    names = ("x1", "y1", "x2", "y2")
+    sides = F.explode(F.array(*(F.struct(*(F.col(f"{s}_{c}").alias(c) for c in names)) for s in ("flow", "filter")))).alias("b")
+    boxes = predictions.select(*keys, sides).select(*keys, "b.*").unionByName(motion.select(*keys, *names))
+    known = boxes.select(*keys, *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in names))
+    x1, y1, x2, y2 = g.box()
+    union = known.groupBy(*keys).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    w, h = (F.greatest(F.lit(least), size) * (more / 2) for size in (x2 - x1, y2 - y1))
+    wide = (x1 - w, y1 - h, x2 + w, y2 + h)
+    return union.select(*keys, *(g.clip(v).alias(n) for v, n in zip(wide, names, strict=True)))
+
+
+def _through(rows: DataFrame, regions: DataFrame, keys: list[str], change: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """rows with all that lies in the frame changed by its region: box, subbox, pose_pos and face_pos, where there are such."""
+    low, high = ({c: F.col(f"trajlake_{c}{k}") for c in "xy"} for k in "12")
+    r = regions.select(*keys, *(F.col(f"{c}{k}").alias(f"trajlake_{c}{k}") for c in "xy" for k in "12"))
+    joined = rows.join(r, keys, "left")
+    one = lambda value, axis: F.coalesce(change(value, low[axis], high[axis]), value)
+    new = {c: one(F.col(c), c[0]) for c in ("x1", "y1", "x2", "y2") if c in rows.columns}
+    if "subbox" in rows.columns:
+        new["subbox"] = F.transform("subbox", lambda v, i: F.when(i % 2 == 0, one(v, "x")).otherwise(one(v, "y")))
+    for name in {"pose_pos", "face_pos"} & set(rows.columns):
+        new[name] = F.transform(name, lambda p: F.transform(p, lambda v, i: F.when(i % 2 == 0, one(v, "x")).otherwise(one(v, "y"))))
+    return joined.withColumns(new).drop(*(c for c in joined.columns if c.startswith("trajlake_")))
+
+
+def unmap_parts(rows: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
+    """Boxes, sub-boxes and points (x, y) relative to their frame's region, in the full frame; without a region they stay."""
+    return _through(rows, regions, keys, g.unmap)
+
+
+def map_parts(rows: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
+    """The other way: from the full frame to the frame's region, for regions with a width and height."""
+    return _through(rows, regions, keys, lambda value, low, high: F.try_divide(value - low, high - low))
+
+
 def unmap_boxes(boxes: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
     """Boxes relative to their frame's region, in the full frame; without a region they stay."""
     r = regions.select(*keys, *(F.col(c).alias(f"r_{c}") for c in ("x1", "y1", "x2", "y2")))

@@ -108,6 +108,17 @@ def roi_union(spark: SparkSession, d: str) -> DataFrame:
     return fr.region_of(unit(fx.hyp(spark, d)), FRAME, 1.125)
 
 
+@query("""SELECT d.seq_id, d.frame_idx, traj_id, round(r.x1 + x/1024*(r.x2-r.x1), 6) AS x, round(r.y1 + y/1024*(r.y2-r.y1), 6) AS y, round(r.x1 + d.x1/1024*(r.x2-r.x1), 6) AS sub_x1, round(r.y1 + d.y2/1024*(r.y2-r.y1), 6) AS sub_y2
+FROM (SELECT g.*, x, y FROM fx_gt g JOIN fx_kp k USING (seq_id, frame_idx, traj_id) WHERE kp_idx = 5) d JOIN fx_roi r ON r.seq_id = d.seq_id AND r.frame_idx = d.frame_idx""")
+def unmap_part_points(spark: SparkSession, d: str) -> DataFrame:
+    """A point of each pose and the corners of sub-boxes, taken into the region as relative, out again."""
+    at = lambda n: F.transform("points", lambda p: F.array(p["x"] / fx.SIDE, p["y"] / fx.SIDE)).alias(n)
+    rows = fx.points(spark, d).select(*CORE, at("pose_pos"), F.array(*(F.col(c) / fx.SIDE for c in BOX)).alias("subbox"))
+    found = fr.unmap_parts(rows, fx.roi(spark, d), FRAME)
+    five = F.get("pose_pos", F.lit(5))
+    return rounded(found.select(*CORE, F.get(five, F.lit(0)).alias("x"), F.get(five, F.lit(1)).alias("y"), F.get("subbox", F.lit(0)).alias("sub_x1"), F.get("subbox", F.lit(3)).alias("sub_y2")))
+
+
 @query("SELECT seq_id, frame_idx, tracked AND (x2-x1)*(y2-y1) >= 700000 AS tracked FROM fx_frames JOIN fx_roi USING (seq_id, frame_idx)")
 def skip_still_frames(spark: SparkSession, d: str) -> DataFrame:
     both = fx.frames(spark, d).join(fx.roi(spark, d), FRAME)
@@ -862,3 +873,30 @@ def sweep_lanes(spark: SparkSession, d: str) -> DataFrame:
 @query(SWEPT + "SELECT candidate, round(fitness, 6) AS fitness FROM fx_fit ORDER BY fitness DESC LIMIT 1")
 def sweep_lanes_best(spark: SparkSession, d: str) -> DataFrame:
     return sweep.best(sweep_lanes(spark, d))
+
+
+AHEAD = LANES_SQL.rstrip() + """,
+fx_alive AS (SELECT i.*, lead(nth) OVER (PARTITION BY candidate, seq_id, lane ORDER BY nth) AS following FROM fx_island i WHERE candidate = 'all'),
+fx_ahead AS (SELECT a.seq_id, n.frame_idx, a.lane, a.start_idx, a.x1, a.y1, a.x2, a.y2 FROM fx_alive a JOIN fx_nth n ON n.seq_id = a.seq_id AND n.nth > a.nth AND n.nth <= coalesce(a.following, a.nth + 10) AND n.nth <= a.nth + 10
+  LEFT JOIN fx_nth p ON p.seq_id = a.seq_id AND p.nth = n.nth - 1 WHERE n.nth <= a.nth + 3 OR p.frame_time - a.frame_time < 2)
+"""
+
+
+@query(AHEAD + "SELECT seq_id, frame_idx, lane, round(x1, 6) AS from_x1, round(y2, 6) AS from_y2, round(x1, 6) AS flow_x1, round(y2, 6) AS flow_y2 FROM fx_ahead")
+def predicted_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """What association expects before each frame, lost trajectories too; without a field the flow moves nothing."""
+    lane = F.when(F.col("from_y1") > 0.5, 0).otherwise(F.floor(F.col("from_x1") * fx.SIDE / 140 + 0.25) + 1).cast("int")
+    found = associate.predict(fx.frames(spark, d), lanes(spark, d), SEQ, LANES)
+    return rounded(found.select(*FRAME, lane.alias("lane"), "from_x1", "from_y2", "flow_x1", "flow_y2"))
+
+
+@query(AHEAD.rstrip() + """,
+fx_look AS (SELECT seq_id, frame_idx, x1, y1, x2, y2 FROM fx_ahead UNION ALL SELECT seq_id, frame_idx, x1/1024, y1/1024, x2/1024, y2/1024 FROM fx_roi WHERE frame_idx % 3 = 0),
+fx_union AS (SELECT seq_id, frame_idx, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM fx_look GROUP BY ALL)
+SELECT seq_id, frame_idx, round(greatest(0, x1 - greatest(0.05, x2-x1)*0.125), 6) AS x1, round(greatest(0, y1 - greatest(0.05, y2-y1)*0.125), 6) AS y1, round(least(1, x2 + greatest(0.05, x2-x1)*0.125), 6) AS x2, round(least(1, y2 + greatest(0.05, y2-y1)*0.125), 6) AS y2 FROM fx_union""")
+def region_from_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions joined with the motion of every third frame; the filter's boxes give way to the flow's, as SQL has no filter."""
+    ahead = associate.predict(fx.frames(spark, d), lanes(spark, d), SEQ, LANES)
+    ahead = ahead.withColumns({f"filter_{c}": F.col(f"flow_{c}") for c in BOX})
+    motion = unit(fx.roi(spark, d).filter(F.col("frame_idx") % 3 == 0))
+    return rounded(fr.regions_ahead(ahead, motion, FRAME, 0.25))
