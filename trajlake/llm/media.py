@@ -21,6 +21,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 NONE, SUB, UP, AVERAGE, PAETH = range(5)
 
 SIDE, LOW = 32, 8
+#: Rows of images that are filtered or undone at a time.
+BAND = 8192
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -37,32 +39,50 @@ def _predicted(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> list[np.
 
 def filter_rows(samples: np.ndarray, first: np.ndarray, kinds: np.ndarray | None = None) -> np.ndarray:
     """Rows of images under one another (`first` marks each image's first row), each with its filter type in front: for each
-    row that of the five filters with the least sum of absolute differences, or the given ones."""
-    wide = samples.astype(np.int16)
-    left, up, corner = np.zeros_like(wide), np.zeros_like(wide), np.zeros_like(wide)
-    left[:, 1:] = wide[:, :-1]
-    up[1:] = wide[:-1]
-    up[first] = 0
-    corner[:, 1:] = up[:, :-1]
-    tried = np.stack([(wide - x).astype(np.uint8) for x in _predicted(left, up, corner)])
-    if kinds is None:
-        kinds = np.abs(tried.view(np.int8).astype(np.int16)).sum(axis=2).argmin(axis=0)
-    return np.concatenate([kinds.astype(np.uint8)[:, None], tried[kinds, np.arange(len(samples))]], axis=1)
+    row that of the five filters with the least sum of absolute differences, or the given ones. BAND rows are worked on at a
+    time, so that memory beside the result doesn't grow with an image."""
+    n, width = samples.shape
+    out = np.empty((n, width + 1), np.uint8)
+    for lo in range(0, n, BAND):
+        top, hi = max(lo - 1, 0), min(lo + BAND, n)  # the row above goes along
+        wide = samples[top:hi].astype(np.int16)
+        left, up, corner = np.zeros_like(wide), np.zeros_like(wide), np.zeros_like(wide)
+        left[:, 1:] = wide[:, :-1]
+        up[1:] = wide[:-1]
+        up[first[top:hi]] = 0
+        corner[:, 1:] = up[:, :-1]
+        tried = np.stack([(wide - x).astype(np.uint8) for x in _predicted(left, up, corner)])[:, lo - top :]
+        chosen = np.abs(tried.view(np.int8).astype(np.int16)).sum(axis=2).argmin(axis=0) if kinds is None else kinds[lo:hi]
+        out[lo:hi, 0], out[lo:hi, 1:] = chosen, tried[chosen, np.arange(hi - lo)]
+    return out
 
 
 def unfilter(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The samples of filtered rows of images under one another, of one byte a pixel.
+    """The samples of filtered rows of images under one another, of one byte a pixel, BAND rows at a time."""
+    out = np.empty((len(rows), rows.shape[1] - 1), np.uint8)
+    for lo in range(0, len(rows), BAND):
+        above = out[lo - 1] if lo and not first[lo] else None
+        out[lo : lo + BAND] = _unfilter_band(rows[lo : lo + BAND], first[lo : lo + BAND], above)
+    return out
+
+
+def _unfilter_band(rows: np.ndarray, first: np.ndarray, above: np.ndarray | None) -> np.ndarray:
+    """unfilter() of rows that fit in memory several times; `above` is the row over the first one, if that is of its image.
 
-    A sample needs its left and upper neighbours, so all images are undone together along their diagonals: one step for each,
-    over all rows that have a sample on it.
+    A sample needs its left and upper neighbours, so all rows are undone together along their diagonals. A row of the type
+    None or Sub needs no row above it: a diagonal begins anew there, so that one image is cut up as well.
     """
     kinds, width = rows[:, 0].astype(np.int64), rows.shape[1] - 1
     if (kinds > PAETH).any():
         raise ValueError("unknown filter type")
+    first = first.copy()
+    first[0] = True
     n, starts = len(rows), np.flatnonzero(first)
-    image = np.cumsum(first) - 1
-    depth = np.arange(n) - starts[image]
+    image, anew = np.cumsum(first) - 1, first | (kinds <= SUB)
+    depth = np.arange(n) - np.flatnonzero(anew)[np.cumsum(anew) - 1]
     out = np.zeros((n + len(starts), width + 1), np.int16)  # a row of zeros above each image, and a column before it
+    if above is not None:
+        out[0, 1:] = above
     base, flat = (np.arange(n) + image + 1) * (width + 1) + 1, out.ravel()
     order = np.argsort(depth, kind="stable")
     edges = np.searchsorted(depth[order], np.arange(int(depth.max(initial=0)) + 2))
@@ -142,6 +162,8 @@ DCT = _dct(SIDE, LOW)
 def _shrink(image: np.ndarray, side: int) -> np.ndarray:
     """Rows averaged over `side` even bands; with fewer rows each is repeated."""
     edges = np.arange(side + 1) * len(image) // side
+    if len(image) >= side:
+        return np.add.reduceat(image, edges[:-1], axis=0, dtype=np.float64) / np.diff(edges)[:, None]
     lo, hi = np.minimum(edges[:-1], len(image) - 1), np.maximum(edges[1:], edges[:-1] + 1)
     sums = np.concatenate([np.zeros((1, image.shape[1])), np.cumsum(image, axis=0, dtype=np.float64)])
     hi = np.minimum(hi, len(image))
