@@ -153,6 +153,18 @@ def test_shards(spark, tmp_path):
         token_shards.write_shards(spark.createDataFrame([([70000],)], "ids array<int>"), path + "1")
 
 
+def test_shards_of_wide_ids(spark, tmp_path):
+    lists = [[70_000, 5], [2**32 - 1], None, list(range(65_530, 65_560))]
+    df = spark.createDataFrame([(x,) for x in lists], "ids array<long>").coalesce(1)
+    n = token_shards.write_shards(df, f"file://{tmp_path}/w", length=8, per_shard=2, id_bytes=4)
+    order = token_shards.SlotPermutation(n, 20240101)
+    rows = {int(order.sequence(np.array([r.slot]))[0]): np.frombuffer(r.tokens, "<u4").tolist() for r in token_shards.read_slots(spark, f"file://{tmp_path}/w").collect()}
+    stream = [x for ids in lists for x in [*(ids or []), 2]]
+    assert sum((rows[k] for k in range(n)), [])[: len(stream)] == stream
+    with pytest.raises(Exception, match="over 16 bits"):
+        token_shards.write_shards(df, f"file://{tmp_path}/x", length=8)
+
+
 # --- fingerprints
 
 
@@ -630,6 +642,21 @@ def test_png_filters():
     assert (width, height) == (64, 7)
 
 
+def test_large_images_in_bands(monkeypatch):
+    """The same files and samples in bands of a few rows; every filter type on both sides of a band's edge."""
+    r = np.random.default_rng(5)
+    images = [r.integers(0, 256, (n, 64)).astype(np.uint8) for n in (1, 7, 8, 9, 40)] + [np.frombuffer((b"some words of a text " * 200)[:2560], np.uint8).reshape(-1, 64)]
+    ends = np.cumsum([len(x) for x in images])
+    first, kinds = np.zeros(ends[-1], bool), r.integers(0, 5, ends[-1])
+    first[ends - [len(x) for x in images]] = True
+    whole = media.encode_pngs(images), media.filter_rows(np.concatenate(images), first, kinds)
+    for band in (1, 4, 8, 13):
+        monkeypatch.setattr(media, "BAND", band)
+        assert media.encode_pngs(images) == whole[0] and (media.filter_rows(np.concatenate(images), first, kinds) == whole[1]).all()
+        assert (media.unfilter(whole[1], first) == np.concatenate(images)).all()
+        assert all((a == b).all() for a, b in zip(media.decode_pngs(whole[0]), images, strict=True))
+
+
 def test_feature_equals_a_plain_cosine_transform():
     r = np.random.default_rng(2)
     for height in (1, 20, 32, 100):

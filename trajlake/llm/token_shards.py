@@ -58,54 +58,56 @@ class SlotPermutation:
         return self._walk(slot, False)
 
 
-def pack(df: DataFrame, ids: str = "ids", length: int = 1024, end: int = 2, pad: int = 0) -> DataFrame:
-    """Sequences of `length` 16-bit ids, packed over the documents of each input partition: part, pos, n_tokens, tokens.
+def pack(df: DataFrame, ids: str = "ids", length: int = 1024, end: int = 2, pad: int = 0, id_bytes: int = 2) -> DataFrame:
+    """Sequences of `length` ids of id_bytes (2 or 4, little-endian), packed over the documents of each input partition: part, pos, n_tokens, tokens.
 
-    A null or empty list is an end mark alone. The last sequence of a partition is filled up with `pad`.
+    A null or empty list is an end mark alone. The last sequence of a partition is filled up with `pad`. An id that doesn't
+    fit is an error.
     """
+    kind = np.dtype({2: np.uint16, 4: np.uint32}[id_bytes])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, pos, left = TaskContext.get().partitionId(), 0, np.zeros(0, np.uint16)
+        part, pos, left = TaskContext.get().partitionId(), 0, np.zeros(0, kind)
         for batch in batches:
             lists = batch.column(0)
             counts = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
             flat = np.asarray(lists.flatten())
-            if flat.size and (flat.min() < 0 or flat.max() > 0xFFFF):
-                raise ValueError("ids over 16 bits")
-            stream = np.full(len(flat) + len(counts), end, np.uint16)
+            if flat.size and (flat.min() < 0 or flat.max() >= 1 << 8 * id_bytes):
+                raise ValueError(f"ids over {8 * id_bytes} bits")
+            stream = np.full(len(flat) + len(counts), end, kind)
             stream[np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts)] = flat
             left = np.concatenate([left, stream])
             if whole := len(left) // length:
                 yield packed(part, pos, left[: whole * length].reshape(whole, length), length)
                 pos, left = pos + whole, left[whole * length :]
         if len(left):
-            row = np.full((1, length), pad, np.uint16)
+            row = np.full((1, length), pad, kind)
             row[0, : len(left)] = left
             yield packed(part, pos, row, len(left))
 
     def packed(part: int, pos: int, rows: np.ndarray, used: int) -> pa.RecordBatch:
-        n, stride = len(rows), 2 * rows.shape[1]
-        data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * stride), pa.py_buffer(rows.astype("<u2").tobytes())])
+        n, stride = len(rows), id_bytes * rows.shape[1]
+        data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * stride), pa.py_buffer(rows.astype(kind.newbyteorder("<")).tobytes())])
         columns = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), pa.array(np.full(n, used, np.int32)), data]
         return pa.RecordBatch.from_arrays(columns, names=["part", "pos", "n_tokens", "tokens"])
 
     return map_batches(df.select(ids), run, "part int, pos long, n_tokens int, tokens binary")
 
 
-def write_shards(df: DataFrame, path: str, key: int = 20240101, ids: str = "ids", length: int = 1024, per_shard: int = 1024, end: int = 2, pad: int = 0) -> int:
+def write_shards(df: DataFrame, path: str, key: int = 20240101, ids: str = "ids", length: int = 1024, per_shard: int = 1024, end: int = 2, pad: int = 0, id_bytes: int = 2) -> int:
     """Write the lists of ids in df as shards at `path` (a new Parquet folder); gives the number of sequences.
 
-    Each list is followed by the end mark. Numbering is by input partition and place in it, so equal input files give equal
+    Vocabularies of more than 65,536 pieces need id_bytes = 4. Each list is followed by the end mark. Numbering is by input partition and place in it, so equal input files give equal
     shards. An empty table writes an empty folder.
     """
     spark = df.sparkSession
-    sequences = kept(pack(df, ids, length, end, pad), "sequences", "zstd")
+    sequences = kept(pack(df, ids, length, end, pad, id_bytes), "sequences", "zstd")
     counts = sorted((r.part, r.n) for r in sequences.groupBy("part").agg(F.count("*").alias("n")).collect())  # one number for each input partition
     n = sum(x for _, x in counts)
     ahead = np.cumsum([0, *(x for _, x in counts)])[:-1].tolist()
     before = spark.sparkContext.broadcast(dict(zip([p for p, _ in counts], ahead, strict=True)))
     order, n_shards = SlotPermutation(n, key), max(1, -(-n // per_shard))
-    parts = min(n_shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * length * 2 >> 26))
+    parts = min(n_shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * length * id_bytes >> 26))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +122,7 @@ def write_shards(df: DataFrame, path: str, key: int = 20240101, ids: str = "ids"
 
         def row() -> pa.RecordBatch:
             data = b"".join(rows)
-            return pa.RecordBatch.from_pylist([{"shard": now, "first_slot": now * per_shard, "n_sequences": len(rows), "stride": length * 2, "crc32": zlib.crc32(data), "data": data}], schema=ARROW)
+            return pa.RecordBatch.from_pylist([{"shard": now, "first_slot": now * per_shard, "n_sequences": len(rows), "stride": length * id_bytes, "crc32": zlib.crc32(data), "data": data}], schema=ARROW)
 
         for batch in batches:
             for slot, tokens in zip(batch.column("slot").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
