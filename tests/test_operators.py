@@ -273,6 +273,20 @@ def test_registry_and_small_columns(spark):
     assert row.s == 90 and (row.a, row.b, row.c, row.d) == (4.0, 4.0, 6.0, 8.0)
 
 
+def test_selectors_stand_in_for_thresholds(spark):
+    """A predicate over columns equals the threshold it is written for; another leaves detections out of the passes."""
+    rows = spark.createDataFrame(moving_boxes(3, 45), DETECTIONS)
+    frames, found = rows.select("seq_id", "frame_idx", "frame_time").distinct(), rows.filter("conf IS NOT NULL").withColumn("good", F.col("x1") < 0.5)
+    run = lambda **more: rows_of(associate.associate(frames, found, ["seq_id"], **more).select("seq_id", "frame_idx", "conf", "x1"))
+    plain = run()
+    same = {name: F.col("conf") > associate.PARAMS[f"traj_{name}_thr"] for name in associate.PASSES}
+    assert run(selectors=same) == plain and run(trajectory_selectors={"initial": lambda t: t.state != associate.LOST}) == plain
+    best = run(selectors={name: c & F.col("good") for name, c in same.items()}, params={"new_traj_thr": 0.3})
+    assert best != plain
+    walks = {r.traj_id: r.n for r in associate.associate(frames, found.filter("NOT good"), ["seq_id"], selectors={name: F.lit(False) for name in associate.PASSES}).groupBy("traj_id", "seq_id").agg(F.count("*").alias("n")).collect()}
+    assert walks and max(walks.values()) <= 2  # nothing is matched: each goes after its first frame without a match
+
+
 # --- regions ahead
 
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.points import SIGMAS
@@ -43,6 +45,9 @@ def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 EXTRAS = ("subbox", "pose", "reid", "attr")
 #: A frame's displacement field: columns, rows, and the displacements row by row.
 FIELD = ("gw", "gh", "field_dx", "field_dy")
+#: The passes of matching; a column select_<pass> says which detections take part in it, in place of its threshold.
+PASSES = ("initial", "high", "low")
+SELECTS = tuple(f"select_{p}" for p in PASSES)
 SURE = 0.05
 KEEP = 0.5
 
@@ -116,6 +121,8 @@ class Associator:
     pair_score: Callable | None = None
     #: (boxes, boxes of trajectories) -> matrix of the pairs that are to be scored at all.
     blocking: Callable | None = None
+    #: By pass: which trajectories take part in it, in place of all (initial) or those that aren't lost (high, low).
+    trajectory_selectors: dict[str, Callable[[Trajectory], bool]] = field(default_factory=dict)
     #: Where a list, step() adds (number, box, box moved by the field, box of the filter) of each trajectory before its frame.
     predictions: list | None = None
 
@@ -167,13 +174,14 @@ class Associator:
 
         return unit(new) @ unit(old).T
 
-    def step(self, time: float, boxes: np.ndarray, confs: np.ndarray, classes: np.ndarray, parts: dict[str, list] | None = None, field: tuple | None = None) -> list[tuple]:
-        """(number, class, conf, x1, y1, x2, y2, then the parts) of every tracked object."""
+    def step(self, time: float, boxes: np.ndarray, confs: np.ndarray, classes: np.ndarray, parts: dict[str, list] | None = None, field: tuple | None = None, selected: dict[str, np.ndarray] | None = None) -> list[tuple]:
+        """(number, class, conf, x1, y1, x2, y2, then the parts) of every tracked object. selected: by pass, which detections
+        take part in it."""
         p, parts = self.params, parts or {}
         raised = confs + p["pose_conf"] * np.nansum(stacked(parts["pose"], 51)[:, 2::3], axis=1) if "pose" in parts else confs
         order = np.lexsort((boxes[:, 1], boxes[:, 0], -raised)) if len(boxes) else np.zeros(0, int)
         boxes, confs, classes, raised = boxes[order], confs[order], classes[order], raised[order]
-        parts = {k: [v[i] for i in order] for k, v in parts.items()}
+        parts, selected = {k: [v[i] for i in order] for k, v in parts.items()}, {k: v[order] for k, v in (selected or {}).items()}
         if vectors := [v for v in [*parts.get("reid", []), *(t.parts.get("reid") for t in self.trajectories)] if v is not None]:
             self.mean = np.mean(vectors, axis=0)
         elif "reid" in parts:
@@ -182,9 +190,9 @@ class Associator:
         if self.predictions is not None and waiting:
             flow, _ = self.moved(waiting, field, any("pose" in t.parts for t in waiting))
             self.predictions += [(t.number, *map(float, t.box), *map(float, f), *map(float, t.filter.predicted(time))) for t, f in zip(waiting, flow, strict=True)]
-        for name, all_states in (("initial", False), ("high", True), ("low", True)):
-            dets = np.flatnonzero(free & (raised > p[f"traj_{name}_thr"]))
-            olds = [t for t in waiting if all_states or t.state != LOST]
+        for name, all_states in zip(PASSES, (False, True, True), strict=True):
+            dets = np.flatnonzero(free & (selected[name] if name in selected else raised > p[f"traj_{name}_thr"]))
+            olds = [t for t in waiting if (self.trajectory_selectors[name](t) if name in self.trajectory_selectors else all_states or t.state != LOST)]
             if not len(dets) or not olds:
                 continue
             some = {k: [v[d] for d in dets] for k, v in parts.items()}
@@ -250,6 +258,7 @@ class Associator:
         boxes = rows[["x1", "y1", "x2", "y2"]].to_numpy(float)[order]
         parts = {c: [rows[c].iloc[k] for k in order] for c in extras}
         fields = [rows[c].iloc[order].tolist() for c in FIELD] if set(FIELD) <= set(rows.columns) else None
+        selects = {c.removeprefix("select_"): rows[c].fillna(False).to_numpy(bool)[order] for c in SELECTS if c in rows.columns}
         starts = np.flatnonzero(np.append(True, (time[1:] != time[:-1]) | (frame[1:] != frame[:-1]))) if len(order) else np.zeros(0, int)
         out = []
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
@@ -259,7 +268,7 @@ class Associator:
                 if fields and fields[2][lo] is not None:
                     motion = int(fields[0][lo]), int(fields[1][lo]), np.asarray(fields[2][lo], float), np.asarray(fields[3][lo], float)
                 self.predictions = None if ahead is None else []
-                found = self.step(float(time[lo]), boxes[some], conf[some], classes[some], {c: [v[k] for k in some] for c, v in parts.items()}, motion)
+                found = self.step(float(time[lo]), boxes[some], conf[some], classes[some], {c: [v[k] for k in some] for c, v in parts.items()}, motion, {c: v[some] for c, v in selects.items()})
                 out += [(int(frame[lo]), float(time[lo]), *row) for row in found]
                 if ahead is not None:
                     ahead += [(int(frame[lo]), float(time[lo]), *row) for row in self.predictions]
@@ -275,14 +284,15 @@ COLUMNS = ["frame_idx", "frame_time", "class_id", "conf", "x1", "y1", "x2", "y2"
 
 def with_segments(frames: DataFrame, detections: DataFrame, keys: list[str], least_conf: float, pose_conf: float = 0.0) -> DataFrame:
     """Each frame left-joined to its detections, with the part of the sequence it is in: a new part begins with the first
-    usable detection after END_AFTER + LOST_AFTER or more frames without one. Columns of EXTRAS (detections) and FIELD
+    usable detection after END_AFTER + LOST_AFTER or more frames without one. Columns of EXTRAS and SELECTS (detections) and FIELD
     (frames) go along."""
-    motion, extras = [c for c in FIELD if c in frames.columns], [c for c in EXTRAS if c in detections.columns]
+    motion, extras = [c for c in FIELD if c in frames.columns], [c for c in (*EXTRAS, *SELECTS) if c in detections.columns]
     joined = frames.select(*keys, "frame_idx", "frame_time", *motion).join(detections.select(*keys, "frame_idx", "class_id", "conf", "x1", "y1", "x2", "y2", *extras), [*keys, "frame_idx"], "left")
     conf = F.col("conf")
     if "pose" in extras:
         conf = conf + pose_conf * F.coalesce(total(F.filter("pose", lambda _, i: i % 3 == 2)), F.lit(0.0))
-    usable = joined.groupBy(*keys, "frame_idx", "frame_time").agg(F.coalesce(F.max(conf > least_conf), F.lit(False)).alias("usable"))
+    wanted = reduce(or_, (F.coalesce(c, F.lit(False)) for c in (conf > least_conf, *(F.col(s) for s in SELECTS if s in extras))))
+    usable = joined.groupBy(*keys, "frame_idx", "frame_time").agg(F.max(wanted).alias("usable"))
     order = ("frame_time", "frame_idx")
     numbered = pieces.carry(pieces.by_step(usable, "frame_time", pieces.SECONDS), keys, {"frames": F.count("*")}, {"frames_before": F.sum("frames").over(pieces.earlier(keys))})
     n = F.row_number().over(pieces.inside(keys, *order)) + F.coalesce("frames_before", F.lit(0))
@@ -296,20 +306,23 @@ def with_segments(frames: DataFrame, detections: DataFrame, keys: list[str], lea
     return joined.join(parts.select(*keys, "frame_idx", "segment"), [*keys, "frame_idx"])
 
 
-def associate(frames: DataFrame, detections: DataFrame, keys: list[str], params: dict | None = None, split: bool = True, pair_score: Callable | None = None, blocking: Callable | None = None) -> DataFrame:
+def associate(frames: DataFrame, detections: DataFrame, keys: list[str], params: dict | None = None, split: bool = True, pair_score: Callable | None = None, blocking: Callable | None = None, selectors: dict[str, Column] | None = None, trajectory_selectors: dict[str, Callable[[Trajectory], bool]] | None = None) -> DataFrame:
     """Trajectories of all sequences: keys, frame_idx, frame_time, traj_id, class_id, conf, box, and those of EXTRAS that
-    detections have. pair_score and blocking: see Associator.
+    detections have. pair_score, blocking and trajectory_selectors: see Associator. selectors: by pass (PASSES), a predicate
+    over the detections' columns for those that take part in it.
 
     traj_id is segment << 32 | number. split=False folds whole sequences, with equal trajectories but for their ids.
     """
     chosen = PARAMS | (params or {})
     least = min(chosen[k] for k in ("traj_initial_thr", "traj_high_thr", "traj_low_thr", "new_traj_thr"))
+    if selectors:
+        detections = detections.withColumns({f"select_{name}": c for name, c in selectors.items()})
     rows = with_segments(frames, detections, keys, least, chosen["pose_conf"])
     if not split:
         rows = rows.withColumn("segment", F.lit(0).cast("long"))
 
     def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        out = Associator(chosen, pair_score=pair_score, blocking=blocking).frames(group[used])
+        out = Associator(chosen, pair_score=pair_score, blocking=blocking, trajectory_selectors=trajectory_selectors or {}).frames(group[used])
         out["traj_id"] += int(key[-1]) << 32
         for k, name in enumerate(keys):
             out.insert(k, name, key[k])
@@ -317,7 +330,7 @@ def associate(frames: DataFrame, detections: DataFrame, keys: list[str], params:
 
     kinds = dict(rows.dtypes)
     extras = [c for c in EXTRAS if c in kinds]
-    used = [*COLUMNS, *extras, *(c for c in FIELD if c in kinds)]
+    used = [*COLUMNS, *extras, *(c for c in (*FIELD, *SELECTS) if c in kinds)]
     return rows.groupBy(*keys, "segment").applyInPandas(fold, ", ".join([*(f"{k} {kinds[k]}" for k in keys), OUT, *(f"{c} array<double>" for c in extras)]))
 
 
@@ -329,7 +342,7 @@ def predict(frames: DataFrame, detections: DataFrame, keys: list[str], params: d
     least = min(chosen[k] for k in ("traj_initial_thr", "traj_high_thr", "traj_low_thr", "new_traj_thr"))
     rows = with_segments(frames, detections, keys, least, chosen["pose_conf"])
     kinds = dict(rows.dtypes)
-    used = [*COLUMNS, *(c for c in (*EXTRAS, *FIELD) if c in kinds)]
+    used = [*COLUMNS, *(c for c in (*EXTRAS, *FIELD, *SELECTS) if c in kinds)]
 
     def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         ahead = []
