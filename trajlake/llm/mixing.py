@@ -54,15 +54,16 @@ def mix(rows: DataFrame, weights: dict[str | None, int] | None = None, key: str
     weights: whole parts by source, 1 at least (a ValueError otherwise, as no row may be lost); a source that isn't named gets
     one part. Without weights, parts follow rows ** exponent. The period, and so the number of sources, bounds the one row
     that the schedule is made in: it is meant for some thousands. A null source is a source like others. Rows of a source are ordered by a hash of the key and the columns `ties`, then by
-    these; rows that are equal in them follow one another, in one task, so that ties should tell rows apart where keys are
+    the key and two more hashes of the ties; rows that are equal in them follow one another, in one task, so that ties should tell rows apart where keys are
     null or repeated. The last block of a source may be short. An empty table gives an empty one; columns called block, slot or
     place are replaced, others go along whatever their names.
     """
     if weights and min(weights.values()) < 1:
         raise ValueError("every source's weight must be 1 or more")
     told = [key, *(ties or [])]
+    digest = [F.xxhash64(F.lit(k), *ties).alias(f"h{k}") for k in range(2)] if ties else []  # in place of the ties, which can be whole texts
     hashed = rows.select(
-        F.struct(*rows.drop("block", "slot", "place").columns).alias("row"), F.struct(*told).alias("_key"),
+        F.struct(*rows.drop("block", "slot", "place").columns).alias("row"), F.struct(F.col(key), *digest).alias("_key"),
         F.coalesce(F.col(source).cast("string"), F.lit(MISSING)).alias("_source"), F.shiftrightunsigned(F.xxhash64(*told), 1).alias("_order"),
     )
     counts = kept(hashed.groupBy("_source").agg(F.count("*").alias("n")).withColumnRenamed("_source", "source"), "counts")
