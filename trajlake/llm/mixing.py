@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.tables import kept
 
-ROWS_PER_BUCKET = 2048
+ROWS_PER_BUCKET, ROWS_PER_PART = 2048, 1 << 16
 MISSING = "<null>"
 
 
@@ -90,8 +90,10 @@ def mix(rows: DataFrame, weights: dict[str | None, int] | None = None, key: str
 
 
 def in_order(mixed: DataFrame) -> DataFrame:
-    """The rows of mix() in the order of their slots: partition by partition, and within each."""
-    last = mixed.agg(F.max("slot")).first()[0] or 0
-    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """The rows of mix() in the order of their slots: partition by partition, and within each. With many rows there are more
+    partitions, each with about ROWS_PER_PART of them."""
+    last, total = mixed.agg(F.max("slot"), F.count("*")).first()
+    last = last or 0
+    parts = max(int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // ROWS_PER_PART)
     dealt = mixed.repartitionById(parts, F.floor(F.col("slot") * parts / (last + 1)).cast("int"))
     return dealt.sortWithinPartitions("slot", "place")
