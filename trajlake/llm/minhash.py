@@ -29,6 +29,8 @@ BANDS, ROWS = 60, 5
 BINS = BANDS * ROWS
 #: Most classes and shingles that a block of a bucket holds on average, and values compared at a time.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1 << 19, 8192
+#: Members of buckets for each task that compares blocks; many members make more tasks.
+MEMBERS_PER_PART = 1 << 16
 #: Parts that the pairs of one centre are dealt into.
 SALTS = 1024
 
@@ -280,7 +282,7 @@ def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, total: in
     named = members.select("key", "rep", "n").join(labels, F.col("rep") == labels.v, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     named = kept(named, "open")
     rows = open_blocks(named, total).join(sets.select("rep", "hashes"), "rep")
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // MEMBERS_PER_PART)
     dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
