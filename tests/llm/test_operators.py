@@ -719,3 +719,12 @@ def test_globs_equal_fnmatch():
     found = automaton.run(np.frombuffer(raw, np.uint8).astype(np.int16), np.concatenate([[0], np.cumsum([len(x) for x in texts])]))
     assert automaton.n_words > 4
     assert found.tolist() == [[fnmatchcase(t, x) for x in globs] for t in texts]
+
+
+def test_many_rows_are_ordered_in_more_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_PART", 50)
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    ordered = mixing.in_order(mixing.mix(df, {"a": 1, "b": 2}, block_rows=5))
+    assert ordered.rdd.getNumPartitions() == 20
+    places = [(r.slot, r.place) for r in ordered.select("slot", "place").collect()]
+    assert places == sorted(places) and len(places) == 1000
