@@ -500,6 +500,38 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert all(x.kept == (x.doc_id == x.component_id) for x in found)
 
 
+def test_only_bands_of_large_buckets_are_joined(spark, monkeypatch):
+    """Joins by bucket get about the members of large buckets, not all bands of all classes."""
+    base = [f"word{k}" for k in range(60)]
+    texts = {d: " ".join(base[:d] + [f"x{d}"] + base[d + 1 :]) for d in range(40)}  # near one another
+    texts |= {1000 + k: " ".join(f"w{k}x{i}" for i in range(8)) for k in range(2000)}
+    joined = []
+
+    def counting(rows, groups, keys, size, total):
+        if keys == ["key"]:
+            joined.append(rows.count())
+        return join_groups(rows, groups, keys, size, total)
+
+    monkeypatch.setattr(minhash, "join_groups", counting)
+    found = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == brute_components(texts)
+    assert len(joined) >= 2 and 0 < max(joined) <= 2 * 40 * minhash.BANDS  # all bands: 2040 * BANDS
+
+
+def test_members_of_buckets_equal_a_join(spark):
+    r = random.Random(6)
+    keys = [r.getrandbits(64) - 2**63 for _ in range(300)]
+    rows = [(rep, [*r.sample(keys, 2), r.getrandbits(64) - 2**63]) for rep in range(900)]
+    banded = spark.createDataFrame(rows, "rep long, bands array<long>").repartition(3)
+    large = banded.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("size")).filter("size > 5")
+    sizes = {x.key: x.size for x in large.collect()}
+    expected = sorted((rep, key, sizes[key]) for rep, bands in rows for key in bands if key in sizes)
+    assert expected and len(expected) < 1800
+    for most_bits in (28, 15):  # the smaller lets others pass
+        assert sorted((x.rep, x.key, x.size) for x in minhash.members_of(banded, large, most_bits).collect()) == expected
+    assert minhash.members_of(banded, large.limit(0)).count() == 0
+
+
 def test_short_near_duplicates_are_not_lost(spark):
     texts = {}
     for k in range(1500):  # of similarity exactly 0.75: four shingles and three of them

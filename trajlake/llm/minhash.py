@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,16 +120,24 @@ def sketch(documents: DataFrame, key: str, text: str, k: int) -> DataFrame:
     return map_batches(rows, run, "doc_id long, text_hash long, n long, d1 long, d2 long, bands array<long>")
 
 
-def marks(wanted: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits: the places of the ids and text hashes of `wanted`."""
-    place = wanted.select(place_of(F.col("first_id"), F.col("text_hash"), bits).alias("place"))
-    segments = place.groupBy(F.shiftright("place", 15).alias("segment")).agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32767))).alias("bits"))
+def marks(places: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits with the numbers in `place` set."""
+    place = F.col("place")
+    segments = places.groupBy(F.shiftright(place, 15).alias("segment")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits"))
     out = np.zeros((1 << bits - 15, 4096), np.uint8)
     for row in segments.toLocalIterator():  # 2**bits at most
         out[row.segment] = np.frombuffer(row.bits, np.uint8)
     return out.ravel()
 
 
+def marked(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def bits_for(n: int, each: int, most_bits: int) -> int:
+    return min(most_bits, max(18, (each * n).bit_length()))
+
+
 def place_of(doc_id: Column, text_hash: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(doc_id, text_hash), F.lit(1 << bits))
 
@@ -140,13 +149,12 @@ def full_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str, k: i
     Only rows that a bitmap of these (32 MB at most; a full one costs work, not links) lets pass are made into sets, and no
     text is shuffled.
     """
-    bits = min(most_bits, max(18, (16 * wanted.count()).bit_length()))
-    sent = documents.sparkSession.sparkContext.broadcast(marks(wanted, bits))
+    bits = bits_for(wanted.count(), 16, most_bits)
+    sent = documents.sparkSession.sparkContext.broadcast(marks(wanted.select(place_of(F.col("first_id"), F.col("text_hash"), bits).alias("place")), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = np.asarray(batch.column("place"))
-            batch = batch.filter(pa.array((sent.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+            batch = batch.filter(pa.array(marked(sent.value, np.asarray(batch.column("place")))))
             for _, _, data, offsets in pieces(batch.column("text")):
                 hashes, second, at = shingle_sets(data, offsets, k)
                 d1, d2 = set_digest(hashes, second, at)
@@ -188,6 +196,30 @@ def distinct_buckets(keys: DataFrame) -> DataFrame:
     return found.groupBy("size", "lo", "hi", "x0", "x1").agg(F.min("key").alias("key")).drop("x1")
 
 
+def members_of(banded: DataFrame, large: DataFrame, most_bits: int = 28) -> DataFrame:
+    """rep, key and size of all members of the buckets `large` (key, size) among the classes (rep, bands).
+
+    Of the bands only those are rows that a bitmap of these keys lets pass (32 MB at most; a fuller one costs work, not members); the join
+    to the keys decides. So what is joined grows with the members, not with all bands of all classes.
+    """
+    told = large.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    bits = bits_for(told[0], 64, most_bits)
+    low = (1 << bits) - 1
+    sent = banded.sparkSession.sparkContext.broadcast(marks(large.select(F.col("key").bitwiseAND(F.lit(low)).alias("place")), bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column("bands")
+            keys, parents = np.asarray(bands.flatten()), np.asarray(pc.list_parent_indices(bands))
+            passed = np.flatnonzero(marked(sent.value, keys & low))
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(parents[passed])), pa.array(keys[passed])], names=["rep", "key"])
+
+    rows = kept(map_batches(banded.select("rep", "bands"), run, "rep long, key long"), "passed")
+    out = kept(join_groups(rows, large, ["key"], "size", told[1]), "members")
+    drop(rows)
+    return out
+
+
 def close_sizes(percent: int) -> Column:
     """Sizes alone don't rule out a link."""
     return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
@@ -320,10 +352,9 @@ def judged(documents: DataFrame, key: str, text: str, k: int, percent: int) -> D
     plain = kept(rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "d1", "d2"), "plain")
     drop(rows)
     reps = kept(banded.drop("bands"), "classes")
-    keys = banded.select("rep", F.explode("bands").alias("key"))
-    buckets = kept(distinct_buckets(keys), "buckets")
+    buckets = kept(distinct_buckets(banded.select("rep", F.explode("bands").alias("key"))), "buckets")
     large = buckets.filter("size > 3").select("key", "size")
-    found = kept(join_groups(keys, large, ["key"], "size", reps.count() * BANDS), "members")
+    found = members_of(banded, large)
     drop(banded)
     members = kept(found.join(reps.select("rep", "n"), "rep"), "sized")
     n_members = members.count()
