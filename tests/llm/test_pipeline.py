@@ -5,8 +5,9 @@ from collections import Counter
 import numpy as np
 import xxhash
 
+import corpus_pipeline
 from tests.llm.test_operators import brute_components, brute_removed
-from trajlake.llm import sentencepiece
+from trajlake.llm import minhash, sentencepiece
 
 
 def brute_mixing(docs, block_rows=64, exponent=0.5, period=1000):
@@ -43,3 +44,20 @@ def test_pipeline_equals_plain_loops(spark, sf_dir):
     want = {d: (good[d].source, *places[d], tuple(own.encode([t])[0].tolist())) for d, t in texts.items()}
     found = {r.doc_id: (r.source, r.slot, r.place, tuple(r.ids)) for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert found == want
+
+
+def test_near_duplicates_join_only_bands_of_large_buckets(spark, monkeypatch):
+    base = [f"word{k}" for k in range(60)]
+    texts = [" ".join(base[:d] + [f"x{d}"] + base[d + 1 :]) for d in range(20)] + [" ".join(f"w{k}x{i}" for i in range(8)) for k in range(500)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    join_groups, joined = minhash.join_groups, []
+
+    def counting(rows, groups, keys, size, total):
+        if keys == ["key"]:
+            joined.append(rows.count())
+        return join_groups(rows, groups, keys, size, total)
+
+    monkeypatch.setattr(minhash, "join_groups", counting)
+    stays = sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect())
+    assert stays == [0, *range(20, 520)]
+    assert 0 < max(joined) <= 2 * 20 * minhash.BANDS  # all bands: 520 * BANDS
