@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.compare import rows_of
 from trajlake.functions import geometry as g
-from trajlake.functions import labels
+from trajlake.functions import labels, vectors
 from trajlake.functions.vectors import running_blend
 from trajlake.operators import associate, clearmot, detection, identity, motion, rollup, sweep, timegrid
 from trajlake.operators import frames as frames_ops
@@ -776,3 +776,12 @@ def test_curve_and_blend_in_ranges(spark):
         assert np.allclose(blends[c], state, atol=1e-9)
     before = {(r.label, r.vec_id): r.previous for r in frames_ops.with_previous(vectors, ["label"], "embedding", "vec_id").collect()}
     assert all(v == (None if k == 0 else [float(c + (k - 1) % 5), float(k - 1)]) for (c, k), v in before.items()) and len(before) == 180
+
+
+def test_binary_rounding_keeps_the_sign_of_zero(spark):
+    """What SQL's round gives for binary numbers; the product of the third is exactly half."""
+    values = [-2e-7, 2e-7, 1.0000005, -1.0000005, 0.0, -0.0, 0.1234565, float("nan"), float("inf")]
+    want = [math.copysign(math.floor(abs(v) * 1e6 + 0.5) / 1e6, v) if math.isfinite(v) else v for v in values]
+    found = [r.r for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(vectors.rounded(F.col("v"), 6).alias("r")).collect()]
+    assert list(map(str, found)) == list(map(str, want))
+    assert str(found[0]) == "-0.0"

@@ -37,3 +37,10 @@ def running_blend(ordered: Column, share: float = 0.5) -> Column:
     """The exponential mean of an ordered array of vectors."""
     rest = F.slice(ordered, F.lit(2), F.size(ordered))
     return F.aggregate(rest, F.transform(F.get(ordered, F.lit(0)), lambda x: x.cast("double")), lambda s, v: F.zip_with(s, v, lambda x, y: share * y + (1 - share) * x))
+
+
+def rounded(x: Column, places: int) -> Column:
+    """x to so many places as SQL engines with binary numbers round: x * 10**places to the next whole number, halves away from
+    0, and small negative numbers to -0.0. (Spark's round goes by decimal digits and has no negative zero.)"""
+    scale = 10.0**places
+    return F.signum(x) * (F.round(F.abs(x) * scale, 0) / scale)

@@ -608,7 +608,7 @@ def embedding_ema(spark: SparkSession, d: str) -> DataFrame:
 def attribute_blend(spark: SparkSession, d: str) -> DataFrame:
     out = fr.with_previous(embeddings(spark, d), ["label"], "embedding", "vec_id", "a").filter("a IS NOT NULL")
     wide = lambda c: F.transform(c, lambda x: x.cast("double"))
-    return out.select("vec_id", F.transform(vectors.max_blend(wide("a"), wide("embedding")), lambda x: F.round(x, 6)).alias("blend"))
+    return out.select("vec_id", F.transform(vectors.max_blend(wide("a"), wide("embedding")), lambda x: vectors.rounded(x, 6)).alias("blend"))
 
 
 @query(""", fx_sig AS (SELECT i, s FROM (SELECT unnest(range(17)) AS i, unnest([0.026,0.025,0.025,0.035,0.035,0.079,0.079,0.072,0.072,0.062,0.062,0.107,0.107,0.087,0.087,0.089,0.089]::DOUBLE[]) AS s)),
