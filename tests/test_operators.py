@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +14,8 @@ from trajlake.functions import labels, vectors
 from trajlake.functions.vectors import running_blend
 from trajlake.operators import associate, clearmot, detection, identity, motion, rollup, sweep, timegrid
 from trajlake.operators import frames as frames_ops
-from trajlake.operators.assignment import assign, best_pairs
+from trajlake.operators.assignment import assign, assign_lists, best_pairs
+from trajlake.plans import catalogue
 from trajlake.sources import annotations
 from trajlake.streaming import keyed, online
 
@@ -785,3 +787,86 @@ def test_binary_rounding_keeps_the_sign_of_zero(spark):
     found = [r.r for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(vectors.rounded(F.col("v"), 6).alias("r")).collect()]
     assert list(map(str, found)) == list(map(str, want))
     assert str(found[0]) == "-0.0"
+
+
+def crowded(random, frames):
+    """Boxes of five lanes that move, leave their lane, go missing and have no height."""
+    out = []
+    for f in range(frames):
+        n = int(random.integers(0, 7))
+        out += [(f, f / 8, None, *[math.nan] * 5)] * (n == 0)
+        for _ in range(n):
+            x, y = random.integers(0, 5) * 0.14 + random.integers(-3, 4) / 64, 0.2 + random.integers(-2, 3) / 64
+            out.append((f, f / 8, int(random.integers(0, 2)), random.integers(1, 64) / 64, x, y, x + 0.1 + random.integers(0, 3) / 64, y + (0.4 if random.random() > 0.01 else 0.0)))
+    return pd.DataFrame(out, columns=associate.COLUMNS)
+
+
+@pytest.mark.filterwarnings("ignore::RuntimeWarning")
+@pytest.mark.parametrize("params", [{}, catalogue.LANES, {"delete_dup_iou": 0.3, "kf_weight": 1.3, "kf_warmup": 0.4}, {"fuse_scores": 1.0, "match_thr_low": 0.0, "delete_dup_iou": 0.0}, {"traj_buffer_seconds": 0.5, "match_thr_initial": 0.05, "match_thr_high": 0.05, "delete_dup_iou": 0.1}])
+def test_plain_steps_equal_steps_by_arrays(params):
+    """The same rows and predictions, bit by bit, as by step(), which a blocking that blocks nothing calls for."""
+    rows = crowded(np.random.default_rng(len(params)), 300)
+    tables = {}
+    for name, blocking in (("plain", None), ("arrays", lambda a, b: np.ones((len(a), len(b)), bool))):
+        walk, ahead = associate.Associator(associate.PARAMS | params, blocking=blocking), []
+        found = [walk.frames(part, ahead) for _, part in rows.groupby(rows.frame_idx // 70)]
+        tables[name] = pd.concat(found).to_numpy(float), pd.concat(ahead).to_numpy(float)
+    assert all(np.array_equal(a, b, equal_nan=True) and len(a) > 100 for a, b in zip(tables["plain"], tables["arrays"], strict=True))
+
+
+def test_small_assignment_has_the_steps_of_the_large_one():
+    random = np.random.default_rng(3)
+    for _ in range(300):
+        cost = -random.integers(0, 4, random.integers(1, 7, 2)) / 4  # many ties
+        assert assign_lists(cost.tolist()) == assign(cost)
+
+
+def test_a_long_sequence_is_folded_batch_by_batch(spark):
+    """Frames that lie across Arrow batches, two groups in a task, null keys: as whole tables, never more than a batch at once."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = crowded(np.random.default_rng(5), 200)
+    table = [(s, *(None if isinstance(v, float) and math.isnan(v) else v for v in r)) for s in ("a", None) for r in rows.itertuples(index=False)]
+    whole = spark.createDataFrame(table, f"seq string, frame_idx long, frame_time double, class_id double, conf double, {BOX}").withColumns({"class_id": F.col("class_id").cast("int"), "segment": F.lit(3).cast("long")})
+    sizes = spark.sparkContext.accumulator(0)
+
+    class Counted(associate.Associator):
+        def frames(self, rows, ahead=None):
+            if len(rows) > 13 + 7:
+                sizes.add(1)
+            return super().frames(rows, ahead)
+
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "13")
+    try:
+        found = associate.walked(whole, ["seq", "segment"], lambda _: Counted(dict(associate.PARAMS)), associate.COLUMNS, associate.OUT).collect()
+    finally:
+        spark.conf.set(setting, before)
+    want = associate.Associator(dict(associate.PARAMS)).frames(rows)
+    for seq in ("a", None):
+        assert sorted(tuple(r)[1:] for r in found if r.seq == seq) == sorted((*r[:2], r[2] + (3 << 32), *r[3:]) for r in want.itertuples(index=False, name=None))
+    assert sizes.value == 0
+
+
+def test_ambiguous_components_are_folded_batch_by_batch(spark):
+    """The same events whatever the batches, and no table of a whole component in a worker."""
+    random, setting = np.random.default_rng(8), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = [(f, o, 50 + h, float(random.integers(0, 5)) / 8) for f in range(150) for o in range(4) for h in range(4) if random.random() < 0.4]
+    pairs = spark.createDataFrame([(s, *r) for s in (0, 1) for r in rows], "seq_id long, frame_idx long, oid long, hid long, d double")
+    before, whole = spark.conf.get(setting), clearmot.fold_matches
+    sizes = spark.sparkContext.accumulator(0)
+
+    def counted(group, last=None):
+        if len(group) > 11 + 16:
+            sizes.add(1)
+        return whole(group, last)
+
+    spark.conf.set(setting, "11")
+    clearmot.fold_matches = counted
+    try:
+        found = rows_of(clearmot.matches(pairs, ["seq_id"]))
+    finally:
+        spark.conf.set(setting, before)
+        clearmot.fold_matches = whole
+    want = whole(pd.DataFrame(rows, columns=["frame_idx", "oid", "hid", "d"]))
+    assert found == sorted(((r[4], r[0], r[3], r[2], s, r[1]) for s in (0, 1) for r in want.itertuples(index=False, name=None)), key=repr)
+    assert sizes.value == 0

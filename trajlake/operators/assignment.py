@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -37,6 +39,44 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[c]), c) for c in range(columns) if owner[c] < rows and finite[owner[c], c])
 
 
+def assign_lists(cost: list[list[float]]) -> list[tuple[int, int]]:
+    """assign() of costs in lists, with the same steps and results: faster for matrices of some dozens of numbers."""
+    rows, columns = len(cost), len(cost[0]) if cost else 0
+    if not rows or not columns:
+        return []
+    if rows > columns:
+        return sorted((r, c) for c, r in assign_lists(list(map(list, zip(*cost, strict=True)))))
+    finite = [[math.isfinite(x) for x in line] for line in cost]
+    if not all(map(all, finite)):
+        there = [x for line in cost for x in line if math.isfinite(x)]
+        top = float(np.abs(there).sum() + 1) if there else 1.0
+        cost = [[x if math.isfinite(x) else top for x in line] for line in cost]
+    u, v, owner = [0.0] * (rows + 1), [0.0] * (columns + 1), [rows] * (columns + 1)
+    for row in range(rows):
+        owner[columns], at = row, columns
+        least, before, done = [math.inf] * columns, [columns] * columns, [False] * (columns + 1)
+        while owner[at] != rows:
+            done[at] = True
+            line, less, step, to = cost[owner[at]], u[owner[at]], math.inf, 0
+            for c in range(columns):
+                if not done[c]:
+                    slack = line[c] - less - v[c]
+                    if slack < least[c]:
+                        least[c], before[c] = slack, at
+                    if least[c] < step:
+                        step, to = least[c], c
+            for c in range(columns + 1):
+                if done[c]:
+                    u[owner[c]] += step
+                    v[c] -= step
+                elif c < columns:
+                    least[c] -= step
+            at = to
+        while at != columns:
+            owner[at], at = owner[before[at]], before[at]
+    return sorted((owner[c], c) for c in range(columns) if owner[c] < rows and finite[owner[c]][c])
+
+
 def best_pairs(left: np.ndarray, right: np.ndarray, gain: np.ndarray) -> np.ndarray:
     """Numbers of the pairs (left, right; whole gains of 0 or more) of a one-to-one choice with the largest sum: an auction.
 

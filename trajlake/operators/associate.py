@@ -6,7 +6,7 @@ detection that no trajectory survives; the parts are folded as groups of their o
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.points import SIGMAS
 from ..functions.vectors import total
 from . import pieces
-from .assignment import assign
+from .assignment import assign, assign_lists
+from .folds import fold
 from .motion import SAMPLES, BoxFilter
 from .tables import kept
 
@@ -89,20 +90,45 @@ def point_similarity(new: np.ndarray, old: np.ndarray, areas: np.ndarray, scale:
     return np.where(n > 4, near / (n + 1e-7), np.nan)
 
 
-def measured(box: np.ndarray) -> np.ndarray:
+def measured(box: Sequence[float]) -> tuple[float, float, float, float]:
     """Centre, ratio and height of a box."""
-    h = box[3] - box[1]
-    return np.array([(box[0] + box[2]) / 2, (box[1] + box[3]) / 2, (box[2] - box[0]) / h if h else 0.0, h])
-
-
-@dataclass
+    x1, y1, x2, y2 = map(float, box)
+    h = y2 - y1
+    return (x1 + x2) / 2, (y1 + y2) / 2, (x2 - x1) / h if h else 0.0, h
+
+
+def overlap(a: Sequence[float], b: Sequence[float]) -> float:
+    """iou_matrix() of two boxes."""
+    (x1, y1, x2, y2), (u1, v1, u2, v2) = a, b
+    wide = (x2 if x2 < u2 else u2) - (x1 if x1 > u1 else u1)
+    if wide > 0:
+        high = (y2 if y2 < v2 else v2) - (y1 if y1 > v1 else v1)
+        if high > 0:
+            common = wide * high
+            whole = (x2 - x1) * (y2 - y1) + (u2 - u1) * (v2 - v1) - common
+            return common / whole if whole > 0 else 0.0
+    return 0.0
+
+
+def chosen(hits: list[tuple[int, int, float]], rows: int, columns: int) -> list[tuple[int, int, float]]:
+    """Those pairs (row, column, score over 0, in order) of a matrix that are matched one to one with the largest sum."""
+    if len(hits) == 1 or len({h[0] for h in hits}) == len(hits) == len({h[1] for h in hits}):  # nothing to choose
+        return hits
+    cost, scores = [[0.0] * columns for _ in range(rows)], {(r, c): score for r, c, score in hits}
+    for (r, c), score in scores.items():
+        cost[r][c] = -score
+    return [(*pair, scores[pair]) for pair in assign_lists(cost) if pair in scores]
+
+
+@dataclass(slots=True)
 class Trajectory:
     number: int
-    box: np.ndarray
+    box: Sequence[float]
     conf: float
     class_id: int
     state: str
-    filter: BoxFilter
+    #: None where its weight is 0 and nobody asks for predictions.
+    filter: BoxFilter | None
     seen: float
     observations: int = 1
     missed: int = 0
@@ -178,6 +204,8 @@ class Associator:
         """(number, class, conf, x1, y1, x2, y2, then the parts) of every tracked object. selected: by pass, which detections
         take part in it."""
         p, parts = self.params, parts or {}
+        for t in self.trajectories:
+            t.filter = t.filter or BoxFilter(measured(t.box), t.seen)
         raised = confs + p["pose_conf"] * np.nansum(stacked(parts["pose"], 51)[:, 2::3], axis=1) if "pose" in parts else confs
         order = np.lexsort((boxes[:, 1], boxes[:, 0], -raised)) if len(boxes) else np.zeros(0, int)
         boxes, confs, classes, raised = boxes[order], confs[order], classes[order], raised[order]
@@ -227,6 +255,88 @@ class Associator:
         self.trajectories, self.last_time = self._without_duplicates(alive), time
         return [(t.number, t.class_id, t.conf, *map(float, t.box), *(t.parts.get(n) for n in parts)) for t in self.trajectories if t.state == TRACKED]
 
+    def plain_step(self, time: float, found: list[tuple], rule: tuple, ahead: list | None = None) -> list[Trajectory]:
+        """step() where detections are boxes alone (confidence, box, class, confidence as scores are weighted by it; in order
+        of confidence, x1 and y1) and nothing is plugged in: the same numbers one by one, as arrays of a frame's few boxes
+        take many times as long. ahead gets the rows of `predictions`. Gives the tracked trajectories."""
+        passes, start, sure, buffer, duplicate, kf_weight, warmup, filtered = rule
+        olds, alive = self.trajectories, []
+        free, waiting, near = list(range(len(found))), list(range(len(olds))), None
+        if ahead is not None:
+            ahead += [(t.number, *t.box, *t.box, *t.filter.predicted(time)) for t in olds]
+        if free and waiting:
+            sides = []
+            for t in olds:
+                x1, y1, x2, y2 = t.box
+                weight = kf_weight * (1 - max(0.1, 1 / t.observations) ** warmup) if kf_weight and t.observations > 1 else 0.0
+                sides.append((x1, y1, x2, y2, (x2 - x1) * (y2 - y1), weight, t.filter.predicted(time) if weight else None))
+            near = []
+            for _, box, _, _ in found:
+                u1, v1, u2, v2 = box
+                size, scores = (u2 - u1) * (v2 - v1), []
+                near.append(scores)
+                for o, (x1, y1, x2, y2, area, weight, expected) in enumerate(sides):
+                    score = 0.0
+                    wide = (u2 if u2 < x2 else x2) - (u1 if u1 > x1 else x1)
+                    if wide > 0:
+                        high = (v2 if v2 < y2 else y2) - (v1 if v1 > y1 else y1)
+                        if high > 0:
+                            common = wide * high
+                            whole = size + area - common
+                            if whole > 0:
+                                score = common / whole
+                    if weight:
+                        score = (score + overlap(box, expected) * weight) / (1 + weight)
+                    if score > 0:
+                        scores.append((o, score))
+            for name, over, least, lost_too in passes:
+                rows = [d for d in free if found[d][0] > over]
+                if not rows or not waiting:
+                    continue
+                columns = [o for o in waiting if lost_too or olds[o].state != LOST]
+                at = {o: c for c, o in enumerate(columns)}
+                hits = [(r, at[o], score) for r, d in enumerate(rows) for o, score in near[d] if o in at and not score < least and score * found[d][3] > 0]
+                if not hits:
+                    continue
+                hits = [(r, c, score * found[rows[r]][3]) for r, c, score in hits]
+                for r, c, _ in chosen(hits, len(rows), len(columns)):
+                    d, o = rows[r], columns[c]
+                    t, (conf, box, kind, _) = olds[o], found[d]
+                    if filtered:
+                        t.filter.update(measured(box), time)
+                    t.box, t.conf, t.class_id, t.seen, t.parts = box, conf, kind, time, {}
+                    t.observations, t.missed = t.observations + 1, 0
+                    if name != "low" or t.state == LOST:
+                        t.state = TRACKED
+                    alive.append(t)
+                    free.remove(d)
+                    waiting.remove(o)
+        for d in free:
+            conf, box, kind, _ = found[d]
+            if conf > start:
+                alive.append(Trajectory(self.started, box, conf, kind, TRACKED if conf > sure else NEW, BoxFilter(measured(box), time) if filtered else None, time))
+                self.started += 1
+        for o in waiting:
+            t = olds[o]
+            t.missed += 1
+            if t.state == TRACKED:
+                if t.missed >= LOST_AFTER:
+                    t.state = LOST
+                alive.append(t)
+            elif time - t.seen < buffer and t.missed < END_AFTER:
+                alive.append(t)
+        tracked = [t for t in alive if t.state == TRACKED]
+        if duplicate < 1.5:  # no overlap is larger
+            lost = [t for t in alive if t.state == LOST]
+            hits = [(r, c, score) for r, t in enumerate(tracked) for c, o in enumerate(lost) if (score := overlap(t.box, o.box)) >= duplicate] if lost else []
+            if hits and duplicate > 0:
+                gone = {lost[c].number for _, c, _ in chosen(hits, len(tracked), len(lost))}
+                alive = [t for t in alive if t.number not in gone]
+            elif hits:
+                alive = self._without_duplicates(alive)
+        self.trajectories, self.last_time = alive, time
+        return tracked
+
     @staticmethod
     def _blended(new: dict, old: dict) -> dict:
         """A detection's parts in its trajectory: attributes lean to the larger value, embeddings are averaged over time."""
@@ -248,8 +358,10 @@ class Associator:
 
     def frames(self, rows: pd.DataFrame, ahead: list | None = None) -> pd.DataFrame:
         """Step through rows (COLUMNS, and EXTRAS and FIELD where there are some); a row without a box is a frame without
-        detections. Frames not after the last one are left out. ahead: a list that gets a row of PREDICTED for each
+        detections. Frames not after the last one are left out. ahead: a list that gets tables of PREDICTED, a row for each
         trajectory before each frame."""
+        if self.pair_score is None and self.blocking is None and not self.trajectory_selectors and rows.columns.isin(COLUMNS).all():
+            return self.plain_frames(rows, ahead)
         extras = [c for c in EXTRAS if c in rows.columns]
         time, frame = rows.frame_time.to_numpy(float), rows.frame_idx.to_numpy(np.int64)
         order = np.lexsort((frame, time))
@@ -271,15 +383,58 @@ class Associator:
                 found = self.step(float(time[lo]), boxes[some], conf[some], classes[some], {c: [v[k] for k in some] for c, v in parts.items()}, motion, {c: v[some] for c, v in selects.items()})
                 out += [(int(frame[lo]), float(time[lo]), *row) for row in found]
                 if ahead is not None:
-                    ahead += [(int(frame[lo]), float(time[lo]), *row) for row in self.predictions]
+                    ahead.append(columns_of([(int(frame[lo]), float(time[lo]), *row) for row in self.predictions], PREDICTED))
         return pd.DataFrame(out, columns=["frame_idx", "frame_time", "traj_id", "class_id", "conf", "x1", "y1", "x2", "y2", *extras])
 
+    def plain_frames(self, rows: pd.DataFrame, ahead: list | None = None) -> pd.DataFrame:
+        """frames() by plain_step()."""
+        p = self.params
+        filtered = bool(p["kf_weight"]) or ahead is not None
+        for t in self.trajectories:
+            t.filter = t.filter or (BoxFilter(measured(t.box), t.seen) if filtered else None)
+        passes = [(n, p[f"traj_{n}_thr"], p[f"match_thr_{n}"], lost_too) for n, lost_too in zip(PASSES, (False, True, True), strict=True)]
+        rule = passes, p["new_traj_thr"], p["immediate_confirm_thr"], p["traj_buffer_seconds"], p["delete_dup_iou"], p["kf_weight"], p["kf_warmup"], filtered
+        time, frame, conf = rows.frame_time.to_numpy(float), rows.frame_idx.to_numpy(np.int64), rows.conf.to_numpy(float)
+        x1, y1 = rows.x1.to_numpy(float), rows.y1.to_numpy(float)
+        order = np.lexsort((y1, x1, -conf, frame, time))
+        starts = np.flatnonzero(np.append(True, (np.diff(time[order]) != 0) | (np.diff(frame[order]) != 0))) if len(order) else np.zeros(0, int)
+        ends = np.append(starts[1:], len(order))
+        found, told = [], []
+        for low in range(0, len(starts), FRAMES_AT_ONCE):  # lists of a few frames, arrays of all
+            some = order[starts[low] : ends[min(low + FRAMES_AT_ONCE, len(starts)) - 1]]
+            sure = np.nan_to_num(conf[some])
+            boxes = zip(x1[some].tolist(), y1[some].tolist(), rows.x2.to_numpy(float)[some].tolist(), rows.y2.to_numpy(float)[some].tolist(), strict=True)
+            classes = rows.class_id.iloc[some].fillna(0).to_numpy(int).tolist()
+            each = list(zip(sure.tolist(), boxes, classes, (sure ** p["fuse_scores"]).tolist(), strict=True))
+            first, out, expected = starts[low], [], []
+            there = np.append(0, np.cumsum(~np.isnan(conf[some])))  # the others are last in their frame
+            at, to = starts[low : low + FRAMES_AT_ONCE] - first, ends[low : low + FRAMES_AT_ONCE] - first
+            for now, number, lo, hi in zip(time[some[at]].tolist(), frame[some[at]].tolist(), at.tolist(), (at + there[to] - there[at]).tolist(), strict=True):
+                if now > self.last_time:
+                    before = [] if ahead is not None else None
+                    out += [(number, now, t.number, t.class_id, t.conf, *t.box) for t in self.plain_step(now, each[lo:hi], rule, before)]
+                    if before:
+                        expected += [(number, now, *row) for row in before]
+            found.append(columns_of(out, OUT_NAMES))
+            if ahead is not None:
+                ahead.append(columns_of(expected, PREDICTED))
+        return pd.concat(found) if found else columns_of([], OUT_NAMES)
+
 
 OUT = "frame_idx long, frame_time double, traj_id long, class_id int, conf double, x1 double, y1 double, x2 double, y2 double"
 #: Where a trajectory was last, where the field moves it, and where its filter expects it.
 SIDES = ("from", "flow", "filter")
 PREDICTED = ["frame_idx", "frame_time", "traj_id", *(f"{s}_{c}" for s in SIDES for c in ("x1", "y1", "x2", "y2"))]
 COLUMNS = ["frame_idx", "frame_time", "class_id", "conf", "x1", "y1", "x2", "y2"]
+OUT_NAMES = [c.split()[0] for c in OUT.split(", ")]
+#: Frames whose rows are Python objects at one time.
+FRAMES_AT_ONCE = 4096
+
+
+def columns_of(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """A table of rows of numbers, whole ones in frame_idx, traj_id and class_id."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pd.DataFrame({n: np.array(c, np.int64 if n in ("frame_idx", "traj_id", "class_id") else float) for n, c in zip(names, columns, strict=True)})
 
 
 def with_segments(frames: DataFrame, detections: DataFrame, keys: list[str], least_conf: float, pose_conf: float = 0.0) -> DataFrame:
@@ -288,6 +443,7 @@ def with_segments(frames: DataFrame, detections: DataFrame, keys: list[str], lea
     (frames) go along."""
     motion, extras = [c for c in FIELD if c in frames.columns], [c for c in (*EXTRAS, *SELECTS) if c in detections.columns]
     joined = frames.select(*keys, "frame_idx", "frame_time", *motion).join(detections.select(*keys, "frame_idx", "class_id", "conf", "x1", "y1", "x2", "y2", *extras), [*keys, "frame_idx"], "left")
+    joined = kept(joined, "joined")  # read twice, and the detections behind it may take a sort
     conf = F.col("conf")
     if "pose" in extras:
         conf = conf + pose_conf * F.coalesce(total(F.filter("pose", lambda _, i: i % 3 == 2)), F.lit(0.0))
@@ -301,11 +457,33 @@ def with_segments(frames: DataFrame, detections: DataFrame, keys: list[str], lea
     cut = pieces.carry(numbered, keys, {"used": F.max(used)}, {"used_before": F.max("used").over(pieces.earlier(keys))})
     before = F.coalesce(F.last(used, True).over(pieces.inside(keys, *order).rowsBetween(Window.unboundedPreceding, -1)), "used_before")
     starts = cut.withColumn("starts", F.coalesce((F.col("usable") & (F.col("n") - before > END_AFTER + LOST_AFTER)).cast("int"), F.lit(0))).drop("used_before")
+    if starts.filter("starts = 1").isEmpty():  # each sequence is one part
+        return joined.withColumn("segment", F.lit(0).cast("long"))
     cut = pieces.carry(starts, keys, {"parts": F.sum("starts")}, {"parts_before": F.sum("parts").over(pieces.earlier(keys))})
     parts = cut.withColumn("segment", F.sum("starts").over(pieces.up_to_here(keys, *order)) + F.coalesce("parts_before", F.lit(0)))
     return joined.join(parts.select(*keys, "frame_idx", "segment"), [*keys, "frame_idx"])
 
 
+def walked(rows: DataFrame, by: list[str], start: Callable[[tuple], Associator], used: list[str], schema: str, ahead: bool = False) -> DataFrame:
+    """by without its last, the segment, and what Associator.frames() gives for `used` (ahead: predictions in place of it), traj_id
+    as segment << 32 | number."""
+
+    def begin(key: tuple) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        walker = start(key)
+
+        def walk(group: pd.DataFrame) -> pd.DataFrame:
+            before = [] if ahead else None
+            out = walker.frames(group, before)
+            if ahead:
+                out = pd.concat(before) if before else columns_of([], PREDICTED)
+            out["traj_id"] += int(key[-1]) << 32
+            return out
+
+        return walk
+
+    return fold(rows, by, ["frame_time", "frame_idx"], used, begin, schema)
+
+
 def associate(frames: DataFrame, detections: DataFrame, keys: list[str], params: dict | None = None, split: bool = True, pair_score: Callable | None = None, blocking: Callable | None = None, selectors: dict[str, Column] | None = None, trajectory_selectors: dict[str, Callable[[Trajectory], bool]] | None = None) -> DataFrame:
     """Trajectories of all sequences: keys, frame_idx, frame_time, traj_id, class_id, conf, box, and those of EXTRAS that
     detections have. pair_score, blocking and trajectory_selectors: see Associator. selectors: by pass (PASSES), a predicate
@@ -313,48 +491,35 @@ def associate(frames: DataFrame, detections: DataFrame, keys: list[str], params:
 
     traj_id is segment << 32 | number. split=False folds whole sequences, with equal trajectories but for their ids.
     """
-    chosen = PARAMS | (params or {})
-    least = min(chosen[k] for k in ("traj_initial_thr", "traj_high_thr", "traj_low_thr", "new_traj_thr"))
+    settings = PARAMS | (params or {})
+    least = min(settings[k] for k in ("traj_initial_thr", "traj_high_thr", "traj_low_thr", "new_traj_thr"))
     if selectors:
         detections = detections.withColumns({f"select_{name}": c for name, c in selectors.items()})
-    rows = with_segments(frames, detections, keys, least, chosen["pose_conf"])
+    rows = with_segments(frames, detections, keys, least, settings["pose_conf"])
     if not split:
         rows = rows.withColumn("segment", F.lit(0).cast("long"))
 
-    def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        out = Associator(chosen, pair_score=pair_score, blocking=blocking, trajectory_selectors=trajectory_selectors or {}).frames(group[used])
-        out["traj_id"] += int(key[-1]) << 32
-        for k, name in enumerate(keys):
-            out.insert(k, name, key[k])
-        return out
+    def start(_: tuple) -> Associator:
+        return Associator(settings, pair_score=pair_score, blocking=blocking, trajectory_selectors=trajectory_selectors or {})
 
     kinds = dict(rows.dtypes)
     extras = [c for c in EXTRAS if c in kinds]
     used = [*COLUMNS, *extras, *(c for c in (*FIELD, *SELECTS) if c in kinds)]
-    return rows.groupBy(*keys, "segment").applyInPandas(fold, ", ".join([*(f"{k} {kinds[k]}" for k in keys), OUT, *(f"{c} array<double>" for c in extras)]))
+    return walked(rows, [*keys, "segment"], start, used, ", ".join([OUT, *(f"{c} array<double>" for c in extras)]))
 
 
 def predict(frames: DataFrame, detections: DataFrame, keys: list[str], params: dict | None = None) -> DataFrame:
     """What associate() expects before each frame: keys, frame_idx, frame_time, traj_id and three boxes of every trajectory
     alive, lost ones too: its last one (from_x1 and so on), the one moved by the displacement field and grown over its sure points (flow_)
     and the filter's (filter_). Regions of the next detection come from these (frames.regions_ahead)."""
-    chosen = PARAMS | (params or {})
-    least = min(chosen[k] for k in ("traj_initial_thr", "traj_high_thr", "traj_low_thr", "new_traj_thr"))
-    rows = with_segments(frames, detections, keys, least, chosen["pose_conf"])
+    settings = PARAMS | (params or {})
+    least = min(settings[k] for k in ("traj_initial_thr", "traj_high_thr", "traj_low_thr", "new_traj_thr"))
+    rows = with_segments(frames, detections, keys, least, settings["pose_conf"])
     kinds = dict(rows.dtypes)
     used = [*COLUMNS, *(c for c in (*EXTRAS, *FIELD, *SELECTS) if c in kinds)]
 
-    def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        ahead = []
-        Associator(chosen).frames(group[used], ahead)
-        out = pd.DataFrame(ahead, columns=PREDICTED)
-        out["traj_id"] += int(key[-1]) << 32
-        for k, name in enumerate(keys):
-            out.insert(k, name, key[k])
-        return out
-
     boxes = ", ".join(f"{c} double" for c in PREDICTED[3:])
-    return rows.groupBy(*keys, "segment").applyInPandas(fold, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"frame_idx long, frame_time double, traj_id long, {boxes}"]))
+    return walked(rows, [*keys, "segment"], lambda _: Associator(settings), used, f"frame_idx long, frame_time double, traj_id long, {boxes}", ahead=True)
 
 
 #: Associators by name; each is (frames, detections, keys, params) -> trajectories. Add to it to plug in another.

@@ -7,38 +7,90 @@ window gives each object's last partner. Only the other components go through a
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .assignment import assign
+from .assignment import assign, assign_lists
 from .components import pair_components
+from .folds import fold
 from .pairs import iou_pairs
 from .tables import kept
 from .timegrid import nearest
 
 
+#: Rows that are Python objects at one time.
+ROWS_AT_ONCE = 1 << 16
+
+
 def fold_matches(group: pd.DataFrame, last: dict[int, int] | None = None) -> pd.DataFrame:
     """Events (frame_idx, type, oid, hid, d) of one component's pairs, frame by frame. `last` holds each object's last
     partner, and is carried on."""
     last, out = {} if last is None else last, []
-    for frame, rows in group.sort_values(["frame_idx", "oid", "hid"]).groupby("frame_idx", sort=True):
-        near = {(o, h): d for o, h, d in zip(rows.oid, rows.hid, rows.d, strict=True)}
-        found, used = {}, set()
-        for o in sorted({o for o, _ in near}):
-            h = last.get(o)
-            if (o, h) in near and h not in used:
-                found[o] = h
-                used.add(h)
-        oids = sorted({o for o, _ in near} - found.keys())
-        hids = sorted({h for _, h in near} - used)
-        cost = np.array([[near.get((o, h), np.inf) for h in hids] for o in oids]).reshape(len(oids), len(hids))
-        found |= {oids[r]: hids[c] for r, c in assign(cost)}
+    frames, oids, hids, ds = (group[c].to_numpy() for c in ("frame_idx", "oid", "hid", "d"))
+    order = np.lexsort((hids, oids, frames))
+    frames, oids, hids, ds = frames[order], oids[order], hids[order], ds[order].astype(float)
+    starts = np.flatnonzero(np.append(True, frames[1:] != frames[:-1])) if len(order) else np.zeros(0, int)
+    at = 0
+    while at < len(order):
+        upto = np.searchsorted(starts, at + ROWS_AT_ONCE)
+        to = int(starts[upto]) if upto < len(starts) else len(order)
+        part = frames[at:to], oids[at:to], hids[at:to], ds[at:to]
+        out.append(_clear(*part, last) if _all_clear(*part[:3]) else _by_frame(*part, last))
+        at = to
+    return pd.concat(out) if out else pd.DataFrame({"frame_idx": frames, "type": np.zeros(0, object), "oid": oids, "hid": hids, "d": ds})
+
+
+def _all_clear(frames: np.ndarray, oids: np.ndarray, hids: np.ndarray) -> bool:
+    """Whether no object and no prediction has two pairs in a frame; rows are in order of frame and object."""
+    if oids.dtype.kind != "i" or hids.dtype.kind != "i" or ((frames[1:] == frames[:-1]) & (oids[1:] == oids[:-1])).any():
+        return False
+    order = np.lexsort((hids, frames))
+    return not ((np.diff(frames[order]) == 0) & (np.diff(hids[order]) == 0)).any()
+
+
+def _clear(frames: np.ndarray, oids: np.ndarray, hids: np.ndarray, ds: np.ndarray, last: dict[int, int]) -> pd.DataFrame:
+    """Events of pairs of which all are matched."""
+    order = np.lexsort((frames, oids))
+    o, h = oids[order], hids[order]
+    first = np.append(True, o[1:] != o[:-1])
+    before = np.append(0, h[:-1])
+    before[first] = [last.get(x, y) for x, y in zip(o[first].tolist(), h[first].tolist(), strict=True)]
+    ends = np.append(o[1:] != o[:-1], True)
+    last.update(zip(o[ends].tolist(), h[ends].tolist(), strict=True))
+    switch = np.empty(len(order), bool)
+    switch[order] = h != before
+    return pd.DataFrame({"frame_idx": frames, "type": np.where(switch, "SWITCH", "MATCH").astype(object), "oid": oids, "hid": hids, "d": ds})
+
+
+def _by_frame(frames: np.ndarray, oids: np.ndarray, hids: np.ndarray, ds: np.ndarray, last: dict[int, int]) -> pd.DataFrame:
+    starts = np.flatnonzero(np.append(True, frames[1:] != frames[:-1])).tolist()
+    number, o_all, h_all, d_all, out = frames.tolist(), oids.tolist(), hids.tolist(), ds.tolist(), []
+    for low, high in zip(starts, [*starts[1:], len(number)], strict=True):
+        pairs = list(zip(o_all[low:high], h_all[low:high], strict=True))
+        near = dict(zip(pairs, d_all[low:high], strict=True))
+        left, right = {o for o, _ in pairs}, {h for _, h in pairs}
+        if len(left) == len(right) == len(pairs):  # nothing to choose
+            found = dict(pairs)
+        else:
+            found, used = {}, set()
+            for o in sorted(left):
+                h = last.get(o)
+                if (o, h) in near and h not in used:
+                    found[o] = h
+                    used.add(h)
+            rows, columns = sorted(left - found.keys()), sorted(right - used)
+            cost = [[near.get((o, h), math.inf) for h in columns] for o in rows]
+            found |= {rows[r]: columns[c] for r, c in (assign_lists(cost) if len(rows) * len(columns) <= 256 else assign(np.array(cost).reshape(len(rows), len(columns))))}
         for o, h in sorted(found.items()):
-            out.append((frame, "SWITCH" if last.get(o, h) != h else "MATCH", o, h, near[o, h]))
+            out.append((number[low], "SWITCH" if last.get(o, h) != h else "MATCH", o, h, near[o, h]))
             last[o] = h
-    return pd.DataFrame(out, columns=["frame_idx", "type", "oid", "hid", "d"])
+    columns = zip(*out, strict=True) if out else [()] * 5
+    return pd.DataFrame({n: np.array(c, k) for (n, k), c in zip((("frame_idx", frames.dtype), ("type", object), ("oid", oids.dtype), ("hid", hids.dtype), ("d", float)), columns, strict=True)})
 
 
 def matches(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,18 +102,16 @@ def matches(pairs: DataFrame, keys: list[str]) -> DataFrame:
     double = kept(counted[0].unionByName(counted[1]).distinct(), "double")
     if double.isEmpty():  # nothing to choose in any frame
         return pairs.withColumn("type", kind).select(*columns)
-    labels = pair_components(pairs, keys)
+    labels = kept(pair_components(pairs, keys), "components")
     unclear = labels.join(double, [*keys, "oid"]).select(*keys, "component").distinct()
     labelled = pairs.join(labels, [*keys, "oid", "hid"])
     clear = labelled.join(unclear, [*keys, "component"], "left_anti").withColumn("type", kind)
 
-    def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        out = fold_matches(group)
-        for k, name in enumerate(keys):
-            out.insert(k, name, key[k])
-        return out
+    def start(_: tuple) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        last = {}
+        return lambda rows: fold_matches(rows, last)
 
-    folded = labelled.join(unclear, [*keys, "component"], "left_semi").groupBy(*keys, "component").applyInPandas(fold, ", ".join([*(f"{k} {dict(pairs.dtypes)[k]}" for k in keys), "frame_idx long, type string, oid long, hid long, d double"]))
+    folded = fold(labelled.join(unclear, [*keys, "component"], "left_semi"), [*keys, "component"], ["frame_idx"], ["frame_idx", "oid", "hid", "d"], start, "frame_idx long, type string, oid long, hid long, d double")
     return clear.select(*columns).unionByName(folded.select(*columns))
 
 
@@ -70,8 +120,8 @@ def events(objects: DataFrame, predictions: DataFrame, keys: list[str], max_dist
     iou_pairs(), where they are there already."""
     frame = [*keys, "frame_idx"]
     if pairs is None:
-        pairs = iou_pairs(objects, predictions, frame, max_distance)
-    found = matches(pairs, keys)
+        pairs = kept(iou_pairs(objects, predictions, frame, max_distance), "pairs")
+    found = kept(matches(pairs, keys), "matches")  # read three times
     nothing = F.lit(None).cast("long")
     missed = objects.select(*frame, F.col("traj_id").alias("oid")).join(found, [*frame, "oid"], "left_anti").select(*frame, F.lit("MISS").alias("type"), "oid", nothing.alias("hid"), F.lit(None).cast("double").alias("d"))
     false = predictions.select(*frame, F.col("traj_id").alias("hid")).join(found, [*frame, "hid"], "left_anti").select(*frame, F.lit("FP").alias("type"), nothing.alias("oid"), "hid", F.lit(None).cast("double").alias("d"))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .associate import COLUMNS, OUT, PARAMS, Associator, with_segments
+from .associate import COLUMNS, OUT, PARAMS, Associator, walked, with_segments
 from .clearmot import events, measures
-from .tables import _file_system, kept
+from .pairs import iou_pairs
+from .tables import _file_system, drop, kept
 
 OUT_OF_BOUNDS = -10000.0
 
@@ -51,18 +51,13 @@ def sweep(candidates: dict[str, dict], frames: DataFrame, detections: DataFrame,
     work = with_segments(frames, detections, keys, least).crossJoin(F.broadcast(names))  # configuration: one row for each candidate
     by = ["candidate", *keys]
 
-    def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        out = Associator(PARAMS | candidates[key[0]]).frames(group[COLUMNS])
-        out["traj_id"] += int(key[-1]) << 32
-        for k, name in enumerate(by):
-            out.insert(k, name, key[k])
-        return out
-
-    kinds = dict(work.dtypes)
-    trajectories = work.groupBy(*by, "segment").applyInPandas(fold, ", ".join([*(f"{k} {kinds[k]}" for k in by), OUT]))
+    trajectories = walked(work, [*by, "segment"], lambda key: Associator(PARAMS | candidates[key[0]]), COLUMNS, OUT)
     gt = objects.crossJoin(F.broadcast(names))
     trajectories = kept(trajectories, "sweep")  # read several times from here on
-    scores = measures(kept(events(gt, trajectories, by, max_distance), "events"), by)
+    gated = kept(iou_pairs(gt, trajectories, [*by, "frame_idx"], max_distance), "pairs")
+    log = kept(events(gt, trajectories, by, max_distance, gated), "events")
+    drop(gated, trajectories)
+    scores = measures(log, by)
     pool = ["candidate"]
     if splits is not None:
         scores, pool = scores.join(splits.select(*keys, "split"), keys), ["candidate", "split"]

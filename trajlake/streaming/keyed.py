@@ -14,7 +14,6 @@ import math
 import pickle
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,14 +30,17 @@ SEQUENCE = "started long, last_time double, late long"
 
 def as_entry(place: int, t: Trajectory) -> tuple:
     f = t.filter
-    return (place, t.box.tolist(), t.conf, t.class_id, t.state, f.time, f.p.tolist(), f.v.tolist(), f.c.ravel().tolist(), t.seen, t.observations, t.missed, pickle.dumps(t.parts))
+    kept = (None, None, None, None) if f is None else (f.time, list(f.p), list(f.v), list(f.c))
+    return (place, list(map(float, t.box)), t.conf, t.class_id, t.state, *kept, t.seen, t.observations, t.missed, pickle.dumps(t.parts))
 
 
 def from_entry(number: int, entry: tuple) -> Trajectory:
     _, box, conf, class_id, state, time, p, v, c, seen, observations, missed, parts = entry
-    own = BoxFilter.__new__(BoxFilter)
-    own.time, own.p, own.v, own.c = time, np.array(p), np.array(v), np.array(c).reshape(3, 4)
-    return Trajectory(number, np.array(box), conf, class_id, state, own, seen, observations, missed, pickle.loads(bytes(parts)))
+    own = None
+    if time is not None:
+        own = BoxFilter.__new__(BoxFilter)
+        own.time, own.p, own.v, own.c = time, tuple(p), tuple(v), tuple(c)
+    return Trajectory(number, tuple(box), conf, class_id, state, own, seen, observations, missed, pickle.loads(bytes(parts)))
 
 
 class Association(StatefulProcessor):
