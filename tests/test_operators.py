@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.compare import rows_of
 from trajlake.functions import geometry as g
-from trajlake.functions import labels, vectors
+from trajlake.functions import labels, points, vectors
 from trajlake.functions.vectors import running_blend
 from trajlake.operators import associate, clearmot, detection, identity, motion, rollup, sweep, timegrid
 from trajlake.operators import frames as frames_ops
@@ -870,3 +870,13 @@ def test_ambiguous_components_are_folded_batch_by_batch(spark):
     want = whole(pd.DataFrame(rows, columns=["frame_idx", "oid", "hid", "d"]))
     assert found == sorted(((r[4], r[0], r[3], r[2], s, r[1]) for s in (0, 1) for r in want.itertuples(index=False, name=None)), key=repr)
     assert sizes.value == 0
+
+
+def test_points_are_picked_without_arrays_of_them(spark):
+    """Rows as by unpack(), of every length; the plan evaluates nothing for each number of the array but what is picked."""
+    rows = spark.createDataFrame([(k, None if k == 9 else [float(v) for v in range(k)]) for k in range(10)], "k int, flat array<double>")
+    found = points.unpacked(rows, "flat", "at")
+    want = [(k, i, *(float(3 * i + j) for j in range(3))) for k in range(9) for i in range(k // 3)]
+    assert sorted(map(tuple, found.collect())) == want
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in catalogue.unpack_points(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The COCO constants of the 17 body points.
@@ -15,6 +15,14 @@ def unpack(flat: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(flat, i * 3).alias("x"), F.get(flat, i * 3 + 1).alias("y"), F.get(flat, i * 3 + 2).alias("conf")))).otherwise(F.slice(F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("conf"))), 1, 0))
 
 
+def unpacked(df: DataFrame, flat: str, index: str) -> DataFrame:
+    """df with a row for each point of unpack(), its place (index) and x, y and conf in place of `flat`. The numbers are picked
+    from the rows' array as they are, with no array of points between."""
+    n, at = F.floor(F.size(flat) / 3).cast("int"), F.col(index) * 3
+    rows = df.withColumn(index, F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))))
+    return rows.withColumns({"x": F.get(flat, at), "y": F.get(flat, at + 1), "conf": F.get(flat, at + 2)}).drop(flat)
+
+
 def similarity(a: Column, b: Column, area_a: Column, area_b: Column, distance_scale: float = 1.0) -> Column:
     """Object key point similarity of two arrays of 17 points: the mean of exp(-d**2 / (2 s k**2)) over the points that
     both have; null unless more than four."""

@@ -629,9 +629,8 @@ def adjusted_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT seq_id, frame_idx, traj_id, kp_idx, x, y, kp_conf FROM fx_kp")
 def unpack_points(spark: SparkSession, d: str) -> DataFrame:
-    flat = F.flatten(F.transform("points", lambda p: F.array(p["x"], p["y"], p["conf"])))
-    one = fx.points(spark, d).select(*CORE, F.posexplode(points.unpack(flat)).alias("kp_idx", "p"))
-    return one.select(*CORE, F.col("kp_idx").cast("long").alias("kp_idx"), "p.x", "p.y", F.col("p.conf").alias("kp_conf"))
+    one = points.unpacked(fx.points(spark, d).select(*CORE, "flat"), "flat", "kp_idx")
+    return one.select(*CORE, F.col("kp_idx").cast("long").alias("kp_idx"), "x", "y", F.col("conf").alias("kp_conf"))
 
 
 @query("SELECT DISTINCT traj_id, printf('%x', 3203334144 + traj_id) AS label FROM fx_hyp")

@@ -128,5 +128,6 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     """gt() with its 17 key points as an array, and as flat numbers."""
     ok, ln = _ids()
     i = F.sequence(F.lit(0), F.lit(16))
-    value = lambda k: F.struct((F.col("x1") + k * 6).alias("x"), (F.col("y1") + k * 24).alias("y"), (((ok + ln + k) % 10) / 16.0).alias("conf"))
-    return gt(spark, d).withColumn("points", F.transform(i, value))
+    value = lambda k: [(F.col("x1") + k * 6).alias("x"), (F.col("y1") + k * 24).alias("y"), (((ok + ln + k) % 10) / 16.0).alias("conf")]
+    flat = F.array(*(v.cast("double") for k in range(17) for v in value(k)))
+    return gt(spark, d).withColumns({"points": F.transform(i, lambda k: F.struct(*value(k))), "flat": flat})
