@@ -880,3 +880,26 @@ def test_points_are_picked_without_arrays_of_them(spark):
     assert sorted(map(tuple, found.collect())) == want
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in catalogue.unpack_points(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_tables_are_replayed_in_more_batches(spark, monkeypatch):
+    counts, rows = [], spark.range(90).select(F.col("id").alias("frame_idx"), (F.col("id") / 8).alias("frame_time"))
+    monkeypatch.setattr(catalogue, "BATCH_ROWS", 10)
+
+    def run(stream):
+        counts.append(1)
+        return stream
+
+    assert sorted(r.frame_idx for r in catalogue._replayed(spark, rows, "stream", run).collect()) == list(range(90)) and len(counts) == 9
+
+
+def test_events_of_frames_in_parts(monkeypatch):
+    """All pairs of a frame meet, however few at a time; no object is asked frame by frame."""
+    random = np.random.default_rng(4)
+    rows = pd.DataFrame([(s, f, t, x := float(random.integers(0, 40)), 0.0, x + 10, 10.0) for f in range(40) for s in (0, 1) for t in range(random.integers(0, 6))], columns=["side", "frame_idx", "traj_id", "x1", "y1", "x2", "y2"])
+    whole = online.frame_events({}, rows, 0.45)
+    monkeypatch.setattr(online, "ROWS_AT_ONCE", 5)
+    parts = online.frame_events({}, rows.sample(frac=1, random_state=1), 0.45)
+    key = ["frame_idx", "type", "oid", "hid"]
+    assert whole.sort_values(key).reset_index(drop=True).equals(parts.sort_values(key).reset_index(drop=True))
+    assert (whole.type != "FP").sum() == (rows.side == 0).sum() and whole.hid.notna().sum() == (rows.side == 1).sum()

@@ -731,17 +731,26 @@ def latest_results(spark: SparkSession, d: str) -> DataFrame:
     return rollup.latest(results_).select("ds_key", "test_key", "value")
 
 
+#: Rows of a micro-batch, about: a worker holds those of one sequence.
+BATCH_ROWS = 5_000_000
+
+
 def _replayed(spark: SparkSession, rows: DataFrame, name: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Quarters of rows by time, each written as files of a folder and taken by the stream as one batch; what the stream wrote."""
-    from ..operators.tables import new_path
+    """Quarters of rows by time, or smaller parts of large tables, each written as files of a folder and taken by the stream as
+    one batch; what the stream wrote."""
+    from ..operators.tables import drop, new_path
 
     source, out, checkpoint = new_path(spark, name), new_path(spark, name), new_path(spark, "checkpoint")
-    cuts = [-1.0, *rows.agg(F.percentile_approx("frame_time", [0.25, 0.5, 0.75], 1000)).first()[0], float("inf")]
+    rows = kept(rows, "rows")
+    n = max(4, -(-rows.count() // BATCH_ROWS))
+    cuts = rows.agg(F.percentile_approx("frame_time", [k / n for k in range(1, n)], 1000 * n)).first()[0]
+    cuts = [-1.0, *sorted(set(cuts)), float("inf")]
     for low, high in zip(cuts[:-1], cuts[1:], strict=True):  # one after the other, as a stream's files come
         rows.filter((F.col("frame_time") > low) & (F.col("frame_time") <= high)).write.mode("overwrite").parquet(f"{source}/part")
         stream = spark.readStream.schema(rows.schema).parquet(f"{source}/part")
         query_ = run(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query_.awaitTermination()
+    drop(rows)
     return spark.read.parquet(out)
 
 

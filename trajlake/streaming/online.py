@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.associate import COLUMNS, OUT, PARAMS, Associator, iou_matrix
+from ..operators.associate import COLUMNS, OUT, PARAMS, Associator
 from ..operators.clearmot import fold_matches
 
 
 #: Seconds that event times lie after frame times: a stream's first watermark is 0, and rows at it are dropped.
 SHIFT = 1_000_000
+#: Rows of a result that become an Arrow table at one time, and pairs of boxes that are compared.
+ROWS_AT_ONCE = 1 << 16
 
 
 def _run(df: DataFrame, key: str, start: Callable[[], object], step: Callable[[object, pd.DataFrame], pd.DataFrame], out: str, delay: float | None, idle: float | None) -> DataFrame:
@@ -50,7 +52,9 @@ def _run(df: DataFrame, key: str, start: Callable[[], object], step: Callable[[o
             found = step(inner, ready)
             found.insert(0, key, group[0])
             found["late"] = late
-            yield found
+            for k in range(0, len(found), ROWS_AT_ONCE):
+                yield found.iloc[k : k + ROWS_AT_ONCE]
+            del found
         if delay is not None and idle and not len(wait) and mark >= last + idle:
             state.remove()
             return
@@ -90,30 +94,49 @@ def matches_stream(pairs: DataFrame, key: str = "seq_id", delay: float | None =
 
 
 BOX = ["x1", "y1", "x2", "y2"]
+#: Sides of the log, as numbers: strings would take most of a worker's memory.
+OBJECT, PREDICTION, TICK = 0, 1, 2
 EVENTS = "frame_idx long, type string, oid long, hid long, d double"
 
 
 def frame_events(last: dict[int, int], rows: pd.DataFrame, max_distance: float) -> pd.DataFrame:
     """All events (EVENTS) of whole frames (side, frame_idx, traj_id, box): what fold_matches() matches, a MISS for each other
     object and an FP for each other prediction. `last` holds each object's last partner, and is carried on."""
-    sides = {s: rows[rows.side == s].sort_values(["frame_idx", "traj_id", *BOX]) for s in ("object", "prediction")}
-    near = [pd.DataFrame(columns=["frame_idx", "oid", "hid", "d"])]
-    predictions = dict(iter(sides["prediction"].groupby("frame_idx")))
-    for frame, objects in sides["object"].groupby("frame_idx"):
-        if frame in predictions:
-            apart = 1 - iou_matrix(objects[BOX].to_numpy(float), predictions[frame][BOX].to_numpy(float))
-            o, h = (apart <= max_distance).nonzero()
-            near.append(pd.DataFrame({"frame_idx": frame, "oid": objects.traj_id.to_numpy()[o], "hid": predictions[frame].traj_id.to_numpy()[h], "d": apart[o, h]}))
-    found = fold_matches(pd.concat(near[1:] or near), last)
+    objects, predictions = ({c: rows[c].to_numpy(k)[order] for c, k in (("frame_idx", np.int64), ("traj_id", np.int64), *((b, float) for b in BOX))} for order in (_ordered(rows, s) for s in (OBJECT, PREDICTION)))
+    low, high = (np.searchsorted(predictions["frame_idx"], objects["frame_idx"], side) for side in ("left", "right"))
+    before = np.append(0, np.cumsum(high - low))  # pairs in the frames of the objects before
+    near, at = [], 0
+    while at < len(low):  # frames in which about so many pairs meet
+        to = max(at + 1, int(np.searchsorted(before, before[at] + ROWS_AT_ONCE)))
+        n = (high - low)[at:to]
+        o = np.repeat(np.arange(at, min(to, len(low))), n)
+        h = np.arange(len(o)) - np.repeat(np.cumsum(n) - n, n) + low[o]
+        apart = 1 - _overlaps([objects[b][o] for b in BOX], [predictions[b][h] for b in BOX])
+        some = apart <= max_distance
+        near.append(pd.DataFrame({"frame_idx": objects["frame_idx"][o[some]], "oid": objects["traj_id"][o[some]], "hid": predictions["traj_id"][h[some]], "d": apart[some]}))
+        at = to
+    found = fold_matches(pd.concat(near) if near else pd.DataFrame({"frame_idx": np.zeros(0, np.int64), "oid": np.zeros(0, np.int64), "hid": np.zeros(0, np.int64), "d": np.zeros(0)}), last)
     out = [found]
-    for side, name, kind in (("object", "oid", "MISS"), ("prediction", "hid", "FP")):
-        matched = set(zip(found.frame_idx, found[name], strict=True))
-        free = [k not in matched for k in zip(sides[side].frame_idx, sides[side].traj_id, strict=True)]
-        rest = sides[side][np.array(free, bool)]
-        out.append(pd.DataFrame({"frame_idx": rest.frame_idx, "type": kind, name: rest.traj_id.astype("Int64")}))
+    for side, name, kind in ((objects, "oid", "MISS"), (predictions, "hid", "FP")):
+        matched = pd.MultiIndex.from_arrays([found.frame_idx, found[name]])
+        free = ~pd.MultiIndex.from_arrays([side["frame_idx"], side["traj_id"]]).isin(matched)
+        out.append(pd.DataFrame({"frame_idx": side["frame_idx"][free], "type": kind, name: pd.array(side["traj_id"][free], "Int64")}))
     return pd.concat([x for x in out if len(x)] or out[:1]).reindex(columns=["frame_idx", "type", "oid", "hid", "d"]).astype({"oid": "Int64", "hid": "Int64", "d": float})
 
 
+def _ordered(rows: pd.DataFrame, side: int) -> np.ndarray:
+    """The places of a side's rows in order of frame, id and box."""
+    own = (rows.side.to_numpy() == side).nonzero()[0]
+    return own[np.lexsort([rows[c].to_numpy(float)[own] for c in reversed(BOX)] + [rows[c].iloc[own].to_numpy(np.int64) for c in ("traj_id", "frame_idx")])]
+
+
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """iou_matrix() of boxes side by side."""
+    common = np.clip(np.minimum(a[2], b[2]) - np.maximum(a[0], b[0]), 0, None) * np.clip(np.minimum(a[3], b[3]) - np.maximum(a[1], b[1]), 0, None)
+    whole = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - common
+    return np.divide(common, whole, out=np.zeros_like(common), where=whole > 0)
+
+
 def events_stream(objects: DataFrame, predictions: DataFrame, key: str = "seq_id", max_distance: float = 0.45, delay: float | None = None, idle: float | None = None, ticks: DataFrame | None = None) -> DataFrame:
     """The whole event log of two streams (key, frame_idx, frame_time, traj_id, box): key, EVENTS and late, equal to events().
 
@@ -123,8 +146,8 @@ def events_stream(objects: DataFrame, predictions: DataFrame, key: str = "seq_id
     whole frames of both sides. Rows without an id or frame have no events.
     """
     columns = [key, "frame_idx", "frame_time", "traj_id", *BOX]
-    both = objects.select(*columns, F.lit("object").alias("side")).unionByName(predictions.select(*columns, F.lit("prediction").alias("side")))
+    both = objects.select(*columns, F.lit(OBJECT).alias("side")).unionByName(predictions.select(*columns, F.lit(PREDICTION).alias("side")))
     both = both.filter("traj_id IS NOT NULL AND frame_idx IS NOT NULL")
     if ticks is not None:
-        both = both.unionByName(ticks.select(key, "frame_time", F.lit("tick").alias("side")), allowMissingColumns=True)
+        both = both.unionByName(ticks.select(key, "frame_time", F.lit(TICK).alias("side")), allowMissingColumns=True)
     return _run(both, key, dict, lambda last, rows: frame_events(last, rows, max_distance), EVENTS, delay, idle)
