@@ -903,3 +903,18 @@ def test_events_of_frames_in_parts(monkeypatch):
     key = ["frame_idx", "type", "oid", "hid"]
     assert whole.sort_values(key).reset_index(drop=True).equals(parts.sort_values(key).reset_index(drop=True))
     assert (whole.type != "FP").sum() == (rows.side == 0).sum() and whole.hid.notna().sum() == (rows.side == 1).sum()
+
+
+def test_field_is_dealt_out_by_frame(spark):
+    """Cells that are missing, a frame without a field, and no shuffle of a cell's key."""
+    boxes = spark.createDataFrame([(0, f, t, 0.1 * t, 0.2, 0.1 * t + 0.3, 0.6) for f in (0, 1) for t in range(5)], f"seq_id long, frame_idx long, traj_id long, {BOX}")
+    cells = {(x, y): ((x - y) / 64, (x + y) / 128) for x in range(4) for y in range(4) if (x, y) != (1, 2)}
+    field = spark.createDataFrame([(0, 0, 4, 4, *at, *move) for at, move in cells.items()], "seq_id long, frame_idx long, gw int, gh int, gx int, gy int, dx double, dy double")
+    shifted = motion.shift_boxes(boxes, field, ["seq_id", "frame_idx"], ["traj_id"])
+    for r in shifted.collect():
+        box, dx, dy = (0.1 * r.traj_id, 0.2, 0.1 * r.traj_id + 0.3, 0.6), 0.0, 0.0
+        for x, y, w in motion.SAMPLES if r.frame_idx == 0 else ():
+            at = tuple(max(0, min(3, int((box[k] * s + box[k + 2] * (1 - s)) * 4 + 0.5))) for k, s in ((0, x), (1, y)))
+            dx, dy = dx + w * cells.get(at, (0, 0))[0], dy + w * cells.get(at, (0, 0))[1]
+        assert (r.x1, r.y1, r.x2, r.y2) == pytest.approx([min(1, max(0, v)) for v in (box[0] - dx, box[1] - dy, box[2] - dx, box[3] - dy)])
+    assert "hashpartitioning(seq_id" in (plan := shifted._jdf.queryExecution().executedPlan().toString()) and "gx" not in "".join(x.split(")")[0] for x in plan.split("hashpartitioning(")[1:])

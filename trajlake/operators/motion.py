@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .tables import kept
 
 #: Sample points of a box (share of x1, share of y1, weight).
 SAMPLES = ((0.5, 0.5, 0.5), (0.35, 0.5, 0.125), (0.65, 0.5, 0.125), (0.5, 0.35, 0.125), (0.5, 0.65, 0.125))
@@ -18,19 +21,33 @@ SAMPLES = ((0.5, 0.5, 0.5), (0.35, 0.5, 0.125), (0.65, 0.5, 0.125), (0.5, 0.35,
 POSITION, VELOCITY, RATIO, RATIO_VELOCITY, RATIO_NOISE, TIME_SCALE = 1 / 20, 1 / 160, 1e-2, 1e-5, 1e-1, 7.5
 
 
+#: Sizes of fields, and cells of them that boxes look into, that are listed at most to leave out the others.
+MOST_SIZES, MOST_CELLS = 16, 1 << 16
+
+
 def shift_boxes(boxes: DataFrame, field: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
     """Boxes moved against the frame's displacement field (keys, gw, gh, gx, gy, dx, dy): the weighted mean over five sample
-    points, each looked up in its cell; a frame without a field moves nothing."""
-    size = field.groupBy(*keys).agg(F.first("gw").alias("gw"), F.first("gh").alias("gh"))
-    points = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(w).alias("w")) for x, y, w in SAMPLES))
-    p, (x1, y1, x2, y2) = F.col("p"), g.box()
+    points, each looked up in its cell; a frame without a field moves nothing.
+
+    Cells that no box of the table looks into are left out first, as far as their list is short. Boxes meet the others of
+    their frame, dealt out by the frame alone, and no row is made for a point.
+    """
+    x1, y1, x2, y2 = g.box()
 
     def cell(value: Column, n: Column) -> Column:
         return F.greatest(F.lit(0), F.least(n - 1, F.floor(value * n + 0.5).cast("int")))
 
-    spread = boxes.join(size, keys, "left").withColumn("p", F.explode(points)).withColumns({"gx": cell(x1 * p["x"] + x2 * (1 - p["x"]), F.col("gw")), "gy": cell(y1 * p["y"] + y2 * (1 - p["y"]), F.col("gh"))})
-    looked = spread.join(field.select(*keys, "gx", "gy", "dx", "dy"), [*keys, "gx", "gy"], "left")
-    move = looked.groupBy(*keys, *ids).agg(*(F.coalesce(F.sum(p["w"] * F.col(d)), F.lit(0.0)).alias(d) for d in ("dx", "dy")))
+    points = [(cell(x1 * x + x2 * (1 - x), F.col("gw")), cell(y1 * y + y2 * (1 - y), F.col("gh")), w) for x, y, w in SAMPLES]
+    sizes = kept(field.select("gw", "gh").distinct(), "sizes")
+    if sizes.count() <= MOST_SIZES:
+        each = F.explode(F.array(*(F.struct(gx.alias("gx"), gy.alias("gy")) for gx, gy, _ in points))).alias("at")
+        cells = kept(boxes.crossJoin(F.broadcast(sizes)).select("gw", "gh", each).select("gw", "gh", "at.gx", "at.gy").distinct(), "cells")
+        if cells.count() <= MOST_CELLS:
+            field = field.join(F.broadcast(cells), ["gw", "gh", "gx", "gy"], "left_semi")
+    looked = boxes.select(*keys, *ids, "x1", "y1", "x2", "y2").join(field.select(*keys, "gw", "gh", "gx", "gy", "dx", "dy"), keys, "left")
+    weight = reduce(add, (F.when((F.col("gx") == gx) & (F.col("gy") == gy), w).otherwise(0.0) for gx, gy, w in points))
+    moves = looked.select(*keys, *ids, weight.alias("w"), "dx", "dy")
+    move = moves.groupBy(*keys, *ids).agg(*(F.coalesce(F.sum(F.when(F.col("w") > 0, F.col("w") * F.col(d))), F.lit(0.0)).alias(d) for d in ("dx", "dy")))
     moved = boxes.join(move, [*keys, *ids]).withColumns({c: g.clip(F.col(c) - F.col(f"d{c[0]}")) for c in ("x1", "y1", "x2", "y2")})
     return moved.drop("dx", "dy")
 
