@@ -918,3 +918,15 @@ def test_field_is_dealt_out_by_frame(spark):
             dx, dy = dx + w * cells.get(at, (0, 0))[0], dy + w * cells.get(at, (0, 0))[1]
         assert (r.x1, r.y1, r.x2, r.y2) == pytest.approx([min(1, max(0, v)) for v in (box[0] - dx, box[1] - dy, box[2] - dx, box[3] - dy)])
     assert "hashpartitioning(seq_id" in (plan := shifted._jdf.queryExecution().executedPlan().toString()) and "gx" not in "".join(x.split(")")[0] for x in plan.split("hashpartitioning(")[1:])
+
+
+def test_kept_log_leaves_only_itself(spark, tmp_path, monkeypatch):
+    """A table of events for several readers: pairs and matches are gone once it is written."""
+    from trajlake.operators import tables
+
+    places = iter(range(99))
+    monkeypatch.setattr(tables, "new_path", lambda spark, name: f"{tmp_path}/{name}-{next(places)}")
+    rows = spark.createDataFrame([(0, f, t, 20.0 * t, 0.0, 20.0 * t + 10, 10.0) for f in range(6) for t in range(3)], f"seq_id long, frame_idx long, traj_id long, {BOX}")
+    log = clearmot.kept_events(rows, rows.filter("frame_idx <> 2"), ["seq_id"])
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"double", "log"}
+    assert rows_of(log) == rows_of(clearmot.events(rows, rows.filter("frame_idx <> 2"), ["seq_id"], pairs=clearmot.iou_pairs(rows, rows.filter("frame_idx <> 2"), ["seq_id", "frame_idx"])))

@@ -19,7 +19,7 @@ from .assignment import assign, assign_lists
 from .components import pair_components
 from .folds import fold
 from .pairs import iou_pairs
-from .tables import kept
+from .tables import drop, kept
 from .timegrid import nearest
 
 
@@ -121,7 +121,22 @@ def events(objects: DataFrame, predictions: DataFrame, keys: list[str], max_dist
     frame = [*keys, "frame_idx"]
     if pairs is None:
         pairs = kept(iou_pairs(objects, predictions, frame, max_distance), "pairs")
-    found = kept(matches(pairs, keys), "matches")  # read three times
+    return _with_others(objects, predictions, kept(matches(pairs, keys), "matches"), keys)  # which is read three times
+
+
+def kept_events(objects: DataFrame, predictions: DataFrame, keys: list[str], max_distance: float = 0.45) -> DataFrame:
+    """events() written as a table, for several readers; what it is made from is deleted."""
+    pairs = kept(iou_pairs(objects, predictions, [*keys, "frame_idx"], max_distance), "pairs")
+    found = kept(matches(pairs, keys), "matches")
+    drop(pairs)
+    log = kept(_with_others(objects, predictions, found, keys), "log")
+    drop(found)
+    return log
+
+
+def _with_others(objects: DataFrame, predictions: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """found, and MISS and FP of the objects and predictions without a match."""
+    frame = [*keys, "frame_idx"]
     nothing = F.lit(None).cast("long")
     missed = objects.select(*frame, F.col("traj_id").alias("oid")).join(found, [*frame, "oid"], "left_anti").select(*frame, F.lit("MISS").alias("type"), "oid", nothing.alias("hid"), F.lit(None).cast("double").alias("d"))
     false = predictions.select(*frame, F.col("traj_id").alias("hid")).join(found, [*frame, "hid"], "left_anti").select(*frame, F.lit("FP").alias("type"), nothing.alias("oid"), "hid", F.lit(None).cast("double").alias("d"))

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .associate import COLUMNS, OUT, PARAMS, Associator, walked, with_segments
-from .clearmot import events, measures
-from .pairs import iou_pairs
+from .clearmot import kept_events, measures
 from .tables import _file_system, drop, kept
 
 OUT_OF_BOUNDS = -10000.0
@@ -54,9 +53,8 @@ def sweep(candidates: dict[str, dict], frames: DataFrame, detections: DataFrame,
     trajectories = walked(work, [*by, "segment"], lambda key: Associator(PARAMS | candidates[key[0]]), COLUMNS, OUT)
     gt = objects.crossJoin(F.broadcast(names))
     trajectories = kept(trajectories, "sweep")  # read several times from here on
-    gated = kept(iou_pairs(gt, trajectories, [*by, "frame_idx"], max_distance), "pairs")
-    log = kept(events(gt, trajectories, by, max_distance, gated), "events")
-    drop(gated, trajectories)
+    log = kept_events(gt, trajectories, by, max_distance)
+    drop(trajectories)
     scores = measures(log, by)
     pool = ["candidate"]
     if splits is not None:

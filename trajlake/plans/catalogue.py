@@ -311,7 +311,7 @@ def _labels_sql(side: str, table: str) -> str:
 @query(f"{_labels_sql('oid', 'fx_gt')} UNION ALL {_labels_sql('hid', 'fx_hyp')}")
 def object_labels(spark: SparkSession, d: str) -> DataFrame:
     """Objects and predictions seen three quarters of a frame later."""
-    events, times, out = log(spark, d), fx.frames(spark, d), []
+    events, times, out = clearmot.kept_events(fx.gt(spark, d), fx.hyp(spark, d), SEQ), fx.frames(spark, d), []
     for side, rows in (("oid", fx.gt(spark, d)), ("hid", fx.hyp(spark, d))):
         later = rows.select(*CORE, (F.col("frame_time") + 0.0234375).alias("frame_time"))
         out.append(clearmot.label_objects(later, events, times, SEQ, side).select(*CORE, F.lit(side).alias("side"), "label"))
